@@ -5,16 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confab.llm import exact_dedup, pii, sharding, url_filter
+from confab.llm import bpe, exact_dedup, packing, pii, quality, sharding, url_filter
+from confab.llm.common import held_out, store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the contracts for op4 and op5."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+#: A document is predicted good from this score on.
+QUALITY_CUT = 0.3
+
+
+def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without text, with ``held_out``, ``score`` and ``predicted``; labels are learned from rows that are not held out."""
+    stats = store(quality.with_statistics(docs).withColumn("held_out", held_out("doc_id", 0)), "statistics")
+    labels = _table(spark, sf_dir, "labels", "doc_id", "quality")
+    known = stats.filter(~F.col("held_out")).join(labels, "doc_id")
+    scored = stats.withColumn("score", quality.fit(known, "quality").score()).drop(*quality.STATS)
+    return scored.withColumn("predicted", F.when(F.col("score") >= QUALITY_CUT, 1).otherwise(0))
+
+
+def op1_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(spark, _table(spark, sf_dir, "documents", "doc_id", "text"), sf_dir)
+
+
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of near equal bytes. The coordinates depend on the text alone, so equal texts stay together unless a cut must go through their group."""
-    sizes = sharding.store(sharding.document_sizes(_table(spark, sf_dir, "documents", "doc_id", "text")), "sizes")
+    sizes = store(sharding.document_sizes(_table(spark, sf_dir, "documents", "doc_id", "text")), "sizes")
     tie = F.col("text_crc32") * F.lit(1 << 20) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     shards = sharding.kd_shards(sizes, ["n_chars", "text_crc32"], "size", tie, n_leaves=8)
     out = sharding.with_slots(shards, "shard", F.struct("doc_id", "text_crc32"))
@@ -26,6 +51,19 @@ def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, found="n_replaced")
 
 
+def op4_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = bpe.encode(_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), decoded="decoded")
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return docs.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
+def op5_concat_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 #: The contract's rules.
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
@@ -40,8 +78,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_rule_ensemble_quality": op1_rule_ensemble_quality,
     "op2_kd_sharding": op2_kd_sharding,
     "op3_pii_pseudonyms": op3_pii_pseudonyms,
+    "op4_bpe_backtracking": op4_bpe_backtracking,
+    "op5_concat_packing": op5_concat_packing,
     "op6_url_filter": op6_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
 }
