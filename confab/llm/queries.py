@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confab.llm import bpe, exact_dedup, packing, pii, quality, sharding, url_filter
+from confab.llm import bpe, exact_dedup, near_dedup, packing, pii, quality, sharding, url_filter
 from confab.llm.common import held_out, store
 
 
@@ -73,6 +73,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "block_probability")
 
 
+def op9_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("rid")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("rid")
 
@@ -84,10 +88,25 @@ QUERIES = {
     "op4_bpe_backtracking": op4_bpe_backtracking,
     "op5_concat_packing": op5_concat_packing,
     "op6_url_filter": op6_url_filter,
+    "op9_chosen_path_near_dedup": op9_chosen_path_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op9_chosen_path_near_dedup": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (
+          SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] ELSE
+                 list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) END)) AS g FROM w),
+        n AS (SELECT w.doc_id, count(g) AS k FROM w LEFT JOIN s USING (doc_id) GROUP BY 1),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * c >= 75 * (u.k + v.k - c)),
+        r AS (SELECT doc_id AS v, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v)
+        SELECT n.doc_id, n.k AS n_shingles, min(r.c) AS component_id, n.doc_id = min(r.c) AS kept
+        FROM n JOIN r ON r.v = n.doc_id GROUP BY n.doc_id, n.k
+    """,
     "op10_exact_dedup": r"""
         WITH n AS (
           SELECT doc_id, length(coalesce(text, '')) AS n_chars,
