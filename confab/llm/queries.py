@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confab.llm import bpe, exact_dedup, near_dedup, packing, pii, quality, sharding, url_filter
+from confab.llm import bpe, exact_dedup, near_dedup, packing, pii, quality, sharding, topk, url_filter
 from confab.llm.common import held_out, store
 
 
@@ -73,6 +73,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "block_probability")
 
 
+def op8_dual_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op9_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("rid")
 
@@ -88,11 +92,22 @@ QUERIES = {
     "op4_bpe_backtracking": op4_bpe_backtracking,
     "op5_concat_packing": op5_concat_packing,
     "op6_url_filter": op6_url_filter,
+    "op8_dual_tree_top_k": op8_dual_tree_top_k,
     "op9_chosen_path_near_dedup": op9_chosen_path_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op8_dual_tree_top_k": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+          WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
     "op9_chosen_path_near_dedup": r"""
         WITH RECURSIVE w AS (
           SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
