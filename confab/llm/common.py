@@ -45,3 +45,18 @@ def with_row_id(docs: DataFrame, name: str = "rid") -> DataFrame:
 def held_out(doc_id: str, remainder: int):
     """True where crc32 of the id, as text, leaves ``remainder`` modulo 5; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == remainder
+
+
+#: Up to so many row numbers (8 bytes each) are broadcast; beyond it the rows are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def pick_rows(rows: DataFrame, ids: DataFrame, how: str, on: str = "rid") -> DataFrame:
+    """``rows`` whose ``on`` is (``how="left_semi"``) or isn't (``"left_anti"``) among ``ids``: without a shuffle of the rows if the ids are few."""
+    ids = store(ids.distinct(), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, how)
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs``, read from files, without the rows whose numbers are in ``dropped.rid``."""
+    return pick_rows(with_row_id(docs, "__row"), dropped.select(F.col("rid").alias("__row")), "left_anti", "__row").drop("__row")

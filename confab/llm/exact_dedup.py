@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from confab.llm.common import SPACES, store, with_row_id
+from confab.llm.common import SPACES, drop_rows, store, with_row_id
 
 #: Code points in a block.
 BLOCK = 4096
@@ -79,5 +79,4 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bl
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without the rows that :func:`exact_groups` does not keep; all columns stay. ``docs`` must be read from files."""
-    kept = store(exact_groups(docs, text, doc_id).filter("kept").select(F.col("rid").alias("__row")), "kept")
-    return with_row_id(docs, "__row").join(kept, "__row", "left_semi").drop("__row")
+    return drop_rows(docs, exact_groups(docs, text, doc_id).filter("not kept"))

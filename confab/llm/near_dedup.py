@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confab.llm.bpe import texts_of
-from confab.llm.common import store, with_row_id
+from confab.llm.common import drop_rows, pick_rows, store, with_row_id
 
 WORDS, PERCENT = 5, 75
 #: Trees, minwise hashes in a sketch, documents of a node that is compared exhaustively, levels.
@@ -36,8 +36,6 @@ TREES, SKETCH, SMALL, LEVELS = 12, 64, 64, 3
 CHUNK = 96
 #: Sketches must agree in so many places for a pair to be confirmed: 0.5, over four deviations below 0.75.
 AGREE = SKETCH // 2
-#: Up to so many row ids (8 bytes each) are broadcast to pick out the candidates' texts; beyond it they are joined.
-BROADCAST_IDS = 1_000_000
 KEPT_WORDS = 1_000_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -282,12 +280,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` with a rid in ``ids``; the ids are broadcast if they are few enough."""
-    ids = store(ids.distinct(), "ids")
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "rid", "left_semi")
-
-
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept`` and ``rid``, the row's number."""
     rows = with_row_id(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
@@ -301,7 +293,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         pairs.select(F.col("b").alias("v"), F.struct(F.col("agree"), (-F.col("a")).alias("o")).alias("p"))
     )
     top = ends.groupBy("v").agg(F.max("p").alias("p")).select(F.least("v", -F.col("p.o")).alias("a"), F.greatest("v", -F.col("p.o")).alias("b")).distinct()
-    some = store(_only(texts, ends.select(F.col("v").alias("rid"))), "texts")
+    some = store(pick_rows(texts, ends.select(F.col("v").alias("rid")), "left_semi"), "texts")
     links = store(confirmed(store(top, "top"), some), "links1")
     labels = components(links)
     of = lambda side: labels.select(F.col("v").alias(side), F.col("c").alias(f"c{side}"))
@@ -319,5 +311,4 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each component; all columns stay. ``docs`` must be read from files."""
-    kept = store(near_groups(docs, text, doc_id).filter("kept").select(F.col("rid").alias("__row")), "kept")
-    return with_row_id(docs, "__row").join(kept, "__row", "left_semi").drop("__row")
+    return drop_rows(docs, near_groups(docs, text, doc_id).filter("not kept"))

@@ -67,9 +67,9 @@ def statistics_of(text: bytes) -> tuple[float, ...]:
     )
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the statistics in place of the text."""
-    keep = [f for f in docs.schema if f.name not in (text, *STATS)]
+def with_statistics(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` with the statistics in place of the text, or beside it."""
+    keep = [f for f in docs.schema if f.name not in STATS and (keep_text or f.name != text)]
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +79,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(stats[:, i]) for i in range(len(STATS)))], names=[*names, *STATS])
 
     out = T.StructType([*keep, *(T.StructField(s, T.DoubleType()) for s in STATS)])
-    return docs.select(*[f"`{n}`" for n in names], f"`{text}`").mapInArrow(run, out)
+    return docs.select(*[f"`{n}`" for n in dict.fromkeys([*names, text])]).mapInArrow(run, out)
 
 
 #: (statistic, whether it must be greater, threshold)

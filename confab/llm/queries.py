@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confab.llm import bpe, exact_dedup, near_dedup, packing, pii, quality, sharding, topk, url_filter
+from confab.llm import bpe, exact_dedup, lm, near_dedup, packing, pii, quality, sharding, topk, url_filter
 from confab.llm.common import held_out, store
 
 
@@ -24,17 +24,16 @@ def tokenizer_path() -> str:
 QUALITY_CUT = 0.3
 
 
-def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without text, with ``held_out``, ``score`` and ``predicted``; labels are learned from rows that are not held out."""
-    stats = store(quality.with_statistics(docs).withColumn("held_out", held_out("doc_id", 0)), "statistics")
+def quality_model(spark: SparkSession, stats: DataFrame, sf_dir: str) -> quality.RuleModel:
+    """The rules learned from the labelled rows of ``stats`` (doc_id and statistics) that are not held out."""
     labels = _table(spark, sf_dir, "labels", "doc_id", "quality")
-    known = stats.filter(~F.col("held_out")).join(labels, "doc_id")
-    scored = stats.withColumn("score", quality.fit(known, "quality").score()).drop(*quality.STATS)
-    return scored.withColumn("predicted", F.when(F.col("score") >= QUALITY_CUT, 1).otherwise(0))
+    return quality.fit(stats.filter(~held_out("doc_id", 0)).join(labels, "doc_id"), "quality")
 
 
 def op1_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_scores(spark, _table(spark, sf_dir, "documents", "doc_id", "text"), sf_dir)
+    stats = store(quality.with_statistics(_table(spark, sf_dir, "documents", "doc_id", "text")), "statistics")
+    scored = stats.select("doc_id", held_out("doc_id", 0).alias("held_out"), quality_model(spark, stats, sf_dir).score().alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= QUALITY_CUT, 1).otherwise(0))
 
 
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +72,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "block_probability")
 
 
+def op7_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents", "doc_id", "text"), held_out("doc_id", 1))
+
+
 def op8_dual_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
@@ -92,6 +95,7 @@ QUERIES = {
     "op4_bpe_backtracking": op4_bpe_backtracking,
     "op5_concat_packing": op5_concat_packing,
     "op6_url_filter": op6_url_filter,
+    "op7_pitman_yor_scores": op7_pitman_yor_scores,
     "op8_dual_tree_top_k": op8_dual_tree_top_k,
     "op9_chosen_path_near_dedup": op9_chosen_path_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
