@@ -2,9 +2,724 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import uuid
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    return QUERIES["ask_topk"](spark, sf_dir)
+from confab.functions import text as T
+from confab.functions import timeparse as P
+from confab.operators import clean, context, extract, model, names, ocr, report, runs
+from confab.operators import search as S
+from confab.plans.adapters import E_SQL, M_SQL, NOW_SQL, R_SQL, conversations, events, now, picked, picked_sql, responses, spoiled, table
+from confab.sources import messages as src
+from confab.sources import sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+ROW = ["source_path", "msg_index", "sender", "time", "content", "type"]
+ROW_SQL = ", ".join(ROW)
+
+# --- search, history, statistics -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {M_SQL} SELECT source_path, msg_index, sender, content FROM m WHERE type = 'text' AND (contains(lower(content), 'than') OR contains(lower(sender), 'than'))")
+def search_keyword(spark, sf):
+    return S.search(conversations(spark, sf), "Than", type_="text").select("source_path", "msg_index", "sender", "content")
+
+
+@query(f"WITH {M_SQL} SELECT source_path, msg_index, content FROM m WHERE contains(lower(source_path), '1') AND (contains(lower(content), 'the') OR contains(lower(sender), 'the')) ORDER BY source_path, msg_index LIMIT 20 OFFSET 5")
+def search_page(spark, sf):
+    return S.page(S.search(conversations(spark, sf), "the", chats=["1"]), 20, 5).select("source_path", "msg_index", "content")
+
+
+@query(f"""WITH {M_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY msg_index) AS position, count(*) OVER (PARTITION BY source_path) AS total FROM m WHERE type = 'text')
+  SELECT source_path, msg_index, content, position, total FROM h WHERE position BETWEEN 2 AND 4""")
+def history_page(spark, sf):
+    return S.history(conversations(spark, sf), type_="text", limit=3, offset=1).select("source_path", "msg_index", "content", "position", "total")
+
+
+@query(f"""WITH {M_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY msg_index DESC) AS position FROM m)
+  SELECT source_path, msg_index, content, position FROM h WHERE position <= 2""")
+def history_newest(spark, sf):
+    return S.history(conversations(spark, sf), limit=2, newest_first=True).select("source_path", "msg_index", "content", "position")
+
+
+@query(f"WITH {M_SQL}, c AS (SELECT source_path, type, count(*) AS n FROM m GROUP BY ALL) SELECT source_path, type, n, round(n * 100.0 / sum(n) OVER (PARTITION BY source_path), 1) AS percent FROM c")
+def type_breakdown(spark, sf):
+    return S.type_breakdown(conversations(spark, sf))
+
+
+@query(f"""WITH {E_SQL}, c AS (SELECT source_path, sender, count(*) AS n, min(msg_index) AS f FROM e GROUP BY ALL),
+  r AS (SELECT source_path, sender, n, row_number() OVER (PARTITION BY source_path ORDER BY n DESC, f) AS rank FROM c) SELECT * FROM r WHERE rank <= 3""")
+def top_senders(spark, sf):
+    return S.top_senders(events(spark, sf), 3)
+
+
+def _listing(spark, sf) -> DataFrame:
+    """Sources with a time of modification; one of seven has no readable messages."""
+    ids = table(spark, sf, "conversations").select("conv_id").distinct()
+    return ids.select(F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("source_path"), (F.col("conv_id") * 7919 % 1009).alias("modified"))
+
+
+LISTING_SQL = "l AS (SELECT DISTINCT 'conv_' || conv_id AS source_path, conv_id * 7919 % 1009 AS modified FROM conversations)"
+
+
+@query(f"WITH {M_SQL}, {LISTING_SQL} SELECT source_path, modified, count(m.content) AS n_messages FROM l LEFT JOIN (SELECT * FROM m WHERE type <> 'image') m USING (source_path) GROUP BY ALL")
+def session_summary(spark, sf):
+    return S.session_summary(_listing(spark, sf), conversations(spark, sf).filter("type <> 'image'"))
+
+
+@query(f"WITH {M_SQL}, {LISTING_SQL} SELECT source_path, modified, count(m.content) AS n_messages FROM l LEFT JOIN m USING (source_path) GROUP BY ALL ORDER BY modified DESC, source_path LIMIT 20")
+def sessions_latest(spark, sf):
+    return S.sessions(_listing(spark, sf), conversations(spark, sf))
+
+
+@query(f"WITH {LISTING_SQL}, b AS (SELECT source_path, modified - modified % 3 AS before FROM l WHERE modified % 5 <> 0) SELECT source_path, modified FROM l LEFT JOIN b USING (source_path) WHERE before IS NULL OR modified > before")
+def changed_sources(spark, sf):
+    now_ = _listing(spark, sf)
+    before = now_.filter("modified % 5 <> 0").withColumn("modified", F.col("modified") - F.col("modified") % 3)
+    return S.changed_sources(now_, before)
+
+
+@query(f"WITH {LISTING_SQL} SELECT source_path AS stem, 1 AS rank FROM l WHERE lower(source_path) = 'conv_1'")
+def resolve_chat(spark, sf):
+    return src.resolve_chat(_listing(spark, sf).select(F.col("source_path").alias("stem")), "CONV_1")
+
+
+@query("SELECT DISTINCT 'user_' || user_id || '.json' AS file_name FROM events")
+def discover_sources(spark, sf):
+    users = table(spark, sf, "events").select(F.concat(F.lit("user_"), F.col("user_id").cast("string"), F.lit(".json")).alias("file_name")).distinct()
+    state = users.select(F.concat(F.lit("last_"), "file_name").alias("file_name"))
+    return src.discover_sources(users.unionByName(state))
+
+
+@query("SELECT DISTINCT 'user_' || user_id || '.json' AS file_name FROM events WHERE user_id % 2 = 0 AND value = (SELECT max(value) FROM events) OR user_id % 2 = 0")
+def discover_last_run(spark, sf):
+    e = table(spark, sf, "events")
+    files = e.select(F.concat(F.lit("user_"), F.col("user_id").cast("string"), F.lit(".json")).alias("file_name"), "user_id").distinct()
+    paths = files.filter("user_id % 2 = 0").agg(F.collect_set(F.concat(F.lit("/out/"), "file_name")).alias("message_json_paths"))
+    record = paths.select(F.lit("2024-01-31").alias("finished_at_utc"), "message_json_paths")
+    older = paths.select(F.lit("2024-01-01").alias("finished_at_utc"), F.array(F.lit("/out/none.json")).alias("message_json_paths"))
+    return src.discover_sources(files, record.unionByName(older)).select("file_name")
+
+
+@query(f"WITH {E_SQL} SELECT source_path, msg_index, part FROM (SELECT *, 0 AS part FROM e WHERE event_id % 2 = 0 UNION ALL SELECT *, 1 FROM e WHERE event_id % 2 = 1)")
+def union_sources(spark, sf):
+    e = events(spark, sf)
+    return src.union_all([e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1")]).select("source_path", "msg_index", "part")
+
+
+# --- ranked context ------------------------------------------------------------------------------------------------
+
+QUESTION = "what is the than"
+_SCORES = f"""{M_SQL},
+  x AS (SELECT *, concat_ws(chr(10), chat_name, coalesce(sender, ''), coalesce(time, ''), coalesce(content, ''), type) AS line FROM m),
+  w AS (SELECT a.source_path, a.msg_index AS center_index, lower(a.chat_name || chr(10) || a.source_path || chr(10) || string_agg(b.line, chr(10) ORDER BY b.msg_index)) AS txt
+        FROM x a JOIN x b ON a.source_path = b.source_path AND b.msg_index BETWEEN a.msg_index - 2 AND a.msg_index + 2 GROUP BY 1, 2, a.chat_name),
+  k AS (SELECT *, regexp_extract_all(txt, '[a-z0-9_]+') AS tk, contains(txt, '{QUESTION}') AS ph FROM w),
+  q AS (SELECT unnest(['what', 'is', 'the', 'than']) AS term),
+  c AS (SELECT source_path, center_index, ph, term, len(list_filter(tk, lambda t: t = term)) AS n FROM k, q),
+  d AS (SELECT term, count(*) AS docs, count(*) FILTER (n > 0) AS df FROM c GROUP BY 1),
+  s AS (SELECT source_path, center_index, ph, sum(n * (ln((1 + docs) / (1 + df)) + 1)) + CASE WHEN ph THEN 20 ELSE 0 END AS base, count(*) FILTER (n > 0) / 4 AS cover FROM c JOIN d USING (term) GROUP BY 1, 2, 3),
+  z AS (SELECT source_path, center_index, base * (1 + cover) + CASE WHEN cover = 1 THEN 5 ELSE 0 END AS score FROM s)"""
+
+
+@query(f"WITH {_SCORES} SELECT source_path, center_index, round(score, 3) AS score FROM z WHERE score > 0")
+def ask_scores(spark, sf):
+    scored = context.score_context(context.context_windows(conversations(spark, sf)), QUESTION)
+    return scored.select("source_path", "center_index", F.round("score", 3).alias("score"))
+
+
+@query()
+def ask_topk(spark, sf):
+    best = context.ask(conversations(spark, sf), QUESTION, k=5)
+    texts = F.array_join(F.transform("messages", lambda m: F.concat_ws(": ", m["sender"], m["content"])), "\n")
+    return best.select("rank", "chat_name", "center_index", "score", F.array_join("matched_terms", ",").alias("matched_terms"), texts.alias("messages"))
+
+
+@query(f"""WITH {M_SQL} SELECT a.source_path, a.msg_index AS center_index, count(*) AS n FROM m a JOIN m b ON a.source_path = b.source_path AND b.msg_index BETWEEN a.msg_index - 1 AND a.msg_index + 1 WHERE a.type = 'image' GROUP BY 1, 2""")
+def context_windows(spark, sf):
+    wide = context.context_windows(conversations(spark, sf), 1, type_="image")
+    lines = F.size(F.split("text", "\n"))
+    n = (F.size(F.regexp_extract_all("text", F.concat(F.lit("(?m)^"), "source_path", F.lit("$")), F.lit(0))) - 2).alias("n")
+    return wide.filter(lines > 0).select("source_path", "center_index", n)
+
+
+@query("SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) >= 2) AS t FROM documents)")
+def tokenize_documents(spark, sf):
+    t = table(spark, sf, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
+
+
+# --- types, calls, media, names ------------------------------------------------------------------------------------
+
+RAW_TYPES = ["text", " Link ", "sticker", "recall", "VOIP", "clip", "audio", "document", "poll", "file", "voice", "recalled"]
+CLEANED = ["text", "link_card", "image", "system", "call", "video", "voice", "unsupported", "other", "unsupported", "voice", "other"]
+STORED = ["text", "unsupported", "unsupported", "unsupported", "unsupported", "unsupported", "unsupported", "unsupported", "unsupported", "file", "unsupported", "recalled"]
+
+
+@query(f"SELECT event_id, {picked_sql(CLEANED, 'event_id')} AS type FROM events")
+def normalize_types(spark, sf):
+    return table(spark, sf, "events").select("event_id", T.normalize_type(picked(RAW_TYPES, F.col("event_id"))).alias("type"))
+
+
+@query(f"SELECT event_id, {picked_sql(STORED, 'event_id')} AS type FROM events")
+def coerce_types(spark, sf):
+    return table(spark, sf, "events").select("event_id", T.coerce_type(picked(RAW_TYPES, F.col("event_id"))).alias("type"))
+
+
+LINES = ["Canceled", "hello", "no answer", "忙线", "[通话] 01:02", "通话时长 03:10", "[语音] 2\"", "[视频]", "通话时长 " + "x" * 30, "Cancelled it"]
+LINE_TYPES = ["call", "text", "call", "call", "call", "call", "voice", "video", "text", "text"]
+LINE_TEXTS = ["[通话] Canceled", "hello", "[通话] no answer", "[通话] 忙线", "[通话] 01:02", "[通话] 通话时长 03:10", "[语音] 2\"", "[视频]", "通话时长 " + "x" * 30, "Cancelled it"]
+
+
+@query(f"WITH {E_SQL} SELECT source_path, msg_index, {picked_sql(LINE_TYPES, 'event_id')} AS type, {picked_sql(LINE_TEXTS, 'event_id')} AS content FROM e")
+def refine_calls(spark, sf):
+    rows = events(spark, sf).withColumn("content", picked(LINES, F.col("event_id")))
+    return clean.infer_media_types(clean.refine_calls(rows)).select("source_path", "msg_index", "type", "content")
+
+
+@query(f"WITH {M_SQL} SELECT source_path, msg_index, sender, content, type FROM m WHERE trim(content) <> ''")
+def normalize_rows(spark, sf):
+    rows = conversations(spark, sf).withColumns({"content": F.concat(F.lit("　 "), "content", F.lit("\n")), "type": F.upper("type")})
+    return clean.normalize_rows(rows).select("source_path", "msg_index", "sender", "content", "type")
+
+
+@query(r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(trim(coalesce(url, '')), '[\\/:*?"<>|\x00-\x1f]', '_', 'g'), '[.\s]+$', ''), ''), 'chat') AS file_key FROM pages""")
+def safe_file_keys(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.safe_file_key(F.col("url")).alias("file_key"))
+
+
+@query("""SELECT c_custkey, lower(trim(regexp_replace(n, '\\s+', ' ', 'g'))) AS chat_key, replace(replace(replace(trim(regexp_replace(n, '\\s+', ' ', 'g')), '…', '...'), ' ', ''), '·', '-') AS compact,
+  regexp_replace(regexp_replace(trim(n), '\\(\\d+\\)$', ''), '[\\s\\-_–—·]+', '', 'g') AS title, lower(regexp_replace(n, '[^A-Za-z0-9]', '', 'g')) AS identity
+  FROM (SELECT c_custkey, c_name || ' · ' || c_mktsegment || '  (12)' AS n FROM customer)""")
+def name_keys(spark, sf):
+    name = F.concat("c_name", F.lit(" · "), "c_mktsegment", F.lit("  (12)"))
+    rows = table(spark, sf, "customer").select("c_custkey", name.alias("n")).withColumn("label", T.chat_label(F.col("n")))
+    return rows.select("c_custkey", T.chat_key(F.col("n")).alias("chat_key"), T.compact_label(F.col("label")).alias("compact"), T.normalize_title(F.col("n")).alias("title"), T.identity_key(F.col("label")).alias("identity"))
+
+
+BADGES, CAPS = ["99+", "", "…", "500", "7", "x", " 12 "], [99, 1, 1, 200, 7, 1, 12]
+
+
+@query(f"SELECT event_id, ({CAPS})[event_id % {len(CAPS)} + 1] AS cap FROM events")
+def badge_caps(spark, sf):
+    return table(spark, sf, "events").select("event_id", T.badge_cap(picked(BADGES, F.col("event_id"))).alias("cap"))
+
+
+OCR_NAMES = ["22 Chapel and 30M 昨天23", "Operations Team 12:30", "曲亦琳 今天回我", "ISnIM〇LD", "Best Girlsse", "A 深圳", "Design and", "Team 周三", "News 3 4"]
+OCR_CLEAN = ["22 Chapel", "Operations Team", "曲亦琳", "ISnIMOLD", "Best Girls", "深圳", "Design", "Team", "News"]
+
+
+@query(f"SELECT event_id, {picked_sql(OCR_CLEAN, 'event_id')} AS name FROM events")
+def clean_ocr_names(spark, sf):
+    return table(spark, sf, "events").select("event_id", T.clean_ocr_name(picked(OCR_NAMES, F.col("event_id"))).alias("name"))
+
+
+@query()
+def trim_repetitions(spark, sf):
+    """Long documents that end in many copies of one unit keep one of them."""
+    return table(spark, sf, "documents").select("doc_id", T.trim_repetition(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '^[\\\\ ]+|[\\\\ ]+$', '', 'g'), '\\s+', ' ', 'g')) AS text FROM documents")
+def normalize_ocr_texts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.normalize_ocr_text(F.col("text")).alias("text"))
+
+
+# --- filters -------------------------------------------------------------------------------------------------------
+
+MARKS = ["12:30", "昨天 9:05", "3月4日", "2024-01-02 10:00", "周三 10:00 pm", "see 12:30", "Yesterday 22:08", "2024年1月2日 08:00", "text"]
+IS_TIME, IS_MARK = [True, False, True, True, False, False, False, False, False], [True, True, False, False, True, False, True, True, False]
+
+
+@query(f"SELECT event_id, ({str(IS_TIME).lower()})[event_id % 9 + 1] AS time_only, ({str(IS_MARK).lower()})[event_id % 9 + 1] AS separator FROM events")
+def time_lines(spark, sf):
+    mark = picked(MARKS, F.col("event_id"))
+    return table(spark, sf, "events").select("event_id", T.is_time_only(mark).alias("time_only"), T.is_separator(mark).alias("separator"))
+
+
+PLAIN_NAMES = ["AB", "12", "x", "运营群", "+12:30", "Team 1", "abc"]
+
+
+@query(f"SELECT event_id, ([true, false, false, true, true, true, true])[event_id % 7 + 1] AS sidebar, ([false, true, false, true, true, true, true])[event_id % 7 + 1] AS ocr, ([true, false, false, true, false, true, true])[event_id % 7 + 1] AS header FROM events")
+def plausible_names(spark, sf):
+    name = picked(PLAIN_NAMES, F.col("event_id"))
+    return table(spark, sf, "events").select("event_id", *[T.plausible_name(name, r).alias(r) for r in ("sidebar", "ocr", "header")])
+
+
+CHAT_NAMES = ["Alice", "搜 索", "公众号", "Bob", "折叠置顶聊天", "", "Ｔｅａｍ"]
+
+
+def _chat_rows(spark, sf) -> DataFrame:
+    """CHATROW rows from events: one scan per user."""
+    e = events(spark, sf)
+    badge = F.when(F.col("event_id") % 4 == 0, picked(["1", "", "null", "99+"], F.floor(F.col("event_id") / 4)))
+    group = F.when(F.col("event_id") % 3 == 0, True).when(F.col("event_id") % 3 == 1, False)
+    return e.select(F.col("source_path").alias("scan_id"), F.col("msg_index").alias("row_pos"), picked(CHAT_NAMES, F.col("event_id")).alias("name"), badge.alias("badge_text"), group.alias("is_group"), F.lit(False).alias("selected"), (F.col("msg_index") * 10).alias("y"))
+
+
+_ROWS_SQL = f"""{E_SQL}, c AS (SELECT source_path AS scan_id, msg_index AS row_pos, {picked_sql(CHAT_NAMES, 'event_id')} AS name,
+  CASE WHEN event_id % 4 = 0 THEN {picked_sql(['1', '', 'null', '99+'], 'event_id // 4')} END AS badge_text, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_group FROM e)"""
+
+
+@query(f"WITH {_ROWS_SQL} SELECT scan_id, row_pos, name FROM c WHERE name IN ('Alice', 'Bob', '', 'Ｔｅａｍ') AND (is_group IS NULL OR is_group) AND badge_text IN ('1', '99+')")
+def unread_group_rows(spark, sf):
+    rows = _chat_rows(spark, sf).filter(names.chat_type_allows("groups") & names.has_unread("meaningful"))
+    return rows.filter(src.not_control(F.col("name"))).select("scan_id", "row_pos", "name")
+
+
+@query(f"WITH {_ROWS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY scan_id, CASE WHEN name = '' THEN coalesce(badge_text, '') || '|' || row_pos ELSE 'n' || name END ORDER BY row_pos) AS n FROM c WHERE badge_text IS NOT NULL) SELECT scan_id, row_pos, name FROM k WHERE n = 1")
+def distinct_unread(spark, sf):
+    return clean.distinct_unread(_chat_rows(spark, sf).filter(names.has_unread())).select("scan_id", "row_pos", "name")
+
+
+@query("SELECT p_brand AS name, min(p_partkey) AS pos FROM part GROUP BY 1")
+def distinct_names(spark, sf):
+    rows = table(spark, sf, "part").select(F.concat(F.lit(" "), "p_brand").alias("name"), F.col("p_partkey").alias("pos"))
+    return clean.distinct_names(rows)
+
+
+@query()
+def first_seen_names(spark, sf):
+    return names.first_seen(_chat_rows(spark, sf).select("scan_id", "row_pos", "name"))
+
+
+# --- time ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, date_trunc('minute', ts::TIMESTAMP) AS event_time FROM events")
+def time_parse_absolute(spark, sf):
+    e = events(spark, sf)
+    forms = ["yyyy-MM-dd HH:mm", "yyyy/M/d HH:mm", "yyyy年M月d日 HH：mm"]
+    text = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", forms[0])).when(F.col("event_id") % 3 == 1, F.date_format("ts", forms[1])).otherwise(F.date_format("ts", forms[2]))
+    return e.select("event_id", P.parse_message_time(text, now()).alias("event_time"))
+
+
+@query("SELECT event_id, date_trunc('minute', ts::TIMESTAMP) AS event_time FROM events")
+def time_parse_relative(spark, sf):
+    days = ["星期一", "Tue", "周三", "thursday", "星期五", "Saturday", "周日"]
+    age = F.datediff(now(), F.col("ts"))
+    clock = F.date_format("ts", "HH:mm")
+    hour12 = F.date_format("ts", "h:mm a")
+    text = (
+        F.when(age == 0, F.concat(F.lit("今天 "), clock))
+        .when(age == 1, F.concat(F.lit("Yesterday "), hour12))
+        .when(age < 7, F.concat(F.element_at(F.array(*map(F.lit, days)), F.weekday("ts") + 1), F.lit(" "), clock))
+        .otherwise(F.concat(F.date_format("ts", "M月d日"), F.lit(" "), clock))
+    )
+    return events(spark, sf).select("event_id", P.parse_message_time(text, now()).alias("event_time"))
+
+
+_EFFECTIVE = f"""{E_SQL}, f AS (SELECT *, last_value(CASE WHEN time IS NOT NULL THEN strptime(time, '%Y-%m-%d %H:%M') END IGNORE NULLS) OVER (PARTITION BY source_path ORDER BY msg_index) AS effective_time FROM e)"""
+
+
+@query(f"WITH {_EFFECTIVE} SELECT source_path, msg_index, effective_time FROM f WHERE effective_time IS NULL OR effective_time >= {NOW_SQL} - INTERVAL 240 HOUR")
+def recent_window(spark, sf):
+    rows = P.with_effective_time(events(spark, sf), now(), ["source_path"], ["msg_index"])
+    return P.recent_window(rows, 240, now()).select("source_path", "msg_index", "effective_time")
+
+
+@query(f"""WITH {_EFFECTIVE}, c AS (SELECT source_path, msg_index // 20 AS chunk_index, coalesce(bool_or(effective_time < {NOW_SQL} - INTERVAL 240 HOUR), false) AS reached FROM f GROUP BY 1, 2),
+  k AS (SELECT a.* FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.source_path = a.source_path AND b.chunk_index > a.chunk_index AND b.reached))
+  SELECT source_path, msg_index FROM f JOIN k ON k.source_path = f.source_path AND k.chunk_index = f.msg_index // 20""".replace("SELECT source_path, msg_index FROM f JOIN", "SELECT f.source_path, f.msg_index FROM f JOIN"))
+def cutoff_chunks(spark, sf):
+    rows = P.with_effective_time(events(spark, sf), now(), ["source_path"], ["msg_index"]).withColumn("chunk_index", F.floor(F.col("msg_index") / 20).cast("int"))
+    return P.drop_chunks_before_cutoff(rows, 240, now(), ["source_path"]).select("source_path", "msg_index")
+
+
+@query(f"""WITH {E_SQL}, s AS (SELECT source_path, msg_index, event_id % 7 = 0 AS mark, CASE WHEN event_id % 2 = 0 THEN time END AS t, strftime(ts, '%H:%M') AS c, sender FROM e),
+  f AS (SELECT *, last_value(CASE WHEN mark THEN coalesce(t, c) END IGNORE NULLS) OVER (PARTITION BY source_path ORDER BY msg_index) AS seen FROM s)
+  SELECT source_path, msg_index, sender, coalesce(t, seen) AS time FROM f WHERE NOT mark""")
+def separator_fill(spark, sf):
+    mark = F.col("event_id") % 7 == 0
+    rows = events(spark, sf).withColumns({"content": F.when(mark, F.date_format("ts", "HH:mm")).otherwise(F.col("content")), "time": F.when(F.col("event_id") % 2 == 0, F.col("time"))})
+    return extract.valid_messages(extract.fill_separator_times(rows, ["source_path"], ["msg_index"])).select("source_path", "msg_index", "sender", "time")
+
+
+# --- extraction ----------------------------------------------------------------------------------------------------
+
+_EXTRACTED = f"WITH {M_SQL} SELECT source_path, msg_index, CASE WHEN type <> 'system' THEN sender END AS sender, content, type FROM m"
+
+
+@query(_EXTRACTED)
+def extract_chunks(spark, sf):
+    return extract.extract_chat(responses(spark, sf), now()).select("source_path", "msg_index", "sender", "content", "type")
+
+
+@query(f"WITH {M_SQL} SELECT source_path, sender, content, type FROM m")
+def merge_chunks(spark, sf):
+    rows = extract.response_messages(responses(spark, sf)).withColumns({"source_path": F.col("chat_name"), "msg_index": F.col("pos")})
+    return clean.merge_chunks(rows.select("source_path", "chunk_index", "msg_index", "sender", "time", "content", "type")).select("source_path", "sender", "content", "type")
+
+
+@query(f"WITH {R_SQL} SELECT t.step_id, m.content, m.type, 'low' AS confidence, 'unstable' AS stability FROM t JOIN m ON m.chat_name = t.chat_name AND m.msg_index BETWEEN 2 * t.chunk_index AND 2 * t.chunk_index + 3")
+def parse_strict(spark, sf):
+    bare = responses(spark, sf).withColumn("response_text", F.regexp_replace("response_text", "(?s)^.*?```json", "```json"))
+    return src.parse_strict_response(bare).select("step_id", "content", "type", "confidence", "stability")
+
+
+@query(f"WITH {R_SQL} SELECT step_id, task_pos % 11 = 0 AS failed FROM t WHERE task_pos % 7 <> 0")
+def parse_model_json(spark, sf):
+    rows = spoiled(responses(spark, sf)).filter(F.trim("response_text") != "")
+    loose = F.regexp_replace("response_text", "```(json)?", " and { so ")
+    return rows.select("step_id", src.model_object(loose).isNull().alias("failed"))
+
+
+_FINAL = f"""{R_SQL}, g AS (SELECT * FROM t WHERE task_pos % 7 <> 0 AND task_pos % 11 <> 0),
+  x AS (SELECT g.task_pos, m.* FROM g JOIN m ON m.chat_name = g.chat_name AND m.msg_index BETWEEN 2 * g.chunk_index AND 2 * g.chunk_index + 3)"""
+
+
+@query(f"WITH {_FINAL} SELECT DISTINCT chat_name, sender, content, type FROM x")
+def finalize_messages(spark, sf):
+    rows, _ = extract.finalize(spoiled(responses(spark, sf)), now())
+    return rows.select("chat_name", "sender", "content", "type")
+
+
+@query(f"""WITH {_FINAL} SELECT count(*) AS total, count(*) FILTER (task_pos % 7 <> 0 AND task_pos % 11 <> 0) AS completed,
+  string_agg(step_id, ',' ORDER BY task_pos) FILTER (task_pos % 7 = 0) AS missing, string_agg(step_id, ',' ORDER BY task_pos) FILTER (task_pos % 7 <> 0 AND task_pos % 11 = 0) AS failed,
+  (SELECT count(*) FROM x) AS messages_before, (SELECT count(*) FROM x) AS messages_in_window, false AS ok FROM t""")
+def finalize_summary(spark, sf):
+    _, summary = extract.finalize(spoiled(responses(spark, sf)), now(), hours=24)
+    return summary.drop("run_id")
+
+
+@query(f"WITH {R_SQL} SELECT step_id FROM t WHERE task_pos % 7 = 0")
+def pending_tasks(spark, sf):
+    tasks = spoiled(responses(spark, sf))
+    return model.pending_tasks(tasks.drop("response_text"), tasks.select("step_id", "response_text")).select("step_id")
+
+
+@query(f"WITH {R_SQL} SELECT step_id, task_pos, task_pos % 7 <> 0 AS answered FROM t")
+def task_responses(spark, sf):
+    tasks = spoiled(responses(spark, sf))
+    joined = src.tasks_with_responses(tasks.drop("response_text"), tasks.filter("task_pos % 14 <> 0").select("step_id", "response_text"), "step_id")
+    return joined.select("step_id", "task_pos", F.col("response_text").isNotNull().alias("answered"))
+
+
+@query(f"WITH {R_SQL} SELECT chat_name, min(task_pos) AS first FROM t GROUP BY 1")
+def task_chats(spark, sf):
+    return runs.task_chats(responses(spark, sf)).select("chat_name", "first")
+
+
+@query(f"WITH {R_SQL}, v AS (SELECT *, row_number() OVER (PARTITION BY chat_name ORDER BY chunk_index) AS n FROM t) SELECT chat_name, chunk_index, printf('%04d', n) AS number FROM v")
+def task_rows(spark, sf):
+    tasks = sinks.task_rows(responses(spark, sf).select("chat_name", "chunk_index"), "r1")
+    return tasks.select("chat_name", "chunk_index", F.substring_index("step_id", "_", -1).alias("number"))
+
+
+@query(f"""WITH {R_SQL}, n AS (SELECT *, CASE WHEN chunk_index = 1 THEN 'named ' || chat_name END AS own FROM t)
+  SELECT step_id, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY chat_name ORDER BY task_pos), 'Current Chat') AS task_chat FROM n""")
+def carried_names(spark, sf):
+    r = responses(spark, sf).withColumns({"run_id": F.col("chat_name"), "found_name": F.when(F.col("chunk_index") == 1, F.concat(F.lit("named "), "chat_name")), "state": F.lit("completed")})
+    return extract.carried_chat_name(r.withColumn("chat_name", F.lit(None).cast("string"))).select("step_id", "task_chat")
+
+
+@query(f"WITH {M_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY msg_index DESC) AS n FROM m) SELECT source_path, msg_index FROM b WHERE n <= 3")
+def keep_last(spark, sf):
+    return extract.keep_last(conversations(spark, sf), F.lit(3), ["source_path"], ["msg_index"]).select("source_path", "msg_index")
+
+
+@query("SELECT event_id AS submit_index, 'user_' || user_id AS chat_name, event_id % 5 <> 0 AS success, CASE WHEN event_id % 5 <> 0 THEN event_id % 9 ELSE 0 END AS message_count FROM events")
+def extraction_outcomes(spark, sf):
+    e = table(spark, sf, "events")
+    r = e.select(
+        F.col("event_id").alias("submit_index"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("chat_name"), F.lit("p").alias("path"), (F.col("event_id") % 9).alias("message_count"),
+        F.when(F.col("event_id") % 5 == 0, "timeout").alias("error"),
+    )
+    return extract.outcomes(r).select("submit_index", "chat_name", "success", "message_count")
+
+
+@query("""WITH o AS (SELECT user_id AS run_id, event_id AS pos, event_type AS chat_name, event_id % 3 <> 1 AS bad FROM events WHERE user_id % 2 = 0 OR event_id % 3 = 0),
+  f AS (SELECT run_id, chat_name, min(pos) AS pos FROM o WHERE bad GROUP BY 1, 2)
+  SELECT run_id, n_paths, n_failures, errors, CASE WHEN n_failures = 0 THEN 'ok' WHEN n_paths > 0 THEN 'partial' ELSE 'failed' END AS status, n_failures = 0 AS ok FROM
+   (SELECT run_id, count(*) FILTER (NOT bad) AS n_paths, (SELECT count(*) FROM f WHERE f.run_id = o.run_id) AS n_failures,
+     coalesce((SELECT string_agg(chat_name || ': model: timeout', '; ' ORDER BY pos) FROM f WHERE f.run_id = o.run_id), '') AS errors FROM o GROUP BY run_id)""")
+def run_status(spark, sf):
+    bad = F.col("event_id") % 3 != 1
+    o = table(spark, sf, "events").filter("user_id % 2 = 0 OR event_id % 3 = 0")
+    o = o.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("chat_name"), F.when(~bad, "p").alias("path"), F.lit("model").alias("stage"), F.when(bad, "timeout").alias("error"))
+    return runs.run_status(o)
+
+
+@query("SELECT conv_id, turn, 'seen ' || replace(text, 'e', 'E') AS response_text FROM conversations")
+def map_model(spark, sf):
+    tasks = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"), F.lit(None).cast("binary").alias("image"), F.lit(64).alias("max_tokens"))
+    return model.map_model(tasks, lambda prompt, image, n: "seen " + prompt.replace("e", "E")).select("conv_id", "turn", "response_text")
+
+
+# --- deduplication -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {E_SQL}, d AS (SELECT *, row_number() OVER (PARTITION BY source_path, sender, time, content, type ORDER BY msg_index) AS n FROM e) SELECT {ROW_SQL} FROM d WHERE n = 1")
+def dedup_exact(spark, sf):
+    return clean.dedup_exact(events(spark, sf)).select(*ROW)
+
+
+@query("SELECT event_type AS sender, min('user_' || lpad(user_id::VARCHAR, 9, '0')) AS source_path FROM events GROUP BY 1")
+def dedup_cross_chat(spark, sf):
+    source = F.concat(F.lit("user_"), F.lpad(F.regexp_extract("source_path", r"(\d+)", 1), 9, "0"))
+    rows = events(spark, sf).withColumns({"chat_name": F.lit("all"), "time": F.lit(None).cast("string"), "source_path": source})
+    return clean.dedup_exact(rows, cross_chat=True).select("sender", "source_path")
+
+
+@query(f"""WITH {E_SQL}, a AS (SELECT *, CASE WHEN lag(sender) OVER w = sender THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY source_path ORDER BY msg_index)),
+  b AS (SELECT *, sum(new) OVER (PARTITION BY source_path ORDER BY msg_index) AS run FROM a),
+  c AS (SELECT *, first_value(time IGNORE NULLS) OVER (PARTITION BY source_path, run ORDER BY msg_index ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS t FROM b)
+  SELECT source_path, msg_index, sender, t AS time FROM c WHERE new = 1""")
+def dedup_adjacent(spark, sf):
+    return clean.dedup_adjacent(events(spark, sf)).select("source_path", "msg_index", "sender", "time")
+
+
+def _messages(df: DataFrame) -> DataFrame:
+    return df.select("source_path", "msg_index", "chat_name", "sender", "time", "content", "type")
+
+
+@query()
+def dedup_lookback(spark, sf):
+    return clean.dedup_lookback(_messages(events(spark, sf)))
+
+
+@query()
+def dedup_similar(spark, sf):
+    return clean.dedup_similar(_messages(conversations(spark, sf)))
+
+
+@query()
+def drop_voice_durations(spark, sf):
+    lines = ['[语音] 2"', '2"', "2", "ok", "[语音] 12秒", "12秒"]
+    rows = events(spark, sf).withColumns({"content": picked(lines, F.col("event_id")), "sender": F.lit("a")})
+    return clean.drop_voice_durations(_messages(clean.infer_media_types(rows)))
+
+
+@query()
+def postprocess(spark, sf):
+    return clean.postprocess(_messages(events(spark, sf).withColumn("content", F.concat_ws(" ", "content", picked(LINES, F.col("event_id"))))))
+
+
+# --- names ---------------------------------------------------------------------------------------------------------
+
+
+def _visible(spark, sf) -> DataFrame:
+    """Nation names as a list of chats may show them: whole, with a count, cut off, in capitals or shortened."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    n, k = F.col("n_name"), F.col("c_custkey") % 5
+    shown = F.when(k == 0, n).when(k == 1, F.concat(n, F.lit(" (12)"))).when(k == 2, F.concat(F.expr("substring(n_name, 1, length(n_name) - 2)"), F.lit("…"))).when(k == 3, F.concat(F.lit("x "), n)).otherwise(F.substring(n, 1, 2))
+    return c.select(F.col("c_mktsegment").alias("scan_id"), F.col("c_custkey").cast("int").alias("row_pos"), shown.alias("name"), F.lit("1").alias("badge_text"), F.lit(None).cast("boolean").alias("is_group"))
+
+
+_VISIBLE_SQL = """s AS (SELECT c_custkey AS row_pos, CASE c_custkey % 5 WHEN 0 THEN n_name WHEN 1 THEN n_name || ' (12)' WHEN 2 THEN left(n_name, length(n_name) - 2) || '...' WHEN 3 THEN 'x ' || n_name ELSE left(n_name, 2) END AS name
+    FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def _configured(spark, sf) -> DataFrame:
+    return table(spark, sf, "nation").select(F.col("n_name").alias("configured"), F.col("n_nationkey").cast("int").alias("position"))
+
+
+@query(f"""WITH {_VISIBLE_SQL}, c AS (SELECT row_pos, replace(name, ' ', '') AS v, replace(n_name, ' ', '') AS c, n_name AS configured, rtrim(rtrim(name, '.')) AS stem FROM s, nation)
+  SELECT row_pos, configured FROM c WHERE v = c OR (length(c) >= 2 AND starts_with(v, c)) OR (length(v) >= 3 AND length(c) > length(v) AND starts_with(c, v))
+    OR (length(stem) >= 4 AND length(stem) < length(configured) AND (starts_with(configured, stem) OR starts_with(c, replace(stem, ' ', ''))))""")
+def match_names(spark, sf):
+    return names.match_names(_visible(spark, sf), _configured(spark, sf), rule="plain").select("row_pos", "configured")
+
+
+@query()
+def match_titles(spark, sf):
+    return names.match_names(_visible(spark, sf), _configured(spark, sf), rule="titles").select("row_pos", "configured")
+
+
+@query(f"""WITH {_VISIBLE_SQL} SELECT row_pos, n_name AS configured FROM s, nation WHERE lower(name) = lower(n_name)
+  OR (length(rtrim(rtrim(name, '.'))) >= 4 AND length(rtrim(rtrim(name, '.'))) < length(n_name) AND starts_with(lower(n_name), lower(rtrim(rtrim(name, '.')))))""")
+def match_names_strict(spark, sf):
+    return names.match_names(_visible(spark, sf), _configured(spark, sf), rule="strict").select("row_pos", "configured")
+
+
+@query()
+def resolve_chats(spark, sf):
+    found, missing = names.resolve_chats(_visible(spark, sf), _configured(spark, sf))
+    return found.select("scan_id", "configured", "row_pos").unionByName(missing.select("scan_id", "configured", F.lit(-1).alias("row_pos")))
+
+
+@query()
+def allowed_rows(spark, sf):
+    return names.allowed_rows(_visible(spark, sf), _configured(spark, sf).filter("position < 5")).select("row_pos", "name")
+
+
+# --- recognised lines ----------------------------------------------------------------------------------------------
+
+
+def _boxes(spark, sf) -> DataFrame:
+    e = events(spark, sf)
+    y = F.col("msg_index") * 20 + F.col("event_id") % 13
+    return e.select(
+        F.col("source_path").alias("image_id"), F.col("msg_index").alias("line_pos"), F.col("content").alias("text"), (F.col("event_id") % 50).cast("int").alias("x1"), y.cast("int").alias("y1"),
+        (F.col("event_id") % 50 + 40).cast("int").alias("x2"), (y + 10).cast("int").alias("y2"), F.lit(1.0).alias("conf"),
+    )
+
+
+_BOX_SQL = f"{E_SQL}, b AS (SELECT source_path AS image_id, msg_index AS line_pos, content AS text, event_id % 50 AS x1, msg_index * 20 + event_id % 13 AS y1, event_id % 50 + 40 AS x2, msg_index * 20 + event_id % 13 + 10 AS y2 FROM e)"
+
+
+@query(f"""WITH {_BOX_SQL}, n AS (SELECT *, CASE WHEN y1 <= lag(y2) OVER w + 8 THEN 0 ELSE 1 END AS new FROM b WINDOW w AS (PARTITION BY image_id ORDER BY (y1 + y2) // 2, line_pos)),
+  g AS (SELECT *, sum(new) OVER (PARTITION BY image_id ORDER BY (y1 + y2) // 2, line_pos) AS row_pos FROM n)
+  SELECT image_id, row_pos, arg_min(text, ((y1 + y2) // 2) * 1000000 + line_pos) AS text, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM g GROUP BY 1, 2""")
+def merge_ocr_rows(spark, sf):
+    return ocr.merge_ocr_rows(_boxes(spark, sf)).drop("conf")
+
+
+@query(f"""WITH {_BOX_SQL}, t AS (SELECT image_id, line_pos AS thread_pos, text AS name, y1 + 7 AS thread_y FROM b WHERE line_pos % 9 = 0),
+  p AS (SELECT b.image_id, line_pos, thread_pos, row_number() OVER (PARTITION BY b.image_id, line_pos ORDER BY CASE WHEN name = text THEN 0 ELSE 1 END, CASE WHEN name = text THEN 0 ELSE abs(y1 - thread_y) END, CASE WHEN name = text THEN -thread_pos ELSE thread_pos END) AS n
+    FROM b JOIN t USING (image_id)) SELECT image_id, line_pos, thread_pos FROM p WHERE n = 1""")
+def nearest_row(spark, sf):
+    b = _boxes(spark, sf)
+    threads = b.filter("line_pos % 9 = 0").select("image_id", F.col("line_pos").alias("thread_pos"), F.col("text").alias("name"), (F.col("y1") + 7).alias("thread_y"))
+    return ocr.nearest_row(b.select("image_id", "line_pos", "text", F.col("y1").alias("y")), threads).select("image_id", "line_pos", "thread_pos")
+
+
+@query("SELECT 'i' || event_id AS image_id, event_type AS text, (event_id % 100)::INT AS x1, (event_id % 80)::INT AS y1, (event_id % 100 + 30)::INT AS x2, (event_id % 80 + 12)::INT AS y2 FROM events")
+def parse_ocr_text(spark, sf):
+    i = F.col("event_id")
+    s = lambda c: c.cast("string")
+    points = F.concat(F.lit("("), s(i % 100), F.lit(","), s(i % 80), F.lit("),("), s(i % 100 + 30), F.lit(","), s(i % 80 + 12), F.lit(")"))
+    text = F.when(i % 2 == 0, F.concat(F.lit("<ref>"), "event_type", F.lit("</ref><quad>"), points, F.lit("</quad>"))).otherwise(F.concat("event_type", F.lit(" "), points))
+    answers = table(spark, sf, "events").select(F.concat(F.lit("i"), s(i)).alias("image_id"), text.alias("text"), F.lit(300).alias("width"), F.lit(200).alias("height"))
+    return ocr.parse_ocr_text(answers).select("image_id", "text", "x1", "y1", "x2", "y2")
+
+
+@query()
+def best_text_match(spark, sf):
+    b = _boxes(spark, sf)
+    targets = b.select("image_id").distinct().select("image_id", F.explode(F.array(F.lit("purchas"), F.lit("clicks"))).alias("target"))
+    return ocr.best_text_match(b, targets)
+
+
+@query()
+def pick_titles(spark, sf):
+    d = table(spark, sf, "documents")
+    lines = d.select(F.col("doc_id").alias("image_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "[.\n]")).alias("pos", "text"))
+    return ocr.pick_title(lines.select("image_id", F.floor(F.col("pos") / 2).alias("band"), "pos", "text", F.lit("").alias("hint")))
+
+
+@query(f"SELECT event_id AS scan_id, {picked_sql(['Alice', 'Bob'], 'event_id')} AS name, CASE WHEN event_id % 2 = 0 THEN coalesce(nullif(trim({picked_sql(['3', ' ', '12'], 'event_id')}), ''), '1') END AS badge_text, event_id % 3 = 0 AS is_group FROM events")
+def parse_threads(spark, sf):
+    i = F.col("event_id")
+    t = F.struct(picked(["Alice", "Bob"], i).alias("name"), (i % 1000).alias("y"), (i % 3 == 0).alias("is_group"), (i % 2 == 0).alias("unread"), picked(["3", " ", "12"], i).alias("unread_badge"))
+    chrome = F.struct(F.lit("公众号").alias("name"), F.lit(1).cast("bigint").alias("y"), F.lit(False).alias("is_group"), F.lit(True).alias("unread"), F.lit("5").alias("unread_badge"))
+    both = F.array(chrome, t)
+    text = F.when(i % 2 == 0, F.to_json(both)).otherwise(F.concat(F.lit("```json\n"), F.to_json(F.struct(both.alias("threads"))), F.lit("\n```")))
+    rows = table(spark, sf, "events").select(i.alias("scan_id"), text.alias("response_text"))
+    return src.parse_thread_list(rows).select("scan_id", "name", "badge_text", "is_group")
+
+
+# --- exports and reports -------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {M_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY msg_index) AS n FROM m)
+  SELECT source_path, '# ' || chat_name || chr(10) || 'exported now, ' || count(*) || ' messages' || chr(10) || chr(10) || string_agg('- **' || sender || '**' || CASE WHEN type <> 'text' THEN ' *[' || type || ']*' ELSE '' END || ': ' || content, chr(10) ORDER BY msg_index) AS value
+  FROM n WHERE n <= 500 GROUP BY source_path, chat_name""")
+def export_lines(spark, sf):
+    return sinks.transcripts(conversations(spark, sf), "now")
+
+
+@query(f"""WITH {E_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY msg_index) AS n FROM e)
+  SELECT source_path, chat_name || chr(10) || 'exported now, ' || count(*) || ' messages' || chr(10) || chr(10) || string_agg(coalesce('[' || time || '] ', '') || sender || ': ' || content, chr(10) ORDER BY msg_index) AS value
+  FROM n WHERE n <= 20 GROUP BY source_path, chat_name""")
+def export_text(spark, sf):
+    return sinks.transcripts(_messages(events(spark, sf)), "now", limit=20, markdown=False)
+
+
+@query(f"WITH {E_SQL} SELECT chat_name, '## ' || chat_name || chr(10) || string_agg('- ' || coalesce(time, '时间未知') || ' | ' || sender || ': ' || content, chr(10) ORDER BY msg_index) AS block FROM e GROUP BY 1")
+def report_blocks(spark, sf):
+    return report.report_blocks(events(spark, sf)).select("chat_name", "block")
+
+
+@query()
+def report_prompt(spark, sf):
+    return report.report_prompt(conversations(spark, sf))
+
+
+@query(f"WITH {M_SQL} SELECT source_path, chat_name AS file_key, count(*) AS n FROM m GROUP BY 1, 2")
+def chat_arrays(spark, sf):
+    a = sinks.chat_arrays(conversations(spark, sf))
+    return a.select("source_path", "file_key", F.size(F.from_json("value", "array<struct<content:string>>")).cast("long").alias("n"))
+
+
+@query(f"WITH {M_SQL} SELECT source_path, msg_index, sender, content, type FROM m")
+def envelope_round_trip(spark, sf):
+    """Envelopes read back give the messages again."""
+    e = sinks.chat_envelopes(conversations(spark, sf), "2024-01-31T00:00:00", {"device": "d", "messages": "never"})
+    kind = "struct<message_count:int,messages:array<struct<sender:string,content:string,type:string>>>"
+    rows = e.select("source_path", F.posexplode(F.from_json("value", kind)["messages"]).alias("msg_index", "m"))
+    return rows.select("source_path", "msg_index", "m.sender", "m.content", "m.type")
+
+
+# --- streams -------------------------------------------------------------------------------------------------------
+
+
+def _scratch(spark) -> str:
+    from confab.streaming.scratch import scratch
+
+    return f"{scratch(spark)}/confab-{uuid.uuid4().hex}"
+
+
+@query()
+def stream_lookback(spark, sf):
+    """The lookback over all events as a stream of files; state is kept by user."""
+    from confab.streaming import jobs
+
+    base = _scratch(spark)
+    _messages(events(spark, sf)).repartition("source_path").sortWithinPartitions("source_path", "msg_index").write.parquet(f"{base}/in")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = jobs.dedup_lookback_stream(jobs.new_messages(spark, f"{base}/in"))
+        out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.parquet(f"{base}/out")
+
+
+@query(f"WITH {E_SQL} SELECT DISTINCT source_path, sender, content FROM e")
+def stream_dedup_exact(spark, sf):
+    """Exact deduplication within a watermark that covers the whole table equals the batch form."""
+    from confab.streaming import jobs
+
+    base = _scratch(spark)
+    rows = events(spark, sf).withColumns({"time": F.lit(None).cast("string"), "at": F.col("ts").cast("timestamp")})
+    rows.drop("event_id", "ts").write.parquet(f"{base}/in")
+    stream = jobs.new_messages(spark, f"{base}/in", "source_path string, msg_index int, chat_name string, sender string, time string, content string, type string, at timestamp")
+    out = jobs.dedup_exact_stream(stream, "at", "3650 days")
+    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("source_path", "sender", "content")
+
+
+@query(_EXTRACTED)
+def stream_ingest(spark, sf):
+    """Responses as a stream of files, extracted batch by batch."""
+    from confab.streaming import jobs
+
+    base = _scratch(spark)
+    responses(spark, sf).repartition("chat_name").write.parquet(f"{base}/in")
+    q = jobs.ingest_stream(spark, f"{base}/in", f"{base}/state", lambda r: extract.extract_chat(r, now()), f"{base}/messages", f"{base}/outcomes", files_per_batch=10_000)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/messages").select("source_path", "msg_index", "sender", "content", "type")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ask_topk(spark, sf_dir)
