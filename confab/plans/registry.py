@@ -721,5 +721,14 @@ def stream_ingest(spark, sf):
     return spark.read.parquet(f"{base}/messages").select("source_path", "msg_index", "sender", "content", "type")
 
 
+#: Columns that Spark returns as int and DuckDB would return wider.
+_INTS = {
+    "history_page": ["position"], "history_newest": ["position"], "top_senders": ["rank"], "context_windows": ["n"], "tokenize_documents": ["n_tokens", "n_distinct"],
+    "match_names": ["row_pos"], "match_names_strict": ["row_pos"], "merge_ocr_rows": ["row_pos", "x1", "y1", "x2", "y2"],
+}
+for _name, _columns in _INTS.items():
+    ORACLE_SQL[_name] = f"SELECT * REPLACE ({', '.join(f'{c}::INT AS {c}' for c in _columns)}) FROM ({ORACLE_SQL[_name]})"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ask_topk(spark, sf_dir)
