@@ -4,11 +4,13 @@ A document's set are its distinct five-word shingles. Each set is sketched by mi
 branch the documents: a document goes to the child named by one of its minwise tokens, and documents meet in a child
 when they choose the same token. Nodes of few documents are compared exhaustively on their sketches; larger ones branch
 again, into two children for each document on the second level, so similar documents keep meeting while documents that
-share no more than a common passage part. Nodes that are still large at the last level hold many copies of the same
-text: there each document is compared with the node's leaders and with a chunk of about CHUNK others, which is linear in the node.
+share no more than a common passage part. In nodes that are still large after LEVELS, each document is compared with the
+node's leader and with a chunk of about CHUNK others, which is linear in the node.
 
 Candidates are then confirmed on full sets, best ones first; pairs that are already known to be in one component
-need no confirmation. Components are found by spreading the smallest label with pointer jumping. Documents
+need no confirmation. Large nodes in which no component prevails branch on. In the others, which hold copies of one text,
+every document outside the prevailing component is compared with all of it, block by block, so none at its fringe is
+lost. Components are found by spreading the smallest label with pointer jumping. Documents
 with the same set are one node of all this, so exact copies cost nothing. Two documents of similarity 0.75 share a level-1 token
 in one tree with probability 0.75; the chance that all trees miss is 0.25 ** TREES, below 1e-7.
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +35,10 @@ from confab.llm.common import drop_rows, pick_rows, store, with_row_id
 WORDS, PERCENT = 5, 75
 #: Trees, minwise hashes in a sketch, documents of a node that is compared exhaustively, levels.
 TREES, SKETCH, SMALL, LEVELS = 12, 64, 64, 3
-#: Documents of a large last node that are compared with each other.
+#: Documents of a large node that are compared with each other.
 CHUNK = 96
+#: A large node in which one component has this share is not branched on; others are, down to this level.
+PREVAILS, MOST_LEVELS = 0.3, 8
 #: Sketches must agree in so many places for a pair to be confirmed: 0.5, over four deviations below 0.75.
 AGREE = SKETCH // 2
 KEPT_WORDS = 1_000_000
@@ -58,8 +63,9 @@ _SEEDS = mix(np.arange(1001, 1001 + SKETCH, dtype=np.uint64)) | np.uint64(1)
 class Words:
     """64-bit numbers of lower-cased words, with a bounded table of those seen."""
 
-    def __init__(self):
+    def __init__(self, kept: int = KEPT_WORDS):
         self.known: dict[bytes, int] = {}
+        self.kept = kept
 
     def of(self, text: bytes) -> np.ndarray:
         import xxhash
@@ -68,7 +74,7 @@ class Words:
         try:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         except KeyError:
-            if len(known) > KEPT_WORDS:
+            if len(known) > self.kept:
                 known.clear()
             for w in {*words}.difference(known):
                 known[w] = xxhash.xxh3_64_intdigest(w)
@@ -217,32 +223,116 @@ def _pair_batch(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree.astype(np.int32))], names=["a", "b", "agree"])
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Pairs ``(a, b, agree)``, a < b, of ``(rid, sketch)`` that meet in a node and whose sketches agree enough."""
-    found = []
-    rows = _roots(reps)
-    for level in range(1, LEVELS + 1):
-        rows = store(rows, f"paths{level}")
-        counts = store(rows.groupBy("path").agg(F.count("*").alias("c")).filter("c > 1"), f"counts{level}")
-        small = rows.join(counts.filter(F.col("c") <= SMALL), "path").join(reps, "rid").select("path", "rid", "sketch")
-        found.append(_compare(small.repartition("path").sortWithinPartitions("path", "rid")))
-        large = rows.join(counts.filter(F.col("c") > SMALL), "path").join(reps, "rid").select("path", "rid", "sketch", "c")
-        if level < LEVELS:
-            rows = _branch(large, level, 2 if level == 1 else 1)
-            continue
-        large = store(large, "large")
-        chunk = F.pmod(F.xxhash64("path", "rid"), F.ceil(F.col("c") / CHUNK))
-        chunks = large.select(F.xxhash64("path", chunk, F.lit(1)).alias("path"), "rid", "sketch")
-        found.append(_compare(chunks.repartition("path").sortWithinPartitions("path", "rid"), best=2))
-        leaders = store(large.groupBy("path").agg(F.min("rid").alias("leader")), "leaders")
-        led = large.join(leaders, "path").filter("rid != leader").select(F.least("leader", "rid").alias("a"), F.greatest("leader", "rid").alias("b"), F.lit(AGREE).alias("agree"))
-        found.append(led)
+def _nodes(rows: DataFrame, reps: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of stored ``(path, rid)``: the pairs within small nodes, and the large nodes' ``(path, rid, sketch, c)``."""
+    counts = store(rows.groupBy("path").agg(F.count("*").alias("c")).filter("c > 1"), f"counts{name}")
+    small = rows.join(counts.filter(F.col("c") <= SMALL), "path").join(reps, "rid").select("path", "rid", "sketch")
+    large = rows.join(counts.filter(F.col("c") > SMALL), "path").join(reps, "rid").select("path", "rid", "sketch", "c")
+    return _compare(small.repartition("path").sortWithinPartitions("path", "rid")), large
+
+
+def _all_pairs(found: list[DataFrame]) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b, agree)``, a < b, of ``(rid, sketch)`` that meet in a node and whose sketches agree enough; and the last level's large nodes."""
+    found, rows = [], _roots(reps)
+    for level in range(1, LEVELS + 1):
+        pairs, large = _nodes(store(rows, f"paths{level}"), reps, str(level))
+        found.append(pairs)
+        if level < LEVELS:
+            rows = _branch(large, level, 2 if level == 1 else 1)
+    large = store(large, "large")
+    chunk = F.pmod(F.xxhash64("path", "rid"), F.ceil(F.col("c") / CHUNK))
+    chunks = large.select(F.xxhash64("path", chunk, F.lit(1)).alias("path"), "rid", "sketch")
+    found.append(_compare(chunks.repartition("path").sortWithinPartitions("path", "rid"), best=2))
+    leaders = store(large.groupBy("path").agg(F.min("rid").alias("leader")), "leaders")
+    found.append(large.join(leaders, "path").filter("rid != leader").select(F.least("leader", "rid").alias("a"), F.greatest("leader", "rid").alias("b"), F.lit(AGREE).alias("agree")))
+    return _all_pairs(found), large
+
+
+def _main_labels(nodes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` (path, rid) with each row's ``label``, and for each path its rows ``t``, its most frequent label ``main`` and that one's rows ``m``."""
+    named = store(nodes.join(labels.select(F.col("v").alias("rid"), F.col("c").alias("label")), "rid", "left").withColumn("label", F.coalesce("label", "rid")), "named")
+    per = named.groupBy("path", "label").agg(F.count("*").alias("n")).groupBy("path").agg(F.sum("n").alias("t"), F.max("n").alias("m"), F.max_by("label", F.struct("n", "label")).alias("main"))
+    return named, store(per, "main")
+
+
+def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (v, c) after more links: components of the graph whose vertices are the components so far, which is small."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    known = store(labels.unionByName(ends.join(labels, "v", "left_anti").select("v", F.col("v").alias("c"))), "known")
+    of = lambda side: known.select(F.col("v").alias(side), F.col("c").alias(f"c{side}"))
+    between = store(links.join(of("a"), "a").join(of("b"), "b").filter("ca != cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "between")
+    if not between.limit(1).count():
+        return known
+    joined = components(between).select(F.col("v").alias("c"), F.col("c").alias("root"))
+    return store(known.join(joined, "c", "left").select("v", F.coalesce("root", "c").alias("c")), "joined")
+
+
+def settled(large: DataFrame, labels: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Large nodes in which one component prevails, as ``(path, rid)``, and the pairs that the others give when they branch on."""
+    dense, found = [], [reps.sparkSession.createDataFrame([], "a long, b long, agree int")]
+    for level in range(LEVELS, MOST_LEVELS + 1):
+        _, per = _main_labels(large.select("path", "rid"), labels)
+        prevails = (F.col("m") >= PREVAILS * F.col("t")) | F.lit(level == MOST_LEVELS)
+        dense.append(large.join(per.filter(prevails), "path", "left_semi").select("path", "rid"))
+        sparse = per.filter(~prevails)
+        if not sparse.limit(1).count():
+            break
+        rows = store(_branch(large.join(sparse, "path", "left_semi"), level, 1), f"sparse{level}")
+        pairs, large = _nodes(rows, reps, f"sparse{level}")
+        large = store(large, f"sparse_large{level}")
+        found.append(pairs)
+    out = dense[0]
+    for more in dense[1:]:
+        out = out.unionByName(more)
+    return store(out, "dense"), store(_all_pairs(found), "sparse_pairs")
+
+
+def fringe_links(dense: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links on full sets between what is left over in dense nodes and all of the component that prevails there, and among what is left over.
+
+    This is the exact end of the search: members and left-over rows are dealt to blocks of CHUNK, and each pair of blocks is one group's work."""
+    named, per = _main_labels(dense, labels)
+    rest = store(named.join(per, "path").filter("label != main").select("main", "rid", "label").distinct(), "fringe")
+    mains = rest.groupBy("main").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("nr"))
+    of_main = labels.select(F.col("c").alias("main"), F.col("v").alias("rid"), F.col("c").alias("label"))
+    itself = mains.select("main", F.col("main").alias("rid"), F.col("main").alias("label"))
+    members = store(of_main.join(mains.select("main"), "main", "left_semi").unionByName(rest).unionByName(itself).distinct(), "members")
+    sizes = store(members.groupBy("main").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("nm")).join(mains, "main"), "blocks")
+    block = lambda n: F.pmod(F.xxhash64("rid"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rest.join(sizes, "main").withColumn("rb", block(F.col("nr"))).withColumn("mb", every("nm"))
+    right = members.join(sizes, "main").withColumn("mb", block(F.col("nm"))).withColumn("rb", every("nr"))
+    keys = ["main", "mb", "rb"]
+    with_text = lambda df, p: df.join(texts, "rid").select(*[F.col(k).alias(f"{p}{k}") for k in keys], F.col("rid").alias(f"{p}rid"), F.col("label").alias(f"{p}label"), F.col("text").alias(f"{p}text"))
+
+    def compare(rest: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rest) and len(members):
+            words = Words()
+            sets = [shingles(words.of(t.encode())) for t in members.m_text]
+            sizes = np.array([len(s) for s in sets])
+            flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            labels, rids = members.m_label.to_numpy(), members.m_rid.to_numpy()
+            for r in rest.itertuples(index=False):
+                own = shingles(words.of(r.r_text.encode()))
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                both = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
+                hit = np.flatnonzero((labels != r.r_label) & (100 * both >= PERCENT * (len(own) + sizes - both)))
+                # one link to each component is enough
+                out += [(min(r.r_rid, rids[i]), max(r.r_rid, rids[i])) for i in hit[np.unique(labels[hit], return_index=True)[1]]]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    grouped = lambda df, p: with_text(df, p).groupBy(*[f"{p}{k}" for k in keys])
+    return grouped(left, "r_").cogroup(grouped(right, "m_")).applyInPandas(compare, "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of ``pairs`` (a, b), those whose full sets reach the similarity."""
 
@@ -287,19 +377,21 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     sketches = store(sketched(texts), "sketches")
     sets = store(sketches.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("rid").alias("rep")), "sets")
     reps = store(sketches.join(sets.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "sketch"), "reps")
-    pairs = store(candidates(reps), "pairs")
+    pairs, large = candidates(reps)
+    pairs = store(pairs, "pairs")
 
     ends = pairs.select(F.col("a").alias("v"), F.struct(F.col("agree"), (-F.col("b")).alias("o")).alias("p")).unionByName(
         pairs.select(F.col("b").alias("v"), F.struct(F.col("agree"), (-F.col("a")).alias("o")).alias("p"))
     )
     top = ends.groupBy("v").agg(F.max("p").alias("p")).select(F.least("v", -F.col("p.o")).alias("a"), F.greatest("v", -F.col("p.o")).alias("b")).distinct()
     some = store(pick_rows(texts, ends.select(F.col("v").alias("rid")), "left_semi"), "texts")
-    links = store(confirmed(store(top, "top"), some), "links1")
-    labels = components(links)
+    labels = components(store(confirmed(store(top, "top"), some), "links1"))
+    dense, more = settled(large, labels, reps)
+    pairs = pairs.unionByName(more)
     of = lambda side: labels.select(F.col("v").alias(side), F.col("c").alias(f"c{side}"))
     open_pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = store(confirmed(store(open_pairs, "open"), some), "links2")
-    labels = components(links.unionByName(more))
+    labels = with_links(labels, store(confirmed(store(open_pairs.distinct(), "open"), some), "links2"))
+    labels = with_links(labels, store(fringe_links(dense, labels, some), "links3"))
 
     named = sketches.filter("n_shingles > 0").select("rid", "s1", "s2", "n_shingles").join(sets, ["s1", "s2", "n_shingles"])
     placed = named.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("rid", F.coalesce("c", "rep").alias("c"))
