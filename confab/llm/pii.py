@@ -1,13 +1,18 @@
 """Format-preserving pseudonyms for personal data, with DataFrame functions alone.
 
-Candidates are found by one pattern and then validated: payment cards by issuer range and Luhn digit, IBANs by their
+Candidates are found by patterns and then validated: payment cards by issuer range and Luhn digit, IBANs by their
 remainder modulo 97, US social security numbers by their areas, IPv4 addresses by their octets, dates by the calendar.
+Cards and IBANs are looked for from every start of a group of digits, with every length that ends with a group, so numbers and
+words beside them (security codes, expiry dates, telephone numbers) do not hide them. E-mails, IBANs and cards in a usual
+layout are cut out of the text first, then other cards, and the remaining kinds are found in what is left.
 What passes is run through a keyed Feistel network within its own format, a permutation of all values of that format:
 equal values get equal pseudonyms in every document, different values get different ones, and lengths, separators,
 letter cases and check digits stay valid. What fails validation stays as it is.
 
-* cards: all digits but the first and the check digit are permuted, then the Luhn digit is set again.
-* IBANs: the account part is permuted, letters among letters, then the check digits are set again.
+* cards: all digits but the first and the check digit are permuted, then the Luhn digit is set again. Where spaces leave open how
+  far a card goes, a usual layout (one group, 4-4-4-4, 4-6-5, 4-6-4) is taken before any other, then the longest from the left.
+* IBANs: the account part is permuted, letters among letters, then the check digits are set again. A country of IBAN_LENGTHS
+  has its length alone; with other countries all lengths from 15 to 34 are tried, the longest first.
 * phone numbers (with ``+`` and country code, or as ``(ddd) ddd-dddd`` and ``ddd-ddd-dddd``): the digits after the country code.
 * e-mail addresses: letters, capitals and digits of the local part, each within its kind; the domain stays.
 * social security numbers: serial and group digits. IPv4 addresses: the 32-bit value.
@@ -26,7 +31,7 @@ ROUNDS = 8
 #: Days from 1900-01-01 within which dates are permuted: 250 * 292.
 DAYS = (250, 292)
 
-#: Each kind's pattern; the first that fits at a place is taken.
+#: Each kind's pattern. Cards and IBANs are found by CARD_WINDOW and IBAN_WINDOW; of the others the first that fits at a place is taken.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -36,7 +41,23 @@ KINDS = {
     "phone": r"(?<![A-Za-z0-9+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9.+-])\d(?:[ -]?\d){12,18}(?![A-Za-z0-9])",
 }
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+OTHERS = "|".join(f"(?:{KINDS[n]})" for n in ("date", "ssn", "ip", "phone"))
+
+#: What may not stand before a card (a hyphen may after a digit) and before an IBAN, and after both.
+BEFORE_CARD, BEFORE_IBAN, AFTER = r"(?<![A-Za-z0-9.+])(?<![^0-9]-)(?<!^-)", "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
+#: The longest text at each place from where a card or an IBAN may begin.
+CARD_WINDOW = BEFORE_CARD + r"(?=(\d(?:[ -]?\d){12,18}))"
+IBAN_WINDOW = BEFORE_IBAN + r"(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?))"
+USUAL_CARD = r"^(?:\d+|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$"
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 
 
 def _hash(key: str, part: Column, i: Column) -> Column:
@@ -111,6 +132,47 @@ def _remainder97(text: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda s, c: F.when(c.between("0", "9"), s * 10 + digit(c)).otherwise(s * 100 + digit(c)) % 97)
 
 
+def _valid_card(digits: Column) -> Column:
+    issuer = digits.rlike(r"^(?:4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[4-9]|6(?:011|4[4-9]|5|2))") & F.char_length(digits).between(13, 19)
+    return issuer & (_luhn(digits) % 10 == 0)
+
+
+def _cards(text: Column) -> Column:
+    """All valid cards from any group of digits to the end of any other, as they are written."""
+    subs = lambda w: F.array(*(F.regexp_extract(w, rf"^\d(?:[ -]?\d){{{n - 1}}}(?!\d)", 0) for n in range(19, 12, -1)))
+    return F.filter(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(CARD_WINDOW), F.lit(1)), subs))), lambda c: _valid_card(_digits(c)))
+
+
+def _ibans(text: Column) -> Column:
+    """All valid IBANs of their country's length, as they are written."""
+    lengths = F.create_map(*(F.lit(x) for c, n in IBAN_LENGTHS.items() for x in (c, n)))
+
+    def subs(w):
+        known = F.try_element_at(lengths, F.substring(w, 1, 2))
+        of = F.when(known.isNotNull(), F.array(known)).otherwise(F.sequence(F.lit(34), F.lit(15), F.lit(-1)))
+        return F.transform(of, lambda n: F.coalesce(F.regexp_substr(w, F.concat(F.lit("^(?: ?[A-Z0-9]){"), n.cast("string"), F.lit("}(?![A-Z0-9])"))), F.lit("")))
+
+    found = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(IBAN_WINDOW), F.lit(1)), subs)))
+    return F.filter(found, lambda x: (x != "") & (_remainder97(F.regexp_replace(x, " ", "")) == 1))
+
+
+def _any_of(before: str, values: Column) -> Column:
+    """A pattern for any of ``values``, the longest first; of no value, one that never fits."""
+    longest = F.transform(F.sort_array(F.transform(values, lambda v: F.struct((-F.char_length(v)).alias("n"), v.alias("v")))), lambda x: x["v"])
+    return F.when(F.size(values) > 0, F.concat(F.lit(f"{before}(?:"), F.array_join(longest, "|"), F.lit(f"){AFTER}"))).otherwise(F.lit("(?!)"))
+
+
+def _cut(segments: Column, pattern: Column) -> Column:
+    """Segments ``(s, found)``: those not found yet are cut at the matches of ``pattern``."""
+    mark = lambda found: lambda s: F.struct(s.alias("s"), F.lit(found).alias("found"))
+
+    def cut(x):
+        parts, found = F.transform(F.split(x["s"], pattern, -1), mark(False)), F.transform(F.regexp_extract_all(x["s"], pattern, F.lit(0)), mark(True))
+        return F.when(x["found"], F.array(x)).otherwise(F.flatten(F.zip_with(parts, found, lambda p, f: F.when(f.isNull(), F.array(p)).otherwise(F.array(p, f)))))
+
+    return F.flatten(F.transform(segments, cut))
+
+
 def pseudonym(key: str, found: Column) -> Column:
     """The pseudonym of one candidate; the candidate itself where validation fails."""
     at = lambda *names: f"^(?:{'|'.join(f'(?:{KINDS[n]})' for n in names)})$"
@@ -128,7 +190,6 @@ def pseudonym(key: str, found: Column) -> Column:
 
     body = F.concat(F.substring(digits, 1, 1), permute_text(key + "c", F.substring(digits, F.lit(2), n - 2)))
     card = _refill(found, F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")))
-    issuer = digits.rlike(r"^(?:4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[4-9]|6(?:011|4[4-9]|5|2))") & n.between(13, 19)
 
     code = F.char_length(_digits(F.regexp_extract(found, r"^\+(\d{1,3})[ .(-]", 1)))
     phone = _refill(found, F.concat(F.substring(digits, F.lit(1), code), permute_text(key + "p", F.substring(digits, code + 1, n))))
@@ -160,18 +221,23 @@ def pseudonym(key: str, found: Column) -> Column:
         .when(found.rlike(at("ssn")), F.when(valid_ssn, ssn).otherwise(found))
         .when(found.rlike(at("ip")), F.when(valid_ip, ip).otherwise(found))
         .when(found.rlike(at("phone")), phone)
-        .when(found.rlike(at("card")), F.when(issuer & (_luhn(digits) % 10 == 0), card).otherwise(found))
+        .when(found.rlike(at("card")), F.when(_valid_card(digits), card).otherwise(found))
         .otherwise(found)
     )
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = "confab", found: str | None = None) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; with ``found``, a column of that name has the number of values replaced."""
-    hits = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
-    out = docs.withColumn("__found", hits).withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda x: pseudonym(key, x))))
-    parts = F.split(F.col(text), PATTERN, -1)
-    new = F.array_join(F.zip_with(parts, F.concat("__new", F.array(F.lit(""))), lambda p, m: F.concat(p, m)), "")
+    usual = lambda wanted: F.filter("__cards", lambda c: c.rlike(USUAL_CARD) == wanted)
+    out = docs.withColumns({"__cards": _cards(F.col(text)), "__ibans": _ibans(F.col(text))})
+    first = F.concat_ws("|", F.lit(f"(?:{KINDS['email']})"), _any_of(BEFORE_IBAN, F.col("__ibans")), _any_of(BEFORE_CARD, usual(True)))
+    out = out.withColumns({"__first": first, "__second": _any_of(BEFORE_CARD, usual(False))})
+    whole = F.array(F.struct(F.col(text).alias("s"), F.lit(False).alias("found")))
+    out = out.withColumn("__segments", _cut(whole, F.col("__first")))
+    out = out.withColumn("__segments", F.when(F.col("__second") == "(?!)", F.col("__segments")).otherwise(_cut(F.col("__segments"), F.col("__second"))))
+    out = out.withColumn("__segments", _cut(F.col("__segments"), F.lit(OTHERS)))
+    out = out.withColumn("__new", F.when(F.size("__segments") > 1, F.transform("__segments", lambda x: F.when(x["found"], pseudonym(key, x["s"])).otherwise(x["s"]))))
     if found:
-        changed = F.size(F.filter(F.zip_with("__found", "__new", lambda x, y: x != y), lambda x: x))
-        out = out.withColumn(found, F.when(F.size("__found") > 0, changed).otherwise(0))
-    return out.withColumn(text, F.when(F.size("__found") > 0, new).otherwise(F.col(text))).drop("__found", "__new")
+        changed = F.size(F.filter(F.zip_with("__segments", "__new", lambda x, y: x["s"] != y), lambda x: x))
+        out = out.withColumn(found, F.when(F.size("__segments") > 1, changed).otherwise(0))
+    return out.withColumn(text, F.when(F.size("__segments") > 1, F.array_join("__new", "")).otherwise(F.col(text))).drop("__cards", "__ibans", "__first", "__second", "__segments", "__new")

@@ -133,6 +133,31 @@ def test_what_stays(spark):
     assert empty.columns == table(spark, ["x"]).columns and empty.count() == 0
 
 
+def test_cards_and_ibans_beside_numbers_and_words(spark):
+    card, iban = "4539 1488 0343 6467", "BE68 5390 0754 7034"
+    around = [
+        ("", " 123"), ("", " 12/27"), ("no 12 ", ""), ("", " 12/27 123"), ("40 ", " 7"), ("12-", "-123"), ("", " 4222 2222"), ("tel ", ", 999"), ("8007 782 ", " 1"),
+    ]
+    alone = pseudonyms(spark, card)[0][0]
+    assert alone != card and luhn(alone.replace(" ", ""))
+    assert pseudonyms(spark, *(a + card + b for a, b in around)) == [(a + alone + b, 1) for a, b in around]
+    # neighbours by which the whole run passes the issuer and Luhn tests
+    hidden = [f"40{i} {card}" for i in range(10)] + [f"{card} {i}23" for i in range(10)]
+    assert sum(luhn(x.replace(" ", "")) for x in hidden) == 2
+    assert pseudonyms(spark, *hidden) == [(x.replace(card, alone), 1) for x in hidden]
+    for text in (f"{card} 2027-12-31", f"+49 30 1234 5678 {card}", f"{card} {card}", f"{iban} {card}", f"1234 345-678-9012, {card}", f"1234 345-678-9012 {card}"):
+        (new, n), = pseudonyms(spark, text)
+        assert n == 2 and alone in new and not any(x in new for x in (card, iban, "2027-12-31", "1234 5678", "678-9012"))
+    odd = "453914 88034 36467"
+    (new, n), = pseudonyms(spark, f"{odd} 12")
+    assert n == 1 and new.endswith(" 12") and new.replace(" ", "")[:16] == alone.replace(" ", "")
+    alone = pseudonyms(spark, iban)[0][0]
+    assert alone != iban
+    ends = ["", " EUR", " BIC", " EURO", " 12", " PLEASE PAY", "."]
+    assert pseudonyms(spark, *(iban + x for x in ends)) == [(alone + x, 1) for x in ends]
+    assert pseudonyms(spark, *(iban.replace(" ", "") + x for x in ends)) == [(alone.replace(" ", "") + x, 1) for x in ends]
+
+
 # --- 2 sharding ----------------------------------------------------------------------------------------------------
 
 
