@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from confab.functions import text as T
 
 CUT_LEN, REVERSE_LEN, LOOSE_LEN = 4, 3, 3
-#: Configured names up to this many are broadcast; longer lists are joined on the first characters of their keys.
+#: Configured names up to this many are broadcast; longer lists are joined on keys of which each matching pair shares one.
 BROADCAST_NAMES = 100_000
 
 
@@ -91,18 +91,62 @@ def combined_match(v: str = "v_", c: str = "c_") -> Column:
     return loose & (names_match_strict(v, c) | aligned(F.col(f"{v}align"), F.col(f"{c}align")))
 
 
+def _start(tag: str, c: Column, n: int, least: int = 0) -> Column:
+    return F.when(F.char_length(c) >= least, F.concat(F.lit(f"{tag}:"), F.substring(c, 1, n)))
+
+
+def _title_keys(title: Column, p: str) -> Column:
+    """Keys of titles alike. Equal ones share themselves. Of one within another, all trigrams are in the longer, so one chosen by hash is looked
+    up among all of the other's. Of a shorter core with ``m`` of its ``n`` characters in the longer, any ``n - m + 1`` characters hold one of those."""
+    x, core = F.lower(title), T.cjk_core(title)
+    n = F.char_length(core)
+    tagged = lambda tag, values: F.transform(values, lambda v: F.concat(F.lit(f"{tag}:"), v))
+    none = F.array().cast("array<string>")
+    grams = F.when(F.char_length(x) >= LOOSE_LEN, F.transform(F.sequence(F.lit(1), F.char_length(x) - LOOSE_LEN + 1), lambda i: F.substring(x, i, F.lit(LOOSE_LEN)))).otherwise(none)
+    one = F.transform(F.slice(F.sort_array(F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), 1, 1), lambda s: s["g"])
+    chars = F.when(n > 0, F.split(core, "")).otherwise(none)
+    needed = F.greatest(F.lit(3), F.ceil(n * 0.72)).cast("int")
+    some = F.when((n >= 2) & (needed <= n), F.slice(F.sort_array(chars, False), F.lit(1), F.greatest(n - needed + 1, F.lit(0)))).otherwise(none)
+    other = "c_" if p == "v_" else "v_"
+    keys = F.concat(F.array(F.concat(F.lit("=:"), x)), tagged(f"in {p}", one), tagged(f"in {other}", grams), tagged(f"of {p}", some), tagged(f"of {other}", chars))
+    return F.when(title != "", keys).otherwise(none)
+
+
+def candidate_keys(rule: str, p: str) -> Column:
+    """The distinct keys of a name, seen (``p = "v_"``) or configured (``"c_"``): any two that match by the rule share one."""
+    seen, col = p == "v_", lambda n: F.col(f"{p}{n}")
+    strict = (
+        [F.concat(F.lit("=:"), col("strict")), _start("cut", col("full_fold"), CUT_LEN, CUT_LEN)]
+        if seen
+        else [F.concat(F.lit("=:"), col("strict")), F.concat(F.lit("=:"), col("core_fold")), _start("cut", F.lower(col("full")), CUT_LEN, CUT_LEN), _start("cut", col("core_fold"), CUT_LEN, CUT_LEN)]
+    )
+    keys = {
+        "plain": F.array(
+            _start("compact", col("compact"), 2),
+            _start("stem", col("stem") if seen else col("label"), CUT_LEN, CUT_LEN),
+            _start("stem compact", T.compact_label(col("stem")) if seen else col("compact"), CUT_LEN, CUT_LEN),
+            _start("identity", col("stem_identity") if seen else col("identity"), CUT_LEN, CUT_LEN),
+        ),
+        "strict": F.array(*strict),
+        "titles": _title_keys(col("title"), p),
+        # each pair of the combined rule is strict or aligned
+        "combined": F.array(*strict, _start("align", col("align"), 3, 1)),
+    }[rule]
+    return F.array_compact(F.array_distinct(keys))
+
+
 def match_names(visible: DataFrame, configured: DataFrame, v_name: str = "name", c_name: str = "configured", rule: str = "combined") -> DataFrame:
     """All pairs of a visible row and a configured name that match by the rule: ``plain``, ``strict``, ``titles`` or ``combined``.
 
-    Short lists are broadcast, after their size was checked. Long ones are joined on the first two characters of the identity keys,
-    which every rule but the fuzzy part of ``titles`` leaves equal."""
+    Short lists are broadcast, after their size was checked. Long ones are joined on :func:`candidate_keys`, with the same result."""
     how = {"plain": names_match(), "strict": names_match_strict(), "titles": titles_match(F.col("v_title"), F.col("c_title")), "combined": combined_match()}[rule]
     left, right = with_keys(visible, v_name, "v_"), with_keys(configured, c_name, "c_")
     if configured.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
         joined = left.join(F.broadcast(right), how)
     else:
-        block = F.substring(F.col("v_identity"), 1, 2) == F.substring(F.col("c_identity"), 1, 2)
-        joined = left.join(right, block & how)
+        left, right = (rows.withColumn(f"{p}keys", candidate_keys(rule, p)).withColumn(f"{p}key", F.explode(f"{p}keys")) for rows, p in ((left, "v_"), (right, "c_")))
+        # a pair that shares several keys is taken at the first of them
+        joined = left.join(right, (F.col("v_key") == F.col("c_key")) & (F.col("v_key") == F.get(F.array_intersect("v_keys", "c_keys"), F.lit(0))) & how)
     return joined.select(*visible.columns, *configured.columns)
 
 

@@ -179,6 +179,20 @@ def test_names(spark):
     assert not hit("test-1", "test-2", "titles") and hit("test 2", "test-2", "titles") and not hit("bitter", "test-2", "titles")
 
 
+@pytest.mark.parametrize("rule", ["plain", "strict", "titles", "combined"])
+def test_long_lists_match_as_short_ones(spark, monkeypatch, rule):
+    rng = random.Random(4)
+    values = ["ALGERIA", "A!", "A!lpha", "x ALGERIA", "项目讨论组", "大项目讨论群", "Team12", "Team13", "abcd…", "abcdef", "ABCDEF", "😀 abcd", "...", "!", "", None, "ab", "a", "abc", "cab", "Group A-B_c", "group ab", "(3)abc"]
+    values += ["".join(rng.choices("abAB1 -!.…项目😀", k=rng.randrange(1, 9))) for _ in range(120)]
+    visible = spark.createDataFrame([(n,) for n in [*values, "x ALGERIA"]], "name string")
+    configured = spark.createDataFrame([(n,) for n in values], "configured string")
+    pairs = lambda: sorted((str(r.name), str(r.configured)) for r in names.match_names(visible, configured, rule=rule).collect())
+    short = pairs()
+    assert len(short) > len(values)
+    monkeypatch.setattr(names, "BROADCAST_NAMES", 0)
+    assert pairs() == short
+
+
 def test_resolve_chats(spark):
     rows = spark.createDataFrame([("s", 0, "Bob", None, False, False, 1), ("s", 1, "Alice", "3", False, False, 2), ("s", 2, "Alice", None, None, False, 3)], CHATROW)
     c = spark.createDataFrame([("Alice", 0), ("Nobody", 1)], "configured string, position int")
