@@ -442,6 +442,18 @@ def test_lm_without_training_and_empty(spark):
     assert lm.score(on_files(docs.limit(0)), F.lit(True)).count() == 0
 
 
+def test_contexts_are_words(spark):
+    """Far more contexts than any hash of few bits tells apart: each word of a chain follows one other word alone."""
+    words = [f"w{i}" for i in range(150_000)]
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    mixed = [" ".join(words[i : i + 2000 : 2]) for i in range(0, len(words), 2000)]
+    train = common.store(table(spark, texts * 3 + texts[:10] + mixed[:10]), "docs")
+    out = lm.score(train, F.col("doc_id") >= 450).toPandas().set_index("doc_id")
+    assert (out.train_tokens == 3 * (150_000 + 150)).all()
+    # seen three times, the next word is nearly sure; after a skipped word it is not
+    assert out.perplexity.loc[list(range(450, 460))].max() < 2 and out.perplexity.loc[list(range(460, 470))].min() > 1000
+
+
 def test_seating():
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 50, 5000, 7])
