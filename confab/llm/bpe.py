@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from confab.llm.common import texts_of
+
 #: Words and pairs that a worker keeps before it starts its tables anew (of chunks, a quarter).
 KEPT_CHUNKS = 1_000_000
 _NEVER = 1 << 60
@@ -237,12 +239,6 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
-    """The UTF-8 bytes of each row's text; null counts as empty."""
-    for x in batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()):
-        yield x.as_py() or b""
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the text's ids (array of int) in place of the text and, if asked for, the text that these decode to."""
     keep = [f for f in docs.schema if f.name not in (text, ids, decoded)]

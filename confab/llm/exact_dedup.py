@@ -61,13 +61,15 @@ def identities(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataF
     return meta.drop("n_blocks").join(done, "rid")
 
 
-def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256`` and ``rid``, the row's number.
+def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK, row: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256`` and ``rid``, the row's number (column ``row``, if it has one).
 
     Of equal texts (after white space is deleted), the row with the most code points in its original text stays, then
     the one with the smallest id.
     """
-    rows = with_row_id(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    own = [F.col(row).alias("rid")] if row else []
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *own)
+    rows = rows if row else with_row_id(rows)
     ids = rows.select("rid", "doc_id")
     known = store(identities(rows, "text", block).join(ids, "rid"), "identities")
     order = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("rid").alias("row"))
@@ -79,4 +81,5 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bl
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without the rows that :func:`exact_groups` does not keep; all columns stay. ``docs`` must be read from files."""
-    return drop_rows(docs, exact_groups(docs, text, doc_id).filter("not kept"))
+    rows = with_row_id(docs, "__row")
+    return drop_rows(rows, exact_groups(rows, text, doc_id, row="__row").filter("not kept"), "__row")

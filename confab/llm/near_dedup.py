@@ -2,21 +2,27 @@
 
 A document's set are its distinct five-word shingles. Each set is sketched by minwise hashes. Several independent trees
 branch the documents: a document goes to the child named by one of its minwise tokens, and documents meet in a child
-when they choose the same token. Nodes of few documents are compared exhaustively on their sketches; larger ones branch
-again, into two children for each document on the second level, so similar documents keep meeting while documents that
-share no more than a common passage part. In nodes that are still large after LEVELS, each document is compared with the
-node's leader and with a chunk of about CHUNK others, which is linear in the node.
-
-Candidates are then confirmed on full sets, best ones first; pairs that are already known to be in one component
-need no confirmation. Large nodes in which no component prevails branch on. In the others, which hold copies of one text,
-every document outside the prevailing component is compared with all of it, block by block, so none at its fringe is
-lost. Components are found by spreading the smallest label with pointer jumping. Documents
-with the same set are one node of all this, so exact copies cost nothing. Two documents of similarity 0.75 share a level-1 token
-in one tree with probability 0.75; the chance that all trees miss is 0.25 ** TREES, below 1e-7.
+when they choose the same token. Small nodes are compared exhaustively on their sketches. In large ones, first every document is compared
+with leaders: nodes are dealt to chunks, and a chunk's leader is the document that agrees most with its most frequent tokens. What
+these comparisons give is confirmed on full sets and joined to components.
+
+Then only those large nodes go on that still hold documents of several components. Where at most SMALL documents are outside of a node's main
+component, these are compared with all of it, chunk by chunk; that costs each document no more than a small node does. Other nodes branch,
+with two children for each document, and so on; what is left after LEVELS is compared in blocks, exhaustively.
+Copies of one text thus leave the trees early, while documents that share no more than a common passage part.
+
+All pairs whose sketches agree enough are confirmed on full sets, best ones first; pairs that are already known to be in one component
+need no confirmation. Components are found by spreading the smallest label with pointer jumping. Documents with the same set (the same
+number of shingles and the same 128-bit cryptographic digest of them all) are one node of all this, so exact copies cost nothing.
+
+Two documents of similarity 0.75 share a token of the first level with probability 0.75, and one of a node's two children
+with 0.94; with two children everywhere a tree misses such a pair with probability below 1/3, at whatever level it ends, and all TREES miss it with
+probability below 2e-6. More similar pairs are missed by far less.
 
 Edge cases: a text of fewer than five words is one shingle, its whole sequence of words; a null or empty text, or one of white space
-alone, has no shingles, is linked with nothing and is kept. Null ids come after all others in the choice of a component's
-smallest id. Of fully repeated rows one is kept. Other columns take no part. An empty table gives no rows.
+alone, has no shingles, is linked with nothing and is kept. Texts are read whole, however long, in pieces of bounded size. Null ids come after all
+others in the choice of a component's smallest id. Of fully repeated rows one is kept; ties do not arise, as components do not depend on order. Other columns
+take no part, and may have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,334 +35,367 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from confab.llm.bpe import texts_of
-from confab.llm.common import drop_rows, pick_rows, store, with_row_id
+from confab.llm.common import by_size, digest, drop_rows, kept, mix, pick_rows, scratch, store, with_row_id, word_numbers
 
 WORDS, PERCENT = 5, 75
-#: Trees, minwise hashes in a sketch, documents of a node that is compared exhaustively, levels.
-TREES, SKETCH, SMALL, LEVELS = 12, 64, 64, 3
-#: Documents of a large node that are compared with each other.
-CHUNK = 96
-#: A large node in which one component has this share is not branched on; others are, down to this level.
-PREVAILS, MOST_LEVELS = 0.3, 8
+#: Trees, minwise hashes in a sketch, most levels.
+TREES, SKETCH, LEVELS = 12, 64, 8
+#: Documents of a node that is compared exhaustively at once; documents outside of a node's main component with which the others are compared.
+TINY, SMALL = 64, 512
+#: Documents of a large node that are compared with one leader, and most leaders of them.
+CHUNK, LEADERS = 2048, 8
+#: Shingles of a block that is compared on full sets, about; near ones of a document in a block up to which they are confirmed pair by pair.
+BLOCK, FEW = 1_000_000, 8
 #: Sketches must agree in so many places for a pair to be confirmed: 0.5, over four deviations below 0.75.
 AGREE = SKETCH // 2
-KEPT_WORDS = 1_000_000
-
-_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_SHIFT = np.uint64(33)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """Spreads 64-bit numbers (a multiply-and-shift finaliser)."""
-    x = x ^ (x >> _SHIFT)
-    x = x * _M1
-    x = x ^ (x >> _SHIFT)
-    x = x * _M2
-    return x ^ (x >> _SHIFT)
-
 
 _FACTORS = mix(np.arange(1, 2 * WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 _SEEDS = mix(np.arange(1001, 1001 + SKETCH, dtype=np.uint64)) | np.uint64(1)
 
 
-class Words:
-    """64-bit numbers of lower-cased words, with a bounded table of those seen."""
-
-    def __init__(self, kept: int = KEPT_WORDS):
-        self.known: dict[bytes, int] = {}
-        self.kept = kept
-
-    def of(self, text: bytes) -> np.ndarray:
-        import xxhash
-
-        words, known = text.lower().split(), self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > self.kept:
-                known.clear()
-            for w in {*words}.difference(known):
-                known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def shingles(words: np.ndarray) -> np.ndarray:
-    """The sorted distinct shingles of a sequence of words, as 64-bit numbers."""
-    n = len(words)
-    if not n:
-        return words
-    if n < WORDS:
-        return mix(np.array([(words * _FACTORS[:n]).sum(dtype=np.uint64) + np.uint64(n)], np.uint64))
-    h = words[: n - WORDS + 1] * _FACTORS[0]
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text, as 64-bit numbers."""
+    words, counts = word_numbers(texts)
+    ends = np.cumsum(counts)
+    h = words[: max(0, len(words) - WORDS + 1)] * _FACTORS[0]
     for j in range(1, WORDS):
-        h = h + words[j : n - WORDS + 1 + j] * _FACTORS[j]
-    return np.unique(mix(h))
-
-
-def by_size(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of a batch, with the texts, of about ``most`` bytes."""
-    texts, at, size = [], 0, 0
-    for i, x in enumerate(texts_of(batch, column)):
-        texts.append(x)
-        size += len(x)
-        if size > most:
-            yield batch.slice(at, i + 1 - at), texts
-            texts, at, size = [], i + 1, 0
-    if texts:
-        yield batch.slice(at), texts
+        h = h + words[j : len(words) - WORDS + 1 + j] * _FACTORS[j]
+    h, out = mix(h), []
+    for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
+        if n >= WORDS:
+            out.append(np.unique(h[end - n : end - WORDS + 1]))
+        else:
+            out.append(mix(np.array([(words[end - n : end] * _FACTORS[:n]).sum(dtype=np.uint64) + np.uint64(n)], np.uint64)) if n else np.zeros(0, np.uint64))
+    return out
 
 
 def sketched(rows: DataFrame) -> DataFrame:
-    """``(rid, n_shingles, s1, s2, sketch)`` of ``(rid, text)``: s1, s2 are 128 bits that name the set."""
+    """``(rid, doc_id, n_shingles, name, sketch)`` of ``(rid, doc_id, text)``; the name tells sets apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for whole in batches:
             for batch, texts in by_size(whole, "text"):
-                sets = [shingles(words.of(x)) for x in texts]
-                n = np.array([len(s) for s in sets], np.int32)
+                sets = shingle_sets(texts)
+                n = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(n)
-                names, sketch = np.zeros((2, len(n)), np.uint64), np.zeros((len(n), SKETCH), np.uint32)
+                sketch = np.zeros((len(n), SKETCH), np.uint32)
                 if len(full):
                     flat = np.concatenate(sets)
                     starts = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-                    names[0, full] = np.add.reduceat(mix(flat ^ _SEEDS[0]), starts)
-                    names[1, full] = np.add.reduceat(mix(flat ^ _SEEDS[1]), starts)
                     for t in range(SKETCH):
                         sketch[full, t] = np.minimum.reduceat(((flat * _SEEDS[t]) >> np.uint64(32)).astype(np.uint32), starts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n), *(pa.array(x.view(np.int64)) for x in names), pa.array([x.tobytes() for x in sketch], pa.binary())],
-                    names=["rid", "n_shingles", "s1", "s2", "sketch"],
+                    [batch.column(0), batch.column(1), pa.array(n), pa.array([digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())],
+                    names=["rid", "doc_id", "n_shingles", "name", "sketch"],
                 )
 
-    return rows.select("rid", "text").mapInArrow(run, "rid long, n_shingles int, s1 long, s2 long, sketch binary")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("rid", "doc_id", "text").mapInArrow(run, f"rid long, doc_id {kind}, n_shingles long, name binary, sketch binary")
 
 
-def _sketches(batch: pa.RecordBatch, column: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint32).reshape(-1, SKETCH)
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint32).reshape(-1, SKETCH)
 
 
-def _branch(rows: DataFrame, level: int, children: int) -> DataFrame:
-    """``(path, rid)`` of the next level from ``(path, rid, sketch)``."""
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _roots(reps: DataFrame) -> DataFrame:
+    """``(path, rid)``: the documents' nodes on the first level of each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            path = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            rid, sketch = batch.column(1).to_numpy(zero_copy_only=False), _sketches(batch, 2)
-            new = []
-            for c in range(children):
-                place = mix(path + np.uint64(level * 16 + c)) % np.uint64(SKETCH)
-                token = sketch[np.arange(len(rid)), place.astype(np.int64)]
-                new.append(mix(path ^ mix((place << np.uint64(32)) | token.astype(np.uint64))))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(new).view(np.int64)), pa.array(np.tile(rid, children))], names=["path", "rid"])
+            places = np.arange(TREES) * (SKETCH // TREES)
+            path = mix((np.arange(1, TREES + 1, dtype=np.uint64) << np.uint64(32)) | _sketches(batch.column(1).to_pylist())[:, places].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(path.reshape(-1).view(np.int64)), pa.array(np.repeat(_numbers(batch.column(0)), TREES))], names=["path", "rid"])
 
-    return rows.select("path", "rid", "sketch").mapInArrow(run, "path long, rid long").distinct()
+    return reps.select("rid", "sketch").mapInArrow(run, "path long, rid long")
 
 
-def _roots(reps: DataFrame) -> DataFrame:
+def _branch(rows: DataFrame, level: int) -> DataFrame:
+    """``(path, rid)`` of the next level from ``(path, rid, sketch)``: two children for each document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sketch = _sketches(batch, 1)
-            places = np.arange(TREES) * (SKETCH // TREES)
-            path = mix((np.arange(1, TREES + 1, dtype=np.uint64) << np.uint64(32)) | sketch[:, places].astype(np.uint64))
-            rid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), TREES)
-            yield pa.RecordBatch.from_arrays([pa.array(path.reshape(-1).view(np.int64)), pa.array(rid)], names=["path", "rid"])
+            path, rid, sketch = _numbers(batch.column(0)).view(np.uint64), _numbers(batch.column(1)), _sketches(batch.column(2).to_pylist())
+            new = []
+            for c in range(2):
+                place = mix(path + np.uint64(level * 16 + c)) % np.uint64(SKETCH)
+                new.append(mix(path ^ mix((place << np.uint64(32)) | sketch[np.arange(len(rid)), place.astype(np.int64)].astype(np.uint64))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(new).view(np.int64)), pa.array(np.tile(rid, 2))], names=["path", "rid"])
 
-    return reps.select("rid", "sketch").mapInArrow(run, "path long, rid long")
+    return rows.select("path", "rid", "sketch").mapInArrow(run, "path long, rid long").distinct()
+
+
+_PAIRS = "a long, b long, agree int"
 
 
-def _compare(rows: DataFrame, best: int = 0) -> DataFrame:
-    """Pairs ``(a, b, agree)`` within each node of ``(path, rid, sketch)``, whose sketches agree enough; nodes are small.
+def _pair_batch(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree.astype(np.int32))], names=["a", "b", "agree"])
 
-    With ``best``, only each document's so many best partners in its node."""
 
-    def node_ends(path: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(np.concatenate([path[1:] != path[:-1], [True]])) + 1
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """Whole numbers and nulls."""
+    return pd.DataFrame({c: pd.array([r[i] for r in rows], "Int64") for i, c in enumerate(columns)})
 
-    def pairs(path: np.ndarray, rid: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        most = int(np.diff(np.concatenate([[0], node_ends(path)])).max())
-        out = []
-        for k in range(1, most):
+
+def _compare(rows: DataFrame) -> DataFrame:
+    """Pairs within each node of ``(path, rid, label, sketch)`` whose labels differ and whose sketches agree enough; no node is large."""
+
+    def pairs(path: np.ndarray, rid: np.ndarray, label: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        out = [(np.zeros(0, np.int64),) * 3]
+        for k in range(1, len(path)):
             i = np.flatnonzero(path[k:] == path[:-k])
             if not len(i):
                 break
+            i = i[label[i] != label[i + k]]
             for part in np.array_split(i, len(i) // 20_000 + 1):
                 agree = (sketch[part] == sketch[part + k]).sum(axis=1)
                 hit = agree >= AGREE
-                out.append((part[hit], part[hit] + k, agree[hit]))
-        if not out:
-            return (np.zeros(0, np.int64),) * 3
-        i, j, agree = (np.concatenate(x) for x in zip(*out, strict=True))
-        if best and len(i):
-            ends, other, value = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([agree, agree])
-            order = np.lexsort((rid[other], -value, ends))
-            ends, other, value = ends[order], other[order], value[order]
-            first = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
-            rank = np.arange(len(ends)) - np.repeat(first, np.diff(np.concatenate([first, [len(ends)]])))
-            i, j, agree = ends[rank < best], other[rank < best], value[rank < best]
-        return rid[i], rid[j], agree
+                out.append((rid[part[hit]], rid[part[hit] + k], agree[hit]))
+        return _pair_batch(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = (batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), _sketches(batch, 2))
+            part = (*(_numbers(batch.column(i)) for i in range(3)), _sketches(batch.column(3).to_pylist()))
             if rest:
                 part = tuple(np.concatenate(x) for x in zip(rest, part, strict=True))
-            cut = len(part[0]) - (np.argmax(part[0][::-1] != part[0][-1]) if part[0][0] != part[0][-1] else len(part[0]))
+            other = np.flatnonzero(part[0] != part[0][-1])
+            cut = other[-1] + 1 if len(other) else 0
             rest = tuple(x[cut:] for x in part)  # the last node may go on
             if cut:
-                yield _pair_batch(*pairs(*(x[:cut] for x in part)))
+                yield pairs(*(x[:cut] for x in part))
         if rest:
-            yield _pair_batch(*pairs(*rest))
-
-    return rows.select("path", "rid", "sketch").mapInArrow(run, "a long, b long, agree int")
-
+            yield pairs(*rest)
+
+    return rows.select("path", "rid", "label", "sketch").repartition("path").sortWithinPartitions("path", "rid").mapInArrow(run, _PAIRS)
+
+
+def _led(large: DataFrame) -> DataFrame:
+    """Pairs of large nodes' documents (``path, rid, sketch, c``) with their chunks' leaders, and of these with one of the node's."""
+
+    def lead(part: pd.DataFrame) -> pd.DataFrame:
+        rid, sketch, out = part.rid.to_numpy(), _sketches(part.sketch), []
+        left = np.arange(len(rid))
+        for turn in range(LEADERS):
+            own = sketch[left]
+            in_order = np.sort(own, axis=0)
+            common = np.empty(SKETCH, np.uint32)
+            for j in range(SKETCH):
+                first = np.flatnonzero(np.concatenate([[True], in_order[1:, j] != in_order[:-1, j]]))
+                common[j] = in_order[first[np.diff(np.concatenate([first, [len(left)]])).argmax()], j]
+            fits = (own == common).sum(axis=1)
+            leader = int(left[fits.argmax()])
+            agree = (own == sketch[leader]).sum(axis=1)
+            if not turn:
+                out.append((part.path.iloc[0], rid[leader], None, int(fits.max())))
+            near = agree >= AGREE
+            out += [(None, rid[i], rid[leader], int(x)) for i, x in zip(left[near], agree[near], strict=True) if i != leader]
+            left = left[~near]
+            if near.sum() < 3 or len(left) < 3:
+                break
+        return _frame(out, ["path", "a", "b", "agree"])
 
-def _pair_batch(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree.astype(np.int32))], names=["a", "b", "agree"])
+    chunk = F.pmod(F.xxhash64("path", "rid"), F.ceil(F.col("c") / CHUNK))
+    found = store(large.groupBy("path", chunk.alias("chunk")).applyInPandas(lead, "path long, a long, b long, agree int"), "led")
+    of_node = found.filter("path is not null").groupBy("path").agg(F.max_by("a", F.struct("agree", "a")).alias("leader"))
+    leaders = found.filter("path is not null").select("path", "a").join(of_node, "path").select("a", F.col("leader").alias("b"), F.lit(AGREE).alias("agree"))
+    pairs = found.filter("path is null").select("a", "b", "agree").unionByName(leaders).filter("a != b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "agree")
 
 
-def _nodes(rows: DataFrame, reps: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Of stored ``(path, rid)``: the pairs within small nodes, and the large nodes' ``(path, rid, sketch, c)``."""
-    counts = store(rows.groupBy("path").agg(F.count("*").alias("c")).filter("c > 1"), f"counts{name}")
-    small = rows.join(counts.filter(F.col("c") <= SMALL), "path").join(reps, "rid").select("path", "rid", "sketch")
-    large = rows.join(counts.filter(F.col("c") > SMALL), "path").join(reps, "rid").select("path", "rid", "sketch", "c")
-    return _compare(small.repartition("path").sortWithinPartitions("path", "rid")), large
+def _best(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-def _all_pairs(found: list[DataFrame]) -> DataFrame:
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+def first_candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b, agree)``, a < b, of the first level: within small nodes, and with the leaders of large ones; and ``(path, rid)`` of large nodes."""
+    rows = store(_roots(reps), "roots")
+    counts = store(rows.groupBy("path").agg(F.count("*").alias("c")).filter("c > 1"), "counts")
+    named = lambda which: rows.join(counts.filter(which), "path").join(reps.select("rid", "sketch"), "rid")
+    tiny = _compare(named(F.col("c") <= TINY).withColumn("label", F.col("rid")))
+    large = store(named(F.col("c") > TINY).select("path", "rid", "sketch", "c"), "large")
+    return store(_best(tiny.unionByName(_led(large))), "pairs"), large.select("path", "rid")
 
 
-def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``(a, b, agree)``, a < b, of ``(rid, sketch)`` that meet in a node and whose sketches agree enough; and the last level's large nodes."""
-    found, rows = [], _roots(reps)
+def later_candidates(nodes: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From large nodes ``(path, rid)`` of the first level and those below them: pairs of different components, and links that are confirmed already."""
+    spark = reps.sparkSession
+    found, rest = [spark.createDataFrame([], _PAIRS)], []
+    label = labels.select(F.col("v").alias("rid"), F.col("c").alias("label"))
+    count = lambda n: F.ceil(n).cast("int")
     for level in range(1, LEVELS + 1):
-        pairs, large = _nodes(store(rows, f"paths{level}"), reps, str(level))
-        found.append(pairs)
-        if level < LEVELS:
-            rows = _branch(large, level, 2 if level == 1 else 1)
-    large = store(large, "large")
-    chunk = F.pmod(F.xxhash64("path", "rid"), F.ceil(F.col("c") / CHUNK))
-    chunks = large.select(F.xxhash64("path", chunk, F.lit(1)).alias("path"), "rid", "sketch")
-    found.append(_compare(chunks.repartition("path").sortWithinPartitions("path", "rid"), best=2))
-    leaders = store(large.groupBy("path").agg(F.min("rid").alias("leader")), "leaders")
-    found.append(large.join(leaders, "path").filter("rid != leader").select(F.least("leader", "rid").alias("a"), F.greatest("leader", "rid").alias("b"), F.lit(AGREE).alias("agree")))
-    return _all_pairs(found), large
-
-
-def _main_labels(nodes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``nodes`` (path, rid) with each row's ``label``, and for each path its rows ``t``, its most frequent label ``main`` and that one's rows ``m``."""
-    named = store(nodes.join(labels.select(F.col("v").alias("rid"), F.col("c").alias("label")), "rid", "left").withColumn("label", F.coalesce("label", "rid")), "named")
-    per = named.groupBy("path", "label").agg(F.count("*").alias("n")).groupBy("path").agg(F.sum("n").alias("t"), F.max("n").alias("m"), F.max_by("label", F.struct("n", "label")).alias("main"))
-    return named, store(per, "main")
-
+        named = nodes.join(reps.select("rid", "n_shingles"), "rid").join(label, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+        named = store(named, f"nodes{level}")
+        per = named.groupBy("path", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).groupBy("path").agg(
+            F.sum("n").alias("t"), F.max("n").alias("m"), F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("s").alias("all"), F.max_by("s", F.struct("n", "label")).alias("own")
+        )
+        per = store(per.filter("t > m"), f"per{level}")  # nodes of one component are done
+        if not per.limit(1).count():
+            break
+        ends = (F.col("t") - F.col("m") <= SMALL) | F.lit(level == LEVELS)
+        whole = lambda which, per=per, named=named: named.join(per.filter(which), "path").join(reps.select("rid", "sketch"), "rid")
+        found.append(_compare(whole(F.col("t") <= TINY)))
+        rest.append(whole(ends & (F.col("t") > TINY)).select(
+            "path", "rid", "label", "sketch", (F.col("label") != F.col("main")).alias("rest"), count(F.greatest(F.col("t") / CHUNK, F.col("all") / BLOCK)).alias("blocks"),
+            count(F.greatest((F.col("t") - F.col("m")) / SMALL, (F.col("all") - F.col("own")) / BLOCK)).alias("probes"),
+        ))
+        nodes = store(_branch(whole(~ends), level), f"branch{level}")
+        counts = nodes.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
+        nodes = nodes.join(counts, "path").select("path", "rid")
+    links = spark.createDataFrame([], "a long, b long")
+    if rest:
+        rest = store(_union(rest), "rest")
+        compared = store(_compare_rest(rest), "compared")
+        found.append(compared.filter("path is null").select("a", "b", "agree"))
+        dense = compared.filter("path is not null").select("path", "block", "probe", F.col("a").alias("rid"))
+        if dense.limit(1).count():
+            links = _dense_links(dense, rest, docs)
+    return store(_best(_union(found)), "more"), links
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
-def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (v, c) after more links: components of the graph whose vertices are the components so far, which is small."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    known = store(labels.unionByName(ends.join(labels, "v", "left_anti").select("v", F.col("v").alias("c"))), "known")
-    of = lambda side: known.select(F.col("v").alias(side), F.col("c").alias(f"c{side}"))
-    between = store(links.join(of("a"), "a").join(of("b"), "b").filter("ca != cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "between")
-    if not between.limit(1).count():
-        return known
-    joined = components(between).select(F.col("v").alias("c"), F.col("c").alias("root"))
-    return store(known.join(joined, "c", "left").select("v", F.coalesce("root", "c").alias("c")), "joined")
 
+def _compare_rest(rows: DataFrame) -> DataFrame:
+    """Nodes' documents (``path, rid, label, sketch, blocks, probes, rest``) outside of the main component against all others: both are dealt
+    to blocks, and each pair of blocks is compared by itself. ``(path, block, probe, a, b, agree)``: pairs, without a path; or, for a
+    document with more than FEW near ones in a block, the block, which is then compared on full sets."""
 
-def settled(large: DataFrame, labels: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Large nodes in which one component prevails, as ``(path, rid)``, and the pairs that the others give when they branch on."""
-    dense, found = [], [reps.sparkSession.createDataFrame([], "a long, b long, agree int")]
-    for level in range(LEVELS, MOST_LEVELS + 1):
-        _, per = _main_labels(large.select("path", "rid"), labels)
-        prevails = (F.col("m") >= PREVAILS * F.col("t")) | F.lit(level == MOST_LEVELS)
-        dense.append(large.join(per.filter(prevails), "path", "left_semi").select("path", "rid"))
-        sparse = per.filter(~prevails)
-        if not sparse.limit(1).count():
-            break
-        rows = store(_branch(large.join(sparse, "path", "left_semi"), level, 1), f"sparse{level}")
-        pairs, large = _nodes(rows, reps, f"sparse{level}")
-        large = store(large, f"sparse_large{level}")
-        found.append(pairs)
-    out = dense[0]
-    for more in dense[1:]:
-        out = out.unionByName(more)
-    return store(out, "dense"), store(_all_pairs(found), "sparse_pairs")
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        asks = part.asks.to_numpy(bool)
+        rid, label, sketch = part.rid.to_numpy(), part.label.to_numpy(), _sketches(part.sketch)
+        others, out = np.flatnonzero(~asks), []
+        sketch_of_others = sketch[others]
+        for i in np.flatnonzero(asks):
+            agree = (sketch_of_others == sketch[i]).sum(axis=1)
+            near = np.flatnonzero((agree >= AGREE) & (label[others] != label[i]))
+            if len(near) > FEW:
+                out.append((part.path.iloc[0], part.block.iloc[0], part.probe.iloc[0], rid[i], None, None))
+            else:
+                out += [(None, None, None, min(rid[i], rid[j]), max(rid[i], rid[j]), n) for j, n in zip(others[near], agree[near], strict=True)]
+        return _frame(out, ["path", "block", "probe", "a", "b", "agree"])
 
+    return _asked(rows, "sketch").groupBy("path", "block", "probe").applyInPandas(compare, "path long, block int, probe int, a long, b long, agree int")
 
-def fringe_links(dense: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links on full sets between what is left over in dense nodes and all of the component that prevails there, and among what is left over.
 
-    This is the exact end of the search: members and left-over rows are dealt to blocks of CHUNK, and each pair of blocks is one group's work."""
-    named, per = _main_labels(dense, labels)
-    rest = store(named.join(per, "path").filter("label != main").select("main", "rid", "label").distinct(), "fringe")
-    mains = rest.groupBy("main").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("nr"))
-    of_main = labels.select(F.col("c").alias("main"), F.col("v").alias("rid"), F.col("c").alias("label"))
-    itself = mains.select("main", F.col("main").alias("rid"), F.col("main").alias("label"))
-    members = store(of_main.join(mains.select("main"), "main", "left_semi").unionByName(rest).unionByName(itself).distinct(), "members")
-    sizes = store(members.groupBy("main").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("nm")).join(mains, "main"), "blocks")
-    block = lambda n: F.pmod(F.xxhash64("rid"), n).cast("int")
+def _asked(rows: DataFrame, *columns: str) -> DataFrame:
+    """The members of each block, once for each block of asking documents, and these once for each block of members."""
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rest.join(sizes, "main").withColumn("rb", block(F.col("nr"))).withColumn("mb", every("nm"))
-    right = members.join(sizes, "main").withColumn("mb", block(F.col("nm"))).withColumn("rb", every("nr"))
-    keys = ["main", "mb", "rb"]
-    with_text = lambda df, p: df.join(texts, "rid").select(*[F.col(k).alias(f"{p}{k}") for k in keys], F.col("rid").alias(f"{p}rid"), F.col("label").alias(f"{p}label"), F.col("text").alias(f"{p}text"))
-
-    def compare(rest: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rest) and len(members):
-            words = Words()
-            sets = [shingles(words.of(t.encode())) for t in members.m_text]
-            sizes = np.array([len(s) for s in sets])
-            flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            labels, rids = members.m_label.to_numpy(), members.m_rid.to_numpy()
-            for r in rest.itertuples(index=False):
-                own = shingles(words.of(r.r_text.encode()))
-                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-                both = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
-                hit = np.flatnonzero((labels != r.r_label) & (100 * both >= PERCENT * (len(own) + sizes - both)))
-                # one link to each component is enough
-                out += [(min(r.r_rid, rids[i]), max(r.r_rid, rids[i])) for i in hit[np.unique(labels[hit], return_index=True)[1]]]
+    rows = rows.withColumns({"block": F.pmod(F.xxhash64("path", "rid"), F.col("blocks")).cast("int"), "probe": F.pmod(F.xxhash64("rid", "path"), F.col("probes")).cast("int")})
+    columns = ["path", "block", "probe", "asks", "rid", "label", *columns]
+    members = rows.withColumn("probe", every("probes")).withColumn("asks", F.lit(False)).select(columns)
+    return members.unionByName(rows.filter("rest").withColumn("block", every("blocks")).withColumn("asks", F.lit(True)).select(columns))
+
+
+def _dense_links(dense: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links on full sets between the asking documents of ``dense`` (path, block, probe, rid) and the members of their blocks of ``rows``."""
+    keys = ["path", "block", "probe"]
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        asks, rid, label = part.asks.to_numpy(bool), part.rid.to_numpy(), part.label.to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in part.shingles]
+        others, out = np.flatnonzero(~asks), []
+        sizes = np.array([len(sets[j]) for j in others])
+        known, code = np.unique(np.concatenate([sets[j] for j in others]), return_inverse=True)
+        starts, mine = np.cumsum(sizes) - sizes, np.zeros(len(known), np.int64)
+        for i in np.flatnonzero(asks):
+            at = np.minimum(np.searchsorted(known, sets[i]), len(known) - 1)
+            at = at[known[at] == sets[i]]
+            mine[at] = 1
+            both = np.add.reduceat(mine[code], starts)
+            mine[at] = 0
+            hit = others[(label[others] != label[i]) & (100 * both >= PERCENT * (len(sets[i]) + sizes - both))]
+            # one link to each component is enough
+            out += [(min(rid[i], rid[j]), max(rid[i], rid[j])) for j in hit[np.unique(label[hit], return_index=True)[1]]]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    grouped = lambda df, p: with_text(df, p).groupBy(*[f"{p}{k}" for k in keys])
-    return grouped(left, "r_").cogroup(grouped(right, "m_")).applyInPandas(compare, "a long, b long").distinct()
+    asked = _asked(rows)
+    members = asked.filter("not asks").join(dense.select(keys).distinct(), keys, "left_semi")
+    asking = asked.filter("asks").join(dense, [*keys, "rid"], "left_semi").select(members.columns)
+    both = store(members.unionByName(asking), "dense_rows")
+    sets = _full_sets(both.select("rid"), docs)
+    return store(both.join(sets, "rid").groupBy(*keys).applyInPandas(compare, "a long, b long").distinct(), "dense_links")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of ``pairs`` (a, b), those whose full sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, last_set = Words(), None, None
         for batch in batches:
-            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            hits = []
-            for k, (x, y) in enumerate(zip(texts_of(batch, "text_a"), texts_of(batch, "text_b"), strict=True)):
-                if a[k] != last:
-                    last, last_set = a[k], shingles(words.of(x))
-                other = shingles(words.of(y))
-                both = len(np.intersect1d(last_set, other, assume_unique=True))
-                hits.append(100 * both >= PERCENT * (len(last_set) + len(other) - both))
-            hit = np.array(hits, bool)
+            a, b = (_numbers(batch.column(i)) for i in (0, 1))
+            hit = np.zeros(len(a), bool)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                short, long = sorted((one, two), key=len)
+                both = int((long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short).sum())
+                hit[k] = 100 * both >= PERCENT * (len(one) + len(two) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[hit]), pa.array(b[hit])], names=["a", "b"])
 
-    with_a = pairs.select("a", "b").join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_a.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    of = lambda side: sets.select(F.col("rid").alias(side), F.col("shingles").alias(f"of_{side}"))
+    return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
+def _full_sets(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(rid, shingles)`` of the documents in ``ids``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch, texts in by_size(whole, "text"):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(texts)], pa.binary())], names=["rid", "shingles"])
+
+    return store(pick_rows(rows.select("rid", "text"), ids, "left_semi").mapInArrow(run, "rid long, shingles binary"), "full_sets")
+
+
+def _open(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs that are not known to be in one component."""
+    of = lambda side: labels.select(F.col("v").alias(side), F.col("c").alias(f"c{side}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "agree")
+
+
+def linked(pairs: DataFrame, labels: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """``labels`` (v, c) after the links among ``pairs``: each document's best pair is confirmed first, then what is still open."""
+    if not pairs.limit(1).count():
+        return labels if labels is not None else store(rows.sparkSession.createDataFrame([], "v long, c long"), "labels")
+    sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("rid")), rows)
+    side = lambda v, o: pairs.select(F.col(v).alias("v"), F.struct("agree", (-F.col(o)).alias("o")).alias("p"))
+    top = side("a", "b").unionByName(side("b", "a")).groupBy("v").agg(F.max("p.agree").alias("agree"), F.max("p").alias("p"))
+    top = store(top.select(F.least("v", -F.col("p.o")).alias("a"), F.greatest("v", -F.col("p.o")).alias("b")).distinct(), "top")
+    links = store(confirmed(top, sets), "links")
+    labels = components(links) if labels is None else with_links(labels, links)
+    rest = store(_open(pairs, labels).join(top, ["a", "b"], "left_anti"), "open")
+    return with_links(labels, store(confirmed(rest, sets), "links"))
+
+
+def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (v, c) after more links: components of the graph whose vertices are the components so far, which is small."""
+    if not links.limit(1).count():
+        return labels
+    ends = links.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    known = store(labels.unionByName(ends.join(labels, "v", "left_anti").select("v", F.col("v").alias("c"))), "known")
+    of = lambda side: known.select(F.col("v").alias(side), F.col("c").alias(f"c{side}"))
+    between = store(links.join(of("a"), "a").join(of("b"), "b").filter("ca != cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "between")
+    if not between.limit(1).count():
+        return known
+    joined = components(between).select(F.col("v").alias("c"), F.col("c").alias("root"))
+    return store(known.join(joined, "c", "left").select("v", F.coalesce("root", "c").alias("c")), "joined")
 
 
 def components(links: DataFrame) -> DataFrame:
     """``(v, c)``: for each end of ``links`` (a, b), the smallest end that it is connected with."""
-    both = store(links.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("w"))), "links")
+    both = store(links.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("w"))), "ends")
     labels = store(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("c")), "labels0")
     k = 0
     while True:
@@ -370,37 +409,29 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept`` and ``rid``, the row's number."""
-    rows = with_row_id(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    texts = rows.select("rid", "text")
-    sketches = store(sketched(texts), "sketches")
-    sets = store(sketches.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("rid").alias("rep")), "sets")
-    reps = store(sketches.join(sets.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "sketch"), "reps")
-    pairs, large = candidates(reps)
-    pairs = store(pairs, "pairs")
-
-    ends = pairs.select(F.col("a").alias("v"), F.struct(F.col("agree"), (-F.col("b")).alias("o")).alias("p")).unionByName(
-        pairs.select(F.col("b").alias("v"), F.struct(F.col("agree"), (-F.col("a")).alias("o")).alias("p"))
-    )
-    top = ends.groupBy("v").agg(F.max("p").alias("p")).select(F.least("v", -F.col("p.o")).alias("a"), F.greatest("v", -F.col("p.o")).alias("b")).distinct()
-    some = store(pick_rows(texts, ends.select(F.col("v").alias("rid")), "left_semi"), "texts")
-    labels = components(store(confirmed(store(top, "top"), some), "links1"))
-    dense, more = settled(large, labels, reps)
-    pairs = pairs.unionByName(more)
-    of = lambda side: labels.select(F.col("v").alias(side), F.col("c").alias(f"c{side}"))
-    open_pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    labels = with_links(labels, store(confirmed(store(open_pairs.distinct(), "open"), some), "links2"))
-    labels = with_links(labels, store(fringe_links(dense, labels, some), "links3"))
-
-    named = sketches.filter("n_shingles > 0").select("rid", "s1", "s2", "n_shingles").join(sets, ["s1", "s2", "n_shingles"])
-    placed = named.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("rid", F.coalesce("c", "rep").alias("c"))
-    full = store(rows.select("rid", "doc_id").join(sketches.select("rid", "n_shingles"), "rid").join(placed, "rid", "left").withColumn("c", F.coalesce("c", "rid")), "placed")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("rid").alias("row"))
-    groups = store(full.groupBy("c").agg(F.min(order).alias("best")), "components")
-    return full.join(groups, "c").select("doc_id", "n_shingles", F.col("best.id").alias("component_id"), (F.col("best.row") == F.col("rid")).alias("kept"), "rid")
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept`` and ``rid``, the row's number (column ``row``, if it has one)."""
+    with scratch(docs.sparkSession):
+        own = [F.col(row).alias("rid")] if row else []
+        rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *own)
+        rows = rows if row else with_row_id(rows)
+        sketches = store(sketched(rows), "sketches")
+        sets = store(sketches.filter("n_shingles > 0").groupBy("name", "n_shingles").agg(F.min("rid").alias("rep")), "sets")
+        reps = store(sketches.join(sets.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n_shingles", "sketch"), "reps")
+        pairs, large = first_candidates(reps)
+        labels = linked(pairs, None, rows)
+        pairs, links = later_candidates(large, labels, reps, rows)
+        labels = linked(pairs, with_links(labels, links), rows)
+
+        named = sketches.select("rid", "doc_id", "n_shingles", "name").join(sets, ["name", "n_shingles"], "left")
+        full = named.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("rid", "doc_id", "n_shingles", F.coalesce("c", "rep", "rid").alias("c"))
+        full = store(full, "placed")
+        order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("rid").alias("row"))
+        groups = store(full.groupBy("c").agg(F.min(order).alias("best")), "components")
+        return kept(full.join(groups, "c").select("doc_id", "n_shingles", F.col("best.id").alias("component_id"), (F.col("best.row") == F.col("rid")).alias("kept"), "rid"), "near_groups")
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each component; all columns stay. ``docs`` must be read from files."""
-    return drop_rows(docs, near_groups(docs, text, doc_id).filter("not kept"))
+    """``docs`` with one row of each component; all columns stay."""
+    rows = with_row_id(docs, "__row")
+    return drop_rows(rows, near_groups(rows, text, doc_id, "__row").filter("not kept"), "__row")

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from confab.llm.bpe import texts_of, vocabulary
-from confab.llm.common import store
+from confab.llm.bpe import vocabulary
+from confab.llm.common import store, texts_of
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, text: str, doc_id: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from confab.llm.bpe import texts_of
+from confab.llm.common import texts_of
 
 #: Labelled rows that are fitted on, about, at most; beyond it a share of them is taken by a hash of their statistics.
 MAX_LABELLED = 200_000
