@@ -50,9 +50,21 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_bucketed(df: DataFrame, by: str, files: int) -> DataFrame:
+    """``df`` written to a bucketed table in the shared folder: later groupings by ``by`` need no shuffle of it."""
+    spark, name = df.sparkSession, f"confab_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}/data"
+    df.write.bucketBy(files, by).option("path", path).option("compression", "zstd").option("parquet.block.size.row.check.min", "1").saveAsTable(name)
+    if _open:
+        _open[-1].append(path)
+    return spark.table(name)
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     """Deletes stored tables, with the folders that hold them alone."""
     for p in paths:
+        if p.endswith("/data"):  # a bucketed table; this leaves its files
+            spark.sql(f"DROP TABLE IF EXISTS {p.split('/')[-2]}")
         parent = spark._jvm.org.apache.hadoop.fs.Path(p).getParent()
         parent.getFileSystem(spark._jsc.hadoopConfiguration()).delete(parent, True)
 
