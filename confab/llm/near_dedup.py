@@ -115,21 +115,25 @@ def _roots(reps: DataFrame) -> DataFrame:
     return reps.select("rid", "sketch").mapInArrow(run, "path long, rid long")
 
 
+_ROW = "path long, rid long, label long, n_shingles long, sketch binary"
+
+
 def _branch(rows: DataFrame, level: int) -> DataFrame:
-    """``(path, rid)`` of the next level from ``(path, rid, sketch)``: two children for each document."""
+    """The next level's rows from these of ``_ROW``: two children for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            path, rid, sketch = _numbers(batch.column(0)).view(np.uint64), _numbers(batch.column(1)), _sketches(batch.column(2).to_pylist())
-            new = []
+            path, sketch, new = _numbers(batch.column(0)).view(np.uint64), _sketches(batch.column(4).to_pylist()), []
             for c in range(2):
                 place = mix(path + np.uint64(level * 16 + c)) % np.uint64(SKETCH)
-                new.append(mix(path ^ mix((place << np.uint64(32)) | sketch[np.arange(len(rid)), place.astype(np.int64)].astype(np.uint64))))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(new).view(np.int64)), pa.array(np.tile(rid, 2))], names=["path", "rid"])
+                new.append(mix(path ^ mix((place << np.uint64(32)) | sketch[np.arange(len(path)), place.astype(np.int64)].astype(np.uint64))))
+            for c in range(2):
+                keep = np.flatnonzero(new[1] != new[0]) if c else np.arange(len(path))  # both children may be one
+                yield pa.RecordBatch.from_arrays([pa.array(new[c][keep].view(np.int64)), *(x.take(pa.array(keep)) for x in batch.columns[1:])], names=batch.schema.names)
 
-    return rows.select("path", "rid", "sketch").mapInArrow(run, "path long, rid long").distinct()
+    return rows.select("path", "rid", "label", "n_shingles", "sketch").mapInArrow(run, _ROW)
 
 
 _PAIRS = "a long, b long, agree int"
@@ -217,49 +221,43 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 
 def first_candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``(a, b, agree)``, a < b, of the first level: within small nodes, and with the leaders of large ones; and ``(path, rid)`` of large nodes."""
+    """Pairs ``(a, b, agree)``, a < b, of the first level: within small nodes, and with the leaders of large ones; and the rows of large nodes."""
     rows = store(_roots(reps), "roots")
     counts = store(rows.groupBy("path").agg(F.count("*").alias("c")).filter("c > 1"), "counts")
-    named = lambda which: rows.join(counts.filter(which), "path").join(reps.select("rid", "sketch"), "rid")
+    named = lambda which: rows.join(counts.filter(which), "path").join(reps, "rid")
     tiny = _compare(named(F.col("c") <= TINY).withColumn("label", F.col("rid")))
-    large = store(named(F.col("c") > TINY).select("path", "rid", "sketch", "c"), "large")
-    return store(_best(tiny.unionByName(_led(large))), "pairs"), large.select("path", "rid")
+    large = store(named(F.col("c") > TINY).select("path", "rid", "n_shingles", "sketch", "c"), "large")
+    return store(_best(tiny.unionByName(_led(large))), "pairs"), large.drop("c")
 
 
-def later_candidates(nodes: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From large nodes ``(path, rid)`` of the first level and those below them: pairs of different components, and links that are confirmed already."""
-    spark = reps.sparkSession
-    found, rest = [spark.createDataFrame([], _PAIRS)], []
+def later_candidates(large: DataFrame, labels: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From the first level's large nodes and those below them: pairs of different components, and links that are confirmed already."""
+    spark = docs.sparkSession
     label = labels.select(F.col("v").alias("rid"), F.col("c").alias("label"))
-    count = lambda n: F.ceil(n).cast("int")
+    rows = store(large.join(label, "rid", "left").select("path", "rid", F.coalesce("label", "rid").alias("label"), "n_shingles", "sketch"), "nodes1")
+    mixed, count = [], lambda n: F.ceil(n).cast("int")
     for level in range(1, LEVELS + 1):
-        named = nodes.join(reps.select("rid", "n_shingles"), "rid").join(label, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-        named = store(named, f"nodes{level}")
-        per = named.groupBy("path", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).groupBy("path").agg(
+        per = rows.groupBy("path", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).groupBy("path").agg(
             F.sum("n").alias("t"), F.max("n").alias("m"), F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("s").alias("all"), F.max_by("s", F.struct("n", "label")).alias("own")
         )
-        per = store(per.filter("t > m"), f"per{level}")  # nodes of one component are done
-        if not per.limit(1).count():
-            break
-        ends = (F.col("t") - F.col("m") <= SMALL) | F.lit(level == LEVELS)
-        whole = lambda which, per=per, named=named: named.join(per.filter(which), "path").join(reps.select("rid", "sketch"), "rid")
-        found.append(_compare(whole(F.col("t") <= TINY)))
-        rest.append(whole(ends & (F.col("t") > TINY)).select(
-            "path", "rid", "label", "sketch", (F.col("label") != F.col("main")).alias("rest"), count(F.greatest(F.col("t") / CHUNK, F.col("all") / BLOCK)).alias("blocks"),
+        per = per.filter("t > m").select(  # nodes of one component are done
+            "path", "t", "main", ((F.col("t") - F.col("m") <= SMALL) | F.lit(level == LEVELS)).alias("ends"), count(F.greatest(F.col("t") / CHUNK, F.col("all") / BLOCK)).alias("blocks"),
             count(F.greatest((F.col("t") - F.col("m")) / SMALL, (F.col("all") - F.col("own")) / BLOCK)).alias("probes"),
-        ))
-        nodes = store(_branch(whole(~ends), level), f"branch{level}")
-        counts = nodes.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
-        nodes = nodes.join(counts, "path").select("path", "rid")
+        )
+        rows = store(rows.join(per, "path").withColumn("rest", F.col("label") != F.col("main")), f"mixed{level}")
+        mixed.append(rows.filter("ends"))
+        rows = rows.filter("not ends")
+        if rows.isEmpty():
+            break
+        rows = store(_branch(rows, level), f"nodes{level + 1}")
+    mixed = _union(mixed)
     links = spark.createDataFrame([], "a long, b long")
-    if rest:
-        rest = store(_union(rest), "rest")
-        compared = store(_compare_rest(rest), "compared")
-        found.append(compared.filter("path is null").select("a", "b", "agree"))
-        dense = compared.filter("path is not null").select("path", "block", "probe", F.col("a").alias("rid"))
-        if dense.limit(1).count():
-            links = _dense_links(dense, rest, docs)
-    return store(_best(_union(found)), "more"), links
+    compared = store(_compare_rest(mixed.filter(F.col("t") > TINY)), "compared")
+    pairs = _best(_compare(mixed.filter(F.col("t") <= TINY)).unionByName(compared.filter("path is null").select("a", "b", "agree")))
+    dense = compared.filter("path is not null").select("path", "block", "probe", F.col("a").alias("rid"))
+    if not dense.isEmpty():
+        links = _dense_links(dense, mixed, docs)
+    return store(pairs, "more"), links
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -270,7 +268,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _compare_rest(rows: DataFrame) -> DataFrame:
-    """Nodes' documents (``path, rid, label, sketch, blocks, probes, rest``) outside of the main component against all others: both are dealt
+    """Nodes' documents (``_ROW, blocks, probes, rest``) outside of the main component against all others: both are dealt
     to blocks, and each pair of blocks is compared by itself. ``(path, block, probe, a, b, agree)``: pairs, without a path; or, for a
     document with more than FEW near ones in a block, the block, which is then compared on full sets."""
 
@@ -365,29 +363,36 @@ def _open(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "agree")
 
 
-def linked(pairs: DataFrame, labels: DataFrame | None, rows: DataFrame) -> DataFrame:
-    """``labels`` (v, c) after the links among ``pairs``: each document's best pair is confirmed first, then what is still open."""
-    if not pairs.limit(1).count():
-        return labels if labels is not None else store(rows.sparkSession.createDataFrame([], "v long, c long"), "labels")
+def first_labels(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The components ``(v, c)`` that ``pairs`` give: each document's best pair is confirmed first, then what is still open."""
+    if pairs.isEmpty():
+        return store(rows.sparkSession.createDataFrame([], "v long, c long"), "labels")
     sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("rid")), rows)
     side = lambda v, o: pairs.select(F.col(v).alias("v"), F.struct("agree", (-F.col(o)).alias("o")).alias("p"))
-    top = side("a", "b").unionByName(side("b", "a")).groupBy("v").agg(F.max("p.agree").alias("agree"), F.max("p").alias("p"))
+    top = side("a", "b").unionByName(side("b", "a")).groupBy("v").agg(F.max("p").alias("p"))
     top = store(top.select(F.least("v", -F.col("p.o")).alias("a"), F.greatest("v", -F.col("p.o")).alias("b")).distinct(), "top")
-    links = store(confirmed(top, sets), "links")
-    labels = components(links) if labels is None else with_links(labels, links)
-    rest = store(_open(pairs, labels).join(top, ["a", "b"], "left_anti"), "open")
+    labels = components(confirmed(top, sets))
+    rest = _open(pairs, labels).join(top, ["a", "b"], "left_anti")
     return with_links(labels, store(confirmed(rest, sets), "links"))
 
 
+def more_labels(pairs: DataFrame, links: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame:
+    """``labels`` after ``links`` and what of ``pairs`` is confirmed."""
+    pairs = store(_open(pairs, labels), "open")
+    if not pairs.isEmpty():
+        links = links.unionByName(confirmed(pairs, _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("rid")), rows)))
+    return with_links(labels, store(links, "links"))
+
+
 def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (v, c) after more links: components of the graph whose vertices are the components so far, which is small."""
-    if not links.limit(1).count():
+    if links.isEmpty():
         return labels
     ends = links.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     known = store(labels.unionByName(ends.join(labels, "v", "left_anti").select("v", F.col("v").alias("c"))), "known")
     of = lambda side: known.select(F.col("v").alias(side), F.col("c").alias(f"c{side}"))
     between = store(links.join(of("a"), "a").join(of("b"), "b").filter("ca != cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "between")
-    if not between.limit(1).count():
+    if between.isEmpty():
         return known
     joined = components(between).select(F.col("v").alias("c"), F.col("c").alias("root"))
     return store(known.join(joined, "c", "left").select("v", F.coalesce("root", "c").alias("c")), "joined")
@@ -405,7 +410,7 @@ def components(links: DataFrame) -> DataFrame:
         jump = step.select(F.col("v").alias("n"), F.col("n").alias("far"))
         new = store(step.join(jump, "n", "left").select("v", F.coalesce("far", "n").alias("c"), (F.coalesce("far", "n") != F.col("c")).alias("moved")), f"labels{k}")
         labels = new.select("v", "c")
-        if not new.filter("moved").limit(1).count():
+        if new.filter("moved").isEmpty():
             return labels
 
 
@@ -419,9 +424,9 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row
         sets = store(sketches.filter("n_shingles > 0").groupBy("name", "n_shingles").agg(F.min("rid").alias("rep")), "sets")
         reps = store(sketches.join(sets.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n_shingles", "sketch"), "reps")
         pairs, large = first_candidates(reps)
-        labels = linked(pairs, None, rows)
-        pairs, links = later_candidates(large, labels, reps, rows)
-        labels = linked(pairs, with_links(labels, links), rows)
+        labels = first_labels(pairs, rows)
+        pairs, links = later_candidates(large, labels, rows)
+        labels = more_labels(pairs, links, labels, rows)
 
         named = sketches.select("rid", "doc_id", "n_shingles", "name").join(sets, ["name", "n_shingles"], "left")
         full = named.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("rid", "doc_id", "n_shingles", F.coalesce("c", "rep", "rid").alias("c"))
