@@ -9,8 +9,9 @@ at the border in the order of merge ranks, and is kept in a table of pairs. The
 Texts within Latin-1 are cut into pre-tokens at once; others go through the vocabulary's own normaliser and
 pre-tokenizer by chunks between ASCII white space, which neither crosses. Each worker keeps bounded tables of what it has encoded. Decoding copies each id's bytes from one buffer by a table of offsets.
 
-Edge cases: null and empty texts have no ids and decode to the empty text. Texts are encoded whole. The strings of special
-tokens within a text become their ids, as in the tokenizers library. Rows are independent: there is no shuffle.
+Edge cases: null and empty texts have no ids and decode to the empty text. Texts are encoded whole, however long. The strings of special
+tokens within a text become their ids, as in the tokenizers library. Rows are independent: there is no shuffle, repeated rows are encoded each, and there are no ties. An empty
+table stays empty. Columns that bear the names of the results are replaced by these; others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import types as T
 
 from confab.llm.common import texts_of
 
-#: Words and pairs that a worker keeps before it starts its tables anew (of chunks, a quarter).
-KEPT_CHUNKS = 1_000_000
+#: Words and pairs that a worker keeps before it starts its tables anew (of chunks, a quarter), and the longest word kept: some 100 MB together.
+KEPT, KEPT_LENGTH = 400_000, 64
 _NEVER = 1 << 60
 #: Moves a word's last character to a private range, so that "x at the word's end" is one symbol.
 _END = 0x10000
@@ -131,7 +132,7 @@ class Vocabulary:
     def _compatible(self, a: int, b: int) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > KEPT_CHUNKS:
+            if len(self.pairs) > KEPT:
                 self.pairs.clear()
             known = self.pairs[a, b] = self._apart(a, b)
         return known
@@ -169,11 +170,13 @@ class Vocabulary:
 
     def _word(self, piece: str, marked: bool = False) -> bytes:
         """The packed ids of one pre-token; ``marked``: it is in byte marks already."""
-        if len(self.words) > KEPT_CHUNKS:
+        if len(self.words) > KEPT:
             self.words.clear()
         marks = piece if marked or piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.marks)
         ids = self.encode_word(marks)
-        out = self.words["\uffff" + piece if marked else piece] = struct.pack(f"<{len(ids)}i", *ids)
+        out = struct.pack(f"<{len(ids)}i", *ids)
+        if len(piece) <= KEPT_LENGTH:
+            self.words["\uffff" + piece if marked else piece] = out
         return out
 
     def encode_chunk(self, chunk: bytes) -> bytes:
@@ -197,11 +200,11 @@ class Vocabulary:
             plain.encode("latin-1")
         except ValueError:  # beyond Latin-1, or with special tokens: by chunks
             words, known = text.split(), self.chunks
-            if len(known) > KEPT_CHUNKS // 4:
+            if len(known) > KEPT // 4:
                 known.clear()
-            for w in {*words}.difference(known):
-                known[w] = self.encode_chunk(w)
-            return b"".join(map(known.__getitem__, words))
+            own = {w: self.encode_chunk(w) for w in {*words}.difference(known)}
+            known.update((w, x) for w, x in own.items() if len(w) <= KEPT_LENGTH)
+            return b"".join([own[w] if w in own else known[w] for w in words])
         pieces, known = _LATIN.findall(plain.lower()), self.words
         try:
             return b"".join(map(known.__getitem__, pieces))
@@ -210,7 +213,7 @@ class Vocabulary:
                 self._word(p)
         try:
             return b"".join(map(known.__getitem__, pieces))
-        except KeyError:  # the table was started anew in between
+        except KeyError:  # the table was started anew in between, or a word is too long to be kept
             return b"".join(known.get(p) or self._word(p) for p in pieces)
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -47,7 +47,9 @@ def store(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if _open:
         _open[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def store_bucketed(df: DataFrame, by: str, files: int) -> DataFrame:
@@ -57,7 +59,18 @@ def store_bucketed(df: DataFrame, by: str, files: int) -> DataFrame:
     df.write.bucketBy(files, by).option("path", path).option("compression", "zstd").option("parquet.block.size.row.check.min", "1").saveAsTable(name)
     if _open:
         _open[-1].append(path)
-    return spark.table(name)
+    out = spark.table(name)
+    out.stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Deletes stored tables that nothing needs any more."""
+    for df in stored:
+        delete(df.sparkSession, [df.stored_at])
+        for paths in _open:
+            if df.stored_at in paths:
+                paths.remove(df.stored_at)
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:

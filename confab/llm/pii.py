@@ -9,17 +9,24 @@ What passes is run through a keyed Feistel network within its own format, a perm
 equal values get equal pseudonyms in every document, different values get different ones, and lengths, separators,
 letter cases and check digits stay valid. What fails validation stays as it is.
 
-* cards: all digits but the first and the check digit are permuted, then the Luhn digit is set again. Where spaces leave open how
+* cards: all digits but the check digit and those that name the issuer (the first four, of those that begin with 4 the first) are permuted,
+  then the Luhn digit is set again, so every result is a valid card of the same issuer. Where spaces leave open how
   far a card goes, a usual layout (one group, 4-4-4-4, 4-6-5, 4-6-4) is taken before any other, then the longest from the left.
 * IBANs: the account part is permuted, letters among letters, then the check digits are set again. A country of IBAN_LENGTHS
   has its length alone; with other countries all lengths from 15 to 34 are tried, the longest first.
-* phone numbers (with ``+`` and country code, or as ``(ddd) ddd-dddd`` and ``ddd-ddd-dddd``): the digits after the country code.
+* phone numbers (with ``+`` and country code, or as ``(ddd) ddd-dddd`` and ``ddd-ddd-dddd``): the digits after the country code, whose length
+  the code itself tells, so all spellings of a number are linked. North American area and exchange codes go on to begin with 2 to 9 (or, where
+  they did not, with 0 or 1); elsewhere the first digit after the code stays.
 * e-mail addresses: letters, capitals and digits of the local part, each within its kind; the domain stays.
-* social security numbers: serial and group digits. IPv4 addresses: the 32-bit value.
-* dates (ISO, d.m.y and m/d/y with four-digit years): the day's number within 200 years from 1900; other dates stay.
+* social security numbers: serial and group digits, among those that are in use. IPv4 addresses: the 32-bit value.
+* dates (ISO, d.m.y, m/d/y and, where that is no date, d/m/y, with four-digit years): the day's number within 200 years from 1900; other dates stay. The
+  result of a d/m/y date is again one that cannot be read as m/d/y.
 
-Edge cases: a null text stays null with no finds, an empty text stays empty; texts of any length are read whole. Other
-columns are untouched, whatever their names. Rows are independent, so there is no shuffle and no hot key.
+The key has no default: whoever knows it can undo the pseudonyms.
+
+Edge cases: a null text stays null with no finds, an empty text stays empty; texts of any length are read whole, and no pattern
+recurses. Of finds that overlap, the first in the text counts, and of those at one place the first kind above. Repeated rows get equal results; an empty table stays empty. Other
+columns are untouched, whatever their names but for those beginning with two underscores. Rows are independent, so there is no shuffle and no hot key.
 """
 
 from __future__ import annotations
@@ -30,10 +37,14 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: Days from 1900-01-01 within which dates are permuted: 250 * 292.
 DAYS = (250, 292)
+#: Most steps along a cycle.
+WALK = 48
+#: A telephone number's country code, told by its first digits (fixed values).
+COUNTRY_CODE = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 #: Each kind's pattern. Cards and IBANs are found by CARD_WINDOW and IBAN_WINDOW; of the others the first that fits at a place is taken.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]*[A-Za-z0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![A-Za-z0-9.+/-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![A-Za-z0-9/-])",
     "ssn": r"(?<![A-Za-z0-9+-])\d{3}-\d{2}-\d{4}(?![A-Za-z0-9-])",
@@ -68,7 +79,7 @@ def _number(hexes: Column, n: int = 15) -> Column:
     return F.conv(F.substring(hexes, 1, n), 16, 10).cast("long")
 
 
-def permute_pair(key: str, left: Column, right: Column, a: int, b: int) -> Column:
+def permute_pair(key: str, left: Column, right: Column, a: int | Column, b: int | Column) -> Column:
     """Struct (l, r): a permutation of the pairs in ``[0, a) x [0, b)``."""
 
     def step(acc, i):
@@ -188,11 +199,22 @@ def pseudonym(key: str, found: Column) -> Column:
     new_bare = F.concat(F.substring(bare, 1, 2), check, account)
     iban = F.array_join(F.zip_with(F.split(found, "[A-Z0-9]", -1), F.concat(F.split(new_bare, ""), F.array(F.lit(""))), lambda g, d: F.concat(g, F.coalesce(d, F.lit("")))), "")
 
-    body = F.concat(F.substring(digits, 1, 1), permute_text(key + "c", F.substring(digits, F.lit(2), n - 2)))
+    issuer = F.when(digits.startswith("4"), 1).otherwise(4)
+    body = F.concat(F.substring(digits, F.lit(1), issuer), permute_text(key + "c", F.substring(digits, issuer + 1, n - issuer - 1)))
     card = _refill(found, F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")))
 
-    code = F.char_length(_digits(F.regexp_extract(found, r"^\+(\d{1,3})[ .(-]", 1)))
-    phone = _refill(found, F.concat(F.substring(digits, F.lit(1), code), permute_text(key + "p", F.substring(digits, code + 1, n))))
+    code = F.when(found.startswith("+"), F.char_length(F.regexp_extract(digits, COUNTRY_CODE, 0))).otherwise(0)
+    national = F.substring(digits, code + 1, n)
+    american = (F.char_length(national) == 10) & ((code == 0) | (F.substring(digits, F.lit(1), code) == "1"))
+    kind = lambda at: F.when(national.substr(at, 1) >= "2", 2).otherwise(0)
+    size = lambda at: F.when(national.substr(at, 1) >= "2", 8).otherwise(2)
+    pair = permute_pair(
+        key + "p", national.substr(1, 3).cast("int") - kind(1) * 100, national.substr(4, 7).cast("int") - kind(4) * 1_000_000, size(1) * 100, size(4) * 1_000_000
+    )
+    padded = lambda x, size: F.lpad(x.cast("string"), size, "0")
+    moved_american = F.aggregate(F.array(pair), F.lit(""), lambda _, m: F.concat(padded(m["l"] + kind(1) * 100, 3), padded(m["r"] + kind(4) * 1_000_000, 7)))
+    elsewhere = F.concat(F.substring(national, 1, 1), permute_text(key + "p", F.substring(national, F.lit(2), n)))
+    phone = _refill(found, F.concat(F.substring(digits, F.lit(1), code), F.when(american, moved_american).otherwise(elsewhere)))
 
     octet = lambda i: F.split_part(found, F.lit("."), F.lit(i)).cast("int")
     moved = permute_pair(key + "i", octet(1) * 256 + octet(2), octet(3) * 256 + octet(4), 65536, 65536)
@@ -200,18 +222,22 @@ def pseudonym(key: str, found: Column) -> Column:
     ip = F.aggregate(F.array(moved), F.lit(""), lambda _, m: F.concat(byte(m["l"]), F.lit("."), byte(m["r"])))
     valid_ip = (octet(1) < 256) & (octet(2) < 256) & (octet(3) < 256) & (octet(4) < 256)
 
-    formats = F.when(found.contains("/"), "MM/dd/yyyy").when(found.contains("."), "dd.MM.yyyy").otherwise("yyyy-MM-dd")
-    iso = F.when(found.contains("/"), F.concat(found.substr(7, 4), F.lit("-"), found.substr(1, 2), F.lit("-"), found.substr(4, 2))).when(
-        found.contains("."), F.concat(found.substr(7, 4), F.lit("-"), found.substr(4, 2), F.lit("-"), found.substr(1, 2))
-    ).otherwise(found)
-    day = F.datediff(iso.try_cast("date"), F.lit("1900-01-01").cast("date"))
+    part = lambda at, size: found.substr(at, size)
+    of = lambda y, m, d: F.datediff(F.concat_ws("-", y, m, d).try_cast("date"), F.lit("1900-01-01").cast("date"))
+    slash, dot = found.contains("/"), found.contains(".")
+    month_first = of(part(7, 4), part(1, 2), part(4, 2))
+    day = F.when(slash, F.coalesce(month_first, of(part(7, 4), part(4, 2), part(1, 2)))).when(dot, of(part(7, 4), part(4, 2), part(1, 2))).otherwise(of(part(1, 4), part(6, 2), part(9, 2)))
     a, b = DAYS
-    new_day = permute_pair(key + "d", F.floor(day / b), day % b, a, b)
-    date_out = F.aggregate(F.array(new_day), F.lit(""), lambda _, m: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (m["l"] * b + m["r"]).cast("int")), "yyyy-MM-dd"))
-    y, m, d = (F.split_part(date_out, F.lit("-"), F.lit(i)) for i in (1, 2, 3))
-    date = F.when(formats == "MM/dd/yyyy", F.concat_ws("/", m, d, y)).when(formats == "dd.MM.yyyy", F.concat_ws(".", d, m, y)).otherwise(date_out)
-
-    ssn = F.concat(F.substring(digits, 1, 3), F.lit("-"), F.regexp_replace(permute_text(key + "s", F.substring(digits, 4, 6)), r"^(\d\d)", "$1-"))
+    date_of = lambda x: F.date_add(F.lit("1900-01-01").cast("date"), x.cast("int"))
+    permuted = lambda x: F.aggregate(F.array(permute_pair(key + "d", F.floor(x / b), x % b, a, b)), F.lit(0).cast("long"), lambda _, m: m["l"] * b + m["r"])
+    # day first: on along the permutation's cycle until the day of the month is no month's number again; each step fails with 0.4
+    walked = F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), day.cast("long"), lambda x, i: F.when((i > 0) & (F.dayofmonth(date_of(x)) > 12), x).otherwise(permuted(x)))
+    new_day = date_of(F.when(slash & month_first.isNull(), walked).otherwise(permuted(day.cast("long"))))
+    shape = F.when(slash & month_first.isNull(), F.date_format(new_day, "dd/MM/yyyy")).when(slash, F.date_format(new_day, "MM/dd/yyyy")).when(dot, F.date_format(new_day, "dd.MM.yyyy"))
+    date = F.coalesce(shape, F.date_format(new_day, "yyyy-MM-dd"))
+
+    serial = permute_pair(key + "s", digits.substr(4, 2).cast("int") - 1, digits.substr(6, 4).cast("int") - 1, 99, 9999)
+    ssn = F.aggregate(F.array(serial), F.lit(""), lambda _, m: F.concat(F.substring(digits, 1, 3), F.lit("-"), padded(m["l"] + 1, 2), F.lit("-"), padded(m["r"] + 1, 4)))
     valid_ssn = ~digits.rlike("^(?:000|666|9)") & (digits.substr(4, 2) != "00") & (digits.substr(6, 4) != "0000")
 
     return (
@@ -226,7 +252,7 @@ def pseudonym(key: str, found: Column) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = "confab", found: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; with ``found``, a column of that name has the number of values replaced."""
     usual = lambda wanted: F.filter("__cards", lambda c: c.rlike(USUAL_CARD) == wanted)
     out = docs.withColumns({"__cards": _cards(F.col(text)), "__ibans": _ibans(F.col(text))})

@@ -6,9 +6,9 @@ model is a list of weighted rules, compiled into one Spark column expression ove
 
 The statistics are taken from the whole text in one pass; labels, languages, sources and ids are never among them.
 
-Edge cases: null and empty texts have all statistics 0 and get a score like any other. Rows without a label are scored but
-not learned from; repeated labels count repeatedly. Without labels of both kinds the score is the share of label 1 (0.5
-without any). An empty table gives no rows. Other columns are kept, whatever their names, but for those of the statistics.
+Edge cases: null and empty texts have all statistics 0 and get a score like any other, very long ones are read whole. Rows without a label are scored but
+not learned from; repeated rows and repeated labels count repeatedly, and equal texts get equal scores. Without labels of both kinds the score is the share of label 1 (0.5
+without any). An empty table gives no rows. Other columns are kept, whatever their names; columns that bear the statistics' names (``s_...``) give way to these.
 """
 
 from __future__ import annotations
@@ -30,13 +30,13 @@ from pyspark.sql import types as T
 
 from confab.llm.common import texts_of
 
-#: Labelled rows that are fitted on, about, at most; beyond it a share of them is taken by a hash of their statistics.
+#: Labelled rows that are fitted on, about, at most; beyond it a share of them is taken by a hash of their ids.
 MAX_LABELLED = 200_000
 TREES, DEPTH, LASSO = 24, 4, 0.0005
 
 STATS = [
-    "s_log_words", "s_upper", "s_symbols", "s_exclaims", "s_pipes", "s_digits", "s_other_bytes", "s_word_length", "s_distinct_words",
-    "s_repeats", "s_stops", "s_commas", "s_line_words", "s_distinct_lines", "s_marked_words", "s_longest_word", "s_spaces",
+    "s_log_words", "s_upper", "s_symbols", "s_exclaims", "s_bare", "s_digits", "s_other_bytes", "s_word_length", "s_distinct_words",
+    "s_repeats", "s_stops", "s_commas", "s_line_words", "s_distinct_lines", "s_repeated_marks", "s_longest_word", "s_spaces",
 ]
 
 _NOT = {
@@ -47,6 +47,9 @@ _NOT = {
     "spaces": bytes(i for i in range(256) if not (i == 32 or 9 <= i <= 13)),
     "other": bytes(range(128)),
 }
+#: All but punctuation and white space; words of punctuation alone.
+_LETTERS = bytes(i for i in range(256) if i >= 128 or chr(i).isalnum() or i < 9 or 14 <= i < 32 or i == 127)
+_BARE = re.compile(rb"(?<!\S)[!-/:-@\[-`{-~]+(?!\S)")
 
 
 def statistics_of(text: bytes) -> tuple[float, ...]:
@@ -60,9 +63,9 @@ def statistics_of(text: bytes) -> tuple[float, ...]:
     lines = text.split(b"\n")
     lengths = list(map(len, words))
     return (
-        math.log1p(n), count["upper"] / letters, count["symbols"] / size, text.count(b"!") / n, text.count(b" | ") / n, count["digits"] / size,
+        math.log1p(n), count["upper"] / letters, count["symbols"] / size, text.count(b"!") / n, len(_BARE.findall(text)) / n, count["digits"] / size,
         count["other"] / size, sum(lengths) / n, len(set(words)) / n, sum(map(operator.eq, words, islice(words, 1, None))) / n, text.count(b".") / n,
-        text.count(b",") / n, n / len(lines), len(set(lines)) / len(lines), (text.count(b"!! ") + text.count(b"*** ") + text.count(b"$$$ ") + text.count(b"### ")) / n,
+        text.count(b",") / n, n / len(lines), len(set(lines)) / len(lines), sum(len(m) > 1 and m.count(m[:1]) == len(m) for m in text.translate(None, _LETTERS).split()) / n,
         math.log1p(max(lengths)), count["spaces"] / size,
     )
 
@@ -126,15 +129,23 @@ class RuleModel:
         return 1 / (1 + F.exp(-z))
 
 
-def fit(rows: DataFrame, label: str = "label", max_rows: int = MAX_LABELLED) -> RuleModel:
-    """``rows``: the statistics and a label, 0 or 1; other labels and nulls are left out."""
-    known = rows.filter(F.col(label).isin(0, 1)).select(F.col(label).cast("double").alias("label"), *STATS)
+def labelled_statistics(docs: DataFrame, labels: DataFrame, label: str = "label", text: str = "text", doc_id: str = "doc_id", max_rows: int = MAX_LABELLED) -> DataFrame:
+    """Statistics and label of the documents in ``labels`` (doc_id, label): only their texts are looked at. Labels that are not 0 or 1 are left out; of more than
+    ``max_rows`` labels a share is taken, so the side that is broadcast is bounded."""
+    known = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("__id"), F.col(label).cast("double").alias("label"))
+    n = known.count()
+    if n > max_rows:
+        known = known.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
+    found = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(known), "__id")
+    return with_statistics(found.select("label", "__text"), "__text")
+
+
+def fit(known: DataFrame) -> RuleModel:
+    """``known``: the statistics and ``label``, 0.0 or 1.0, of a bounded number of rows, as :func:`labelled_statistics` gives them."""
     n, ones = known.agg(F.count("*"), F.sum("label")).first()
     if not n or ones in (0, n):
         p = min(max((ones / n) if n else 0.5, 1e-6), 1 - 1e-6)
         return RuleModel(math.log(p / (1 - p)), [])
-    if n > max_rows:
-        known = known.filter(F.pmod(F.xxhash64(*STATS), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
     known = known.persist()
     trees = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, subsamplingRate=0.5, featureSubsetStrategy="onethird", minInstancesPerNode=5, seed=7)
     forest = trees.fit(known.withColumn("features", array_to_vector(F.array(*STATS))))

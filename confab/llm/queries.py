@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confab.llm import bpe, exact_dedup, lm, near_dedup, packing, pii, quality, sharding, topk, url_filter
-from confab.llm.common import held_out, store
+from confab.llm.common import held_out, scratch, store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -24,30 +26,44 @@ def tokenizer_path() -> str:
 QUALITY_CUT = 0.3
 
 
-def quality_model(spark: SparkSession, stats: DataFrame, sf_dir: str) -> quality.RuleModel:
-    """The rules learned from the labelled rows of ``stats`` (doc_id and statistics) that are not held out."""
-    labels = _table(spark, sf_dir, "labels", "doc_id", "quality")
-    return quality.fit(stats.filter(~held_out("doc_id", 0)).join(labels, "doc_id"), "quality")
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.RuleModel:
+    """The rules learned from the labelled rows of ``docs`` (doc_id, text) that are not held out."""
+    labels = _table(spark, sf_dir, "labels", "doc_id", "quality").filter(~held_out("doc_id", 0))
+    with scratch(spark):
+        return quality.fit(store(quality.labelled_statistics(docs, labels, "quality"), "labelled"))
 
 
 def op1_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = store(quality.with_statistics(_table(spark, sf_dir, "documents", "doc_id", "text")), "statistics")
-    scored = stats.select("doc_id", held_out("doc_id", 0).alias("held_out"), quality_model(spark, stats, sf_dir).score().alias("score"))
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    score = quality_model(spark, docs, sf_dir).score()
+    scored = quality.with_statistics(docs).select("doc_id", held_out("doc_id", 0).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= QUALITY_CUT, 1).otherwise(0))
 
 
+SHARDS = 8
+
+
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight shards of near equal bytes. The coordinates depend on the text alone, so equal texts stay together unless a cut must go through their group."""
+    """Eight shards of near equal bytes; equal texts stay in one shard unless they are too many bytes for one."""
     sizes = store(sharding.document_sizes(_table(spark, sf_dir, "documents", "doc_id", "text")), "sizes")
-    tie = F.col("text_crc32") * F.lit(1 << 20) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    shards = sharding.kd_shards(sizes, ["n_chars", "text_crc32"], "size", tie, n_leaves=8)
+    shards = sharding.balanced_shards(sizes, ["n_chars", "text_crc32"], SHARDS)
     out = sharding.with_slots(shards, "shard", F.struct("doc_id", "text_crc32"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: The secret key of the pseudonyms. Where it is not set, each session draws its own.
+PII_KEY = "spark.confab.pii.key"
+
+
+def pii_key(spark: SparkSession) -> str:
+    if not spark.conf.get(PII_KEY, None):
+        spark.conf.set(PII_KEY, secrets.token_hex(16))
+    return spark.conf.get(PII_KEY)
+
+
 def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
-    return pii.pseudonymise(docs, found="n_replaced")
+    return pii.pseudonymise(docs, pii_key(spark), found="n_replaced")
 
 
 def op4_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:

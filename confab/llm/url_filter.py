@@ -4,9 +4,11 @@ Host and path are taken from the url by the contract's definitions. Rules are co
 longest first. The model is trained by Spark's LogisticRegression on a small labelled table of urls: n-grams
 of host and of path, marked by their kind, are hashed into a fixed number of buckets. All of it runs in the JVM.
 
-Edge cases: a null url, or one without ``://``, has an empty host and path: no rule fits and the model judges the empty url.
-Repeated urls get the same verdict. Without labelled rows every undecided url is allowed; with labels of one kind, it gets that
-kind. Other columns are untouched; an empty table gives no rows.
+Edge cases: a null url, or one without ``://``, has an empty host and path: no rule fits and the model judges the empty url; very long ones are judged whole.
+Repeated urls get the same verdict; a probability that equals the threshold blocks; of rules of one length the later one in the order of the alphabet wins. Without labelled rows every undecided url is allowed; with labels of one kind, it gets that
+kind. Columns ``host``, ``path``, ``rule``, ``block_probability`` and ``verdict`` are replaced by the results; all others stay, whatever their names but for those that begin with two underscores. An empty table gives no rows.
+
+The model is fitted on at most about MAX_LABELLED distinct labelled urls, half of them of each label where there are enough.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def path_of(url: Column) -> Column:
 def matched_rule(host: Column, path: Column, rules: Sequence[str]) -> Column:
     """The longest rule, ``host/path``, whose host is the url's or a parent domain of it and whose path starts the url's; else null."""
     out = F.lit(None).cast("string")
-    for rule in sorted(rules, key=len):
+    for rule in sorted(rules, key=lambda r: (len(r), r)):
         name, slash, rest = rule.partition("/")
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + rest)
         out = F.when(fits, F.lit(rule)).otherwise(out)
@@ -60,27 +62,28 @@ def _grams(text: Column, mark: str) -> Column:
 
 
 def with_features(urls: DataFrame) -> DataFrame:
-    """Adds ``features`` from the columns ``host`` and ``path``."""
+    """Adds ``__features`` from the columns ``host`` and ``path``."""
     grams = urls.withColumn("__grams", F.concat(_grams(F.col("host"), "h"), _grams(F.col("path"), "p")))
-    return HashingTF(numFeatures=BUCKETS, binary=True, inputCol="__grams", outputCol="features").transform(grams).drop("__grams")
+    return HashingTF(numFeatures=BUCKETS, binary=True, inputCol="__grams", outputCol="__features").transform(grams).drop("__grams")
 
 
 def train(labelled: DataFrame, max_rows: int = MAX_LABELLED, reg: float = 0.01) -> LogisticRegressionModel | float:
     """``labelled``: host, path, label (1.0 block, 0.0 allow). The model, or the one label there is (0.0 for none)."""
     rows = labelled.groupBy("host", "path").agg(F.max("label").alias("label"))
-    n, least, most = rows.agg(F.count("*"), F.min("label"), F.max("label")).first()
-    if not n or least == most:
-        return least or 0.0
-    share = min(1.0, max_rows / n)
-    sample = with_features(rows.filter(F.pmod(F.xxhash64("host", "path"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("label", "features")
-    if sample.select("label").distinct().count() < 2:
-        sample = with_features(rows).select("label", "features")
-    return LogisticRegression(maxIter=30, regParam=reg).fit(sample)
+    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
+        return next(iter(counts), 0.0)
+    least = min(counts.values())
+    share = {x: min(1.0, max(max_rows / 2, max_rows - least) / n) for x, n in counts.items()}
+    drawn = F.pmod(F.xxhash64("host", "path"), F.lit(1 << 30))
+    sample = with_features(rows.filter(F.when(F.col("label") == 1, drawn < int(share[1.0] * (1 << 30))).otherwise(drawn < int(share[0.0] * (1 << 30))))).select("label", "__features")
+    return LogisticRegression(maxIter=30, regParam=reg, featuresCol="__features", rawPredictionCol="__raw", probabilityCol="__probability", predictionCol="__prediction").fit(sample)
 
 
 def judge(urls: DataFrame, rules: dict[str, str], model: LogisticRegressionModel | float | None = None, url: str = "url", threshold: float = 0.5) -> DataFrame:
     """``urls`` with host, path, rule, block_probability and verdict. Without a model, one is trained on the urls that rules decide."""
-    parts = urls.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    url_of = F.col(url)
+    parts = urls.withColumns({"__host": host_of(url_of), "__path": path_of(url_of)}).withColumns({"host": F.col("__host"), "path": F.col("__path")}).drop("__host", "__path")
     parts = parts.withColumn("rule", matched_rule(F.col("host"), F.col("path"), list(rules)))
     if model is None:
         known = parts.filter("rule is not null").select("host", "path", F.when(verdict_of(F.col("rule"), rules) == "block", 1.0).otherwise(0.0).alias("label"))
@@ -88,6 +91,6 @@ def judge(urls: DataFrame, rules: dict[str, str], model: LogisticRegressionModel
     if isinstance(model, float):
         scored = parts.withColumn("block_probability", F.lit(model))
     else:
-        scored = model.transform(with_features(parts)).withColumn("block_probability", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+        scored = model.transform(with_features(parts)).withColumn("block_probability", vector_to_array("__probability")[1]).drop("__features", "__raw", "__probability", "__prediction")
     guess = F.when(F.col("block_probability") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return scored.withColumn("verdict", F.coalesce(verdict_of(F.col("rule"), rules), guess))
