@@ -5,6 +5,11 @@
 3. near_dedup: of each component of near-duplicates, one stays.
 4. pii: personal data in the texts becomes pseudonyms of the same format.
 5. packing: the texts' tokens become sequences of at most 2048 tokens; one row per piece of a document.
+
+Edge cases: a null, empty or white text passes the first stage if the model scores it so; such texts are equal to each other, so one of them stays,
+near-duplicate detection keeps it, and packing gives it its end token alone. Very long texts are read whole by every stage. Of repeated rows and of ties the
+second stage keeps one, as its operator says. Null ids are kept. Further columns stay up to the fourth stage, whatever their names but for those of the statistics (``s_...``),
+which only the first stage forbids. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,8 +22,7 @@ from confab.llm.common import store
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stats = store(quality.with_statistics(docs.select("doc_id", "text")), "statistics")
-    score = queries.quality_model(spark, stats, sf_dir).score()
+    score = queries.quality_model(spark, docs.select("doc_id", "text"), sf_dir).score()
     return quality.with_statistics(docs, keep_text=True).filter(score >= queries.QUALITY_CUT).select(*docs.columns)
 
 
@@ -31,7 +35,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs)
+    return pii.pseudonymise(docs, queries.pii_key(spark))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
