@@ -70,13 +70,13 @@ def select_non_overlapping(scored: DataFrame, k: int = 5, window: int = 2) -> Da
     """The best k windows of which none has its centre within ``window`` of a better one in the same source.
 
     A pick hides at most 2 * window others, so the best k * (2 * window + 1) rows are enough: these alone are looked at on the driver."""
-    top = scored.orderBy(F.desc("score"), "source_path", "center_index").limit(k * (2 * window + 1)).select("source_path", "center_index").collect()
-    chosen: list[tuple[str, int]] = []
+    top = scored.orderBy(F.desc("score"), "source_path", "center_index").limit(k * (2 * window + 1)).collect()
+    chosen: list = []
     for r in top:
-        if len(chosen) < k and all(s != r.source_path or abs(c - r.center_index) > window for s, c in chosen):
-            chosen.append((r.source_path, r.center_index))
-    picks = scored.sparkSession.createDataFrame([(s, c, i + 1) for i, (s, c) in enumerate(chosen)], "source_path string, center_index int, rank int")
-    return scored.join(F.broadcast(picks), ["source_path", "center_index"])
+        if len(chosen) < k and all(c.source_path != r.source_path or abs(c.center_index - r.center_index) > window for c in chosen):
+            chosen.append(r)
+    kind = scored.withColumn("rank", F.lit(1)).schema
+    return scored.sparkSession.createDataFrame([(*r, i + 1) for i, r in enumerate(chosen)], kind)
 
 
 # L6

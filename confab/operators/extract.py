@@ -87,37 +87,57 @@ def judged_tasks(tasks: DataFrame) -> DataFrame:
     return p.withColumn("state", state).withColumn("items", F.when((state == "completed") & ~idle, items)).withColumn("found_name", T.blank_to_null(F.col("__p.chat_name"))).drop("__text", "__p")
 
 
+#: Tasks of a block in which names are carried on.
+CARRY_BLOCK = 10_000
+
+
 # W4
 def carried_chat_name(tasks: DataFrame, default: str = "Current Chat", by: list[str] | None = None) -> DataFrame:
-    """A response's chat name holds for later readable tasks that name none; a task's own name wins."""
-    w = W.partitionBy(*(by or ["run_id"])).orderBy("task_pos").rowsBetween(W.unboundedPreceding, 0)
-    carried = F.last(F.when(F.col("state") == "completed", F.col("found_name")), ignorenulls=True).over(w)
-    return tasks.withColumn("task_chat", F.coalesce(T.blank_to_null(F.col("chat_name")), carried, F.lit(default)))
+    """A response's chat name holds for later readable tasks that name none; a task's own name wins.
+
+    Names are carried within blocks of a run's tasks, and from block to block by one narrow row for each, so no task of Spark's holds a whole run."""
+    by = by or ["run_id"]
+    rows = tasks.withColumns({"__own": F.when(F.col("state") == "completed", F.col("found_name")), "__b": F.floor(F.col("task_pos") / CARRY_BLOCK)})
+    blocks = rows.groupBy(*by, "__b").agg(F.max_by("__own", F.when(F.col("__own").isNotNull(), F.col("task_pos"))).alias("__last"))
+    before = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__b").alias("__block"), F.last("__last", ignorenulls=True).over(before).alias("__from"))
+    same = F.col("__b") == F.col("__block")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    within = W.partitionBy(*by, "__b").orderBy("task_pos").rowsBetween(W.unboundedPreceding, 0)
+    carried = F.coalesce(F.last("__own", ignorenulls=True).over(within), F.col("__from"))
+    joined = rows.join(blocks, same).withColumn("task_chat", F.coalesce(T.blank_to_null(F.col("chat_name")), carried, F.lit(default)))
+    return joined.select(*tasks.columns, "task_chat")
 
 
 # M3, A7
 def finalize(tasks: DataFrame, now: Column, hours: int = 0, scope: str = "task") -> tuple[DataFrame, DataFrame]:
     """Messages of all answered tasks, and one summary row per run."""
-    judged = carried_chat_name(judged_tasks(tasks))
+    judged = judged_tasks(tasks)
     one = F.from_json("m", _ITEM)
-    rows = judged.select("run_id", "task_pos", "task_chat", F.posexplode("items").alias("pos", "m")).withColumn("i", one)
+    rows = carried_chat_name(judged).select("run_id", "task_pos", "task_chat", F.posexplode("items").alias("pos", "m")).withColumn("i", one)
     rows = rows.select(
         "run_id", "task_pos", "pos", F.coalesce(T.blank_to_null(F.col("i.chat_name")), "task_chat").alias("chat_name"), F.coalesce("i.sender", F.lit("")).alias("sender"), F.col("i.time").alias("time"),
         F.coalesce("i.content", F.lit("")).alias("content"), T.coerce_type(F.coalesce("i.type", F.lit("text"))).alias("type"),
     )
-    before = rows.groupBy("run_id").agg(F.count("*").alias("messages_before"))
     if hours > 0:
         sequence = ["run_id"] if scope == "global" else ["run_id", "chat_name", "task_pos"]
         rows = recent_window(with_effective_time(rows, now, sequence, ["task_pos", "pos"]), hours, now).drop("event_time", "effective_time")
-    after = rows.groupBy("run_id").agg(F.count("*").alias("messages_in_window"))
     n = F.row_number().over(W.partitionBy("run_id", "chat_name", "sender", "time", "content", "type").orderBy("task_pos", "pos"))
     kept = rows.withColumn("__n", n).filter("__n = 1").drop("__n")
+    # only the ids of missing and failed tasks are listed, as the summary's columns say
     listed = lambda state: F.array_sort(F.collect_list(F.when(F.col("state") == state, F.struct("task_pos", "step_id"))))
     done = F.count_if((F.col("state") == "completed") | F.col("completed"))
-    summary = judged.groupBy("run_id").agg(F.count("*").alias("total"), done.alias("completed"), listed("missing").alias("m"), listed("failed").alias("f"))
-    summary = summary.join(before, "run_id", "left").join(after, "run_id", "left").select(
-        "run_id", "total", "completed", F.array_join("m.step_id", ",").alias("missing"), F.array_join("f.step_id", ",").alias("failed"),
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("messages_before", "messages_in_window")], ((F.size("m") == 0) & (F.size("f") == 0)).alias("ok"),
+    before = F.coalesce(F.sum(F.array_size("items")), F.lit(0)).alias("messages_before")
+    summary = judged.groupBy("run_id").agg(F.count("*").alias("total"), done.alias("completed"), listed("missing").alias("m"), listed("failed").alias("f"), before)
+    if hours > 0:
+        after = rows.groupBy(F.col("run_id").alias("__run")).agg(F.count("*").alias("messages_in_window"))
+        summary = summary.join(after, F.col("run_id").eqNullSafe(F.col("__run")), "left")
+    else:
+        summary = summary.withColumn("messages_in_window", F.col("messages_before"))
+    summary = summary.select(
+        "run_id", "total", "completed", F.array_join("m.step_id", ",").alias("missing"), F.array_join("f.step_id", ",").alias("failed"), "messages_before",
+        F.coalesce("messages_in_window", F.lit(0)).alias("messages_in_window"), ((F.size("m") == 0) & (F.size("f") == 0)).alias("ok"),
     )
     return kept, summary
 

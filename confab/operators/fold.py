@@ -66,6 +66,7 @@ def similar_step(ratio: float = 0.88, min_len: int = 30) -> Step:
     return step
 
 
+# Fixed value: how a voice message's duration is written.
 _DURATION = re.compile(r"(?:\d{1,2}[:：]\d{2}(?::\d{2})?|\d{1,3}[\"'″′秒sS]?|\d+\s*秒)\Z")
 
 

@@ -21,8 +21,11 @@ def pending_tasks(tasks: DataFrame, responses: DataFrame, force: bool = False, s
 
 
 # M1
-def map_model(tasks: DataFrame, query: Callable[[str, bytes | None, int], str | None], workers: int = 8, attempts: int = 3) -> DataFrame:
-    """``tasks`` (prompt, image, max_tokens, ...) with ``response_text`` and ``error``; a failing row is tried again and never stops the others."""
+def map_model(tasks: DataFrame, query: Callable[[str, bytes | None, int], str | None], workers: int | None = None, attempts: int = 3) -> DataFrame:
+    """``tasks`` (prompt, image, max_tokens, ...) with ``response_text`` and ``error``; a failing row is tried again and never stops the others.
+
+    Each task of Spark's runs one call at a time. ``workers`` limits how many run at once, for a model that bears no more; without it, there are as
+    many as the table has partitions."""
     schema = tasks.select("*", F.lit(None).cast("string").alias("response_text"), F.lit(None).cast("string").alias("error")).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,7 +45,7 @@ def map_model(tasks: DataFrame, query: Callable[[str, bytes | None, int], str |
                 errors.append(error)
             yield frame.assign(response_text=answers, error=errors)
 
-    return tasks.repartition(workers).mapInPandas(run, schema)
+    return (tasks.repartition(workers) if workers else tasks).mapInPandas(run, schema)
 
 
 def model_totals(results: DataFrame, pending: int, total: int) -> DataFrame:

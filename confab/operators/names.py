@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from confab.functions import text as T
 
 CUT_LEN, REVERSE_LEN, LOOSE_LEN = 4, 3, 3
-#: Configured names up to this many are broadcast; longer lists are joined on keys of which each matching pair shares one.
-BROADCAST_NAMES = 100_000
+#: Configured names up to this many are broadcast; longer lists are shuffled. Both are joined on the same keys.
+BROADCAST_NAMES = 10_000
 
 
 def _uncut(c: Column) -> Column:
@@ -28,6 +29,11 @@ def with_keys(rows: DataFrame, name: str, prefix: str) -> DataFrame:
         f"{prefix}core": T.without_pictographs(F.coalesce(F.col(name), F.lit(""))),
         f"{prefix}title": T.normalize_title(F.col(name)),
     })
+    rows = rows.withColumns({
+        f"{prefix}stem_compact": T.compact_label(F.col(f"{prefix}stem")),
+        f"{prefix}title_core": T.cjk_core(F.col(f"{prefix}title")),
+        f"{prefix}full_low": F.lower(F.col(f"{prefix}full")),
+    })
     align = F.regexp_replace(F.translate(F.col(f"{prefix}compact"), "-_", ""), r"[.。．…⋯]+$", "")
     return rows.withColumns({
         f"{prefix}identity": T.identity_key(lab),
@@ -49,7 +55,7 @@ def names_match(v: str = "v_", c: str = "c_") -> Column:
     stem = F.col(f"{v}stem")
     return (vl != "") & (cl != "") & (
         (vl == cl) | (vc == cc) | ((F.char_length(cc) >= 2) & vc.startswith(cc)) | _proper_prefix(vc, cc, REVERSE_LEN)
-        | _proper_prefix(stem, cl, CUT_LEN) | ((F.char_length(stem) >= CUT_LEN) & (_proper_prefix(T.compact_label(stem), cc, CUT_LEN) | _proper_prefix(F.col(f"{v}stem_identity"), F.col(f"{c}identity"), CUT_LEN)))
+        | _proper_prefix(stem, cl, CUT_LEN) | ((F.char_length(stem) >= CUT_LEN) & (_proper_prefix(F.col(f"{v}stem_compact"), cc, CUT_LEN) | _proper_prefix(F.col(f"{v}stem_identity"), F.col(f"{c}identity"), CUT_LEN)))
     )
 
 
@@ -58,17 +64,18 @@ def names_match_strict(v: str = "v_", c: str = "c_") -> Column:
     vs, cs, core = F.col(f"{v}strict"), F.col(f"{c}strict"), F.col(f"{c}core_fold")
     seen = F.col(f"{v}full_fold")
     cut = lambda full: _proper_prefix(seen, full, CUT_LEN)
-    return (vs != "") & (cs != "") & ((vs == cs) | ((core != "") & (vs == core)) | cut(F.lower(F.col(f"{c}full"))) | ((core != "") & cut(core)))
+    return (vs != "") & (cs != "") & ((vs == cs) | ((core != "") & (vs == core)) | cut(F.col(f"{c}full_low")) | ((core != "") & cut(core)))
 
 
 # J3
-def titles_match(a: Column, b: Column) -> Column:
-    """Two normalised titles are alike: equal, one within the other, or with most characters in common, but not with different last parts."""
+def titles_match(a: Column, b: Column, a_core: Column | None = None, b_core: Column | None = None) -> Column:
+    """Two normalised titles are alike: equal, one within the other, or with most characters in common, but not with different last parts. The
+    cores may be given, where they are columns already."""
     x, y = F.lower(a), F.lower(b)
     short_first = F.char_length(x) <= F.char_length(y)
     short, long = F.when(short_first, x).otherwise(y), F.when(short_first, y).otherwise(x)
     within = (F.char_length(short) >= LOOSE_LEN) & (F.char_length(short) < F.char_length(long)) & F.contains(long, short)
-    p, q = T.cjk_core(a), T.cjk_core(b)
+    p, q = (T.cjk_core(a) if a_core is None else a_core), (T.cjk_core(b) if b_core is None else b_core)
     p_first = F.char_length(p) <= F.char_length(q)
     small, large = F.when(p_first, p).otherwise(q), F.when(p_first, q).otherwise(p)
     common = F.size(F.filter(F.split(small, ""), lambda ch: F.contains(large, ch)))
@@ -87,7 +94,7 @@ def aligned(a: Column, b: Column) -> Column:
 
 
 def combined_match(v: str = "v_", c: str = "c_") -> Column:
-    loose = names_match(v, c) | names_match_strict(v, c) | titles_match(F.col(f"{v}title"), F.col(f"{c}title"))
+    loose = names_match(v, c) | names_match_strict(v, c) | titles_match(F.col(f"{v}title"), F.col(f"{c}title"), F.col(f"{v}title_core"), F.col(f"{c}title_core"))
     return loose & (names_match_strict(v, c) | aligned(F.col(f"{v}align"), F.col(f"{c}align")))
 
 
@@ -95,10 +102,10 @@ def _start(tag: str, c: Column, n: int, least: int = 0) -> Column:
     return F.when(F.char_length(c) >= least, F.concat(F.lit(f"{tag}:"), F.substring(c, 1, n)))
 
 
-def _title_keys(title: Column, p: str) -> Column:
+def _title_keys(title: Column, core: Column, p: str) -> Column:
     """Keys of titles alike. Equal ones share themselves. Of one within another, all trigrams are in the longer, so one chosen by hash is looked
     up among all of the other's. Of a shorter core with ``m`` of its ``n`` characters in the longer, any ``n - m + 1`` characters hold one of those."""
-    x, core = F.lower(title), T.cjk_core(title)
+    x = F.lower(title)
     n = F.char_length(core)
     tagged = lambda tag, values: F.transform(values, lambda v: F.concat(F.lit(f"{tag}:"), v))
     none = F.array().cast("array<string>")
@@ -118,17 +125,17 @@ def candidate_keys(rule: str, p: str) -> Column:
     strict = (
         [F.concat(F.lit("=:"), col("strict")), _start("cut", col("full_fold"), CUT_LEN, CUT_LEN)]
         if seen
-        else [F.concat(F.lit("=:"), col("strict")), F.concat(F.lit("=:"), col("core_fold")), _start("cut", F.lower(col("full")), CUT_LEN, CUT_LEN), _start("cut", col("core_fold"), CUT_LEN, CUT_LEN)]
+        else [F.concat(F.lit("=:"), col("strict")), F.concat(F.lit("=:"), col("core_fold")), _start("cut", col("full_low"), CUT_LEN, CUT_LEN), _start("cut", col("core_fold"), CUT_LEN, CUT_LEN)]
     )
     keys = {
         "plain": F.array(
             _start("compact", col("compact"), 2),
             _start("stem", col("stem") if seen else col("label"), CUT_LEN, CUT_LEN),
-            _start("stem compact", T.compact_label(col("stem")) if seen else col("compact"), CUT_LEN, CUT_LEN),
+            _start("stem compact", col("stem_compact") if seen else col("compact"), CUT_LEN, CUT_LEN),
             _start("identity", col("stem_identity") if seen else col("identity"), CUT_LEN, CUT_LEN),
         ),
         "strict": F.array(*strict),
-        "titles": _title_keys(col("title"), p),
+        "titles": _title_keys(col("title"), col("title_core"), p),
         # each pair of the combined rule is strict or aligned
         "combined": F.array(*strict, _start("align", col("align"), 3, 1)),
     }[rule]
@@ -138,15 +145,14 @@ def candidate_keys(rule: str, p: str) -> Column:
 def match_names(visible: DataFrame, configured: DataFrame, v_name: str = "name", c_name: str = "configured", rule: str = "combined") -> DataFrame:
     """All pairs of a visible row and a configured name that match by the rule: ``plain``, ``strict``, ``titles`` or ``combined``.
 
-    Short lists are broadcast, after their size was checked. Long ones are joined on :func:`candidate_keys`, with the same result."""
-    how = {"plain": names_match(), "strict": names_match_strict(), "titles": titles_match(F.col("v_title"), F.col("c_title")), "combined": combined_match()}[rule]
+    Names are joined on :func:`candidate_keys`, and the pairs that share one are judged by the rule. A short list is broadcast, after its size was checked."""
+    how = {"plain": names_match(), "strict": names_match_strict(), "titles": titles_match(F.col("v_title"), F.col("c_title"), F.col("v_title_core"), F.col("c_title_core")), "combined": combined_match()}[rule]
     left, right = with_keys(visible, v_name, "v_"), with_keys(configured, c_name, "c_")
+    left, right = (rows.withColumn(f"{p}keys", candidate_keys(rule, p)).withColumn(f"{p}key", F.explode(f"{p}keys")) for rows, p in ((left, "v_"), (right, "c_")))
     if configured.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
-        joined = left.join(F.broadcast(right), how)
-    else:
-        left, right = (rows.withColumn(f"{p}keys", candidate_keys(rule, p)).withColumn(f"{p}key", F.explode(f"{p}keys")) for rows, p in ((left, "v_"), (right, "c_")))
-        # a pair that shares several keys is taken at the first of them
-        joined = left.join(right, (F.col("v_key") == F.col("c_key")) & (F.col("v_key") == F.get(F.array_intersect("v_keys", "c_keys"), F.lit(0))) & how)
+        right = F.broadcast(right)
+    # a pair that shares several keys is taken at the first of them
+    joined = left.join(right, (F.col("v_key") == F.col("c_key")) & (F.col("v_key") == F.get(F.array_intersect("v_keys", "c_keys"), F.lit(0))) & how)
     return joined.select(*visible.columns, *configured.columns)
 
 
@@ -174,32 +180,48 @@ def allowed_rows(rows: DataFrame, names: DataFrame, name: str = "name", configur
     return rows.join(hits, name, "left_semi")
 
 
+#: Configured names of a block.
+NAME_BLOCK = 5_000
+
+
 # J5
 def resolve_chats(rows: DataFrame, configured: DataFrame, kind: str = "all", unread_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """For each configured name (``configured``, ``position``) its first matching CHATROW of a scan, and the names without any."""
+    """For each configured name (``configured``, ``position``) its first matching CHATROW of a scan, and the names without any.
+
+    The latter are a scan's found names taken from the list of all, block by block."""
     seen = rows.filter(chat_type_allows(kind) & (has_unread() if unread_only else F.lit(True)))
     pairs = match_names(seen, configured)
     first = pairs.groupBy("scan_id", "configured", "position").agg(F.min("row_pos").alias("row_pos"), F.min_by("name", "row_pos").alias("name"))
-    scans = rows.select("scan_id").distinct()
-    missing = scans.join(F.broadcast(configured)).join(first, ["scan_id", "configured", "position"], "left_anti")
+    blocks = max(1, -(-configured.count() // NAME_BLOCK))
+    block, one = F.pmod(F.xxhash64("configured", "position"), F.lit(blocks)).cast("int").alias("__b"), F.struct("configured", "position")
+    every = configured.groupBy(block).agg(F.collect_list(one).alias("__all"))
+    found = first.groupBy("scan_id", block).agg(F.collect_list(one).alias("__found"))
+    scans = rows.select("scan_id").distinct().withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = scans.join(every, "__b").join(found, ["scan_id", "__b"], "left")
+    missing = left.select("scan_id", F.explode(F.when(F.col("__found").isNull(), F.col("__all")).otherwise(F.array_except("__all", "__found"))).alias("n")).select("scan_id", "n.*")
     return first.orderBy("scan_id", "row_pos", "position"), missing
 
 
 # D10
 def first_seen(names: DataFrame, scan: str = "scan_id", name: str = "name", pos: str = "row_pos") -> DataFrame:
-    """Names of a scan without those whose key was seen, or that align with an earlier accepted name. A scan is one screen's names: small."""
-    keyed = with_keys(names, name, "n_").withColumn("n_key", T.chat_key(F.col(name))).select(*names.columns, "n_key", "n_align")
+    """Names of a scan without those whose key was seen, or that align with an earlier accepted name.
+
+    Only the first row of each key and aligned form can be accepted, so the walk over a scan sees its distinct names alone."""
+    keyed = with_keys(names, name, "n_").withColumn("n_key", T.chat_key(F.col(name))).select(*names.columns, "n_key", "n_align").filter("n_key != ''")
+    n = F.row_number().over(W.partitionBy(scan, "n_key", "n_align").orderBy(pos))
+    keyed = keyed.withColumn("n_n", n).filter("n_n = 1").drop("n_n")
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        keys, aligns, keep = set(), [], []
+        keys, starts, whole, keep = set(), set(), set(), []
         for r in group.sort_values(pos).itertuples():
-            def like(x: str, y: str = r.n_align) -> bool:
-                short, long = sorted((x, y), key=len)
-                return bool(short) and (x == y or len(short) >= 3 and long.startswith(short))
-
-            if r.n_key and r.n_key not in keys and not any(map(like, aligns)):
+            # an earlier name is a start of this one, or this one of an earlier: three characters at least, or all
+            a = r.n_align
+            alike = a in whole or (len(a) >= 3 and a in starts) or any(a[:k] in whole for k in range(3, len(a)))
+            if r.n_key not in keys and not (a and alike):
                 keys.add(r.n_key)
-                aligns.append(r.n_align)
+                if a:
+                    whole.add(a)
+                    starts.update(a[:k] for k in range(3, len(a) + 1))
                 keep.append(r.Index)
         return group.loc[keep]
 

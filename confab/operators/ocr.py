@@ -5,8 +5,11 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,18 +50,21 @@ def lines_of(text: str | None, width: int, height: int) -> list[tuple[str, int,
     return sorted(found, key=lambda r: ((r[2] + r[4]) // 2, r[1]))
 
 
-@F.udtf(returnType="line_pos int, text string, x1 int, y1 int, x2 int, y2 int, conf double")
-class OcrLines:
-    def eval(self, text: str, width: int, height: int):
-        for i, r in enumerate(lines_of(text, width, height)):
-            yield (i, *r, 1.0)
-
-
 def parse_ocr_text(answers: DataFrame) -> DataFrame:
     """OCRLINE rows of ``(image_id, text, width, height)``."""
-    answers.sparkSession.udtf.register("confab_ocr_lines", OcrLines)
-    answers.createOrReplaceTempView("confab_ocr_answers")
-    return answers.sparkSession.sql("SELECT a.image_id, l.* FROM confab_ocr_answers a, LATERAL confab_ocr_lines(a.text, a.width, a.height) l")
+    kind = answers.schema["image_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            answer, lines = [], []
+            for i, (text, width, height) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                own = lines_of(text, width, height)
+                answer += [i] * len(own)
+                lines += [(k, *line) for k, line in enumerate(own)]
+            columns = [pa.array([line[k] for line in lines], pa.string() if k == 1 else pa.int32()) for k in range(6)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(answer, pa.int64())), *columns, pa.array(np.ones(len(lines)))], names=["image_id", "line_pos", "text", "x1", "y1", "x2", "y2", "conf"])
+
+    return answers.select("image_id", "text", "width", "height").mapInArrow(run, f"image_id {kind}, line_pos int, text string, x1 int, y1 int, x2 int, y2 int, conf double")
 
 
 # W7

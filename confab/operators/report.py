@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confab.functions.text import render_line
+from confab.operators.order import place_in_order
 
 
 # A8
@@ -17,8 +18,10 @@ def report_blocks(messages: DataFrame) -> DataFrame:
     return blocks.select("chat_name", "position", F.concat(F.lit("## "), "chat_name", F.lit("\n"), F.array_join("lines.line", "\n")).alias("block"))
 
 
-def report_prompt(messages: DataFrame, template: str = "{instructions}\n\n{blocks}\n", instructions: str = "Summarise the chats below.") -> DataFrame:
-    """One row: the blocks of the chosen messages, joined by blank lines, in the caller's template. A prompt is as large as its model reads, so small."""
-    joined = report_blocks(messages).agg(F.array_sort(F.collect_list(F.struct("position", "block"))).alias("b"))
+def report_prompt(messages: DataFrame, template: str = "{instructions}\n\n{blocks}\n", instructions: str = "Summarise the chats below.", chats: int = 100) -> DataFrame:
+    """``prompt_pos, prompt``: the blocks of the chosen messages, joined by blank lines, in the caller's template; up to ``chats`` blocks go into a prompt, in
+    order, so a few chats make one prompt and many make many."""
+    numbered = place_in_order(report_blocks(messages).select("position", "block"), F.col("position.source_path"), F.col("position"), "__n")
+    joined = numbered.groupBy(F.floor(F.col("__n") / chats).cast("int").alias("prompt_pos")).agg(F.array_sort(F.collect_list(F.struct("__n", "block"))).alias("b"))
     head, _, tail = template.replace("{instructions}", instructions).partition("{blocks}")
-    return joined.select(F.concat(F.lit(head), F.array_join("b.block", "\n\n"), F.lit(tail)).alias("prompt"))
+    return joined.select("prompt_pos", F.concat(F.lit(head), F.array_join("b.block", "\n\n"), F.lit(tail)).alias("prompt"))

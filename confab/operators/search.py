@@ -47,6 +47,14 @@ def page(rows: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     return rows.orderBy("source_path", "msg_index").offset(offset).limit(limit)
 
 
+def page_with_total(rows: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
+    """One row: ``total``, the number of all matches, and ``messages``, the page's rows in order; a page behind the end is empty and has the total."""
+    total = rows.agg(F.count("*").alias("total"))
+    of_page = F.struct(*rows.columns)
+    listed = page(rows, limit, offset).agg(F.array_sort(F.collect_list(F.struct("source_path", "msg_index", of_page.alias("m")))).alias("p"))
+    return total.join(F.broadcast(listed)).select("total", F.transform("p", lambda x: x["m"]).alias("messages"))  # one row each
+
+
 # A1, A2
 def type_breakdown(messages: DataFrame) -> DataFrame:
     counts = messages.groupBy("source_path", F.coalesce("type", F.lit("text")).alias("type")).agg(F.count("*").alias("n"))

@@ -43,6 +43,21 @@ def search_keyword(spark, sf):
     return S.search(conversations(spark, sf), "Than", type_="text").select("source_path", "msg_index", "sender", "content")
 
 
+@query(f"WITH {M_SQL} SELECT count(*) AS total, 0 AS n_messages FROM m WHERE contains(lower(content), 'than') OR contains(lower(sender), 'than')")
+def search_behind_the_end(spark, sf):
+    """A page behind the last match is empty and still has the total."""
+    found = S.page_with_total(S.search(conversations(spark, sf), "than"), 20, 1 << 30)
+    return found.select("total", F.size("messages").alias("n_messages"))
+
+
+@query(f"""WITH {M_SQL}, f AS (SELECT * FROM m WHERE contains(lower(content), 'than') OR contains(lower(sender), 'than')),
+  p AS (SELECT source_path, msg_index FROM f ORDER BY source_path, msg_index LIMIT 20 OFFSET 5)
+  SELECT (SELECT count(*) FROM f) AS total, source_path, msg_index FROM p""")
+def search_totals(spark, sf):
+    found = S.page_with_total(S.search(conversations(spark, sf), "than"), 20, 5)
+    return found.select("total", F.explode("messages").alias("m")).select("total", "m.source_path", "m.msg_index")
+
+
 @query(f"WITH {M_SQL} SELECT source_path, msg_index, content FROM m WHERE contains(lower(source_path), '1') AND (contains(lower(content), 'the') OR contains(lower(sender), 'the')) ORDER BY source_path, msg_index LIMIT 20 OFFSET 5")
 def search_page(spark, sf):
     return S.page(S.search(conversations(spark, sf), "the", chats=["1"]), 20, 5).select("source_path", "msg_index", "content")
@@ -146,7 +161,16 @@ def ask_scores(spark, sf):
     return scored.select("source_path", "center_index", F.round("score", 3).alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SCORES},
+  t AS (SELECT z.*, (row_number() OVER (ORDER BY score DESC, source_path, center_index))::INT AS n FROM z WHERE score > 0),
+  g(n, picks) AS (SELECT 0, CAST([] AS STRUCT(s VARCHAR, c INT)[]) UNION ALL
+    SELECT g.n + 1, CASE WHEN len(picks) < 5 AND len(list_filter(picks, lambda p: p.s = t.source_path AND abs(p.c - t.center_index) <= 2)) = 0
+      THEN list_append(picks, struct_pack(s := t.source_path, c := t.center_index)) ELSE picks END FROM g JOIN t ON t.n = g.n + 1 WHERE g.n < 25),
+  b AS (SELECT unnest(range(1, len(picks) + 1)) AS rank, unnest(picks) AS p FROM (SELECT picks FROM g ORDER BY n DESC LIMIT 1)),
+  h AS (SELECT source_path, center_index, string_agg(term, ',' ORDER BY list_position(['what', 'is', 'the', 'than'], term)) AS terms, bool_or(ph) AS ph FROM c WHERE n > 0 GROUP BY 1, 2)
+  SELECT rank::INT AS rank, t.source_path AS chat_name, t.center_index, round(t.score, 3) AS score, concat_ws(',', CASE WHEN h.ph THEN '{QUESTION}' END, h.terms) AS matched_terms,
+    (SELECT string_agg(concat_ws(': ', sender, content), chr(10) ORDER BY msg_index) FROM m WHERE m.source_path = t.source_path AND msg_index BETWEEN t.center_index - 2 AND t.center_index + 2) AS messages
+  FROM b JOIN t ON t.source_path = p.s AND t.center_index = p.c LEFT JOIN h ON h.source_path = p.s AND h.center_index = p.c""")
 def ask_topk(spark, sf):
     best = context.ask(conversations(spark, sf), QUESTION, k=5)
     texts = F.array_join(F.transform("messages", lambda m: F.concat_ws(": ", m["sender"], m["content"])), "\n")
@@ -232,7 +256,10 @@ def clean_ocr_names(spark, sf):
     return table(spark, sf, "events").select("event_id", T.clean_ocr_name(picked(OCR_NAMES, F.col("event_id"))).alias("name"))
 
 
-@query()
+@query("""WITH n AS (SELECT doc_id, text, length(text) AS n FROM documents),
+  s AS (SELECT *, CASE WHEN n >= 8000 THEN list_min(list_filter(range(2, n // 10 + 1), lambda k: right(text, 10 * k) = repeat(right(text, k), 10))) END AS size FROM n),
+  c AS (SELECT *, CASE WHEN size IS NOT NULL THEN list_max(list_filter(range(10, n // size + 1), lambda k: right(text, k * size) = repeat(right(text, size), k))) END AS copies FROM s)
+  SELECT doc_id, CASE WHEN size IS NULL THEN text ELSE left(text, n - size * (copies - 1)) END AS text FROM c""")
 def trim_repetitions(spark, sf):
     """Long documents that end in many copies of one unit keep one of them."""
     return table(spark, sf, "documents").select("doc_id", T.trim_repetition(F.col("text")).alias("text"))
@@ -296,9 +323,16 @@ def distinct_names(spark, sf):
     return clean.distinct_names(rows)
 
 
-@query()
+SEEN_NAMES = ["Alice", "Ali", "Bob", "Alice B", "", "搜 索", "bob", "Al"]
+
+
+@query(f"""WITH {E_SQL}, c AS (SELECT source_path AS scan_id, msg_index AS row_pos, {picked_sql(SEEN_NAMES, 'event_id')} AS name FROM e),
+  k AS (SELECT *, row_number() OVER (PARTITION BY scan_id, CASE WHEN starts_with(name, 'Ali') THEN 'ali' ELSE lower(name) END ORDER BY row_pos) AS n FROM c WHERE name <> '')
+  SELECT scan_id, row_pos, name FROM k WHERE n = 1""")
 def first_seen_names(spark, sf):
-    return names.first_seen(_chat_rows(spark, sf).select("scan_id", "row_pos", "name"))
+    """Names that begin alike are one chat if they share three characters."""
+    rows = events(spark, sf).select(F.col("source_path").alias("scan_id"), F.col("msg_index").alias("row_pos"), picked(SEEN_NAMES, F.col("event_id")).alias("name"))
+    return names.first_seen(rows)
 
 
 # --- time ----------------------------------------------------------------------------------------------------------
@@ -400,6 +434,51 @@ def finalize_summary(spark, sf):
     return summary.drop("run_id")
 
 
+def _timed_responses(spark, sf) -> DataFrame:
+    """Events as a model's answers, ten to a chunk, with separator lines and times that are missing in part."""
+    mark = F.col("event_id") % 7 == 0
+    content = F.when(mark, F.date_format("ts", "yyyy年M月d日 HH:mm")).otherwise(F.col("content"))
+    time = F.when(~mark & (F.col("event_id") % 2 == 0), F.date_format("ts", "yyyy-MM-dd HH:mm"))
+    rows = events(spark, sf).withColumns({"content": content, "time": time, "chunk_index": F.floor(F.col("msg_index") / 10).cast("int")})
+    items = F.transform(F.array_sort(F.collect_list(F.struct("msg_index", F.struct("sender", "content", "time", "type").alias("m")))), lambda x: x["m"])
+    chunks = rows.groupBy("chat_name", "chunk_index").agg(F.to_json(F.struct(items.alias("messages")), {"ignoreNullFields": "false"}).alias("response_text"))
+    pos = F.regexp_extract("chat_name", r"(\d+)", 1).cast("int") * 1000 + F.col("chunk_index")
+    return chunks.select(F.lit("run").alias("run_id"), pos.alias("task_pos"), F.concat(F.lit("s"), pos.cast("string")).alias("step_id"), "chat_name", "chunk_index", F.lit(None).cast("int").alias("chunk_total"), F.lit("message_extraction").alias("kind"), F.lit(False).alias("completed"), "response_text")
+
+
+_TIMED = f"""{E_SQL}, s AS (SELECT source_path, msg_index, msg_index // 10 AS chunk, sender, content, event_id % 7 = 0 AS mark, date_trunc('minute', ts) AS ts,
+    CASE WHEN event_id % 7 <> 0 AND event_id % 2 = 0 THEN date_trunc('minute', ts) END AS t FROM e),
+  f AS (SELECT *, last_value(CASE WHEN mark THEN ts END IGNORE NULLS) OVER (PARTITION BY source_path, chunk ORDER BY msg_index) AS seen FROM s)"""
+
+
+@query(f"""WITH {_TIMED}, g AS (SELECT *, coalesce(t, seen) AS known, coalesce(strftime(t, '%Y-%m-%d %H:%M'), strftime(seen, '%Y年%-m月%-d日 %H:%M')) AS time FROM f WHERE NOT mark),
+  h AS (SELECT *, last_value(known IGNORE NULLS) OVER (PARTITION BY source_path, chunk ORDER BY msg_index) AS eff FROM g),
+  c AS (SELECT source_path, max(chunk) FILTER (eff < {NOW_SQL} - INTERVAL 240 HOUR) AS from_chunk FROM h GROUP BY 1),
+  w AS (SELECT h.* FROM h JOIN c USING (source_path) WHERE chunk >= coalesce(from_chunk, 0) AND (eff IS NULL OR eff >= {NOW_SQL} - INTERVAL 240 HOUR)),
+  d AS (SELECT *, row_number() OVER (PARTITION BY source_path, sender, time, content ORDER BY msg_index) AS n FROM w)
+  SELECT source_path, (row_number() OVER (PARTITION BY source_path ORDER BY msg_index) - 1)::INT AS msg_index, sender, time, content FROM d WHERE n = 1""")
+def extract_windowed(spark, sf):
+    """Separator times, the window of hours and the cut-off of chunks, within the extraction."""
+    return extract.extract_chat(_timed_responses(spark, sf), now(), hours=240).select("source_path", "msg_index", "sender", "time", "content")
+
+
+_FINAL_TIMED = f"""{_TIMED}, h AS (SELECT *, last_value(CASE WHEN mark THEN NULL ELSE t END IGNORE NULLS) OVER (PARTITION BY source_path, chunk ORDER BY msg_index) AS eff FROM f),
+  w AS (SELECT *, eff IS NULL OR eff >= {NOW_SQL} - INTERVAL 240 HOUR AS inside FROM h)"""
+
+
+@query(f"""WITH {_FINAL_TIMED} SELECT (SELECT count(DISTINCT (source_path, chunk)) FROM w) AS total, (SELECT count(DISTINCT (source_path, chunk)) FROM w) AS completed, '' AS missing, '' AS failed,
+  count(*) AS messages_before, count(*) FILTER (inside) AS messages_in_window, true AS ok FROM w""")
+def finalize_windowed_summary(spark, sf):
+    _, summary = extract.finalize(_timed_responses(spark, sf), now(), hours=240)
+    return summary.drop("run_id")
+
+
+@query(f"""WITH {_FINAL_TIMED} SELECT DISTINCT source_path AS chat_name, sender, strftime(t, '%Y-%m-%d %H:%M') AS time, CASE WHEN mark THEN strftime(ts, '%Y年%-m月%-d日 %H:%M') ELSE content END AS content FROM w WHERE inside""")
+def finalize_windowed(spark, sf):
+    rows, _ = extract.finalize(_timed_responses(spark, sf), now(), hours=240)
+    return rows.select("chat_name", "sender", "time", "content")
+
+
 @query(f"WITH {R_SQL} SELECT step_id FROM t WHERE task_pos % 7 = 0")
 def pending_tasks(spark, sf):
     tasks = spoiled(responses(spark, sf))
@@ -418,10 +497,9 @@ def task_chats(spark, sf):
     return runs.task_chats(responses(spark, sf)).select("chat_name", "first")
 
 
-@query(f"WITH {R_SQL}, v AS (SELECT *, row_number() OVER (PARTITION BY chat_name ORDER BY chunk_index) AS n FROM t) SELECT chat_name, chunk_index, printf('%04d', n) AS number FROM v")
+@query(f"WITH {R_SQL} SELECT chat_name, chunk_index, printf('step_r1_%04d', row_number() OVER (ORDER BY chat_name, chunk_index)) AS step_id FROM t")
 def task_rows(spark, sf):
-    tasks = sinks.task_rows(responses(spark, sf).select("chat_name", "chunk_index"), "r1")
-    return tasks.select("chat_name", "chunk_index", F.substring_index("step_id", "_", -1).alias("number"))
+    return sinks.task_rows(responses(spark, sf).select("chat_name", "chunk_index"), "r1").select("chat_name", "chunk_index", "step_id")
 
 
 @query(f"""WITH {R_SQL}, n AS (SELECT *, CASE WHEN chunk_index = 1 THEN 'named ' || chat_name END AS own FROM t)
@@ -446,14 +524,14 @@ def extraction_outcomes(spark, sf):
     return extract.outcomes(r).select("submit_index", "chat_name", "success", "message_count")
 
 
-@query("""WITH o AS (SELECT user_id AS run_id, event_id AS pos, event_type AS chat_name, event_id % 3 <> 1 AS bad FROM events WHERE user_id % 2 = 0 OR event_id % 3 = 0),
+@query("""WITH o AS (SELECT user_id AS run_id, event_id AS pos, event_type AS chat_name, user_id % 4 = 3 OR user_id % 4 <> 0 AND event_id % 3 <> 1 AS bad FROM events),
   f AS (SELECT run_id, chat_name, min(pos) AS pos FROM o WHERE bad GROUP BY 1, 2)
   SELECT run_id, n_paths, n_failures, errors, CASE WHEN n_failures = 0 THEN 'ok' WHEN n_paths > 0 THEN 'partial' ELSE 'failed' END AS status, n_failures = 0 AS ok FROM
    (SELECT run_id, count(*) FILTER (NOT bad) AS n_paths, (SELECT count(*) FROM f WHERE f.run_id = o.run_id) AS n_failures,
      coalesce((SELECT string_agg(chat_name || ': model: timeout', '; ' ORDER BY pos) FROM f WHERE f.run_id = o.run_id), '') AS errors FROM o GROUP BY run_id)""")
 def run_status(spark, sf):
-    bad = F.col("event_id") % 3 != 1
-    o = table(spark, sf, "events").filter("user_id % 2 = 0 OR event_id % 3 = 0")
+    bad = (F.col("user_id") % 4 == 3) | ((F.col("user_id") % 4 != 0) & (F.col("event_id") % 3 != 1))
+    o = table(spark, sf, "events")
     o = o.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("chat_name"), F.when(~bad, "p").alias("path"), F.lit("model").alias("stage"), F.when(bad, "timeout").alias("error"))
     return runs.run_status(o)
 
@@ -491,7 +569,17 @@ def _messages(df: DataFrame) -> DataFrame:
     return df.select("source_path", "msg_index", "chat_name", "sender", "time", "content", "type")
 
 
-@query()
+_LOOKBACK = f"""WITH RECURSIVE {E_SQL},
+  r(source_path, i, kept) AS (SELECT DISTINCT source_path, -1, CAST([] AS STRUCT(i INT, s VARCHAR, c VARCHAR, t VARCHAR)[]) FROM e UNION ALL
+    SELECT r.source_path, e.msg_index, CASE WHEN hit = 0 THEN list_append(kept, struct_pack(i := e.msg_index, s := sender, c := content, t := time))[-5:]
+      ELSE list_transform(kept, lambda k, n: CASE WHEN n = hit AND k.t IS NULL THEN struct_pack(i := k.i, s := k.s, c := k.c, t := time) ELSE k END) END
+    FROM r JOIN e ON e.source_path = r.source_path AND e.msg_index = r.i + 1,
+      LATERAL (SELECT coalesce(list_position(list_transform(kept, lambda k: k.s = sender AND k.c = content), true), 0) AS hit) h),
+  k AS (SELECT source_path, k.i AS i, max(k.t) AS t FROM (SELECT source_path, unnest(kept) AS k FROM r) GROUP BY 1, 2)
+  SELECT e.source_path, e.msg_index, chat_name, sender, k.t AS time, content, type FROM e JOIN k ON k.source_path = e.source_path AND k.i = e.msg_index"""
+
+
+@query(_LOOKBACK)
 def dedup_lookback(spark, sf):
     return clean.dedup_lookback(_messages(events(spark, sf)))
 
@@ -501,10 +589,19 @@ def dedup_similar(spark, sf):
     return clean.dedup_similar(_messages(conversations(spark, sf)))
 
 
-@query()
+VOICE_LINES = ['[语音] 2"', '2"', "2", "ok", "[语音] 12秒", "12秒"]
+_DIGITS = "regexp_replace({}, '[^0-9]', '', 'g')"
+
+
+@query(f"""WITH RECURSIVE {E_SQL}, v AS (SELECT source_path, msg_index, chat_name, time, {picked_sql(VOICE_LINES, 'event_id')} AS content FROM e),
+  r(source_path, i, last, kept) AS (SELECT DISTINCT source_path, -1, NULL::VARCHAR, false FROM e UNION ALL
+    SELECT r.source_path, v.msg_index, CASE WHEN again THEN r.last ELSE v.content END, NOT again
+    FROM r JOIN v ON v.source_path = r.source_path AND v.msg_index = r.i + 1,
+      LATERAL (SELECT coalesce(starts_with(r.last, '[语音]') AND regexp_full_match(v.content, '[0-9]{{1,3}}["秒]?') AND (contains(replace(r.last, ' ', ''), v.content) OR {_DIGITS.format('v.content')} = {_DIGITS.format('r.last')}), false) AS again) h)
+  SELECT v.source_path, v.msg_index, chat_name, 'a' AS sender, time, content, CASE WHEN starts_with(content, '[语音]') THEN 'voice' ELSE 'text' END AS type
+  FROM v JOIN r ON r.source_path = v.source_path AND r.i = v.msg_index AND r.kept""")
 def drop_voice_durations(spark, sf):
-    lines = ['[语音] 2"', '2"', "2", "ok", "[语音] 12秒", "12秒"]
-    rows = events(spark, sf).withColumns({"content": picked(lines, F.col("event_id")), "sender": F.lit("a")})
+    rows = events(spark, sf).withColumns({"content": picked(VOICE_LINES, F.col("event_id")), "sender": F.lit("a")})
     return clean.drop_voice_durations(_messages(clean.infer_media_types(rows)))
 
 
@@ -539,7 +636,25 @@ def match_names(spark, sf):
     return names.match_names(_visible(spark, sf), _configured(spark, sf), rule="plain").select("row_pos", "configured")
 
 
-@query()
+#: Every visible row with every configured name, and which rules hold; names here are ASCII, so titles and cores are letters and digits.
+_RULES = f"""{_VISIBLE_SQL.replace("SELECT c_custkey AS row_pos", "SELECT c_mktsegment AS scan_id, c_custkey AS row_pos")},
+  x AS (SELECT s.*, n_name AS configured, n_nationkey AS position, replace(name, ' ', '') AS v, replace(n_name, ' ', '') AS c, rtrim(rtrim(name, '.')) AS stem,
+    lower(regexp_replace(regexp_replace(trim(name), '[(][0-9]+[)]$', ''), '[ _-]+', '', 'g')) AS t, lower(regexp_replace(n_name, '[ _-]+', '', 'g')) AS u,
+    lower(rtrim(replace(name, ' ', ''), '.')) AS a, lower(replace(n_name, ' ', '')) AS b FROM s, nation),
+  y AS (SELECT *, regexp_replace(t, '[^a-z0-9]', '', 'g') AS p, regexp_replace(u, '[^a-z0-9]', '', 'g') AS q FROM x),
+  w AS (SELECT *, CASE WHEN length(p) <= length(q) THEN p ELSE q END AS small, CASE WHEN length(p) <= length(q) THEN q ELSE p END AS large,
+    CASE WHEN length(t) <= length(u) THEN t ELSE u END AS shorter, CASE WHEN length(t) <= length(u) THEN u ELSE t END AS longer FROM y),
+  k AS (SELECT scan_id, row_pos, name, configured, position,
+    v = c OR (length(c) >= 2 AND starts_with(v, c)) OR (length(v) >= 3 AND length(c) > length(v) AND starts_with(c, v))
+      OR (length(stem) >= 4 AND length(stem) < length(configured) AND (starts_with(configured, stem) OR starts_with(c, replace(stem, ' ', '')))) AS plain,
+    lower(name) = lower(configured) OR (length(stem) >= 4 AND length(stem) < length(configured) AND starts_with(lower(configured), lower(stem))) AS strict,
+    t = u OR (length(shorter) >= 3 AND length(shorter) < length(longer) AND contains(longer, shorter)) OR (length(small) >= 2
+      AND len(list_filter(string_split(small, ''), lambda ch: contains(large, ch))) >= greatest(3, ceil(length(small) * 0.72))
+      AND NOT (regexp_full_match(p, '[a-z][a-z0-9]*?[0-9]+') AND regexp_full_match(q, '[a-z][a-z0-9]*?[0-9]+') AND regexp_replace(p, '[0-9]+$', '') = regexp_replace(q, '[0-9]+$', '') AND p <> q)) AS titles,
+    a = b OR (least(length(a), length(b)) >= 3 AND (starts_with(a, b) OR starts_with(b, a))) AS aligned FROM w)"""
+
+
+@query(f"WITH {_RULES} SELECT row_pos::INT AS row_pos, configured FROM k WHERE titles")
 def match_titles(spark, sf):
     return names.match_names(_visible(spark, sf), _configured(spark, sf), rule="titles").select("row_pos", "configured")
 
@@ -550,15 +665,17 @@ def match_names_strict(spark, sf):
     return names.match_names(_visible(spark, sf), _configured(spark, sf), rule="strict").select("row_pos", "configured")
 
 
-@query()
+@query(f"""WITH {_RULES}, f AS (SELECT scan_id, configured, min(row_pos) AS row_pos FROM k WHERE (plain OR strict OR titles) AND (strict OR aligned) GROUP BY 1, 2)
+  SELECT a.scan_id, a.n_name AS configured, coalesce(f.row_pos, -1)::INT AS row_pos FROM (SELECT d.scan_id, n_name FROM (SELECT DISTINCT scan_id FROM s) d, nation) a
+    LEFT JOIN f ON f.scan_id = a.scan_id AND f.configured = a.n_name""")
 def resolve_chats(spark, sf):
     found, missing = names.resolve_chats(_visible(spark, sf), _configured(spark, sf))
     return found.select("scan_id", "configured", "row_pos").unionByName(missing.select("scan_id", "configured", F.lit(-1).alias("row_pos")))
 
 
-@query()
+@query(f"WITH {_RULES} SELECT DISTINCT row_pos::INT AS row_pos, replace(name, '...', '…') AS name FROM k WHERE (plain OR strict OR titles) AND (strict OR aligned)")
 def allowed_rows(spark, sf):
-    return names.allowed_rows(_visible(spark, sf), _configured(spark, sf).filter("position < 5")).select("row_pos", "name")
+    return names.allowed_rows(_visible(spark, sf), _configured(spark, sf)).select("row_pos", "name")
 
 
 # --- recognised lines ----------------------------------------------------------------------------------------------
@@ -602,7 +719,8 @@ def parse_ocr_text(spark, sf):
     return ocr.parse_ocr_text(answers).select("image_id", "text", "x1", "y1", "x2", "y2")
 
 
-@query()
+@query(f"""WITH {_BOX_SQL}, t AS (SELECT DISTINCT image_id, unnest(['purchas', 'clicks']) AS target FROM b)
+  SELECT t.image_id, target, min(line_pos)::INT AS line_pos, arg_min(text, line_pos) AS text FROM t JOIN b ON b.image_id = t.image_id AND text = CASE target WHEN 'purchas' THEN 'purchase' ELSE 'click' END GROUP BY 1, 2""")
 def best_text_match(spark, sf):
     b = _boxes(spark, sf)
     targets = b.select("image_id").distinct().select("image_id", F.explode(F.array(F.lit("purchas"), F.lit("clicks"))).alias("target"))
@@ -639,9 +757,9 @@ def export_lines(spark, sf):
 
 @query(f"""WITH {E_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY msg_index) AS n FROM e)
   SELECT source_path, chat_name || chr(10) || 'exported now, ' || count(*) || ' messages' || chr(10) || chr(10) || string_agg(coalesce('[' || time || '] ', '') || sender || ': ' || content, chr(10) ORDER BY msg_index) AS value
-  FROM n WHERE n <= 20 GROUP BY source_path, chat_name""")
+  FROM n WHERE n <= 500 GROUP BY source_path, chat_name""")
 def export_text(spark, sf):
-    return sinks.transcripts(_messages(events(spark, sf)), "now", limit=20, markdown=False)
+    return sinks.transcripts(_messages(events(spark, sf)), "now", markdown=False)
 
 
 @query(f"WITH {E_SQL} SELECT chat_name, '## ' || chat_name || chr(10) || string_agg('- ' || coalesce(time, '时间未知') || ' | ' || sender || ': ' || content, chr(10) ORDER BY msg_index) AS block FROM e GROUP BY 1")
@@ -649,7 +767,10 @@ def report_blocks(spark, sf):
     return report.report_blocks(events(spark, sf)).select("chat_name", "block")
 
 
-@query()
+@query(f"""WITH {M_SQL}, b AS (SELECT chat_name, min(source_path) AS p, '## ' || chat_name || chr(10) || string_agg('- 时间未知 | ' || coalesce(nullif(trim(sender), ''), '?') || CASE WHEN type <> 'text' THEN ' [' || type || ']' ELSE '' END
+    || ': ' || content, chr(10) ORDER BY msg_index) AS block FROM m GROUP BY 1),
+  n AS (SELECT *, row_number() OVER (ORDER BY p) - 1 AS n FROM b)
+  SELECT (n // 100)::INT AS prompt_pos, 'Summarise the chats below.' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY n) || chr(10) AS prompt FROM n GROUP BY 1""")
 def report_prompt(spark, sf):
     return report.report_prompt(conversations(spark, sf))
 
@@ -669,6 +790,65 @@ def envelope_round_trip(spark, sf):
     return rows.select("source_path", "msg_index", "m.sender", "m.content", "m.type")
 
 
+# --- files written and read again ----------------------------------------------------------------------------------
+
+_READ = f"WITH {M_SQL} SELECT source_path, msg_index, chat_name, sender, content, type FROM m"
+
+
+def _read_again(rows: DataFrame) -> DataFrame:
+    """Messages read from files, by the chat that their folder names."""
+    return rows.select(F.regexp_extract("source_path", "source_path=([^/]+)", 1).alias("source_path"), "msg_index", "chat_name", "sender", "content", "type")
+
+
+@query(_READ)
+def read_strict(spark, sf):
+    base = _scratch(spark)
+    sinks.write_text(sinks.chat_arrays(conversations(spark, sf)), base)
+    return _read_again(src.read_messages(spark, base))
+
+
+@query(_READ + " WHERE substr(source_path, 6)::INT % 3 <> 0")
+def read_lenient(spark, sf):
+    """Every third file is no array, or no JSON at all."""
+    base, n = _scratch(spark), F.substring("source_path", 6, 20).cast("int")
+    arrays = sinks.chat_arrays(conversations(spark, sf))
+    sinks.write_text(arrays.withColumn("value", F.when(n % 6 == 0, F.concat(F.lit("{"), "value")).when(n % 3 == 0, '{"messages": 1}').otherwise(F.col("value"))), base)
+    return _read_again(src.read_messages(spark, base, "lenient"))
+
+
+@query(_READ)
+def read_envelopes(spark, sf):
+    base = _scratch(spark)
+    sinks.write_text(sinks.chat_envelopes(conversations(spark, sf), "2024-01-31T00:00:00"), base)
+    return _read_again(src.read_messages(spark, base, "envelope"))
+
+
+@query(f"WITH {R_SQL} SELECT step_id, chat_name, chunk_index, task_pos % 7 <> 0 AS answered FROM t WHERE task_pos % 5 <> 0")
+def read_manifests(spark, sf):
+    """A manifest for each chat; every fifth task belongs to another run, every seventh response is blank."""
+    r = spoiled(responses(spark, sf)).withColumn("file", F.concat("step_id", F.lit(".json")))
+    meta = F.struct("kind", "chat_name", "chunk_index", "chunk_total").alias("metadata")
+    task = F.struct("step_id", F.when(F.col("task_pos") % 5 == 0, "other").otherwise(F.col("run_id")).alias("run_id"), F.concat(F.lit("out/"), "file").alias("response_file"), "completed", meta)
+    manifests = r.groupBy("chat_name", "run_id").agg(F.array_sort(F.collect_list(task)).alias("tasks")).select(F.to_json(F.struct("run_id", "tasks")).alias("value"))
+    tasks = src.read_tasks(manifests, r.select(F.col("file").alias("file_name"), "response_text"))
+    return tasks.select("step_id", "chat_name", "chunk_index", F.col("response_text").isNotNull().alias("answered"))
+
+
+@query(f"WITH {M_SQL} SELECT source_path, msg_index, sender, content, type FROM m")
+def stored_messages(spark, sf):
+    base = _scratch(spark)
+    sinks.write_store(conversations(spark, sf), base)
+    return spark.read.parquet(base).select("source_path", "msg_index", "sender", "content", "type")
+
+
+@query("SELECT user_id AS run_id, count(*) AS n FROM events GROUP BY 1")
+def appended_runs(spark, sf):
+    base, e = _scratch(spark), table(spark, sf, "events")
+    for part in (0, 1):
+        sinks.append_run(e.filter(F.col("user_id") % 2 == part).groupBy(F.col("user_id").alias("run_id")).agg(F.count("*").alias("n")), base)
+    return spark.read.parquet(base)
+
+
 # --- streams -------------------------------------------------------------------------------------------------------
 
 
@@ -678,9 +858,9 @@ def _scratch(spark) -> str:
     return f"{scratch(spark)}/confab-{uuid.uuid4().hex}"
 
 
-@query()
+@query(f"SELECT * EXCLUDE (time) FROM ({_LOOKBACK})")
 def stream_lookback(spark, sf):
-    """The lookback over all events as a stream of files; state is kept by user."""
+    """The lookback over all events as a stream of files; state is kept by user. A row goes out at once, so later rows cannot give it their time."""
     from confab.streaming import jobs
 
     base = _scratch(spark)
@@ -692,7 +872,7 @@ def stream_lookback(spark, sf):
         out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").drop("time")
 
 
 @query(f"WITH {E_SQL} SELECT DISTINCT source_path, sender, content FROM e")

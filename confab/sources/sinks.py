@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from confab.functions.text import safe_file_key, transcript_line, utrim
+from confab.operators.order import place_in_order
 
 _MESSAGE = ["chat_name", "sender", "time", "content", "type"]
 
@@ -47,10 +48,10 @@ def append_run(run: DataFrame, path: str) -> None:
 
 # K5
 def task_rows(chunks: DataFrame, run_id: str, kind: str = "message_extraction") -> DataFrame:
-    """One task per chunk, in the order of chats and chunks, with ids ``step_<run>_<nnnn>`` (numbered within each chat, so no task holds all)."""
-    n = F.row_number().over(W.partitionBy("chat_name").orderBy("chunk_index"))
-    step = F.format_string("step_%s_%s_%04d", F.lit(run_id), F.hex(F.xxhash64("chat_name")), n)
-    return chunks.withColumns({"run_id": F.lit(run_id), "step_id": step, "kind": F.lit(kind), "completed": F.lit(False)})
+    """One task per chunk, in the order of chats and chunks, with ids ``step_<run>_<nnnn>``, numbered from 1 over the whole run."""
+    placed = place_in_order(chunks, F.col("chat_name"), F.struct("chat_name", "chunk_index"), "__n")
+    step = F.format_string("step_%s_%04d", F.lit(run_id), F.col("__n") + 1)
+    return placed.withColumns({"run_id": F.lit(run_id), "step_id": step, "kind": F.lit(kind), "completed": F.lit(False)}).drop("__n")
 
 
 def write_tasks(tasks: DataFrame, path: str, resume: bool = False) -> None:
