@@ -12,7 +12,7 @@ of which adaptive execution splits those partitions that a hot block makes large
 
 Edge cases: null and empty texts, and texts of white space alone, are equal to each other (the empty text). Null ids
 are kept and lose ties to real ids. Fully repeated rows are told apart by their place, so exactly one row of each group
-is kept. Other columns take no part, and columns of any name are allowed in ``docs``. An empty table gives no rows.
+is kept. Very long texts are read whole, as more blocks and levels. Other columns take no part, and columns of any name are allowed in ``docs``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from confab.llm.common import SPACES, drop_rows, store, with_row_id
+from confab.llm.common import SPACES, drop_rows, kept, scratch, store, with_row_id
 
 #: Code points in a block.
 BLOCK = 4096
@@ -67,19 +67,20 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bl
     Of equal texts (after white space is deleted), the row with the most code points in its original text stays, then
     the one with the smallest id.
     """
-    own = [F.col(row).alias("rid")] if row else []
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *own)
-    rows = rows if row else with_row_id(rows)
-    ids = rows.select("rid", "doc_id")
-    known = store(identities(rows, "text", block).join(ids, "rid"), "identities")
-    order = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("rid").alias("row"))
-    groups = store(known.groupBy("levels", "name").agg(F.min(order).alias("best"), F.count("*").alias("group_size")), "groups")
-    return known.join(groups, ["levels", "name"]).select(
-        "doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("best.row") == F.col("rid")).alias("kept"), "text_sha256", "rid"
-    )
+    with scratch(docs.sparkSession):
+        own = [F.col(row).alias("rid")] if row else []
+        rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *own)
+        rows = rows if row else with_row_id(rows)
+        known = store(identities(rows, "text", block).join(rows.select("rid", "doc_id"), "rid"), "identities")
+        order = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("rid").alias("row"))
+        groups = store(known.groupBy("levels", "name").agg(F.min(order).alias("best"), F.count("*").alias("group_size")), "groups")
+        out = known.join(groups, ["levels", "name"]).select(
+            "doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("best.row") == F.col("rid")).alias("kept"), "text_sha256", "rid"
+        )
+        return kept(out, "exact_groups")
 
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_groups` does not keep; all columns stay. ``docs`` must be read from files."""
+    """``docs`` without the rows that :func:`exact_groups` does not keep; all columns stay."""
     rows = with_row_id(docs, "__row")
     return drop_rows(rows, exact_groups(rows, text, doc_id, row="__row").filter("not kept"), "__row")

@@ -5,8 +5,8 @@ the vocabulary allows. The totals of the partitions, one small row each, are sum
 global place. Second pass: each document is cut where windows end; a document that crosses a border gives a piece
 on each side. The tokens are never shuffled, and only the last window is not full.
 
-Edge cases: a null or empty text has its end token alone. Fully repeated rows are packed once each. An empty table
-gives no pieces. Other columns take no part.
+Edge cases: a null or empty text has its end token alone; a very long one is encoded whole and cut into as many pieces as it needs. Fully repeated rows are packed once
+each, in the order of their partitions, and there are no ties. An empty table gives no pieces. Other columns, of whatever names, take no part.
 """
 
 from __future__ import annotations

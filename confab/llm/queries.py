@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confab.llm import bpe, exact_dedup, lm, near_dedup, packing, pii, quality, sharding, topk, url_filter
-from confab.llm.common import held_out, scratch, store
+from confab.llm.common import held_out, kept, scratch, store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -45,9 +45,10 @@ SHARDS = 8
 
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of near equal bytes; equal texts stay in one shard unless they are too many bytes for one."""
-    sizes = store(sharding.document_sizes(_table(spark, sf_dir, "documents", "doc_id", "text")), "sizes")
-    shards = sharding.balanced_shards(sizes, ["n_chars", "text_crc32"], SHARDS)
-    out = sharding.with_slots(shards, "shard", F.struct("doc_id", "text_crc32"))
+    with scratch(spark):
+        sizes = store(sharding.document_sizes(_table(spark, sf_dir, "documents", "doc_id", "text")), "sizes")
+        shards = sharding.balanced_shards(sizes, ["n_chars", "text_crc32"], SHARDS)
+        out = kept(sharding.with_slots(shards, "shard", F.struct("doc_id", "text_crc32")), "shards")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -114,7 +114,12 @@ class CoverTree:
 def bounds(q: CoverTree, a: np.ndarray, x: CoverTree, b: np.ndarray) -> np.ndarray:
     """No inner product between the rows of nodes ``a`` and those of nodes ``b`` is larger."""
     top = q.at[a] @ x.at[b].T + np.outer(q.radius[a], x.norm[b]) + np.outer(q.norm[a], x.radius[b]) + np.outer(q.radius[a], x.radius[b])
-    return top + 1e-9 * np.abs(top) + 1e-6
+    return at_most(top)
+
+
+def at_most(top: np.ndarray) -> np.ndarray:
+    """A bound with room for rounding, within the range of scores."""
+    return np.clip(top + 1e-9 * np.abs(top) + 1e-6, -(2.0**63), 2.0**63)
 
 
 def dual_search(q: CoverTree, q_row: np.ndarray, worst: np.ndarray, best: list[list], x: CoverTree, x_row: np.ndarray, x_id: np.ndarray, k: int) -> None:
@@ -237,7 +242,7 @@ def _top_k(vectors: DataFrame, is_query: Column, k: int, vec_id: str, vector: st
             for row in frame.itertuples(index=False):
                 tree, low, _, _ = _opened(row)
                 top = centres @ tree.at[0] + radius_of * tree.norm[0] + tree.radius[0] * (norms + radius_of)
-                near = np.flatnonzero(top + 1e-9 * np.abs(top) + 1e-6 >= low.min())
+                near = np.flatnonzero(at_most(top) >= low.min())
                 halls = np.unique(np.concatenate([np.arange(first_block[c], first_block[c] + many[c]) // TOGETHER for c in near] or [np.zeros(0, np.int64)]))
                 out += [(h, row.grp // TOGETHER, row.grp) for h in halls]
             yield pd.DataFrame(out, columns=["hall", "party", "grp"])
