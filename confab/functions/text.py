@@ -46,16 +46,29 @@ def blank_to_null(c: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode normalisation form KC, for which Spark has no function."""
+def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
 @F.pandas_udf(StringType())
-def casefold(s: pd.Series) -> pd.Series:
+def _casefold(s: pd.Series) -> pd.Series:
     return s.map(str.casefold, na_action="ignore")
 
 
+def _ascii(c: Column) -> Column:
+    return F.char_length(c) == F.octet_length(c)
+
+
+def nfkc(c: Column) -> Column:
+    """Unicode normalisation form KC, for which Spark has no function; only texts beyond ASCII reach Python."""
+    return F.when(_ascii(c), c).otherwise(_nfkc(F.when(~_ascii(c), c)))
+
+
+def casefold(c: Column) -> Column:
+    """Case folding; only texts beyond ASCII reach Python."""
+    return F.when(_ascii(c), F.lower(c)).otherwise(_casefold(F.when(~_ascii(c), c)))
+
+
 # X1, X2
 def coerce_type(c: Column) -> Column:
     return F.when(c.isin(STORED_TYPES), c).otherwise("unsupported")
