@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from confab.llm.common import texts_of
 
-#: Words and pairs that a worker keeps before it starts its tables anew (of chunks, a quarter), and the longest word kept: some 100 MB together.
-KEPT, KEPT_LENGTH = 400_000, 64
+#: Words and pairs that a worker keeps before it starts its tables anew (of chunks, a quarter), and the longest word kept: some 150 MB together.
+KEPT, KEPT_LENGTH = 800_000, 64
 _NEVER = 1 << 60
 #: Moves a word's last character to a private range, so that "x at the word's end" is one symbol.
 _END = 0x10000
