@@ -187,3 +187,72 @@ def test_intermediate_tables_are_deleted(spark, sf):
     queries.op9_chosen_path_near_dedup(spark, base).count()
     queries.op7_pitman_yor_scores(spark, base).count()
     assert len(set(folder.iterdir()) - before) <= 2  # the two results
+
+
+def test_results_do_not_depend_on_parallelism(spark, sf, monkeypatch):
+    """Each stored step scans its files in other splits than the one before, as after lost or added executors."""
+    from itertools import cycle
+
+    from confab.llm import lm, topk
+
+    base, _ = sf
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for module, query, key in (
+        (near_dedup, queries.op9_chosen_path_near_dedup, ["doc_id"]), (exact_dedup, queries.op10_exact_dedup, ["doc_id"]),
+        (topk, queries.op8_dual_tree_top_k, ["query_id", "rank"]), (lm, queries.op7_pitman_yor_scores, ["doc_id"]),
+    ):
+        run = lambda query=query, key=key: query(spark, base).toPandas().sort_values(key).reset_index(drop=True)
+        want, sizes = run(), cycle(["20k", "1g", "300k"])
+
+        def store(df, name, sizes=sizes):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+            return common.store(df, name)
+
+        with monkeypatch.context() as m:
+            m.setattr(module, "store", store)
+            got = run()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        for c in want.columns:
+            if want[c].dtype == float:
+                assert np.allclose(want[c], got[c]), (query.__name__, c)
+            else:
+                assert want[c].equals(got[c]), (query.__name__, c)
+
+
+@needs_vocabulary
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, white, long and repeated texts, near copies, repeated rows, null ids, and columns that the operators use themselves; and an empty table."""
+    import random
+
+    import corpus_pipeline as cp
+    from tests.llm.test_llm import DOC
+
+    rng = random.Random(12)
+    text = " ".join(f"w{rng.randrange(900)}" for _ in range(90))
+    texts = [*ODD, *near_copies(rng, text, 12, 3), "card 4539 1488 0343 6467", "card 4539 1488 0343 6467"]
+    rows = [(i, t, "en", "k", "r", "s", "n", "i") for i, t in enumerate(texts)] + [(3, texts[3], "en", "k", "r", "s", "n", "i"), (None, "no id here at all", "en", "k", "r", "s", "n", "i")]
+    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")  # all is good
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, kept = docs.columns, {}
+    for name, stage in cp.STAGES[:-1]:
+        out = common.store(stage(spark, docs, str(tmp_path)), name)
+        assert out.columns == columns, name
+        kept[name], docs = [(r.doc_id, r.text) for r in out.collect()], out
+    assert sorted(kept["quality"], key=str) == sorted(((r[0], r[1]) for r in rows), key=str)
+    best = {}
+    for i, t in kept["quality"]:
+        k = SPACE.sub("", t or "")
+        best[k] = min(best.get(k, (1, False, 0)), (-len(t or ""), i is None, -1 if i is None else i))
+    assert sorted(kept["exact_dedup"], key=str) == sorted(((None if none else i, next(t for j, t in kept["quality"] if j == (None if none else i))) for _, none, i in best.values()), key=str)
+    near = sorted((i, t) for i, t in kept["exact_dedup"] if i is not None)
+    _, want = brute_components([t for _, t in near])
+    assert sorted(kept["near_dedup"], key=str) == sorted([near[c] for c in set(want)] + [r for r in kept["exact_dedup"] if r[0] is None], key=str)
+    private = dict(kept["pii"])
+    assert all(private[i] == t for i, t in kept["near_dedup"] if "card" not in (t or "")) and not any("4539 1488" in (t or "") for t in private.values())
+    pieces = cp.packing_stage(spark, docs, str(tmp_path)).toPandas()
+    assert pieces.doc_id.nunique(dropna=False) == len(private) and (pieces.groupby("sequence_id")["length"].sum() <= 2048).all()
+    empty = spark.createDataFrame([], DOC)
+    for _, stage in cp.STAGES:
+        empty = common.store(stage(spark, empty, str(tmp_path)), "empty")
+        assert empty.count() == 0
