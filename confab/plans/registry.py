@@ -15,6 +15,7 @@ from confab.operators import search as S
 from confab.plans.adapters import E_SQL, M_SQL, NOW_SQL, R_SQL, conversations, events, now, picked, picked_sql, responses, spoiled, table
 from confab.sources import messages as src
 from confab.sources import sinks
+from confab.streaming.scratch import remove
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -872,6 +873,7 @@ def stream_lookback(spark, sf):
         out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    remove(spark, f"{base}/in", f"{base}/state")
     return spark.read.parquet(f"{base}/out").drop("time")
 
 
@@ -886,6 +888,7 @@ def stream_dedup_exact(spark, sf):
     stream = jobs.new_messages(spark, f"{base}/in", "source_path string, msg_index int, chat_name string, sender string, time string, content string, type string, at timestamp")
     out = jobs.dedup_exact_stream(stream, "at", "3650 days")
     out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    remove(spark, f"{base}/in", f"{base}/state")
     return spark.read.parquet(f"{base}/out").select("source_path", "sender", "content")
 
 
@@ -898,6 +901,7 @@ def stream_ingest(spark, sf):
     responses(spark, sf).repartition("chat_name").write.parquet(f"{base}/in")
     q = jobs.ingest_stream(spark, f"{base}/in", f"{base}/state", lambda r: extract.extract_chat(r, now()), f"{base}/messages", f"{base}/outcomes", files_per_batch=10_000)
     q.awaitTermination()
+    remove(spark, f"{base}/in", f"{base}/state")
     return spark.read.parquet(f"{base}/messages").select("source_path", "msg_index", "sender", "content", "type")
 
 
