@@ -8,7 +8,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confab.llm import bpe, exact_dedup, hard_negatives, lm, manifest, near_dedup, packing, pii, quality, sharding, topk, url_filter
+from confab.llm import bpe, exact_dedup, hard_negatives, html_text, labelled_pages, lm, manifest, near_dedup, packing, pii, quality, sharding, topk, url_filter
 from confab.llm.common import held_out, kept, scratch, store
 
 
@@ -106,6 +106,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("rid")
 
 
+def page_weights(spark: SparkSession) -> html_text.Weights:
+    """Weights learned from the labelled pages of this package."""
+    labelled = spark.createDataFrame([(p,) for p in labelled_pages.pages()], "html string").repartition(4)
+    return html_text.fit(labelled)
+
+
+def op11_best_region_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages", "page_id", "url", "html"), page_weights(spark))
+
+
 def op12_slot_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     sevenths = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), F.col("vec_id") % 50 == 0, sevenths)
@@ -134,6 +144,7 @@ QUERIES = {
     "op8_dual_tree_top_k": op8_dual_tree_top_k,
     "op9_chosen_path_near_dedup": op9_chosen_path_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_best_region_text": op11_best_region_text,
     "op12_slot_hard_negatives": op12_slot_hard_negatives,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
