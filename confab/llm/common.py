@@ -7,6 +7,7 @@ import gc
 import hashlib
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -35,8 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-#: The tables written within each open ``scratch()``.
-_open: list[list[str]] = []
+class _Open(threading.local):
+    """The tables written within each ``scratch()`` that this thread has open."""
+
+    def __init__(self):
+        self.paths: list[list[str]] = []
+
+
+_open = _Open()
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -45,8 +52,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/confab-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    if _open:
-        _open[-1].append(path)
+    if _open.paths:
+        _open.paths[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -57,8 +64,8 @@ def store_bucketed(df: DataFrame, by: str, files: int) -> DataFrame:
     spark, name = df.sparkSession, f"confab_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}/data"
     df.write.bucketBy(files, by).option("path", path).option("compression", "zstd").option("parquet.block.size.row.check.min", "1").saveAsTable(name)
-    if _open:
-        _open[-1].append(path)
+    if _open.paths:
+        _open.paths[-1].append(path)
     out = spark.table(name)
     out.stored_at = path
     return out
@@ -68,7 +75,7 @@ def discard(*stored: DataFrame) -> None:
     """Deletes stored tables that nothing needs any more."""
     for df in stored:
         delete(df.sparkSession, [df.stored_at])
-        for paths in _open:
+        for paths in _open.paths:
             if df.stored_at in paths:
                 paths.remove(df.stored_at)
 
@@ -85,19 +92,19 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables stored inside are deleted at the end, but for those that ``kept`` hands on."""
-    _open.append([])
+    _open.paths.append([])
     try:
         yield
     finally:
-        delete(spark, _open.pop())
+        delete(spark, _open.paths.pop())
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``store`` for a result that outlives the innermost ``scratch()``."""
     out = store(df, name)
-    if _open:
-        path = _open[-1].pop()
-        for outer in _open[-2:-1]:
+    if _open.paths:
+        path = _open.paths[-1].pop()
+        for outer in _open.paths[-2:-1]:
             outer.append(path)
     return out
 
@@ -108,20 +115,37 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Up to so many input files have their numbers broadcast (some hundred bytes each).
+NUMBERED_FILES = 20_000
+
+
+def _rows_of_files(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is one row of a file: nothing but selections and filters stands over one scan. Generators, joins, unions and samples make others."""
+    plan = df._jdf.queryExecution().analyzed()
+    while (name := plan.getClass().getSimpleName()) in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return name == "LogicalRelation"
+
+
 def with_row_id(docs: DataFrame, name: str = "rid") -> DataFrame:
     """A unique number for each row, the same in every job whatever the number of cores then: the number of the row's
-    file and its place in that file. Rows that do not come from files as they are get numbers once and are stored."""
+    file and its place in that file. Rows that are not those of files as they are (made by ``explode``, a join, a union), or come from very many files, get numbers once and are stored."""
     spark = docs.sparkSession
+    stored = lambda: store(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    if not _rows_of_files(docs):
+        return stored()
     try:
         files = docs.select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index"))
     except AnalysisException:
-        return store(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
-    paths = [r[0] for r in files.select("__file").distinct().orderBy("__file").collect()]  # one short row for each file
+        return stored()
+    paths = [r[0] for r in files.select("__file").distinct().limit(NUMBERED_FILES + 1).collect()]
+    if len(paths) > NUMBERED_FILES:
+        return stored()
     if len(paths) <= 1:
         return docs.withColumn(name, F.col("_metadata.row_index"))
-    numbers = spark.createDataFrame(list(enumerate(paths)), "__number long, __path string")
+    numbers = spark.createDataFrame(list(enumerate(sorted(paths))), "__number long, __path string")
     numbered = docs.withColumns({"__path": F.col("_metadata.file_path"), "__index": F.col("_metadata.row_index")})
-    # some hundred bytes for each input file
+    # at most NUMBERED_FILES rows
     return numbered.join(F.broadcast(numbers), "__path").withColumn(name, F.shiftleft("__number", 40) + F.col("__index")).drop("__path", "__number", "__index")
 
 

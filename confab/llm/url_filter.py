@@ -13,6 +13,7 @@ The model is fitted on at most about MAX_LABELLED distinct labelled urls, half o
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -21,6 +22,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from confab.llm.common import delete, shared_dir
+
 #: Buckets of hashed n-grams, and the lengths of n-grams.
 BUCKETS, LENGTHS = 1 << 14, (3, 4)
 #: At most about so many distinct labelled urls are fitted on.
@@ -77,7 +80,14 @@ def train(labelled: DataFrame, max_rows: int = MAX_LABELLED, reg: float = 0.01)
     share = {x: min(1.0, max(max_rows / 2, max_rows - least) / n) for x, n in counts.items()}
     drawn = F.pmod(F.xxhash64("host", "path"), F.lit(1 << 30))
     sample = with_features(rows.filter(F.when(F.col("label") == 1, drawn < int(share[1.0] * (1 << 30))).otherwise(drawn < int(share[0.0] * (1 << 30))))).select("label", "__features")
-    return LogisticRegression(maxIter=30, regParam=reg, featuresCol="__features", rawPredictionCol="__raw", probabilityCol="__probability", predictionCol="__prediction").fit(sample)
+    fitted = LogisticRegression(maxIter=30, regParam=reg, featuresCol="__features", rawPredictionCol="__raw", probabilityCol="__probability", predictionCol="__prediction").fit(sample)
+    # the fitted model carries its training's session along, which tasks can't receive; one that was stored is coefficients alone
+    path = f"{shared_dir(labelled.sparkSession)}/confab-{uuid.uuid4().hex}/model"
+    fitted.write().save(path)
+    try:
+        return LogisticRegressionModel.load(path)
+    finally:
+        delete(labelled.sparkSession, [path])
 
 
 def judge(urls: DataFrame, rules: dict[str, str], model: LogisticRegressionModel | float | None = None, url: str = "url", threshold: float = 0.5) -> DataFrame:
