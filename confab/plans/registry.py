@@ -248,13 +248,35 @@ def badge_caps(spark, sf):
     return table(spark, sf, "events").select("event_id", T.badge_cap(picked(BADGES, F.col("event_id"))).alias("cap"))
 
 
-OCR_NAMES = ["22 Chapel and 30M 昨天23", "Operations Team 12:30", "曲亦琳 今天回我", "ISnIM〇LD", "Best Girlsse", "A 深圳", "Design and", "Team 周三", "News 3 4"]
-OCR_CLEAN = ["22 Chapel", "Operations Team", "曲亦琳", "ISnIMOLD", "Best Girls", "深圳", "Design", "Team", "News"]
+OCR_NAMES = ["22 Chapel and 30M 昨天23", "Operations Team 12:30", "曲亦琳 今天回我", "ISnIM〇LD", "Best Girlsse", "A 深圳", "Design and", "Team 周三", "News 3 4", "Max 3 and"]
+OCR_CLEAN = ["22 Chapel", "Operations Team", "曲亦琳", "ISnIMOLD", "Best Girls", "深圳", "Design", "Team", "News", "Max 3"]
 
 
-@query(f"SELECT event_id, {picked_sql(OCR_CLEAN, 'event_id')} AS name FROM events")
+#: What a preview may leave behind a name, in up to three parts.
+TAIL_A = ["", " 周三", "星期天", " 3小时前", " 周五12", " 2024-01-05", " and 30M", " 7"]
+TAIL_B = ["", " 5:30", " 昨天 hello", " 3", " 周二", " the", " …", " 44ab"]
+TAIL_C = ["", " and", " 12:07", "·", " 1234b"]
+_TAILED = f"event_type || {picked_sql(TAIL_A, 'event_id')} || {picked_sql(TAIL_B, 'event_id // 8')} || {picked_sql(TAIL_C, 'event_id // 64')}"
+#: Each kind once, in order; counters as often as they come.
+_CUTS = [
+    ("[ ]*昨天.*", ""), (".{0,8}小时前$", ""), (" 周[一二三五]([0-9一二三]*)$", ""), ("(周[二三五]|星期天)$", ""), (" [0-9]{1,2}:[0-9]{2}$", ""), (" [0-9]{4}-[0-9]{2}-[0-9]{2}$", ""), ("[ ·…]+$", ""),
+    ("( [0-9]{1,3}[a-zA-Z]{0,3})+$", ""), (" and [0-9]{1,4}[a-zA-Z]?$", ""), (" (and|or|the)$", ""),
+]
+
+
+def _cut_sql(text: str) -> str:
+    for pattern, by in _CUTS:
+        text = f"regexp_replace({text}, '{pattern}', '{by}')"
+    return text
+
+
+@query(f"""SELECT event_id, {picked_sql(OCR_CLEAN, 'event_id')} AS name FROM events UNION ALL SELECT -event_id - 1, {_cut_sql(_TAILED)} FROM events""")
 def clean_ocr_names(spark, sf):
-    return table(spark, sf, "events").select("event_id", T.clean_ocr_name(picked(OCR_NAMES, F.col("event_id"))).alias("name"))
+    """Names with one tail, and names with any three."""
+    e, i = table(spark, sf, "events"), F.col("event_id")
+    tailed = F.concat("event_type", picked(TAIL_A, i), picked(TAIL_B, F.floor(i / 8)), picked(TAIL_C, F.floor(i / 64)))
+    rows = e.select("event_id", picked(OCR_NAMES, i).alias("shown")).unionAll(e.select(-i - 1, tailed))
+    return rows.select("event_id", T.clean_ocr_name(F.col("shown")).alias("name"))
 
 
 @query("""WITH n AS (SELECT doc_id, text, length(text) AS n FROM documents),

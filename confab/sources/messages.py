@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,22 +90,77 @@ def tasks_with_responses(tasks: DataFrame, responses: DataFrame, key: str) -> Da
 
 
 # S7
+#: Objects that are nested deeper than this are unreadable, as they are for Spark's JSON reader.
+DEPTH = 1000
+_BRACE = re.compile(r'\{(?=[ \t\n\r]*+["}])')
+_JSON = re.compile(r"""[ \t\n\r]*+(?:(?P<text>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(?P<value>-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null|NaN|-?Infinity)|(?P<mark>[{}\[\],:]))""")
+
+
+def _objects_from(text: str, at: int, ends: dict[int, int]) -> bool:
+    """Reads the object that starts at ``at``, and puts into ``ends`` where it and each object within it end, or -1 where they don't. Returns whether one was nested too deep.
+
+    It keeps a stack, so depth costs nothing, and each object that it meets is read once: what fails, fails for all objects that are open then."""
+    opened: list[tuple[int, str]] = []  # where each open object or list starts, and its kind
+    want = "value"
+    while True:
+        m = _JSON.match(text, at)
+        if m is None:
+            break
+        at, mark = m.end(), m["mark"]
+        if mark is None:
+            if want in ("key", "key or end"):
+                if m["text"] is None:
+                    break
+                want = ":"
+            elif want in ("value", "value or end"):
+                want = "next"
+            else:
+                break
+        elif mark in "{[":
+            if want not in ("value", "value or end"):
+                break
+            opened.append((m.start("mark"), mark))
+            if len(opened) > DEPTH:
+                return True
+            want = "key or end" if mark == "{" else "value or end"
+        elif mark in "}]":
+            if (want not in ("next", "key or end") if mark == "}" else want not in ("next", "value or end")) or opened[-1][1] != ("{" if mark == "}" else "["):
+                break
+            start, kind = opened.pop()
+            if kind == "{":
+                ends[start] = at
+            if not opened:
+                return False
+            want = "next"
+        elif mark == ":":
+            if want != ":":
+                break
+            want = "value"
+        else:
+            if want != "next":
+                break
+            want = "key" if opened[-1][1] == "{" else "value"
+    for start, kind in opened:
+        if kind == "{":
+            ends[start] = -1
+    return False
+
+
+def first_object(text: str) -> str | None:
+    """The first object in a text that is whole JSON, as it stands there; null if there is none, or if the text is nested too deep. Takes time that grows with the text's length."""
+    ends: dict[int, int] = {}
+    for m in _BRACE.finditer(text):
+        at = m.start()
+        if at not in ends and _objects_from(text, at, ends):
+            return None
+        if ends[at] > 0:
+            return text[at : ends[at]]
+    return None
+
+
 @F.pandas_udf(StringType())
 def _scan_object(texts: pd.Series) -> pd.Series:
-    decoder = json.JSONDecoder()
-
-    def first(text: str) -> str | None:
-        at = text.find("{")
-        while at >= 0:
-            try:
-                value, _ = decoder.raw_decode(text, at)
-            except ValueError:
-                at = text.find("{", at + 1)
-                continue
-            return json.dumps(value, ensure_ascii=False)
-        return None
-
-    return texts.map(first, na_action="ignore")
+    return texts.map(first_object, na_action="ignore")
 
 
 FENCE = r"(?is)```(?:json)?\s*(.*?)\s*```"
