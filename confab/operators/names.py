@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,8 +12,10 @@ from pyspark.sql import functions as F
 from confab.functions import text as T
 
 CUT_LEN, REVERSE_LEN, LOOSE_LEN = 4, 3, 3
-#: Configured names up to this many are broadcast; longer lists are shuffled. Both are joined on the same keys.
-BROADCAST_NAMES = 10_000
+#: Matching pairs of distinct names up to this many are broadcast to the rows.
+BROADCAST_PAIRS = 10_000
+#: A core that is a word and a number.
+NUMBERED = r"^([A-Za-z][A-Za-z0-9]*?)(\d+)$"
 
 
 def _uncut(c: Column) -> Column:
@@ -79,9 +83,8 @@ def titles_match(a: Column, b: Column, a_core: Column | None = None, b_core: Col
     p_first = F.char_length(p) <= F.char_length(q)
     small, large = F.when(p_first, p).otherwise(q), F.when(p_first, q).otherwise(p)
     common = F.size(F.filter(F.split(small, ""), lambda ch: F.contains(large, ch)))
-    numbered = r"^([A-Za-z][A-Za-z0-9]*?)(\d+)$"
-    stem = lambda t: F.lower(F.regexp_extract(t, numbered, 1))
-    clash = p.rlike(numbered) & q.rlike(numbered) & (stem(p) == stem(q)) & (F.regexp_extract(p, numbered, 2) != F.regexp_extract(q, numbered, 2))
+    stem = lambda t: F.lower(F.regexp_extract(t, NUMBERED, 1))
+    clash = p.rlike(NUMBERED) & q.rlike(NUMBERED) & (stem(p) == stem(q)) & (F.regexp_extract(p, NUMBERED, 2) != F.regexp_extract(q, NUMBERED, 2))
     alike = (F.char_length(small) >= 2) & (common >= F.greatest(F.lit(3), F.ceil(F.char_length(small) * 0.72))) & ~clash
     return (a != "") & (b != "") & ((x == y) | within | alike)
 
@@ -98,62 +101,148 @@ def combined_match(v: str = "v_", c: str = "c_") -> Column:
     return loose & (names_match_strict(v, c) | aligned(F.col(f"{v}align"), F.col(f"{c}align")))
 
 
-def _start(tag: str, c: Column, n: int, least: int = 0) -> Column:
-    return F.when(F.char_length(c) >= least, F.concat(F.lit(f"{tag}:"), F.substring(c, 1, n)))
+# --- candidates -----------------------------------------------------------------------------------------------------
+#
+# Every rule is a union of equality joins whose pairs match, or nearly so: a form that is the start of another is found by joining it, whole, with the starts of the
+# other, and not by joining short keys and judging all that share one. Work grows with the names and with the matches.
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _whole(form: str, tag: str, least: int = 1, when: Column | None = None) -> Column:
+    """The form itself as a key, if it is as long as ``least``."""
+    c = F.col(form)
+    return F.when((F.char_length(c) >= least) & (F.lit(True) if when is None else when), F.array(F.concat(F.lit(tag), c))).otherwise(_none())
+
+
+def _starts(form: str, tag: str, least: int, proper: bool = True, when: Column | None = None) -> Column:
+    """All starts of a form from ``least`` characters on, without the form itself if they are to be proper ones."""
+    c = F.col(form)
+    last = F.char_length(c) - int(proper)
+    cuts = F.transform(F.sequence(F.lit(least), F.greatest(last, F.lit(least))), lambda k: F.concat(F.lit(tag), F.substring(c, F.lit(1), k)))
+    return F.when((last >= least) & (F.lit(True) if when is None else when), cuts).otherwise(_none())
+
+
+#: Keys of a seen name and of a configured one.
+Keys = tuple[Column, Column]
+
+
+def _plain_keys() -> list[Keys]:
+    long_stem, n = F.char_length("v_stem") >= CUT_LEN, CUT_LEN
+    return [
+        (_whole("v_label", "l"), _whole("c_label", "l")),
+        (_whole("v_compact", "e"), _whole("c_compact", "e")),
+        (_starts("v_compact", "a", 2, proper=False), _whole("c_compact", "a", 2)),
+        (_whole("v_compact", "b", REVERSE_LEN), _starts("c_compact", "b", REVERSE_LEN)),
+        (_whole("v_stem", "s", n), _starts("c_label", "s", n)),
+        (_whole("v_stem_compact", "t", n, long_stem), _starts("c_compact", "t", n)),
+        (_whole("v_stem_identity", "i", n, long_stem), _starts("c_identity", "i", n)),
+    ]
+
+
+def _strict_keys() -> list[Keys]:
+    seen, named = F.col("v_strict") != "", F.col("c_strict") != ""
+    return [
+        (_whole("v_strict", "="), F.concat(_whole("c_strict", "="), _whole("c_core_fold", "=", when=named))),
+        (_whole("v_full_fold", "<", CUT_LEN, seen), F.concat(_starts("c_full_low", "<", CUT_LEN, when=named), _starts("c_core_fold", "<", CUT_LEN, when=named))),
+    ]
+
+
+def _aligned_keys() -> list[Keys]:
+    return [(_whole("v_align", "~"), _whole("c_align", "~")), (_starts("v_align", ">", 3), _whole("c_align", ">", 3)), (_whole("v_align", "?", 3), _starts("c_align", "?", 3))]
 
 
-def _title_keys(title: Column, core: Column, p: str) -> Column:
-    """Keys of titles alike. Equal ones share themselves. Of one within another, all trigrams are in the longer, so one chosen by hash is looked
-    up among all of the other's. Of a shorter core with ``m`` of its ``n`` characters in the longer, any ``n - m + 1`` characters hold one of those."""
-    x = F.lower(title)
-    n = F.char_length(core)
-    tagged = lambda tag, values: F.transform(values, lambda v: F.concat(F.lit(f"{tag}:"), v))
-    none = F.array().cast("array<string>")
-    grams = F.when(F.char_length(x) >= LOOSE_LEN, F.transform(F.sequence(F.lit(1), F.char_length(x) - LOOSE_LEN + 1), lambda i: F.substring(x, i, F.lit(LOOSE_LEN)))).otherwise(none)
-    one = F.transform(F.slice(F.sort_array(F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), 1, 1), lambda s: s["g"])
-    chars = F.when(n > 0, F.split(core, "")).otherwise(none)
+def _meeting(v: DataFrame, c: DataFrame, keys: list[Keys]) -> DataFrame:
+    """``v, c``: pairs of names that share a key. Each part's keys have a tag of their own, so all parts are one join."""
+    left, right = ([k[i] for k in keys] for i in (0, 1))
+    spread = lambda rows, name, arrays: rows.select(F.col("name").alias(name), F.explode(F.array_distinct(F.concat(*arrays))).alias("key"))
+    return spread(v, "v", left).join(spread(c, "c", right), "key").select("v", "c")
+
+
+def _rarest_gram(rows: DataFrame, p: str, counts: DataFrame) -> DataFrame:
+    """``name, x, gram``: of each title's trigrams, the one that the fewest titles of the other side have; a title with one that none has is in no other."""
+    grams = rows.filter(F.char_length(f"{p}low") >= LOOSE_LEN).select("name", F.col(f"{p}low").alias("x"), F.explode(F.array_distinct(_trigrams(F.col(f"{p}low")))).alias("gram"))
+    found = grams.join(counts, "gram", "left").groupBy("name", "x").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rare"))
+    return found.filter("rare.n > 0").select("name", "x", F.col("rare.gram").alias("gram"))
+
+
+def _trigrams(x: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.char_length(x) - LOOSE_LEN + 1), lambda i: F.substring(x, i, F.lit(LOOSE_LEN)))
+
+
+def _within(short: DataFrame, p: str, long: DataFrame, q: str) -> DataFrame:
+    """``name, other``: titles of ``short`` that are a part of longer ones of ``long``: candidates share the short one's rarest trigram."""
+    grams = long.filter(F.char_length(f"{q}low") > LOOSE_LEN).select(F.col("name").alias("other"), F.col(f"{q}low").alias("y"), F.explode(F.array_distinct(_trigrams(F.col(f"{q}low")))).alias("gram"))
+    rare = _rarest_gram(short, p, grams.groupBy("gram").agg(F.count("*").alias("n")))
+    return rare.join(grams, "gram").filter((F.char_length("x") < F.char_length("y")) & F.contains("y", F.col("x"))).select("name", "other")
+
+
+def _alike(small: DataFrame, p: str, large: DataFrame, q: str, equal: bool) -> DataFrame:
+    """``name, other``: candidates for cores of which most characters are in a core at least as long (``equal``) or longer.
+
+    Of a core of n characters, of which m must be in the other, any n - m + 1 hold one of those, so the rarest ones are its keys. A core of a
+    word and a number is never like one of the same word and another number; such pairs are told apart by their word, all names of a word at once, before any two of them meet."""
+    n = F.char_length(f"{p}title_core")
     needed = F.greatest(F.lit(3), F.ceil(n * 0.72)).cast("int")
-    some = F.when((n >= 2) & (needed <= n), F.slice(F.sort_array(chars, False), F.lit(1), F.greatest(n - needed + 1, F.lit(0)))).otherwise(none)
-    other = "c_" if p == "v_" else "v_"
-    keys = F.concat(F.array(F.concat(F.lit("=:"), x)), tagged(f"in {p}", one), tagged(f"in {other}", grams), tagged(f"of {p}", some), tagged(f"of {other}", chars))
-    return F.when(title != "", keys).otherwise(none)
-
-
-def candidate_keys(rule: str, p: str) -> Column:
-    """The distinct keys of a name, seen (``p = "v_"``) or configured (``"c_"``): any two that match by the rule share one."""
-    seen, col = p == "v_", lambda n: F.col(f"{p}{n}")
-    strict = (
-        [F.concat(F.lit("=:"), col("strict")), _start("cut", col("full_fold"), CUT_LEN, CUT_LEN)]
-        if seen
-        else [F.concat(F.lit("=:"), col("strict")), F.concat(F.lit("=:"), col("core_fold")), _start("cut", col("full_low"), CUT_LEN, CUT_LEN), _start("cut", col("core_fold"), CUT_LEN, CUT_LEN)]
-    )
-    keys = {
-        "plain": F.array(
-            _start("compact", col("compact"), 2),
-            _start("stem", col("stem") if seen else col("label"), CUT_LEN, CUT_LEN),
-            _start("stem compact", col("stem_compact") if seen else col("compact"), CUT_LEN, CUT_LEN),
-            _start("identity", col("stem_identity") if seen else col("identity"), CUT_LEN, CUT_LEN),
-        ),
-        "strict": F.array(*strict),
-        "titles": _title_keys(col("title"), col("title_core"), p),
-        # each pair of the combined rule is strict or aligned
-        "combined": F.array(*strict, _start("align", col("align"), 3, 1)),
-    }[rule]
-    return F.array_compact(F.array_distinct(keys))
+    own = small.filter((n >= 2) & (needed <= n)).select("name", F.col(f"{p}title_core").alias("x"), F.col(f"{p}word").alias("word"), F.col(f"{p}number").alias("number"), (n - needed + 1).alias("few"))
+    others = large.filter(f"{q}title_core != ''").select(F.col("name").alias("other"), F.col(f"{q}title_core").alias("y"), F.col(f"{q}word").alias("of_word"), F.col(f"{q}number").alias("of_number"))
+    letters = others.select("*", F.explode(F.array_distinct(F.split("y", ""))).alias("ch"))
+    rarity = letters.groupBy("ch").agg(F.count("*").alias("n"))
+    each = own.select("name", "x", "word", "number", "few", F.posexplode(F.split("x", "")).alias("pos", "ch")).join(rarity, "ch", "left")
+    order = F.row_number().over(W.partitionBy("name").orderBy(F.coalesce("n", F.lit(0)), "ch", "pos"))
+    rare = each.withColumn("nth", order).filter("nth <= few AND n > 0").select("name", "x", "word", "number", "ch").distinct()
+    longer = F.char_length("y") >= F.char_length("x") if equal else F.char_length("y") > F.char_length("x")
+    words = rare.select("word", "ch").distinct().join(letters.select("of_word", "ch").distinct(), "ch").filter("word IS NULL OR of_word IS NULL OR word != of_word")
+    # names without a number have no word; they meet as they are
+    met = rare.withColumn("w", F.coalesce("word", F.lit(""))).join(words.select(F.coalesce("word", F.lit("")).alias("w"), "ch", F.coalesce("of_word", F.lit("")).alias("of_w")), ["w", "ch"])
+    apart = met.join(letters.withColumn("of_w", F.coalesce("of_word", F.lit(""))), ["of_w", "ch"]).filter(longer).select("name", "other")
+    same = own.filter("word IS NOT NULL").join(others, (F.col("word") == F.col("of_word")) & (F.col("number") == F.col("of_number"))).filter(longer).select("name", "other")
+    return apart.unionAll(same)
+
+
+def _title_forms(rows: DataFrame, p: str) -> DataFrame:
+    """Titles in lower case, and the word and the number that a core is made of, if it is."""
+    core = F.col(f"{p}title_core")
+    number = F.regexp_extract(core, NUMBERED, 2)
+    return rows.filter(f"{p}title != ''").withColumns({f"{p}low": F.lower(f"{p}title"), f"{p}word": F.when(number != "", F.lower(F.regexp_extract(core, NUMBERED, 1))), f"{p}number": F.when(number != "", number)})
+
+
+def _title_pairs(v: DataFrame, c: DataFrame) -> DataFrame:
+    """``v, c``: candidates for titles that are alike."""
+    v, c = _title_forms(v, "v_"), _title_forms(c, "c_")
+    same = _meeting(v, c, [(_whole("v_low", ""), _whole("c_low", ""))])
+    forth = [_within(v, "v_", c, "c_"), _alike(v, "v_", c, "c_", True)]
+    back = [_within(c, "c_", v, "v_"), _alike(c, "c_", v, "v_", False)]
+    pairs = [same, *[x.toDF("v", "c") for x in forth], *[x.select(F.col("other").alias("v"), F.col("name").alias("c")) for x in back]]
+    return reduce(DataFrame.unionAll, pairs)
+
+
+def matching_pairs(v: DataFrame, c: DataFrame, rule: str = "combined") -> DataFrame:
+    """``v, c``: each pair of distinct names, seen (``v``: name and forms ``v_...``) and configured (``c``), that match by the rule."""
+    if rule == "titles":
+        found, judge = _title_pairs(v, c), titles_match(F.col("v_title"), F.col("c_title"), F.col("v_title_core"), F.col("c_title_core"))
+    else:
+        # names that share a key of the plain or the strict rule match by it, if none of their labels is empty; a pair of the combined rule is strict or aligned
+        keys = {"plain": _plain_keys, "strict": _strict_keys, "combined": lambda: [*_strict_keys(), *_aligned_keys()]}[rule]()
+        found, judge = _meeting(v, c, keys), {"plain": names_match, "strict": names_match_strict, "combined": combined_match}[rule]()
+    return found.distinct().join(v.withColumnRenamed("name", "v"), "v").join(c.withColumnRenamed("name", "c"), "c").filter(judge).select("v", "c")
 
 
 def match_names(visible: DataFrame, configured: DataFrame, v_name: str = "name", c_name: str = "configured", rule: str = "combined") -> DataFrame:
     """All pairs of a visible row and a configured name that match by the rule: ``plain``, ``strict``, ``titles`` or ``combined``.
 
-    Names are joined on :func:`candidate_keys`, and the pairs that share one are judged by the rule. A short list is broadcast, after its size was checked."""
-    how = {"plain": names_match(), "strict": names_match_strict(), "titles": titles_match(F.col("v_title"), F.col("c_title"), F.col("v_title_core"), F.col("c_title_core")), "combined": combined_match()}[rule]
-    left, right = with_keys(visible, v_name, "v_"), with_keys(configured, c_name, "c_")
-    left, right = (rows.withColumn(f"{p}keys", candidate_keys(rule, p)).withColumn(f"{p}key", F.explode(f"{p}keys")) for rows, p in ((left, "v_"), (right, "c_")))
-    if configured.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
-        right = F.broadcast(right)
-    # a pair that shares several keys is taken at the first of them
-    joined = left.join(right, (F.col("v_key") == F.col("c_key")) & (F.col("v_key") == F.get(F.array_intersect("v_keys", "c_keys"), F.lit(0))) & how)
-    return joined.select(*visible.columns, *configured.columns)
+    Each distinct name is matched once, however many rows have it. Candidates come from equality joins of whole forms with starts of forms (of names: nearly all of them match), or of titles' rarest trigrams and
+    characters; only distinct names and their keys are shuffled for that. The pairs found are joined with the rows: without a shuffle of these if the pairs are few, which is checked."""
+    v = with_keys(visible.select(F.col(v_name).alias("name")).filter("name is not null").distinct(), "name", "v_")
+    c = with_keys(configured.select(F.col(c_name).alias("name")).filter("name is not null").distinct(), "name", "c_")
+    listed = configured.select(F.col(c_name).alias("c"), *[F.col(x).alias(f"__c{i}") for i, x in enumerate(configured.columns)])
+    pairs = matching_pairs(v, c, rule).join(listed, "c").drop("c")
+    some = pairs.limit(BROADCAST_PAIRS + 1).collect()
+    if len(some) <= BROADCAST_PAIRS:
+        pairs = F.broadcast(visible.sparkSession.createDataFrame(some, pairs.schema))
+    rows = visible.select(F.col(v_name).alias("v"), *[F.col(x).alias(f"__v{i}") for i, x in enumerate(visible.columns)]).join(pairs, "v")
+    return rows.select(*[F.col(f"__v{i}").alias(x) for i, x in enumerate(visible.columns)], *[F.col(f"__c{i}").alias(x) for i, x in enumerate(configured.columns)])
 
 
 # F4, F5
@@ -185,21 +274,29 @@ NAME_BLOCK = 5_000
 
 
 # J5
-def resolve_chats(rows: DataFrame, configured: DataFrame, kind: str = "all", unread_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """For each configured name (``configured``, ``position``) its first matching CHATROW of a scan, and the names without any.
+def resolved_chats(rows: DataFrame, configured: DataFrame, kind: str = "all", unread_only: bool = False) -> DataFrame:
+    """``scan_id, configured, position, row_pos, name``: for each scan and configured name (``configured``, ``position``) its first matching CHATROW, or nulls.
 
-    The latter are a scan's found names taken from the list of all, block by block."""
+    A scan's found names are taken from the list of all, block by block, so each pair is computed once."""
     seen = rows.filter(chat_type_allows(kind) & (has_unread() if unread_only else F.lit(True)))
-    pairs = match_names(seen, configured)
-    first = pairs.groupBy("scan_id", "configured", "position").agg(F.min("row_pos").alias("row_pos"), F.min_by("name", "row_pos").alias("name"))
+    first = match_names(seen, configured).groupBy("scan_id", "configured", "position").agg(F.min("row_pos").alias("row_pos"), F.min_by("name", "row_pos").alias("name"))
     blocks = max(1, -(-configured.count() // NAME_BLOCK))
     block, one = F.pmod(F.xxhash64("configured", "position"), F.lit(blocks)).cast("int").alias("__b"), F.struct("configured", "position")
     every = configured.groupBy(block).agg(F.collect_list(one).alias("__all"))
-    found = first.groupBy("scan_id", block).agg(F.collect_list(one).alias("__found"))
+    found = first.groupBy("scan_id", block).agg(F.collect_list(F.struct("configured", "position", "row_pos", "name")).alias("__found"))
     scans = rows.select("scan_id").distinct().withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     left = scans.join(every, "__b").join(found, ["scan_id", "__b"], "left")
-    missing = left.select("scan_id", F.explode(F.when(F.col("__found").isNull(), F.col("__all")).otherwise(F.array_except("__all", "__found"))).alias("n")).select("scan_id", "n.*")
-    return first.orderBy("scan_id", "row_pos", "position"), missing
+    kinds = dict(rows.dtypes)
+    hit = F.coalesce("__found", F.array().cast(found.schema["__found"].dataType))
+    names = F.transform(hit, lambda n: F.struct(n["configured"].alias("configured"), n["position"].alias("position")))
+    missed = F.transform(F.array_except("__all", names), lambda n: F.struct(n["configured"].alias("configured"), n["position"].alias("position"), F.lit(None).cast(kinds["row_pos"]).alias("row_pos"), F.lit(None).cast("string").alias("name")))
+    return left.select("scan_id", F.explode(F.concat(hit, missed)).alias("n")).select("scan_id", "n.*")
+
+
+def resolve_chats(rows: DataFrame, configured: DataFrame, kind: str = "all", unread_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """For each configured name its first matching CHATROW of a scan, and the names without any."""
+    all_names = resolved_chats(rows, configured, kind, unread_only)
+    return all_names.filter("row_pos is not null").orderBy("scan_id", "row_pos", "position"), all_names.filter("row_pos is null").select("scan_id", "configured", "position")
 
 
 # D10

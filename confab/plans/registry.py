@@ -692,8 +692,7 @@ def match_names_strict(spark, sf):
   SELECT a.scan_id, a.n_name AS configured, coalesce(f.row_pos, -1)::INT AS row_pos FROM (SELECT d.scan_id, n_name FROM (SELECT DISTINCT scan_id FROM s) d, nation) a
     LEFT JOIN f ON f.scan_id = a.scan_id AND f.configured = a.n_name""")
 def resolve_chats(spark, sf):
-    found, missing = names.resolve_chats(_visible(spark, sf), _configured(spark, sf))
-    return found.select("scan_id", "configured", "row_pos").unionByName(missing.select("scan_id", "configured", F.lit(-1).alias("row_pos")))
+    return names.resolved_chats(_visible(spark, sf), _configured(spark, sf)).select("scan_id", "configured", F.coalesce("row_pos", F.lit(-1)).alias("row_pos"))
 
 
 @query(f"WITH {_RULES} SELECT DISTINCT row_pos::INT AS row_pos, replace(name, '...', '…') AS name FROM k WHERE (plain OR strict OR titles) AND (strict OR aligned)")
