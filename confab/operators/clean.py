@@ -100,5 +100,5 @@ def postprocess(messages: DataFrame) -> DataFrame:
     The column steps come first. Voice durations must see rows before time lines go, and everything after is order-dependent on what is kept,
     so the rest is one chain of windows over one sorted pass; the adjacent step is a window of one."""
     rows = infer_media_types(refine_calls(normalize_rows(messages)))
-    voice = fold(rows, KEY, ORDER, [(voice_step, 1)])
-    return fold(drop_time_only(voice), KEY, ORDER, [(lookback_step, 1), (lookback_step, LOOKBACK), (similar_step, LOOKBACK)])
+    voice = fold(rows, KEY, ORDER, [(voice_step, 1)], counted=messages)
+    return fold(drop_time_only(voice), KEY, ORDER, [(lookback_step, 1), (lookback_step, LOOKBACK), (similar_step, LOOKBACK)], counted=messages)

@@ -8,12 +8,20 @@ window, since later rows may still fill in its time.
 from __future__ import annotations
 
 import difflib
+import hashlib
+import pickle
 import re
+import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from confab.streaming.scratch import remove, scratch
 
 #: A step gets the kept rows, oldest first, and a new row; it returns whether the new row is kept. It may set a kept row's time.
 Step = Callable[[list[dict], dict], bool]
@@ -117,15 +125,39 @@ def through(windows: list[Window], rows: list[dict], end: bool = False) -> list[
     return rows
 
 
-def fold(df: DataFrame, key: list[str], order: list[str], steps: list[tuple[Callable[[], Step], int]]) -> DataFrame:
-    """``df`` without the rows that the steps drop, one after the other, among the rows of each key in order."""
-    columns, kinds = df.columns, df.schema
+#: A key with more rows than this is cut into segments of about SEGMENT rows.
+HOT, SEGMENT = 1_000_000, 200_000
+Steps = list[tuple[Callable[[], Step], int]]
+
+
+def fold(df: DataFrame, key: list[str], order: list[str], steps: Steps, hot: int | None = None, segment: int | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """``df`` without the rows that the steps drop, one after the other, among the rows of each key in order.
+
+    The keys with more than ``hot`` rows are folded in segments at the same time (:func:`_fold_segments`); the result is that of one fold over all rows. Rows are counted in
+    ``counted``, where that has all of them and is cheaper to read."""
+    hot, segment = HOT if hot is None else hot, SEGMENT if segment is None else segment
+    large = (df if counted is None else counted).groupBy(*key).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > hot)
+    total = large.agg(F.sum("__rows")).first()[0]
+    if not total:
+        return _fold_keys(df, key, steps, order)
+    large = large.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)])
+    rest = _fold_keys(df.join(large, same, "left_anti"), key, steps, order)
+    return rest.unionByName(_fold_segments(df.join(large, same, "left_semi"), key, order, steps, -(-total // segment)))
+
+
+def _records(frame: pd.DataFrame) -> list[dict]:
+    return frame.astype(object).where(frame.notna(), None).to_dict("records")
+
+
+def _fold_keys(df: DataFrame, key: list[str], steps: Steps, order: list[str]) -> DataFrame:
+    columns = df.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, windows = None, []
         for frame in frames:
             out = []
-            for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
+            for row in _records(frame):
                 at = tuple(row[k] for k in key)
                 if at != current:
                     out += through(windows, [], end=True)
@@ -134,4 +166,95 @@ def fold(df: DataFrame, key: list[str], order: list[str], steps: list[tuple[Call
             yield pd.DataFrame(out, columns=columns)
         yield pd.DataFrame(through(windows, [], end=True), columns=columns)
 
-    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, kinds)
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, df.schema)
+
+
+def _fold_segments(df: DataFrame, key: list[str], order: list[str], steps: Steps, n: int) -> DataFrame:
+    """The fold over ``n`` segments of the rows in order, all at the same time.
+
+    What a segment needs of those before it is the kept rows in the windows at its start. These are guessed, as what the segment before leaves when it starts with empty windows:
+    windows hold few rows, so what they hold at a segment's end rarely depends on what they held at its start. Then all segments are folded from the
+    guesses, and those that started from another state than the segment before has left in the end are folded again, until none is left. The first segment is right, and
+    one that starts from what a right one left is right, so the result is that of one fold over all rows. At worst, where every row decides on the last, there are as many rounds as segments.
+
+    Segments, states and results are stored in the shared folder; a state is a row of a few messages, and travels to its segment by a shuffle."""
+    spark, columns = df.sparkSession, df.columns
+    base = f"{scratch(spark)}/confab-{uuid.uuid4().hex}"
+
+    def stored(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.parquet(f"{base}/{name}")
+        return spark.read.schema(frame.schema).parquet(f"{base}/{name}")
+
+    # segments are numbered in the order of the rows
+    rows = stored(df.repartitionByRange(n, *key, *order).withColumn("__segment", F.spark_partition_id()), "segments")
+    last = rows.agg(F.max("__segment")).first()[0]
+    kind = T.StructType([*rows.schema.fields, T.StructField("__state", T.BinaryType()), T.StructField("__mark", T.StringType())])
+
+    def table(out: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame({f.name: pd.Series([r.get(f.name) for r in out], dtype=object) for f in kind.fields})
+
+    def run(emit: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            segment, current, windows = None, None, []
+
+            def close() -> list[dict]:
+                """What a segment leaves: the last one its rows, another one its state."""
+                if segment is None:
+                    return []
+                if segment == last and emit:
+                    return [r | {"__segment": segment} for r in through(windows, [], end=True)]
+                held = [list(w.kept) for w in windows]
+                return [{"__segment": segment, "__state": pickle.dumps((current, held)), "__mark": hashlib.sha256(repr((current, held)).encode()).hexdigest()}]
+
+            for frame in frames:
+                out = []
+                for row in _records(frame):
+                    if row["__segment"] != segment:
+                        out += close()
+                        segment, current, windows = row["__segment"], None, []
+                    state = row.pop("__state")
+                    if state is not None:
+                        current, held = pickle.loads(state)
+                        windows = [Window(make(), size) for make, size in steps]
+                        for w, kept in zip(windows, held, strict=True):
+                            w.kept = deque(kept)
+                        continue
+                    del row["__segment"], row["__mark"]
+                    at = tuple(row[k] for k in key)
+                    if at != current:
+                        ended = through(windows, [], end=True)
+                        out += [r | {"__segment": segment} for r in ended] if emit else []
+                        current, windows = at, [Window(make(), size) for make, size in steps]
+                    passed = through(windows, [row])
+                    out += [r | {"__segment": segment} for r in passed] if emit else []
+                yield table(out)
+            yield table(close())
+
+        return each
+
+    def folded(some: DataFrame, states: DataFrame | None, name: str) -> DataFrame:
+        fed = some.withColumns({"__state": F.lit(None).cast("binary"), "__mark": F.lit(None).cast("string")})
+        if states is not None:
+            before = states.select((F.col("__segment") + 1).alias("__segment"), "__state", "__mark")
+            fed = fed.unionByName(before, allowMissingColumns=True)
+        fed = fed.select(*[f.name for f in kind.fields])
+        dealt = fed.repartition("__segment").sortWithinPartitions("__segment", F.col("__state").isNull(), *key, *order)
+        return stored(dealt.mapInPandas(run(states is not None), kind), name)
+
+    of_states = lambda out: out.filter("__state IS NOT NULL").select("__segment", "__state", "__mark")
+    states = of_states(folded(rows, None, "guesses")).filter(F.col("__segment") < last)
+    out, again, turn = None, rows, 0
+    while True:
+        turn += 1
+        new = folded(again, states.join(again.select(F.col("__segment") - 1).distinct().toDF("__segment"), "__segment", "left_semi") if out is not None else states, f"round{turn}")
+        done = new if out is None else out.join(new.select("__segment").distinct(), "__segment", "left_anti").unionByName(new)
+        left = of_states(new)
+        changed = left.alias("n").join(states.alias("o"), "__segment").filter("n.__mark != o.__mark").select((F.col("__segment") + 1).alias("__segment"))
+        changed = stored(changed.distinct(), f"changed{turn}")
+        if changed.isEmpty():
+            break
+        states = stored(states.join(left.select("__segment"), "__segment", "left_anti").unionByName(left), f"states{turn}")
+        out, again = stored(done, f"out{turn}"), rows.join(changed, "__segment", "left_semi")
+    final = stored(done.filter("__state IS NULL").select(*columns), "folded")
+    remove(spark, *[f"{base}/{x}" for x in ("segments", "guesses", *[f"{y}{t}" for t in range(1, turn + 1) for y in ("round", "changed", "states", "out")])])
+    return final

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from confab.functions import text as T
@@ -628,6 +629,20 @@ def drop_voice_durations(spark, sf):
     return clean.drop_voice_durations(_messages(clean.infer_media_types(rows)))
 
 
+def sentences(spark, sf) -> DataFrame:
+    """All sentences of all documents as messages: those that begin alike are a chat, in the order of documents."""
+    s = table(spark, sf, "documents").select("doc_id", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"[.\n]+\s*")).alias("pos", "content")).filter("content != ''")
+    s = s.withColumn("source_path", F.substring("content", 1, 12))
+    n = F.row_number().over(W.partitionBy("source_path").orderBy("doc_id", "pos")) - 1
+    return s.select("source_path", n.alias("msg_index"), F.col("source_path").alias("chat_name"), F.col("lang").alias("sender"), F.lit(None).cast("string").alias("time"), "content", F.lit("text").alias("type"))
+
+
+@query()
+def dedup_similar_sentences(spark, sf):
+    """Sentences that are like one shortly before, as documents with small changes have them."""
+    return clean.dedup_similar(sentences(spark, sf))
+
+
 @query()
 def postprocess(spark, sf):
     return clean.postprocess(_messages(events(spark, sf).withColumn("content", F.concat_ws(" ", "content", picked(LINES, F.col("event_id"))))))
