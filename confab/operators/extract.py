@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from confab.functions import text as T
-from confab.functions.timeparse import drop_chunks_before_cutoff, recent_window, with_effective_time
+from confab.functions.timeparse import cutoff, drop_chunks_before_cutoff, parse_message_time, recent_window, with_effective_time
 from confab.operators.clean import dedup_exact
 from confab.sources.messages import model_object
 
@@ -68,10 +68,14 @@ def extract_chat(responses: DataFrame, now: Column, hours: int = 0, max_messages
     return rows.withColumn("msg_index", n.cast("int")).select("source_path", "msg_index", "chat_name", "sender", "time", "content", "type")
 
 
+#: What is told of a failed task.
+NO_OBJECT, NO_LIST = "no valid JSON object in the response", "messages must be a JSON array"
+
+
 def judged_tasks(tasks: DataFrame) -> DataFrame:
-    """Tasks with ``state`` (missing, failed, completed) and, for extraction tasks, their ``items``.
+    """Tasks with ``state`` (missing, failed, completed), the ``error`` of a failed one and, for extraction tasks, their ``items``.
 
-    A response that holds threads and no messages is complete without rows, as is a task of another kind."""
+    A response that holds threads and no messages is complete without rows, as is a task of another kind. Of the messages, those that are objects with a content are items."""
     text = F.when(T.utrim(F.col("response_text")) != "", F.col("response_text"))
     p = tasks.withColumn("__text", text).withColumn("__p", F.from_json(model_object(F.col("__text")), _PAYLOAD))
     raw = F.coalesce(F.col("__p.messages"), F.lit("[]"))
@@ -79,11 +83,11 @@ def judged_tasks(tasks: DataFrame) -> DataFrame:
     other = F.coalesce(F.col("kind"), F.lit("")).isin("", "message_extraction") == F.lit(False)
     is_list = F.trim(raw).startswith("[")
     items = F.from_json(raw, "array<string>")
-    whole = F.forall(items, lambda x: x.startswith("{") & F.array_contains(F.json_object_keys(x), "content"))
+    items = F.filter(items, lambda x: x.startswith("{") & F.coalesce(F.array_contains(F.json_object_keys(x), "content"), F.lit(False)))
     idle = other | ((F.regexp_replace(raw, r"\s", "").isin("[]", "null", "")) & has_threads)
-    state = (
-        F.when(F.col("__text").isNull(), "missing").when(F.col("__p").isNull(), "failed").when(idle, "completed").when(~is_list, "failed").when(F.coalesce(whole, F.lit(True)), "completed").otherwise("failed")
-    )
+    state = F.when(F.col("__text").isNull(), "missing").when(F.col("__p").isNull(), "failed").when(idle, "completed").when(~is_list, "failed").otherwise("completed")
+    error = F.when(F.col("__text").isNotNull() & F.col("__p").isNull(), NO_OBJECT).when(state == "failed", NO_LIST)
+    p = p.withColumn("error", error)
     return p.withColumn("state", state).withColumn("items", F.when((state == "completed") & ~idle, items)).withColumn("found_name", T.blank_to_null(F.col("__p.chat_name"))).drop("__text", "__p")
 
 
@@ -111,35 +115,71 @@ def carried_chat_name(tasks: DataFrame, default: str = "Current Chat", by: list[
 
 
 # M3, A7
-def finalize(tasks: DataFrame, now: Column, hours: int = 0, scope: str = "task") -> tuple[DataFrame, DataFrame]:
-    """Messages of all answered tasks, and one summary row per run."""
-    judged = judged_tasks(tasks)
+def finalized_messages(judged: DataFrame, now: Column, hours: int = 0, scope: str = "task") -> DataFrame:
+    """Messages of all answered tasks (:func:`judged_tasks`), before repeats go, with ``in_window``."""
     one = F.from_json("m", _ITEM)
     rows = carried_chat_name(judged).select("run_id", "task_pos", "task_chat", F.posexplode("items").alias("pos", "m")).withColumn("i", one)
     rows = rows.select(
         "run_id", "task_pos", "pos", F.coalesce(T.blank_to_null(F.col("i.chat_name")), "task_chat").alias("chat_name"), F.coalesce("i.sender", F.lit("")).alias("sender"), F.col("i.time").alias("time"),
         F.coalesce("i.content", F.lit("")).alias("content"), T.coerce_type(F.coalesce("i.type", F.lit("text"))).alias("type"),
     )
-    if hours > 0:
-        sequence = ["run_id"] if scope == "global" else ["run_id", "chat_name", "task_pos"]
-        rows = recent_window(with_effective_time(rows, now, sequence, ["task_pos", "pos"]), hours, now).drop("event_time", "effective_time")
+    if hours <= 0:
+        return rows.withColumn("in_window", F.lit(True))
+    timed = carried_time(rows, now) if scope == "global" else with_effective_time(rows, now, ["run_id", "chat_name", "task_pos"], ["task_pos", "pos"])
+    inside = F.col("effective_time").isNull() | (F.col("effective_time") >= cutoff(hours, now))
+    return timed.withColumn("in_window", inside).drop("event_time", "effective_time")
+
+
+# W2 over a whole run
+def carried_time(rows: DataFrame, now: Column, by: list[str] | None = None) -> DataFrame:
+    """As :func:`with_effective_time` over all rows of a run in the order of (task_pos, pos): within blocks of tasks, and from block to block by one narrow row for each, so no task of Spark's holds a whole run."""
+    by = by or ["run_id"]
+    place = F.struct("task_pos", "pos")
+    parsed = rows.withColumns({"event_time": parse_message_time(F.col("time"), now), "__b": F.floor(F.col("task_pos") / CARRY_BLOCK)})
+    blocks = parsed.groupBy(*by, "__b").agg(F.max_by("event_time", F.when(F.col("event_time").isNotNull(), place)).alias("__last"))
+    before = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__b").alias("__block"), F.last("__last", ignorenulls=True).over(before).alias("__from"))
+    same = F.col("__b") == F.col("__block")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    within = W.partitionBy(*by, "__b").orderBy("task_pos", "pos").rowsBetween(W.unboundedPreceding, 0)
+    timed = parsed.join(blocks, same).withColumn("effective_time", F.coalesce(F.last("event_time", ignorenulls=True).over(within), F.col("__from")))
+    return timed.select(*rows.columns, "event_time", "effective_time")
+
+
+def without_repeats(rows: DataFrame) -> DataFrame:
     n = F.row_number().over(W.partitionBy("run_id", "chat_name", "sender", "time", "content", "type").orderBy("task_pos", "pos"))
-    kept = rows.withColumn("__n", n).filter("__n = 1").drop("__n")
-    # only the ids of missing and failed tasks are listed, as the summary's columns say
-    listed = lambda state: F.array_sort(F.collect_list(F.when(F.col("state") == state, F.struct("task_pos", "step_id"))))
+    return rows.withColumn("__n", n).filter("__n = 1").drop("__n")
+
+
+def failures(judged: DataFrame) -> DataFrame:
+    """``run_id, task_pos, step_id, state, error`` of the tasks that are missing or failed: one row each, for runs of any size."""
+    return judged.filter("state != 'completed'").select("run_id", "task_pos", "step_id", "state", "error")
+
+
+def finalize_summary(judged: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row per run: tasks in all and completed (flags that were set before count), ids of missing and failed ones, errors of the latter in the same order, and messages before
+    the window, in it, and extracted, which is in it and not repeated. For runs with very many failures, :func:`failures` has them as rows."""
+    listed = lambda state: F.array_sort(F.collect_list(F.when(F.col("state") == state, F.struct("task_pos", "step_id", "error"))))
     done = F.count_if((F.col("state") == "completed") | F.col("completed"))
-    before = F.coalesce(F.sum(F.array_size("items")), F.lit(0)).alias("messages_before")
-    summary = judged.groupBy("run_id").agg(F.count("*").alias("total"), done.alias("completed"), listed("missing").alias("m"), listed("failed").alias("f"), before)
-    if hours > 0:
-        after = rows.groupBy(F.col("run_id").alias("__run")).agg(F.count("*").alias("messages_in_window"))
-        summary = summary.join(after, F.col("run_id").eqNullSafe(F.col("__run")), "left")
-    else:
-        summary = summary.withColumn("messages_in_window", F.col("messages_before"))
-    summary = summary.select(
-        "run_id", "total", "completed", F.array_join("m.step_id", ",").alias("missing"), F.array_join("f.step_id", ",").alias("failed"), "messages_before",
-        F.coalesce("messages_in_window", F.lit(0)).alias("messages_in_window"), ((F.size("m") == 0) & (F.size("f") == 0)).alias("ok"),
+    summary = judged.groupBy("run_id").agg(F.count("*").alias("total"), done.alias("completed"), listed("missing").alias("m"), listed("failed").alias("f"))
+    # repeats are counted by keys alone
+    keys = rows.filter("in_window").groupBy("run_id", "chat_name", "sender", "time", "content", "type").agg(F.count("*").alias("k"))
+    inside = keys.groupBy(F.col("run_id").alias("__in")).agg(F.sum("k").alias("messages_in_window"), F.count("*").alias("messages_extracted"))
+    before = rows.groupBy(F.col("run_id").alias("__run")).agg(F.count("*").alias("messages_before"))
+    summary = summary.join(before, F.col("run_id").eqNullSafe(F.col("__run")), "left").join(inside, F.col("run_id").eqNullSafe(F.col("__in")), "left")
+    number = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return summary.select(
+        "run_id", "total", "completed", F.array_join("m.step_id", ",").alias("missing"), F.array_join("f.step_id", ",").alias("failed"), F.array_join("f.error", "\n").alias("errors"),
+        number("messages_before"), number("messages_in_window"), number("messages_extracted"), ((F.size("m") == 0) & (F.size("f") == 0)).alias("ok"),
     )
-    return kept, summary
+
+
+def finalize(tasks: DataFrame, now: Column, hours: int = 0, scope: str = "task") -> tuple[DataFrame, DataFrame]:
+    """Messages of all answered tasks, without repeats, and one summary row per run. Each is a plan of its own; where both are wanted, give stored :func:`judged_tasks` to their parts."""
+    judged = judged_tasks(tasks)
+    rows = finalized_messages(judged, now, hours, scope)
+    return without_repeats(rows.filter("in_window").drop("in_window")), finalize_summary(judged, rows)
 
 
 # A10

@@ -452,7 +452,8 @@ def finalize_messages(spark, sf):
 
 @query(f"""WITH {_FINAL} SELECT count(*) AS total, count(*) FILTER (task_pos % 7 <> 0 AND task_pos % 11 <> 0) AS completed,
   string_agg(step_id, ',' ORDER BY task_pos) FILTER (task_pos % 7 = 0) AS missing, string_agg(step_id, ',' ORDER BY task_pos) FILTER (task_pos % 7 <> 0 AND task_pos % 11 = 0) AS failed,
-  (SELECT count(*) FROM x) AS messages_before, (SELECT count(*) FROM x) AS messages_in_window, false AS ok FROM t""")
+  string_agg('no valid JSON object in the response', chr(10)) FILTER (task_pos % 7 <> 0 AND task_pos % 11 = 0) AS errors,
+  (SELECT count(*) FROM x) AS messages_before, (SELECT count(*) FROM x) AS messages_in_window, (SELECT count(*) FROM (SELECT DISTINCT chat_name, sender, content, type FROM x)) AS messages_extracted, false AS ok FROM t""")
 def finalize_summary(spark, sf):
     _, summary = extract.finalize(spoiled(responses(spark, sf)), now(), hours=24)
     return summary.drop("run_id")
@@ -490,8 +491,8 @@ _FINAL_TIMED = f"""{_TIMED}, h AS (SELECT *, last_value(CASE WHEN mark THEN NULL
   w AS (SELECT *, eff IS NULL OR eff >= {NOW_SQL} - INTERVAL 240 HOUR AS inside FROM h)"""
 
 
-@query(f"""WITH {_FINAL_TIMED} SELECT (SELECT count(DISTINCT (source_path, chunk)) FROM w) AS total, (SELECT count(DISTINCT (source_path, chunk)) FROM w) AS completed, '' AS missing, '' AS failed,
-  count(*) AS messages_before, count(*) FILTER (inside) AS messages_in_window, true AS ok FROM w""")
+@query(f"""WITH {_FINAL_TIMED} SELECT (SELECT count(DISTINCT (source_path, chunk)) FROM w) AS total, (SELECT count(DISTINCT (source_path, chunk)) FROM w) AS completed, '' AS missing, '' AS failed, '' AS errors,
+  count(*) AS messages_before, count(*) FILTER (inside) AS messages_in_window, (SELECT count(*) FROM (SELECT DISTINCT source_path, sender, mark, CASE WHEN mark THEN '' ELSE content END, CASE WHEN mark THEN ts ELSE t END FROM w WHERE inside)) AS messages_extracted, true AS ok FROM w""")
 def finalize_windowed_summary(spark, sf):
     _, summary = extract.finalize(_timed_responses(spark, sf), now(), hours=240)
     return summary.drop("run_id")
