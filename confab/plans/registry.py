@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,6 +15,7 @@ from confab.functions import timeparse as P
 from confab.operators import clean, context, extract, model, names, ocr, report, runs
 from confab.operators import search as S
 from confab.plans.adapters import E_SQL, M_SQL, NOW_SQL, R_SQL, conversations, events, now, picked, picked_sql, responses, spoiled, table
+from confab.schemas import MESSAGE
 from confab.sources import messages as src
 from confab.sources import sinks
 from confab.streaming.scratch import remove
@@ -896,6 +898,18 @@ def _scratch(spark) -> str:
     return f"{scratch(spark)}/confab-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _rocksdb(spark):
+    """State in RocksDB, as processors of their own need it."""
+    name, value = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @query(f"SELECT * EXCLUDE (time) FROM ({_LOOKBACK})")
 def stream_lookback(spark, sf):
     """The lookback over all events as a stream of files; state is kept by user. A row goes out at once, so later rows cannot give it their time."""
@@ -903,17 +917,56 @@ def stream_lookback(spark, sf):
 
     base = _scratch(spark)
     _messages(events(spark, sf)).repartition("source_path").sortWithinPartitions("source_path", "msg_index").write.parquet(f"{base}/in")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with _rocksdb(spark):
         out = jobs.dedup_lookback_stream(jobs.new_messages(spark, f"{base}/in"))
         out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     remove(spark, f"{base}/in", f"{base}/state")
     return spark.read.parquet(f"{base}/out").drop("time")
 
 
+@query(_LOOKBACK)
+def stream_lookback_late(spark, sf):
+    """All events as a stream of files in which each user's rows are shuffled: they are sorted in by their times before they are compared, and repeats give their times. A last row moves the watermark on."""
+    from confab.streaming import jobs
+
+    base = _scratch(spark)
+    timed = events(spark, sf).withColumn("at", F.col("ts").cast("timestamp")).drop("event_id", "ts")
+    timed.repartition(3, F.xxhash64("source_path", "msg_index")).write.parquet(f"{base}/in")
+    end = timed.agg((F.max("at") + F.expr("INTERVAL 100 DAYS")).alias("at"))
+    end.select(*[F.lit(None).cast(timed.schema[c].dataType).alias(c) for c in timed.columns if c != "at"], "at").select(*timed.columns).write.mode("append").parquet(f"{base}/in")
+    with _rocksdb(spark):
+        stream = jobs.new_messages(spark, f"{base}/in", f"{MESSAGE}, at timestamp")
+        out = jobs.ordered_lookback_stream(stream, "at", "40 days")
+        out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    remove(spark, f"{base}/in", f"{base}/state")
+    return spark.read.parquet(f"{base}/out")
+
+
+_HALF = "TIMESTAMP '2024-01-15 00:00:00'"
+
+
+@query(f"""WITH a AS (SELECT 'user_' || user_id AS source_path, max(ts)::TIMESTAMP AS modified FROM events WHERE ts < {_HALF} GROUP BY 1),
+  b AS (SELECT 'user_' || user_id AS source_path, max(ts)::TIMESTAMP AS modified FROM events WHERE user_id % 5 <> 0 GROUP BY 1)
+  SELECT 1 AS call, true AS first_call, * FROM a UNION ALL SELECT 2, false, b.* FROM b LEFT JOIN a USING (source_path) WHERE a.modified IS NULL OR b.modified > a.modified
+  UNION ALL SELECT 3, false, a.* FROM a JOIN (SELECT 'user_' || user_id AS source_path FROM events WHERE user_id % 5 = 0 GROUP BY 1) USING (source_path)""")
+def new_sources(spark, sf):
+    """Three checks over one state: half of the time; all of it, but without some users, who vanish from the state; the first half again, in which these are new."""
+    from confab.streaming import jobs
+
+    base, e = _scratch(spark), events(spark, sf)
+    of = lambda rows: rows.groupBy("source_path").agg(F.max("ts").alias("modified"))
+    half = e.filter(F.col("ts") < F.expr(_HALF).cast("timestamp_ntz"))
+    some = e.filter(F.regexp_extract("source_path", r"(\d+)", 1).cast("long") % 5 != 0)
+    out = None
+    for call, listing in enumerate([half, some, half], 1):
+        told = jobs.new_sources(of(listing), f"{base}/state").withColumn("call", F.lit(call)).select("call", "first_call", "source_path", "modified")
+        told.write.parquet(f"{base}/told/{call}")  # the next check deletes the state before the last
+        told = spark.read.parquet(f"{base}/told/{call}")
+        out = told if out is None else out.unionByName(told)
+    remove(spark, f"{base}/state")
+    return out
+
+
 @query(f"WITH {E_SQL} SELECT DISTINCT source_path, sender, content FROM e")
 def stream_dedup_exact(spark, sf):
     """Exact deduplication within a watermark that covers the whole table equals the batch form."""
@@ -939,7 +992,7 @@ def stream_ingest(spark, sf):
     q = jobs.ingest_stream(spark, f"{base}/in", f"{base}/state", lambda r: extract.extract_chat(r, now()), f"{base}/messages", f"{base}/outcomes", files_per_batch=10_000)
     q.awaitTermination()
     remove(spark, f"{base}/in", f"{base}/state")
-    return spark.read.parquet(f"{base}/messages").select("source_path", "msg_index", "sender", "content", "type")
+    return jobs.ingested(spark, f"{base}/messages", f"{base}/outcomes").select("source_path", "msg_index", "sender", "content", "type")
 
 
 #: Columns that Spark returns as int and DuckDB would return wider.

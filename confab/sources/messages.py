@@ -46,6 +46,12 @@ def read_messages(spark: SparkSession, paths: list[str] | str, mode: str = "stri
     return _messages(files, checked).withColumn("type", coerce_type(F.col("type")))
 
 
+def source_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``file_name, source_path, modified`` of a folder's files; their contents aren't read."""
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("path").alias("source_path"), F.col("modificationTime").alias("modified"))
+
+
 # S4
 def discover_sources(files: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Of ``files`` (file_name, ...), the chats, by name; with ``runs``, those that the latest run lists."""

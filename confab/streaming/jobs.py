@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from confab.operators.fold import LOOKBACK, Window, lookback_step
+from confab.operators.search import changed_sources
 from confab.schemas import MESSAGE, RESPONSE
+from confab.sources.messages import model_object
+from confab.streaming.scratch import remove
 
 
 # ST1
@@ -23,24 +29,66 @@ def changed_since_last_run(stream: DataFrame, checkpoint: str, sink: Callable[[D
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _checks(spark: SparkSession, state: str) -> list[int]:
+    """The numbers of the checks whose states are whole, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(state)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath() for s in fs.listStatus(path)]
+    return sorted(int(p.getName()[6:]) for p in names if p.getName().startswith("check=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def new_sources(listing: DataFrame, state: str) -> DataFrame:
+    """``first_call, source_path, modified, ...``: the sources of ``listing`` that are new or were modified since the last check with the same ``state``, newest first.
+
+    ``state`` is a folder in which each check leaves its listing, so a source that is gone vanishes from the state. The first check reports all sources, and so does one that finds no
+    state that can be read. A check that dies before its listing is whole leaves the state as it was. The listing is read once, as it is now; states older than the last are deleted."""
+    spark = listing.sparkSession
+    checks = _checks(spark, state)
+    before = None
+    if checks:
+        try:
+            before = spark.read.schema(listing.schema).parquet(f"{state}/check={checks[-1]}").select("source_path", "modified")
+            before.agg(F.max("source_path"), F.max("modified")).collect()  # reads every file
+        except (PySparkException, Py4JJavaError):
+            before = None
+    at = f"{state}/check={checks[-1] + 1 if checks else 0}"
+    listing.write.mode("overwrite").parquet(at)
+    remove(spark, *[f"{state}/check={n}" for n in checks[:-1]])
+    current = spark.read.schema(listing.schema).parquet(at)
+    return changed_sources(current, before).select(F.lit(before is None).alias("first_call"), *listing.columns).orderBy(F.desc("modified"), "source_path")
+
+
 # ST2
 def ingest_stream(spark: SparkSession, folder: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame], messages_out: str, outcomes_out: str, files_per_batch: int = 100) -> StreamingQuery:
-    """RESPONSE files flow through ``extract`` into a message table; a batch's readable and unreadable responses are told in an outcome table."""
+    """RESPONSE files flow through ``extract`` into a message table; a batch's readable and unreadable responses are told in an outcome table, chats in the order of submission.
+
+    Each batch owns a part of either table, named by the batch's id, and writes it whole; a batch that is run again after a failure, with the same files by the checkpoint, takes the place of what
+    it had written, so no row is there twice. The outcomes are written last: messages of batches without them may be incomplete (:func:`ingested`)."""
     stream = spark.readStream.schema(RESPONSE).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        part = lambda out: f"{out}/batch_id={batch_id}"
         batch = batch.persist()
-        extract(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(messages_out)
-        from confab.sources.messages import model_object
-
-        found = batch.withColumn("__o", model_object(F.col("response_text")))
-        told = found.groupBy("chat_name").agg(F.count("*").alias("responses"), F.count_if(F.col("__o").isNull()).alias("unreadable"), F.min("task_pos").alias("submit_index"))
-        told.withColumns({"batch_id": F.lit(batch_id), "error": F.when(F.col("unreadable") > 0, F.lit("response without a JSON object"))}).write.mode("append").parquet(outcomes_out)
-        batch.unpersist()
+        try:
+            extract(batch).write.mode("overwrite").parquet(part(messages_out))
+            found = batch.withColumn("__o", model_object(F.col("response_text")))
+            told = found.groupBy("chat_name").agg(F.count("*").alias("responses"), F.count_if(F.col("__o").isNull()).alias("unreadable"), F.min("task_pos").alias("submit_index"))
+            told = told.withColumn("error", F.when(F.col("unreadable") > 0, F.lit("response without a JSON object")))
+            told.repartitionByRange("submit_index").sortWithinPartitions("submit_index").write.mode("overwrite").parquet(part(outcomes_out))
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingested(spark: SparkSession, messages_out: str, outcomes_out: str) -> DataFrame:
+    """The messages of the batches that are whole."""
+    whole = spark.read.parquet(outcomes_out).select("batch_id").distinct()
+    return spark.read.parquet(messages_out).join(F.broadcast(whole), "batch_id", "left_semi")  # a number for each batch
+
+
 # ST3
 def dedup_exact_stream(stream: DataFrame, event_time: str, late: str = "1 hour") -> DataFrame:
     """Drops repeats of (source, sender, time, content, type) that arrive within the watermark."""
@@ -71,5 +119,88 @@ class LookbackProcessor(StatefulProcessor):
 
 
 def dedup_lookback_stream(stream: DataFrame) -> DataFrame:
-    """Streaming form of the lookback over sender, content and type, without filling in times."""
+    """Streaming form of the lookback over sender, content and type, for rows that arrive in order: each goes out at once, so times are not filled in."""
     return stream.groupBy("source_path").transformWithStateInPandas(LookbackProcessor(), MESSAGE, "append", "none")
+
+
+_FIELDS = [f.split()[0] for f in MESSAGE.split(", ")]
+
+
+class OrderedLookbackProcessor(StatefulProcessor):
+    """Rows wait until the watermark has passed them, then enter the lookback in their order; a row goes out when it leaves the window, with the time that a repeat may have given it.
+
+    State: the waiting rows, the few kept ones, and when the last row came. One timer is set: for the first waiting row, or, if none waits, for the end of the pause after which a chat's
+    window is emptied."""
+
+    def __init__(self, pause_ms: int, size: int = LOOKBACK):
+        self.pause, self.size = pause_ms, size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", MESSAGE + ", at long")
+        self.kept = handle.getListState("kept", MESSAGE)
+        self.next = handle.getValueState("next", "timer long, last long")
+
+    def _set(self, when: int, last: int) -> None:
+        """The one timer; timers fire once the watermark is at them or beyond."""
+        if self.next.exists():
+            before = self.next.get()[0]
+            if before != when and before in set(t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()):
+                self.handle.deleteTimer(before)
+        self.handle.registerTimer(when)
+        self.next.update((when, last))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = []
+        for frame in rows:
+            frame = frame[frame["source_path"].notna()]
+            # whole numbers beside nulls arrive as floating ones
+            frame = frame.assign(at=frame["at"].astype("datetime64[ms]").astype("int64"), msg_index=frame["msg_index"].astype("Int64"))
+            new += [tuple(r) for r in frame[[*_FIELDS, "at"]].astype(object).where(frame[[*_FIELDS, "at"]].notna(), None).itertuples(index=False)]
+        if not new:
+            yield pd.DataFrame(columns=_FIELDS)
+            return
+        self.waiting.appendList(new)
+        last = max([r[-1] for r in new] + ([self.next.get()[1]] if self.next.exists() else []))
+        first = min(r[-1] for r in self.waiting.get())
+        self._set(max(first + 1, timerValues.getCurrentWatermarkInMs() + 1), last)
+        yield pd.DataFrame(columns=_FIELDS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = sorted((r for r in waiting if r[-1] < now), key=lambda r: (r[1] is None, r[1] or 0, r[-1]))
+        later = [tuple(r) for r in waiting if r[-1] >= now]
+        window = Window(lookback_step(), self.size)
+        window.kept.extend(dict(zip(_FIELDS, r, strict=True)) for r in (self.kept.get() if self.kept.exists() else []))
+        out = []
+        for r in ready:
+            out += window.put(dict(zip(_FIELDS, r[:-1], strict=True)))
+        last = self.next.get()[1]
+        if later:
+            self.waiting.put(later)
+            self.next.update((min(r[-1] for r in later) + 1, last))
+            self.handle.registerTimer(max(min(r[-1] for r in later) + 1, now + 1))
+        else:
+            self.waiting.clear()
+            if now > last + self.pause:  # the chat has ended for now
+                out += window.end()
+                self.next.clear()
+            else:
+                self.handle.registerTimer(last + self.pause + 1)
+                self.next.update((last + self.pause + 1, last))
+        if window.kept:
+            self.kept.put([tuple(r[f] for f in _FIELDS) for r in window.kept])
+        else:
+            self.kept.clear()
+        yield pd.DataFrame({f: pd.Series([r[f] for r in out], dtype=object) for f in _FIELDS})
+
+    def close(self) -> None: ...
+
+
+def ordered_lookback_stream(stream: DataFrame, event_time: str = "at", late: str = "1 hour", pause_ms: int = 3_600_000) -> DataFrame:
+    """Streaming form of the lookback with times filled in. Rows may arrive in any order within ``late``; they are sorted in before they are compared. A chat that is silent for ``pause_ms`` has its last
+    kept rows sent out. Rows without a source only move the watermark on. What comes later than ``late`` is left out, as the watermark says."""
+    timed = stream.select(*_FIELDS, F.col(event_time).alias("at")).withWatermark("at", late)
+    out = timed.groupBy("source_path").transformWithStateInPandas(OrderedLookbackProcessor(pause_ms), MESSAGE, "append", "eventTime")
+    return out.filter("source_path IS NOT NULL")
