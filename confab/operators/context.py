@@ -48,11 +48,15 @@ def score_context(windows: DataFrame, question: str) -> DataFrame:
     terms = question_terms(windows.sparkSession, question)
     phrase = question.strip().lower()
     has_phrase = F.lower("text").contains(phrase) if phrase else F.lit(False)
-    counted = windows.withColumns({"counts": term_counts(tokenize(F.col("text")), terms) if terms else F.array().cast("array<int>"), "phrase": has_phrase})
+    counted = windows.withColumns({"counts": term_counts(tokenize(F.col("text")), terms) if terms else F.array().cast("array<int>"), "phrase": has_phrase}).drop("text")
+    return scored(counted, document_frequency(counted, terms), terms, phrase)
+
+
+def scored(counted: DataFrame, stats: DataFrame, terms: list[str], phrase: str) -> DataFrame:
+    """Windows with ``counts`` of the terms and ``phrase``, a flag, with ``score`` (above 0) and ``matched_terms``; ``stats`` is one row of numbers of windows."""
     if not terms:
-        scored = counted.withColumns({"score": F.when(F.col("phrase"), 20.0).otherwise(0.0), "matched_terms": F.when(F.col("phrase"), F.array(F.lit(phrase))).otherwise(F.array().cast("array<string>"))})
-        return scored.filter("score > 0").drop("counts", "phrase", "text")
-    stats = document_frequency(counted, terms)  # one row
+        found = counted.withColumns({"score": F.when(F.col("phrase"), 20.0).otherwise(0.0), "matched_terms": F.when(F.col("phrase"), F.array(F.lit(phrase))).otherwise(F.array().cast("array<string>"))})
+        return found.filter("score > 0").drop("counts", "phrase")
     rows = counted.join(F.broadcast(stats))
     weight = [F.log((F.col("n") + 1) / (F.col(f"df{i}") + 1)) + 1 for i in range(len(terms))]
     base = sum((F.col("counts")[i] * w for i, w in enumerate(weight)), F.when(F.col("phrase"), 20.0).otherwise(0.0))
@@ -62,7 +66,7 @@ def score_context(windows: DataFrame, question: str) -> DataFrame:
     hit = sum(((F.col("counts")[i] > 0) | (F.col("phrase") & F.lit(t == phrase))).cast("int") for i, t in enumerate(terms))
     cover = hit / len(terms)
     score = base * (1 + cover) + F.when(cover == 1, 5.0).otherwise(0.0)
-    return rows.withColumns({"score": score, "matched_terms": matched}).filter("score > 0").drop("counts", "phrase", "text", "n", *[f"df{i}" for i in range(len(terms))])
+    return rows.withColumns({"score": score, "matched_terms": matched}).filter("score > 0").drop("counts", "phrase", "n", *[f"df{i}" for i in range(len(terms))])
 
 
 # L5
@@ -85,9 +89,13 @@ def ask(messages: DataFrame, question: str, k: int = 5, window: int = 2, chats:
     if not 1 <= k <= 50 or window < 0 or not question.strip():
         raise ValueError("a question, 1 to 50 results and a window of 0 or more are needed")
     best = select_non_overlapping(score_context(context_windows(messages, window, chats, type_), question), k, window)
+    return with_messages(best, messages, window)
+
+
+def with_messages(best: DataFrame, messages: DataFrame, window: int) -> DataFrame:
+    """The chosen windows (at most 50) with their messages; of these, only the chosen sources' are read."""
+    sources = [r[0] for r in best.select("source_path").distinct().collect()]
     spans = best.select("source_path", "center_index", F.explode(F.sequence(F.col("center_index") - window, F.col("center_index") + window)).alias("msg_index"))
-    found = messages.join(F.broadcast(spans), ["source_path", "msg_index"])
+    found = messages.filter(F.col("source_path").isin(sources)).join(F.broadcast(spans), ["source_path", "msg_index"])
     near = found.groupBy("source_path", "center_index").agg(F.array_sort(F.collect_list(F.struct("msg_index", "sender", "time", "content", "type"))).alias("messages"))
     return best.join(near, ["source_path", "center_index"]).select("rank", "chat_name", "source_path", "center_index", F.round("score", 3).alias("score"), "matched_terms", "messages").orderBy("rank")
-
-

@@ -165,7 +165,7 @@ def ask_scores(spark, sf):
     return scored.select("source_path", "center_index", F.round("score", 3).alias("score"))
 
 
-@query(f"""WITH RECURSIVE {_SCORES},
+_BEST = f"""WITH RECURSIVE {_SCORES},
   t AS (SELECT z.*, (row_number() OVER (ORDER BY score DESC, source_path, center_index))::INT AS n FROM z WHERE score > 0),
   g(n, picks) AS (SELECT 0, CAST([] AS STRUCT(s VARCHAR, c INT)[]) UNION ALL
     SELECT g.n + 1, CASE WHEN len(picks) < 5 AND len(list_filter(picks, lambda p: p.s = t.source_path AND abs(p.c - t.center_index) <= 2)) = 0
@@ -174,13 +174,31 @@ def ask_scores(spark, sf):
   h AS (SELECT source_path, center_index, string_agg(term, ',' ORDER BY list_position(['what', 'is', 'the', 'than'], term)) AS terms, bool_or(ph) AS ph FROM c WHERE n > 0 GROUP BY 1, 2)
   SELECT rank::INT AS rank, t.source_path AS chat_name, t.center_index, round(t.score, 3) AS score, concat_ws(',', CASE WHEN h.ph THEN '{QUESTION}' END, h.terms) AS matched_terms,
     (SELECT string_agg(concat_ws(': ', sender, content), chr(10) ORDER BY msg_index) FROM m WHERE m.source_path = t.source_path AND msg_index BETWEEN t.center_index - 2 AND t.center_index + 2) AS messages
-  FROM b JOIN t ON t.source_path = p.s AND t.center_index = p.c LEFT JOIN h ON h.source_path = p.s AND h.center_index = p.c""")
-def ask_topk(spark, sf):
-    best = context.ask(conversations(spark, sf), QUESTION, k=5)
+  FROM b JOIN t ON t.source_path = p.s AND t.center_index = p.c LEFT JOIN h ON h.source_path = p.s AND h.center_index = p.c"""
+
+
+def _told(best: DataFrame) -> DataFrame:
     texts = F.array_join(F.transform("messages", lambda m: F.concat_ws(": ", m["sender"], m["content"])), "\n")
     return best.select("rank", "chat_name", "center_index", "score", F.array_join("matched_terms", ",").alias("matched_terms"), texts.alias("messages"))
 
 
+@query(_BEST)
+def ask_topk(spark, sf):
+    return _told(context.ask(conversations(spark, sf), QUESTION, k=5))
+
+
+@query(_BEST)
+def ask_indexed(spark, sf):
+    """The same answer from an index of two parts: all sources, some of them without their last turns, and then those again, whole."""
+    from confab.operators import index
+
+    base, m = _scratch(spark), conversations(spark, sf)
+    again = F.pmod(F.xxhash64("source_path"), F.lit(3)) == 0
+    index.add_sources(m.filter(~again | (F.col("msg_index") < 2)), base)
+    index.add_sources(m.filter(again), base)
+    return _told(index.ask_index(base, m, QUESTION, k=5))
+
+
 @query(f"""WITH {M_SQL} SELECT a.source_path, a.msg_index AS center_index, count(*) AS n FROM m a JOIN m b ON a.source_path = b.source_path AND b.msg_index BETWEEN a.msg_index - 1 AND a.msg_index + 1 WHERE a.type = 'image' GROUP BY 1, 2""")
 def context_windows(spark, sf):
     wide = context.context_windows(conversations(spark, sf), 1, type_="image")
