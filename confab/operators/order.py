@@ -1,27 +1,51 @@
-"""Places of rows in one order over a whole table, without a task that holds it all."""
+"""Places and running sums of rows in one order, over a whole table or within keys, without a task that holds a table or a key."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges into which an order is cut, at most, and the values that are looked at for their borders.
-RANGES, LOOKED_AT = 200, 10_000
-
-
-def place_in_order(df: DataFrame, key: Column, order: Column, name: str) -> DataFrame:
-    """``df`` with each row's place, from 0, in ``order``, of which ``key``, a text, is the first part.
-
-    Borders between ranges of the key are taken from some of its values; rows are numbered within ranges, and ranges by sums over their counts. Borders only shape
-    the work: places are exact."""
-    rows = df.withColumn("__key", F.coalesce(key, F.lit("")))
-    some = sorted(r[0] for r in rows.select("__key").distinct().orderBy(F.xxhash64("__key")).limit(LOOKED_AT).collect())
-    borders = sorted({some[len(some) * i // RANGES] for i in range(1, RANGES)}) if some else []
-    at = F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b <= F.col("__key"))) if borders else F.lit(0)
-    rows = rows.withColumn("__range", at)
-    rows = rows.withColumn("__place", F.row_number().over(W.partitionBy("__range").orderBy(order)) - 1)
-    # at most RANGES rows
-    counts = rows.groupBy("__range").agg(F.count("*").alias("__k"))
-    first = counts.select("__range", F.coalesce(F.sum("__k").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
-    return rows.join(F.broadcast(first), "__range").withColumn(name, F.col("__first") + F.col("__place")).select(*df.columns, name)
+from confab.streaming.scratch import scratch
+
+#: Rows of a range, about. A table of no more is one range.
+RANGE_ROWS = 200_000
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the shared folder, which Spark's cleaner deletes when nothing refers to it any more."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch(spark))
+    return df.checkpoint()
+
+
+def running(df: DataFrame, key: Sequence[str], order: Sequence[Column], name: str, weight: Column | None = None) -> DataFrame:
+    """``df`` with ``name``: the sum of ``weight`` (1, if none is given) over the rows before a row in ``order`` within its key; without a key, over the whole table.
+
+    A table of more than RANGE_ROWS rows is cut into ranges of (key, order), whatever the keys' sizes. Sums run within a range, and from range to range over one row for each range and key. Rows that
+    are equal in the order stay in one range, and stand in any order there."""
+    weight = F.lit(1) if weight is None else weight
+    columns = df.columns
+    places = [f"__o{i}" for i in range(len(order))]
+    rows = df.withColumns({"__w": weight.cast("long"), **dict(zip(places, order, strict=True))})
+    before = lambda part: F.coalesce(F.sum("__w").over(part.orderBy(*places).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = -(-df.count() // RANGE_ROWS)
+    if ranges <= 1:
+        return rows.withColumn(name, before(W.partitionBy(*key))).select(*columns, name)
+    rows = _cut(rows.repartitionByRange(ranges, *key, *places).withColumn("__part", F.spark_partition_id()))
+    totals = rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], F.col("__part").alias("__in")).agg(F.sum("__w").alias("__sum"))
+    chain = W.partitionBy(*[f"__k{i}" for i in range(len(key))]).orderBy("__in").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.withColumn("__from", F.coalesce(F.sum("__sum").over(chain), F.lit(0))).drop("__sum")
+    same = F.col("__part") == F.col("__in")
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    rows = rows.withColumn("__within", before(W.partitionBy("__part", *key)))
+    return rows.join(totals, same).withColumn(name, F.col("__from") + F.col("__within")).select(*columns, name)
+
+
+def place_in_order(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """``df`` with each row's place, from 0, in ``order``."""
+    return running(df, [], [order], name)

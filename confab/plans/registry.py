@@ -825,6 +825,14 @@ def report_blocks(spark, sf):
     return report.report_blocks(events(spark, sf)).select("chat_name", "block")
 
 
+@query(f"""WITH {E_SQL}, l AS (SELECT chat_name, 0 AS z, msg_index, chr(10) || '- ' || coalesce(time, '时间未知') || ' | ' || sender || ': ' || content AS text FROM e UNION ALL SELECT DISTINCT chat_name, -1, 0, '## ' || chat_name FROM e),
+  b AS (SELECT *, coalesce(sum(strlen(text)) OVER (PARTITION BY chat_name ORDER BY z, msg_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 512 AS p FROM l)
+  SELECT chat_name, (row_number() OVER (PARTITION BY chat_name ORDER BY p) - 1)::INT AS part, string_agg(text, '' ORDER BY z, msg_index) AS block FROM b GROUP BY chat_name, p""")
+def report_parts(spark, sf):
+    """Blocks in parts of a kilobyte."""
+    return report.report_parts(events(spark, sf), 1024)
+
+
 @query(f"""WITH {M_SQL}, b AS (SELECT chat_name, min(source_path) AS p, '## ' || chat_name || chr(10) || string_agg('- 时间未知 | ' || coalesce(nullif(trim(sender), ''), '?') || CASE WHEN type <> 'text' THEN ' [' || type || ']' ELSE '' END
     || ': ' || content, chr(10) ORDER BY msg_index) AS block FROM m GROUP BY 1),
   n AS (SELECT *, row_number() OVER (ORDER BY p) - 1 AS n FROM b)

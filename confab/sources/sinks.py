@@ -49,7 +49,7 @@ def append_run(run: DataFrame, path: str) -> None:
 # K5
 def task_rows(chunks: DataFrame, run_id: str, kind: str = "message_extraction") -> DataFrame:
     """One task per chunk, in the order of chats and chunks, with ids ``step_<run>_<nnnn>``, numbered from 1 over the whole run."""
-    placed = place_in_order(chunks, F.col("chat_name"), F.struct("chat_name", "chunk_index"), "__n")
+    placed = place_in_order(chunks, F.struct("chat_name", "chunk_index"), "__n")
     step = F.format_string("step_%s_%04d", F.lit(run_id), F.col("__n") + 1)
     return placed.withColumns({"run_id": F.lit(run_id), "step_id": step, "kind": F.lit(kind), "completed": F.lit(False)}).drop("__n")
 
