@@ -785,6 +785,20 @@ def best_text_match(spark, sf):
     return ocr.best_text_match(b, targets)
 
 
+#: Targets that no rule finds, and the event type whose text is like each.
+LIKE = {"prchase": "purchase", "sgnup": "signup", "vew": "view", "zzzz": None}
+
+
+@query(f"""WITH {_BOX_SQL}, t AS (SELECT DISTINCT image_id, unnest({list(LIKE)}) AS target FROM b),
+  w AS (SELECT *, CASE target {' '.join(f"WHEN '{k}' THEN {repr(v) if v else 'NULL'}" for k, v in LIKE.items())} END AS text FROM t)
+  SELECT w.image_id, target, min(line_pos)::INT AS line_pos, w.text FROM w JOIN b ON b.image_id = w.image_id AND b.text = w.text GROUP BY ALL""")
+def best_text_match_by_ratio(spark, sf):
+    """Misspelt targets: the most similar line of an image, which is the right word wherever it occurs."""
+    b = _boxes(spark, sf)
+    targets = b.select("image_id").distinct().select("image_id", F.explode(F.array(*map(F.lit, LIKE))).alias("target"))
+    return ocr.best_text_match(b, targets)
+
+
 @query()
 def pick_titles(spark, sf):
     d = table(spark, sf, "documents")
@@ -792,6 +806,20 @@ def pick_titles(spark, sf):
     return ocr.pick_title(lines.select("image_id", F.floor(F.col("pos") / 2).alias("band"), "pos", "text", F.lit("").alias("hint")))
 
 
+@query(f"""WITH {_RULES}, h AS (SELECT k.row_pos, replace(k.name, '...', '…') AS s, titles FROM k JOIN customer ON c_custkey = row_pos AND position = (c_nationkey + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) % 25),
+  n AS (SELECT *, length(s) AS n, length(regexp_replace(s, '[^A-Za-z]', '', 'g')) AS letters FROM h)
+  SELECT row_pos AS image_id, CASE WHEN titles THEN s WHEN n >= 9 THEN 'Team chat' WHEN n >= 3 AND letters >= greatest(3, floor(n * 0.75)) THEN s ELSE '' END AS title FROM n""")
+def pick_titles_hinted(spark, sf):
+    """Headers of three lines: a count, another name, and a nation as a chat may show it; the hint is that nation's name, or for every third the next one's."""
+    shown = _visible(spark, sf).select("row_pos", "name")
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("hint"))
+    key = (F.col("c_nationkey") + F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(0)) % 25
+    hints = table(spark, sf, "customer").select(F.col("c_custkey").cast("int").alias("row_pos"), key.alias("key")).join(nations, "key").drop("key")
+    line = lambda band, pos, text: F.struct(F.lit(band).alias("band"), F.lit(pos).alias("pos"), text.alias("text"))
+    lines = shown.join(hints, "row_pos").select(F.col("row_pos").cast("long").alias("image_id"), "hint", F.explode(F.array(line(0, 0, F.lit("12")), line(0, 1, F.lit("Team chat")), line(1, 2, F.col("name")))).alias("l"))
+    return ocr.pick_title(lines.select("image_id", "l.band", "l.pos", "l.text", "hint"))
+
+
 @query(f"SELECT event_id AS scan_id, {picked_sql(['Alice', 'Bob'], 'event_id')} AS name, CASE WHEN event_id % 2 = 0 THEN coalesce(nullif(trim({picked_sql(['3', ' ', '12'], 'event_id')}), ''), '1') END AS badge_text, event_id % 3 = 0 AS is_group FROM events")
 def parse_threads(spark, sf):
     i = F.col("event_id")
