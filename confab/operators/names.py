@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from confab.functions import text as T
+from confab.operators.order import running
+from confab.streaming.scratch import remove, scratch
 
 CUT_LEN, REVERSE_LEN, LOOSE_LEN = 4, 3, 3
 #: Matching pairs of distinct names up to this many are broadcast to the rows.
@@ -299,18 +302,22 @@ def resolve_chats(rows: DataFrame, configured: DataFrame, kind: str = "all", unr
     return all_names.filter("row_pos is not null").orderBy("scan_id", "row_pos", "position"), all_names.filter("row_pos is null").select("scan_id", "configured", "position")
 
 
+#: Scans with more distinct names than this are decided in rounds.
+WALK = 100_000
+
+
 # D10
 def first_seen(names: DataFrame, scan: str = "scan_id", name: str = "name", pos: str = "row_pos") -> DataFrame:
     """Names of a scan without those whose key was seen, or that align with an earlier accepted name.
 
-    Only the first row of each key and aligned form can be accepted, so the walk over a scan sees its distinct names alone."""
+    Only the first row of each key and aligned form can be accepted, so only distinct names are looked at: of a scan of up to WALK ones in a walk, of a larger one in rounds of joins (:func:`_accepted_in_rounds`)."""
     keyed = with_keys(names, name, "n_").withColumn("n_key", T.chat_key(F.col(name))).select(*names.columns, "n_key", "n_align").filter("n_key != ''")
-    n = F.row_number().over(W.partitionBy(scan, "n_key", "n_align").orderBy(pos))
+    n = F.row_number().over(W.partitionBy(scan, "n_key", "n_align").orderBy(pos, name))
     keyed = keyed.withColumn("n_n", n).filter("n_n = 1").drop("n_n")
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         keys, starts, whole, keep = set(), set(), set(), []
-        for r in group.sort_values(pos).itertuples():
+        for r in group.sort_values([pos, name]).itertuples():
             # an earlier name is a start of this one, or this one of an earlier: three characters at least, or all
             a = r.n_align
             alike = a in whole or (len(a) >= 3 and a in starts) or any(a[:k] in whole for k in range(3, len(a)))
@@ -322,4 +329,50 @@ def first_seen(names: DataFrame, scan: str = "scan_id", name: str = "name", pos:
                 keep.append(r.Index)
         return group.loc[keep]
 
-    return keyed.groupBy(scan).applyInPandas(walk, keyed.schema).drop("n_key", "n_align")
+    small = lambda rows: rows.groupBy(scan).applyInPandas(walk, keyed.schema).drop("n_key", "n_align")
+    large = names.groupBy(F.col(scan).alias("__scan")).agg(F.count("*").alias("__n")).filter(F.col("__n") > WALK).select("__scan")  # no scan has more names than rows
+    if large.isEmpty():
+        return small(keyed)
+    same = F.col(scan).eqNullSafe(F.col("__scan"))
+    rest = small(keyed.join(large, same, "left_anti"))
+    return rest.unionByName(_accepted_in_rounds(keyed.join(large, same, "left_semi"), scan, [pos, name]).select(*names.columns))
+
+
+def _accepted_in_rounds(keyed: DataFrame, scan: str, order: list[str]) -> DataFrame:
+    """Rows (with ``n_key`` and ``n_align``) that a walk over each scan in order accepts.
+
+    In each round a name is accepted if no earlier undecided one has its key or aligns with it; then those go that share a key or align with an accepted one, and the others wait for the next
+    round. An accepted name is always earlier than what it turns away, as it was the earliest of all that it touches. Touching is found by sums over forms and their starts, and not over pairs of names: the earliest place of each
+    key, of each whole form and of each start. There are as many rounds as the longest chain of names of which each waits for the one before."""
+    spark = keyed.sparkSession
+    base = f"{scratch(spark)}/confab-{uuid.uuid4().hex}"
+
+    def stored(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.parquet(f"{base}/{name}")
+        return spark.read.schema(frame.schema).parquet(f"{base}/{name}")
+
+    in_scan = F.coalesce(F.concat(F.lit("s"), F.col(scan).cast("string")), F.lit("-")).alias("__s")
+    waiting = stored(running(keyed.select("*", in_scan), ["__s"], [F.col(c) for c in order], "__o"), "names")
+    parts, turn = [], 0
+    of_starts = F.explode(F.transform(F.sequence(F.lit(3), F.greatest(F.char_length("n_align"), F.lit(3))), lambda k: F.substring("n_align", F.lit(1), k))).alias("x")
+    long = F.char_length("n_align") >= 3
+    while not waiting.isEmpty():
+        turn += 1
+        keys = waiting.groupBy("__s", "n_key").agg(F.min("__o").alias("__k"))
+        whole = waiting.filter("n_align != ''").groupBy("__s", "n_align").agg(F.min("__o").alias("__e"))
+        starts = waiting.filter(long).select("__s", "__o", of_starts)
+        of_longer = starts.groupBy("__s", "x").agg(F.min("__o").alias("__m")).withColumnRenamed("x", "n_align")
+        of_shorter = starts.join(whole.withColumnRenamed("n_align", "x"), ["__s", "x"]).groupBy("__s", "__o").agg(F.min("__e").alias("__b"))
+        seen = waiting.join(keys, ["__s", "n_key"]).join(whole, ["__s", "n_align"], "left").join(of_longer, ["__s", "n_align"], "left").join(of_shorter, ["__s", "__o"], "left")
+        first = F.least("__k", F.coalesce("__e", "__o"), F.coalesce("__m", "__o"), F.coalesce("__b", "__o")) >= F.col("__o")
+        judged = stored(seen.withColumn("__first", first).select(*waiting.columns, "__first"), f"round{turn}")
+        taken, others = judged.filter("__first").drop("__first"), judged.filter("NOT __first").drop("__first")
+        parts.append(taken)
+        forms = taken.filter("n_align != ''").select("__s", "n_align").distinct()
+        longer = taken.filter(long).select("__s", of_starts).distinct().withColumnRenamed("x", "n_align")
+        under = others.filter(long).select("__s", "__o", of_starts).join(forms.withColumnRenamed("n_align", "x"), ["__s", "x"], "left_semi").select("__s", "__o").distinct()
+        left = others.join(taken.select("__s", "n_key").distinct(), ["__s", "n_key"], "left_anti").join(forms, ["__s", "n_align"], "left_anti").join(longer, ["__s", "n_align"], "left_anti")
+        waiting = stored(left.join(under, ["__s", "__o"], "left_anti").select(*waiting.columns), f"left{turn}")
+    out = stored(reduce(DataFrame.unionAll, parts).select(*keyed.columns) if parts else keyed.limit(0), "accepted")
+    remove(spark, f"{base}/names", *[f"{base}/{x}{t}" for t in range(1, turn + 1) for x in ("round", "left")])
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,6 +37,24 @@ def history(messages: DataFrame, chat: str | None = None, type_: str | None = No
     return rows.withColumns({"position": n, "total": total}).filter(F.col("position").between(offset + 1, offset + limit))
 
 
+def stored_history(spark: SparkSession, path: str, chat: str | None = None, limit: int = 50, offset: int = 0, newest_first: bool = False) -> DataFrame:
+    """As :func:`history` of all types, from a store of :func:`confab.sources.sinks.write_pages`: rows stand in it by place, so a page of a chat of any size is a filter that reads the blocks it lies in, without a sort. The newest first: of one ``chat``."""
+    from confab.sources.sinks import PAGE_BLOCK, page_bucket
+
+    rows, totals = (spark.read.parquet(f"{path}/{x}") for x in ("rows", "totals"))
+    first = offset
+    if chat is not None:
+        rows, totals = rows.filter((F.col("bucket") == page_bucket(F.lit(chat))) & (F.col("source_path") == chat)), totals.filter(F.col("source_path") == chat)
+    if newest_first:
+        if chat is None:
+            raise ValueError("the newest messages are those of one chat")
+        first = (totals.agg(F.max("total")).first()[0] or 0) - offset - limit
+    place = F.col("place")
+    rows = rows.filter(F.col("block").between(first // PAGE_BLOCK, (first + limit) // PAGE_BLOCK) & (place >= first) & (place < first + limit)).drop("bucket", "block")
+    found = rows.join(totals, "source_path")
+    return found.withColumn("position", F.col("total") - place if newest_first else place + 1).drop("place")
+
+
 # L2
 def search(messages: DataFrame, keyword: str, chats: list[str] | None = None, type_: str | None = None) -> DataFrame:
     """All matches; a page of them is :func:`page` of it."""

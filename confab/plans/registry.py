@@ -73,6 +73,17 @@ def history_page(spark, sf):
     return S.history(conversations(spark, sf), type_="text", limit=3, offset=1).select("source_path", "msg_index", "content", "position", "total")
 
 
+@query(f"""WITH {E_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY msg_index) AS position, count(*) OVER (PARTITION BY source_path) AS total FROM e)
+  SELECT source_path, msg_index, content, position, total FROM h WHERE position BETWEEN 3 AND 7
+  UNION ALL SELECT source_path, msg_index, content, total - msg_index, total FROM h WHERE source_path = 'user_7' AND total - msg_index BETWEEN 1 AND 4""")
+def history_stored(spark, sf):
+    """Pages of all chats, and the newest messages of one, from a store that has each message's place."""
+    base = _scratch(spark)
+    sinks.write_pages(_messages(events(spark, sf)), base)
+    wanted = ["source_path", "msg_index", "content", "position", "total"]
+    return S.stored_history(spark, base, limit=5, offset=2).select(*wanted).unionAll(S.stored_history(spark, base, "user_7", limit=4, newest_first=True).select(*wanted))
+
+
 @query(f"""WITH {M_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY msg_index DESC) AS position FROM m)
   SELECT source_path, msg_index, content, position FROM h WHERE position <= 2""")
 def history_newest(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from confab.functions.text import safe_file_key, transcript_line, utrim
-from confab.operators.order import place_in_order
+from confab.operators.order import place_in_order, running
 
 _MESSAGE = ["chat_name", "sender", "time", "content", "type"]
 
@@ -18,6 +18,21 @@ def write_store(messages: DataFrame, path: str, mode: str = "overwrite") -> None
     messages.repartition("source_path").sortWithinPartitions("source_path", "msg_index").write.mode(mode).parquet(path)
 
 
+#: Folders of chats, by a hash of the source, and places of a chat in one of its blocks.
+PAGE_BUCKETS, PAGE_BLOCK = 64, 10_000
+
+
+def page_bucket(source: Column) -> Column:
+    return F.pmod(F.xxhash64(source), F.lit(PAGE_BUCKETS)).cast("int")
+
+
+def write_pages(messages: DataFrame, path: str) -> None:
+    """A store for pages of chats of any size: each message with its ``place`` in its chat, from 0, in folders by (bucket of chats, block of places); and how many messages each chat has."""
+    placed = running(messages, ["source_path"], [F.col("msg_index")], "place").withColumns({"bucket": page_bucket(F.col("source_path")), "block": F.floor(F.col("place") / PAGE_BLOCK).cast("int")})
+    placed.repartition("bucket", "block").sortWithinPartitions("source_path", "place").write.mode("overwrite").partitionBy("bucket", "block").parquet(f"{path}/rows")
+    messages.groupBy("source_path").agg(F.count("*").alias("total")).write.mode("overwrite").parquet(f"{path}/totals")
+
+
 def chat_arrays(messages: DataFrame, label: Column | None = None) -> DataFrame:
     """One JSON array per chat: ``source_path, file_key, value``; null senders become empty, a non-blank label takes the captured name's place."""
     name = F.col("chat_name") if label is None else F.coalesce(F.when(utrim(label) != "", utrim(label)), F.col("chat_name"))

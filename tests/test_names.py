@@ -77,3 +77,16 @@ def test_resolved_names_in_blocks(spark, monkeypatch):
     assert len(got) == 22 and {k: p for k, p in got.items() if p is not None} == {("s1", "Team A"): 1, ("s2", "Other"): 0}
     found, missing = N.resolve_chats(rows, asked)
     assert (found.count(), missing.count()) == (2, 20)
+
+
+def test_names_first_seen_in_rounds_are_those_of_the_walk(spark, monkeypatch):
+    rng = random.Random(6)
+    parts = ["Al", "Ali", "Alice", " B", "ce", "北京", "大学", "x", "-", "_", "…", "🙂", "1"]
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i // 2, "".join(rng.choice(parts) for _ in range(rng.randint(0, 6)))) for i in range(900)]
+    df = spark.createDataFrame(rows, "scan_id string, row_pos int, name string").dropDuplicates()
+    walked = sorted(map(tuple, N.first_seen(df).collect()), key=repr)
+    monkeypatch.setattr(N, "WALK", 200)
+    assert sorted(map(tuple, N.first_seen(df).collect()), key=repr) == walked and len(walked) > 30
+    chain = spark.createDataFrame([("s", i, "abcdefghijkl"[: 12 - i]) for i in range(10)], "scan_id string, row_pos int, name string")
+    monkeypatch.setattr(N, "WALK", 0)
+    assert [r.name for r in N.first_seen(chain).collect()] == ["abcdefghijkl"]

@@ -35,3 +35,21 @@ def test_parts_are_the_block(spark, monkeypatch):
         mine = sorted((r.part, r.block) for r in parts if r.chat_name == chat)
         assert [n for n, _ in mine] == list(range(len(mine))) and "".join(b for _, b in mine) == block
     assert report.report_parts(m.limit(0), 1000).count() == 0
+
+
+def test_pages_of_a_store(spark, monkeypatch, tmp_path):
+    from confab.operators import search
+    from confab.sources import sinks
+
+    monkeypatch.setattr(order, "RANGE_ROWS", 100)
+    monkeypatch.setattr(sinks, "PAGE_BLOCK", 50)
+    rows = [("hot", 3 * i, "hot", "s", None, f"t{i}", "text") for i in range(700)] + [("b", i, "b", "s", None, f"b{i}", "text") for i in range(5)]
+    m = spark.createDataFrame(rows, MESSAGE).repartition(6)
+    sinks.write_pages(m, str(tmp_path / "store"))
+    wanted = ["source_path", "msg_index", "content", "position", "total"]
+    for chat, limit, offset, newest in [("hot", 20, 90, False), ("hot", 20, 90, True), ("hot", 9, 695, False), ("hot", 9, 695, True), ("hot", 5, 900, False), ("b", 9, 0, True), (None, 3, 2, False), ("none", 3, 0, True)]:
+        got = search.stored_history(spark, str(tmp_path / "store"), chat, limit, offset, newest).select(*wanted)
+        want = search.history(m, chat, None, limit, offset, newest).select(*wanted)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), (chat, limit, offset, newest)
+    plan = search.stored_history(spark, str(tmp_path / "store"), "hot", 20, 90)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort " not in plan.split("Join")[0] and "block" in plan.split("PartitionFilters: [")[1].split("]")[0]
