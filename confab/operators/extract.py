@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from confab.functions import text as T
 from confab.functions.timeparse import cutoff, drop_chunks_before_cutoff, parse_message_time, recent_window, with_effective_time
 from confab.operators.clean import dedup_exact
+from confab.operators.order import cut
 from confab.sources.messages import model_object
 
 _ITEM = "struct<chat_name:string,sender:string,time:string,content:string,type:string>"
@@ -163,11 +164,13 @@ def finalize_summary(judged: DataFrame, rows: DataFrame) -> DataFrame:
     listed = lambda state: F.array_sort(F.collect_list(F.when(F.col("state") == state, F.struct("task_pos", "step_id", "error"))))
     done = F.count_if((F.col("state") == "completed") | F.col("completed"))
     summary = judged.groupBy("run_id").agg(F.count("*").alias("total"), done.alias("completed"), listed("missing").alias("m"), listed("failed").alias("f"))
-    # repeats are counted by keys alone
-    keys = rows.filter("in_window").groupBy("run_id", "chat_name", "sender", "time", "content", "type").agg(F.count("*").alias("k"))
-    inside = keys.groupBy(F.col("run_id").alias("__in")).agg(F.sum("k").alias("messages_in_window"), F.count("*").alias("messages_extracted"))
-    before = rows.groupBy(F.col("run_id").alias("__run")).agg(F.count("*").alias("messages_before"))
-    summary = summary.join(before, F.col("run_id").eqNullSafe(F.col("__run")), "left").join(inside, F.col("run_id").eqNullSafe(F.col("__in")), "left")
+    # repeats are counted by keys, in one pass over the messages
+    keys = rows.groupBy("run_id", "in_window", "chat_name", "sender", "time", "content", "type").agg(F.count("*").alias("k"))
+    inside = F.col("in_window")
+    counts = keys.groupBy(F.col("run_id").alias("__run")).agg(
+        F.sum("k").alias("messages_before"), F.sum(F.when(inside, F.col("k"))).alias("messages_in_window"), F.count_if(inside).alias("messages_extracted")
+    )
+    summary = summary.join(counts, F.col("run_id").eqNullSafe(F.col("__run")), "left")
     number = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return summary.select(
         "run_id", "total", "completed", F.array_join("m.step_id", ",").alias("missing"), F.array_join("f.step_id", ",").alias("failed"), F.array_join("f.error", "\n").alias("errors"),
@@ -176,8 +179,8 @@ def finalize_summary(judged: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def finalize(tasks: DataFrame, now: Column, hours: int = 0, scope: str = "task") -> tuple[DataFrame, DataFrame]:
-    """Messages of all answered tasks, without repeats, and one summary row per run. Each is a plan of its own; where both are wanted, give stored :func:`judged_tasks` to their parts."""
-    judged = judged_tasks(tasks)
+    """Messages of all answered tasks, without repeats, and one summary row per run. Answers are read once: what was found in them is a checkpoint, from which both are made."""
+    judged = cut(judged_tasks(tasks).drop("response_text"))
     rows = finalized_messages(judged, now, hours, scope)
     return without_repeats(rows.filter("in_window").drop("in_window")), finalize_summary(judged, rows)
 

@@ -22,7 +22,7 @@ from confab.operators.context import question_terms, scored, select_non_overlapp
 from confab.operators.search import in_chats
 
 #: Buckets of terms; sources up to this many are named in the filter of a read of messages.
-BUCKETS, NAMED_SOURCES = 64, 200
+BUCKETS, NAMED_SOURCES = 16, 200
 SCHEMAS = {
     "postings": "term string, source_path string, of_chat string, pos int, n int, part int, bucket int",
     "places": "source_path string, pos int, msg_index int, chat_name string, type string, part int",

@@ -14,7 +14,7 @@ from confab.streaming.scratch import scratch
 RANGE_ROWS = 200_000
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """``df`` as a checkpoint in the shared folder, which Spark's cleaner deletes when nothing refers to it any more."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -35,7 +35,7 @@ def running(df: DataFrame, key: Sequence[str], order: Sequence[Column], name: st
     ranges = -(-df.count() // RANGE_ROWS)
     if ranges <= 1:
         return rows.withColumn(name, before(W.partitionBy(*key))).select(*columns, name)
-    rows = _cut(rows.repartitionByRange(ranges, *key, *places).withColumn("__part", F.spark_partition_id()))
+    rows = cut(rows.repartitionByRange(ranges, *key, *places).withColumn("__part", F.spark_partition_id()))
     totals = rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], F.col("__part").alias("__in")).agg(F.sum("__w").alias("__sum"))
     chain = W.partitionBy(*[f"__k{i}" for i in range(len(key))]).orderBy("__in").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.withColumn("__from", F.coalesce(F.sum("__sum").over(chain), F.lit(0))).drop("__sum")

@@ -19,7 +19,7 @@ def write_store(messages: DataFrame, path: str, mode: str = "overwrite") -> None
 
 
 #: Folders of chats, by a hash of the source, and places of a chat in one of its blocks.
-PAGE_BUCKETS, PAGE_BLOCK = 64, 10_000
+PAGE_BUCKETS, PAGE_BLOCK = 16, 10_000
 
 
 def page_bucket(source: Column) -> Column:
