@@ -189,7 +189,7 @@ def test_long_lists_match_as_short_ones(spark, monkeypatch, rule):
     pairs = lambda: sorted((str(r.name), str(r.configured)) for r in names.match_names(visible, configured, rule=rule).collect())
     short = pairs()
     assert len(short) > len(values)
-    monkeypatch.setattr(names, "BROADCAST_NAMES", 0)
+    monkeypatch.setattr(names, "BROADCAST_PAIRS", 0)
     assert pairs() == short
 
 
