@@ -4,10 +4,10 @@ Each context, the previous word, is a restaurant; all of them share one parent
 restaurant over words, whose base is uniform over the vocabulary and one unknown word. A dish's customers in a restaurant
 sit at tables; each table is a customer of the parent. In a sweep, customers are taken from their tables one at a time and seated anew,
 by the Chinese-restaurant rule given all others of the dish as they sit then: at a table in proportion to its customers less the discount, or at a new one in proportion to
-(concentration + discount * tables) * parent's probability. A dish makes as many moves as it has customers, MOVES at most: those are random ones
-then. The parent's customers are moved likewise after their number has followed the tables below. What other dishes contribute (a context's other tables, the
+(concentration + discount * tables) * parent's probability. Every customer of every dish moves once in a sweep. A dish of at most GROUPS customers moves them one by one; a larger one
+in GROUPS groups of customers of all its tables, each of whom chooses given all others as they sat when the group began. The parent's customers are moved likewise after their number has followed the tables below. What other dishes contribute (a context's other tables, the
 parent's totals) is as the sweep before left it, so that all dishes of the corpus can move at once. The seating that sampling starts from
-is made by the same rule in one pass, for dishes of more than MOVES customers in growing groups. Predictive probabilities are averaged over
+is made by the same rule in one pass, for dishes of more than GROUPS customers in growing groups. Predictive probabilities are averaged over
 the last two sweeps.
 
 Layout: tokens are sent once, as packed arrays by (bucket of word, slice of documents), to the bucket that owns the word.
@@ -48,8 +48,8 @@ FILES = 10_000
 DOCS = 64
 #: Concentrations of the context restaurants and of the parent.
 THETA, THETA0 = 1.0, 1.0
-#: Most moves of a dish in a sweep; up to so many customers are seated one by one at the start, more of them in groups of a sixteenth of those seated.
-MOVES = 64
+#: Groups in which a dish's customers move in a sweep; up to so many customers are seated one by one at the start, more of them in groups of a sixteenth of those seated.
+GROUPS = 64
 
 _END, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _SALT = np.uint64(0xA24BAED4963EE407)
@@ -260,7 +260,7 @@ def seat(c: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) ->
     i, left = 1, int((c > 1).sum())
     while left:
         p = new[:left] / (new[:left] + np.maximum(i - d * t[:left], 1e-9))
-        step = 1 if i < MOVES else i // 16
+        step = 1 if i < GROUPS else i // 16
         t[:left] += rng.random(left) < p if step == 1 else rng.binomial(np.minimum(step, c[:left] - i), p)
         i += step
         left = int(np.searchsorted(-c, -i, side="left"))
@@ -282,6 +282,12 @@ def first_sizes(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     return sizes
 
 
+def _nth(a: np.ndarray) -> np.ndarray:
+    """Each element's place, from 0, in its run of equal ones."""
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+    return np.arange(len(a)) - np.repeat(first, np.diff(np.concatenate([first, [len(a)]])))
+
+
 class Seating:
     """The tables of many dishes, and which customer sits where, as flat arrays: a dish has ``room`` places from ``at`` on in each."""
 
@@ -303,14 +309,81 @@ class Seating:
         self.table[i] = self.table[last]
         self.n[a] -= 1
         self.size[self.at[a] + k] -= 1
-        gone = self.size[self.at[a] + k] == 0
-        e = a[gone]
-        self.t[e] -= 1
-        self.free[self.at[e] + self.unused[e]] = k[gone]
-        self.unused[e] += 1
+        self._clear(a, k)
+
+    def _clear(self, a: np.ndarray, k: np.ndarray) -> None:
+        """Tables ``k`` of dishes ``a``, which customers have left, are free if nobody sits there."""
+        empty = self.size[self.at[a] + k] == 0
+        place, first = np.unique((self.at[a] + k)[empty], return_index=True)
+        e = a[empty][first]
+        self.free[self.at[e] + self.unused[e] + _nth(e)] = place - self.at[e]
+        np.subtract.at(self.t, e, 1)
+        np.add.at(self.unused, e, 1)
+
+    def _open(self, e: np.ndarray) -> np.ndarray:
+        """A free table for each of ``e``, in which a dish's customers follow one another."""
+        k = self.free[self.at[e] + self.unused[e] - 1 - _nth(e)]
+        np.subtract.at(self.unused, e, 1)
+        np.add.at(self.t, e, 1)
+        return k
+
+    def leave(self, times: np.ndarray) -> None:
+        """So many random customers leave each dish."""
+        some = np.flatnonzero(times)
+        a = np.repeat(some, self.n[some])
+        place = self.at[a] + _nth(a)
+        self.table[place] = self.table[place[np.argsort(a + self.rng.random(len(a)), kind="stable")]]
+        a = np.repeat(some, times[some])
+        k = self.table[self.at[a] + self.n[a] - 1 - _nth(a)]
+        self.n -= times
+        np.subtract.at(self.size, self.at[a] + k, 1)
+        self._clear(a, k)
+
+    def come(self, times: np.ndarray, weight: Callable[[np.ndarray], np.ndarray]) -> None:
+        """So many customers of each dish sit down, one by one where at most GROUPS sit, else in groups of a sixteenth of those who sit."""
+        left = times.astype(np.int64)
+        some = np.flatnonzero(left)
+        while len(some):
+            step = np.minimum(left[some], np.where(self.n[some] > GROUPS, self.n[some] // 16, 1))
+            a = np.repeat(some, step)
+            self.add(a, weight(a))
+            left[some] -= step
+            some = some[left[some] > 0]
+
+    def sweep(self, weight: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+        """Every customer moves once; ``weight``: of a new table, given the dishes and the tables of their other customers."""
+        order = np.argsort(-self.n, kind="stable")
+        n = self.n[order]
+        for j in range(min(GROUPS, int(n.max(initial=0)))):  # every GROUPS-th customer from j on: neighbours of a table move in different groups
+            some = int(np.searchsorted(-n, -j, side="left"))
+            a = np.repeat(order[:some], (n[:some] - j - 1) // GROUPS + 1)
+            self._move(a, j + GROUPS * _nth(a), weight)
+
+    def _move(self, a: np.ndarray, i: np.ndarray, weight: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+        """Customers ``i`` of dishes ``a``, in which a dish's follow one another, choose anew, each given all others as they sit now."""
+        at, others = self.at[a], self.n[a] - 1
+        k = self.table[at + i]
+        tables = self.t[a] - (self.size[at + k] == 1)
+        new = weight(a, tables)
+        alone = self.rng.random(len(a)) * (others - self.d * tables + new) < new
+        alone |= others == 0
+        to, todo = np.empty(len(a), np.int32), np.flatnonzero(~alone)
+        while len(todo):  # beside another customer taken at random, which holds with probability (size - d) / size
+            r = (self.rng.random(len(todo)) * others[todo]).astype(np.int64)
+            x = self.table[at[todo] + r + (r >= i[todo])]
+            size = self.size[at[todo] + x] - (x == k[todo])
+            holds = self.rng.random(len(todo)) * size >= self.d
+            to[todo[holds]] = x[holds]
+            todo = todo[~holds]
+        np.subtract.at(self.size, at + k, 1)
+        np.add.at(self.size, (at + to)[~alone], 1)
+        self._clear(a, k)
+        to[alone] = self._open(a[alone])
+        self.size[(at + to)[alone]] = 1
+        self.table[at + i] = to
 
     def add(self, a: np.ndarray, weight: np.ndarray) -> None:
-        """One customer of each dish of ``a`` sits down; ``weight``: that of a new table."""
+        """Customers of the dishes ``a``, in which a dish's follow one another, sit down, each given those who sit now; ``weight``: that of a new table."""
         alone = self.rng.random(len(a)) * (self.n[a] - self.d * self.t[a] + weight) < weight
         alone |= self.n[a] == 0
         k, todo = np.empty(len(a), np.int32), np.flatnonzero(~alone)
@@ -320,13 +393,10 @@ class Seating:
             holds = self.rng.random(len(b)) * self.size[self.at[b] + x] >= self.d
             k[todo[holds]] = x[holds]
             todo = todo[~holds]
-        e = a[alone]
-        self.unused[e] -= 1
-        k[alone] = self.free[self.at[e] + self.unused[e]]
-        self.t[e] += 1
-        self.size[self.at[a] + k] += 1
-        self.table[self.at[a] + self.n[a]] = k
-        self.n[a] += 1
+        k[alone] = self._open(a[alone])
+        np.add.at(self.size, self.at[a] + k, 1)
+        self.table[self.at[a] + self.n[a] + _nth(a)] = k
+        np.add.at(self.n, a, 1)
 
     def steps(self, times: np.ndarray, step: Callable[[np.ndarray], None]) -> None:
         """``step`` for each dish so many times."""
@@ -362,9 +432,23 @@ class Dish:
             n -= some
 
     def move(self, times: int, weight: Callable[[int], float]) -> None:
-        for _ in range(times):
-            self.remove(1)
-            self.add(1, weight)
+        """So many customers move, all of them once before any moves again, in at most GROUPS groups a round, each of which chooses given all as they sat when it began."""
+        left = int(times)
+        while left:
+            have = int(self.sizes.sum())
+            todo, some = self.sizes.copy(), min(left, have)
+            for n in np.diff(np.arange(GROUPS + 1) * some // GROUPS).tolist() if some > GROUPS else [1] * some:
+                gone = self.rng.multivariate_hypergeometric(todo, n, method="marginals")
+                rest = self.sizes - gone if n == 1 else self.sizes
+                t, others, new = np.count_nonzero(rest), have - 1, weight(np.count_nonzero(rest))
+                alone = n if not others else int(self.rng.binomial(n, new / (new + others - self.d * t)))
+                share = np.where(rest > 0, rest - self.d, 0)
+                joined = self.rng.multinomial(n - alone, share / share.sum()) if n > alone else 0
+                after = self.sizes - gone + joined
+                stay = after > 0
+                self.sizes = np.concatenate([after[stay], np.ones(alone, np.int64)])
+                todo = np.concatenate([(todo - gone)[stay], np.zeros(alone, np.int64)])
+            left -= some
 
 
 class Sums:
@@ -446,12 +530,11 @@ class Bucket:
         elif sweep:
             dishes, were = Seating(self.own[many], before.tables[many], before.sizes, self.own[many], d, rng), before.tables[many]
 
-            def step(a: np.ndarray) -> None:
-                dishes.remove(a)
-                moved = dishes.t[a] - were[a]
-                dishes.add(a, (THETA + d * (context_tables[a] + moved)) * last.root(customers[a], root_tables[a], d0, moved))
+            def weight(a: np.ndarray, tables: np.ndarray) -> np.ndarray:
+                moved = tables - were[a]
+                return (THETA + d * (context_tables[a] + moved)) * last.root(customers[a], root_tables[a], d0, moved)
 
-            dishes.steps(np.minimum(self.own[many], MOVES), step)
+            dishes.sweep(weight)
             s.tables[many], s.sizes = dishes.t, dishes.sizes()
         s.customers = np.bincount(self.word, weights=s.tables, minlength=len(self.words)).astype(np.int64)
         self.at_root(s, before, sweep, last, d0, rng)
@@ -464,26 +547,11 @@ class Bucket:
             s.root_sizes = first_sizes(n, s.root_tables, d0)
             return
         n0, t0 = np.where(self.hot_word, 0, before.customers), before.root_tables
-        far = np.abs(n - n0) > MOVES  # these follow one by one
-        starts, sizes = np.cumsum(t0) - t0, before.root_sizes
-        if far.any():
-            own = np.split(sizes, starts[1:])
-            for i in np.flatnonzero(far):
-                dish = Dish(own[i], d0, rng)
-                if n[i] < n0[i]:
-                    dish.remove(int(n0[i] - n[i]))
-                else:
-                    dish.add(int(n[i] - n0[i]), lambda t, i=i: last.root_weight(t - t0[i], d0))
-                own[i] = dish.sizes
-            t1, sizes = np.array([len(x) for x in own]), np.concatenate(own)
-            n0 = np.where(far, n, n0)
-        else:
-            t1 = t0
-        dishes = Seating(n0, t1, sizes, np.maximum(n, n0), d0, rng)
-        seated = lambda a: dishes.add(a, last.root_weight(dishes.t[a] - t0[a], d0))
-        dishes.steps(np.maximum(n0 - n, 0), dishes.remove)
-        dishes.steps(np.maximum(n - n0, 0), seated)
-        dishes.steps(np.minimum(n, MOVES), lambda a: (dishes.remove(a), seated(a))[0])
+        dishes = Seating(n0, t0, before.root_sizes, np.maximum(n, n0), d0, rng)
+        weight = lambda a, tables: last.root_weight(tables - t0[a], d0)
+        dishes.leave(np.maximum(n0 - n, 0))
+        dishes.come(np.maximum(n - n0, 0), lambda a: weight(a, dishes.t[a]))
+        dishes.sweep(weight)
         s.root_tables, s.root_sizes = dishes.t, dishes.sizes()
 
 
@@ -501,7 +569,7 @@ def _hot_sweep(s: Sums, last: Sums | None, sweep: int, discounts: tuple[float, f
             have = int(dish.sizes.sum())
             dish.remove(max(0, have - n))
             dish.add(max(0, n - have), weight)
-            dish.move(min(n, MOVES), weight)
+            dish.move(n, weight)
             s.sizes[key] = dish.sizes
         return len(s.sizes[key])
 

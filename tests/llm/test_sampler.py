@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -76,6 +77,54 @@ def test_customers_come_and_go():
     assert lm.first_sizes(np.array([10, 0, 7]), np.array([3, 0, 7]), 0.5)[:3].sum() == 10
 
 
+def one_by_one(n, theta, d, p, rng):
+    """Tables of a dish of n customers, all of them alone, after each has been moved once by itself."""
+    table, sizes, t = list(range(n)), [1] * n, n
+    for i in range(n):
+        sizes[table[i]] -= 1
+        t -= not sizes[table[i]]
+        k = rng.choices(range(n), [max(x - d, 0) for x in sizes])[0]
+        if rng.random() * (n - 1 - d * t + (theta + d * t) * p) < (theta + d * t) * p:
+            k = sizes.index(0)
+            t += 1
+        sizes[k] += 1
+        table[i] = k
+    return t
+
+
+def test_a_sweep_moves_every_customer():
+    """A sweep leaves large dishes, all of whose customers sat alone, with as many tables as moving one after the other, at the root of a bucket and as hot ones."""
+    n, theta, d, p, dishes = 600, 2.0, 0.5, 0.3, 60
+    rng = random.Random(6)
+    want = sum(one_by_one(n, theta, d, p, rng) for _ in range(15)) / 15
+    assert want < n / 2
+    alone = np.ones(n * dishes, np.int64)
+    before = SimpleNamespace(customers=np.full(dishes, n), root_tables=np.full(dishes, n), root_sizes=alone)
+    s, last = SimpleNamespace(customers=np.full(dishes, n)), SimpleNamespace(root_weight=lambda t, d: (theta + d * (n + t)) * p)
+    lm.Bucket.at_root(SimpleNamespace(hot_word=np.zeros(dishes, bool)), s, before, 2, last, d, np.random.default_rng(4))
+    assert s.root_sizes.sum() == n * dishes and (s.root_sizes > 0).all() and s.root_tables.sum() == len(s.root_sizes)
+    assert s.root_tables.mean() == pytest.approx(want, rel=0.05)
+    word, hot = 7, []
+    for seed in range(20):
+        now, old = lm.Sums(), SimpleNamespace(sizes={(1, word): np.ones(n, np.int64)}, hot_words={word: [n, n, n]}, root_weight=last.root_weight)
+        now.hot_words = {word: [n, n, 0.0]}
+        lm._hot_sweep(now, old, 2 + seed, (d, d), {})
+        assert now.sizes[1, word].sum() == n
+        hot.append(now.hot_words[word][2])
+    assert np.mean(hot) == pytest.approx(want, rel=0.05)
+
+
+def test_customers_leave_and_come_in_groups():
+    rng = np.random.default_rng(3)
+    n, t = np.array([500, 2, 40]), np.array([20, 1, 5])
+    s = lm.Seating(n, t, lm.first_sizes(n, t, 0.5), np.array([500, 900, 40]), 0.5, rng)
+    s.leave(np.array([480, 0, 40]))
+    s.come(np.array([0, 898, 3]), lambda a: np.ones(len(a)))
+    assert s.n.tolist() == [20, 900, 3] and s.sizes().sum() == 923
+    s.sweep(lambda a, t: 1 + 0.5 * t)
+    assert s.n.tolist() == [20, 900, 3] and s.sizes().sum() == 923 and s.t.sum() == len(s.sizes())
+
+
 def pairs_of(texts):
     out = []
     for t in texts:
