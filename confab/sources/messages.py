@@ -24,15 +24,20 @@ def _files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
 
 
+def _bundled(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    return spark.read.schema("source_path string, value string").json(paths)
+
+
 def _messages(files: DataFrame, array: Column) -> DataFrame:
     return files.select("source_path", F.posexplode(array).alias("msg_index", "m")).select("source_path", "msg_index", "m.*")
 
 
 # S1, S2, S3
-def read_messages(spark: SparkSession, paths: list[str] | str, mode: str = "strict") -> DataFrame:
+def read_messages(spark: SparkSession, paths: list[str] | str, mode: str = "strict", bundled: bool = False) -> DataFrame:
     """MESSAGE rows of JSON files: ``strict`` fails on anything but arrays of complete messages, ``lenient`` skips files
-    that hold no array, ``envelope`` reads objects with a ``messages`` array."""
-    files = _files(spark, paths)
+    that hold no array, ``envelope`` reads objects with a ``messages`` array. ``bundled``: paths hold bundles of such
+    files (``sinks.write_bundles``), under the names that they have there."""
+    files = (_bundled if bundled else _files)(spark, paths)
     if mode == "envelope":
         kind = f"struct<chat_name:string,messages:{_FIELDS}>"
         return _messages(files, F.from_json("value", kind)["messages"])

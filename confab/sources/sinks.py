@@ -56,6 +56,11 @@ def write_text(values: DataFrame, path: str, key: str = "source_path", value: st
     values.select(key, value).write.mode("overwrite").partitionBy(key).text(path)
 
 
+def write_bundles(values: DataFrame, path: str, key: str = "source_path", value: str = "value") -> None:
+    """The texts of many chats in a few files, a line for each: with a file and a folder for each chat, making these takes most of the time."""
+    values.select(F.col(key).alias("source_path"), F.col(value).alias("value")).write.mode("overwrite").json(path)
+
+
 # K4
 def append_run(run: DataFrame, path: str) -> None:
     run.write.mode("append").parquet(path)
