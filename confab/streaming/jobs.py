@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -124,76 +125,80 @@ def dedup_lookback_stream(stream: DataFrame) -> DataFrame:
 
 
 _FIELDS = [f.split()[0] for f in MESSAGE.split(", ")]
+_INDEX = _FIELDS.index("msg_index")
 
 
 class OrderedLookbackProcessor(StatefulProcessor):
     """Rows wait until the watermark has passed them, then enter the lookback in their order; a row goes out when it leaves the window, with the time that a repeat may have given it.
 
-    State: the waiting rows, the few kept ones, and when the last row came. One timer is set: for the first waiting row, or, if none waits, for the end of the pause after which a chat's
-    window is emptied."""
+    State: the waiting rows, packed in chunks that are added without reading the others; and one value of the timer, when the last row came and the first waiting one, and the few kept rows, packed.
+    One timer is set: for the first waiting row, or, if none waits, for the end of the pause after which a chat's window is emptied. Each call of the state is a round trip, so there are few."""
+
+    CHUNK = 10_000
 
     def __init__(self, pause_ms: int, size: int = LOOKBACK):
         self.pause, self.size = pause_ms, size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", MESSAGE + ", at long")
-        self.kept = handle.getListState("kept", MESSAGE)
-        self.next = handle.getValueState("next", "timer long, last long")
-
-    def _set(self, when: int, last: int) -> None:
-        """The one timer; timers fire once the watermark is at them or beyond."""
-        if self.next.exists():
-            before = self.next.get()[0]
-            if before != when and before in set(t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()):
-                self.handle.deleteTimer(before)
-        self.handle.registerTimer(when)
-        self.next.update((when, last))
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.state = handle.getValueState("state", "timer long, last long, first long, kept binary")
+
+    def _wait(self, rows: list[tuple], replace: bool = False) -> None:
+        chunks = [(pickle.dumps(rows[i : i + self.CHUNK]),) for i in range(0, len(rows), self.CHUNK)]
+        (self.waiting.put if replace else self.waiting.appendList)(chunks)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = []
         for frame in rows:
-            frame = frame[frame["source_path"].notna()]
+            at = frame["at"].astype("datetime64[ms]").astype("int64").tolist()
+            columns = [[None if x is None or x != x else x for x in frame[f].tolist()] for f in _FIELDS]
             # whole numbers beside nulls arrive as floating ones
-            frame = frame.assign(at=frame["at"].astype("datetime64[ms]").astype("int64"), msg_index=frame["msg_index"].astype("Int64"))
-            new += [tuple(r) for r in frame[[*_FIELDS, "at"]].astype(object).where(frame[[*_FIELDS, "at"]].notna(), None).itertuples(index=False)]
+            columns[_INDEX] = [None if x is None else int(x) for x in columns[_INDEX]]
+            new += [r for r in zip(*columns, at, strict=True) if r[0] is not None]
         if not new:
-            yield pd.DataFrame(columns=_FIELDS)
             return
-        self.waiting.appendList(new)
-        last = max([r[-1] for r in new] + ([self.next.get()[1]] if self.next.exists() else []))
-        first = min(r[-1] for r in self.waiting.get())
-        self._set(max(first + 1, timerValues.getCurrentWatermarkInMs() + 1), last)
-        yield pd.DataFrame(columns=_FIELDS)
+        self._wait(new)
+        found = self.state.get()
+        before, last, first, kept = found if found else (None, None, None, None)
+        last = max([r[-1] for r in new] + ([] if last is None else [last]))
+        first = min([r[-1] for r in new] + ([] if first is None else [first]))
+        when = max(first, timerValues.getCurrentWatermarkInMs()) + 1  # timers fire once the watermark is at them or beyond
+        if when != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(when)
+        self.state.update((when, last, first, kept))
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        _, last, first, kept = self.state.get()
+        waiting = [r for chunk in self.waiting.get() for r in pickle.loads(chunk[0])] if first is not None else []
         ready = sorted((r for r in waiting if r[-1] < now), key=lambda r: (r[1] is None, r[1] or 0, r[-1]))
-        later = [tuple(r) for r in waiting if r[-1] >= now]
+        later = [r for r in waiting if r[-1] >= now]
         window = Window(lookback_step(), self.size)
-        window.kept.extend(dict(zip(_FIELDS, r, strict=True)) for r in (self.kept.get() if self.kept.exists() else []))
+        window.kept.extend(pickle.loads(kept) if kept else [])
         out = []
         for r in ready:
             out += window.put(dict(zip(_FIELDS, r[:-1], strict=True)))
-        last = self.next.get()[1]
         if later:
-            self.waiting.put(later)
-            self.next.update((min(r[-1] for r in later) + 1, last))
-            self.handle.registerTimer(max(min(r[-1] for r in later) + 1, now + 1))
+            self._wait(later, replace=True)
+            first = min(r[-1] for r in later)
+            when = max(first, now) + 1
         else:
-            self.waiting.clear()
-            if now > last + self.pause:  # the chat has ended for now
-                out += window.end()
-                self.next.clear()
-            else:
-                self.handle.registerTimer(last + self.pause + 1)
-                self.next.update((last + self.pause + 1, last))
-        if window.kept:
-            self.kept.put([tuple(r[f] for f in _FIELDS) for r in window.kept])
+            if waiting:
+                self.waiting.clear()
+            first = None
+            when = last + self.pause + 1
+        if not later and now > last + self.pause:  # the chat has ended for now
+            out += window.end()
+            self.state.clear()
         else:
-            self.kept.clear()
-        yield pd.DataFrame({f: pd.Series([r[f] for r in out], dtype=object) for f in _FIELDS})
+            self.handle.registerTimer(when)
+            self.state.update((when, last, first, pickle.dumps(list(window.kept))))
+        if out:
+            yield pd.DataFrame({f: pd.Series([r[f] for r in out], dtype=object) for f in _FIELDS})
 
     def close(self) -> None: ...
 

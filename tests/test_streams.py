@@ -131,3 +131,38 @@ def test_late_rows_are_sorted_in(spark, tmp_path, rocksdb):
     got = sorted(map(tuple, run().collect()), key=repr)
     want = sorted(map(tuple, dedup_lookback(spark.createDataFrame(rows, schema).drop("at")).collect()), key=repr)
     assert got == want and early < middle < len(want)
+
+
+def test_rows_wait_without_reading_those_before():
+    """Rows that come are added to the waiting ones in few calls of the state, whatever waits already."""
+    import pandas as pd
+
+    calls = []
+
+    class Named:
+        def __init__(self, name):
+            self.name, self.value = name, None
+
+        def __getattr__(self, call):
+            def called(*args):
+                calls.append((self.name, call))
+                if call in ("update", "put"):
+                    self.value = args[0]
+                return self.value if call == "get" else self.value is not None if call == "exists" else [] if call == "listTimers" else None
+
+            return called
+
+    class Handle(Named):
+        def getListState(self, name, schema):
+            return Named(name)
+
+        getValueState = getListState
+
+    p = jobs.OrderedLookbackProcessor(1000)
+    p.init(Handle("handle"))
+    watermark = type("T", (), {"getCurrentWatermarkInMs": lambda self: 0})()
+    for n in range(3):
+        frame = pd.DataFrame({"source_path": ["a"], "msg_index": [n], "chat_name": ["a"], "sender": ["s"], "time": [None], "content": ["x"], "type": ["text"], "at": pd.to_datetime([f"2024-01-0{n + 1}"])})
+        assert sum(len(x) for x in p.handleInputRows(("a",), iter([frame]), watermark)) == 0
+        assert ("waiting", "get") not in calls and len(calls) <= 4
+        calls.clear()
