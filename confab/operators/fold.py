@@ -12,7 +12,7 @@ import hashlib
 import pickle
 import re
 import uuid
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -53,20 +53,39 @@ def similar_step(ratio: float = 0.88, min_len: int = 30) -> Step:
     def plain(x: str | None) -> str:
         return re.sub(r"\s+", " ", (x or "").strip())
 
+    # of each kept text, by its content: the plain form, its characters and a matcher that knows it as the second text
+    known: dict[str | None, tuple[str, Counter, difflib.SequenceMatcher | None]] = {}
+
+    def of(x: str | None) -> tuple[str, Counter, difflib.SequenceMatcher | None]:
+        if x not in known:
+            text = plain(x)
+            known[x] = (text, Counter(text), difflib.SequenceMatcher(None, "", text) if len(text) >= min_len else None)
+        return known[x]
+
     def step(kept: list[dict], row: dict) -> bool:
         if row["type"] not in ("text", "other"):
             return True
         new = plain(row["content"])
         if len(new) < min_len:
             return True
+        seen, chars = {k["content"] for k in kept}, None
+        for x in [x for x in known if x not in seen]:
+            del known[x]
         for k in kept:
             if k["sender"] != row["sender"] or k["type"] != row["type"]:
                 continue
-            old = plain(k["content"])
+            old, old_chars, matcher = of(k["content"])
             if len(old) < min_len or 2 * min(len(new), len(old)) < ratio * (len(new) + len(old)):
                 continue
-            m = difflib.SequenceMatcher(None, new, old)
-            if m.quick_ratio() >= ratio and m.ratio() >= ratio:
+            if new != old:  # of equal texts the ratio is 1, where no character is so frequent that difflib leaves it out
+                chars = Counter(new) if chars is None else chars
+                if 2.0 * (chars & old_chars).total() / (len(new) + len(old)) < ratio:
+                    continue
+            elif len(old) < 200:
+                _fill_time(k, row)
+                return False
+            matcher.set_seq1(new)
+            if matcher.ratio() >= ratio:
                 _fill_time(k, row)
                 return False
         return True
@@ -147,7 +166,11 @@ def fold(df: DataFrame, key: list[str], order: list[str], steps: Steps, hot: int
 
 
 def _records(frame: pd.DataFrame) -> list[dict]:
-    return frame.astype(object).where(frame.notna(), None).to_dict("records")
+    columns = []
+    for name in frame.columns:
+        values, null = frame[name].tolist(), frame[name].isna()
+        columns.append([None if n else x for x, n in zip(values, null.tolist(), strict=True)] if null.any() else values)
+    return [dict(zip(frame.columns, row, strict=True)) for row in zip(*columns, strict=True)]
 
 
 def _fold_keys(df: DataFrame, key: list[str], steps: Steps, order: list[str]) -> DataFrame:
