@@ -83,19 +83,67 @@ def _pair(w: np.ndarray, k: np.ndarray) -> np.ndarray:
     return mix(w ^ mix(k + _SALT))
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and the place of each element among them. Only the distinct ones are sorted."""
+    code, names = pd.factorize(x)
+    order = np.argsort(names)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return names[order], rank[code]
+
+
+def among(x: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Which elements are in ``few``."""
+    if not len(few):
+        return np.zeros(len(x), bool)
+    few = np.sort(few)
+    return few[np.minimum(np.searchsorted(few, x), len(few) - 1)] == x
+
+
+def stable_order(key: np.ndarray, most: int) -> np.ndarray:
+    """The order of numbers from 0 to ``most``, equal ones as they stand: each with its place makes one number to sort, if 64 bits hold both."""
+    if most < 1 << 16:
+        return np.argsort(key.astype(np.uint16), kind="stable")
+    bits = len(key).bit_length()
+    if most.bit_length() + bits > 64:
+        return np.argsort(key, kind="stable")
+    both = np.sort((key.astype(np.uint64) << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64))
+    return (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def counted(at: np.ndarray, k: np.ndarray, doc: np.ndarray, names: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (word, context, document) in order, and how often each occurs; words and contexts are below ``names``, documents below 2**16."""
+    bits = names.bit_length()
+    if 2 * bits + 16 > 64:
+        order = np.lexsort((doc, k, at))
+        at, k, doc = at[order], k[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (k[1:] != k[:-1]) | (doc[1:] != doc[:-1])]))
+        return at[first], k[first], doc[first].astype(np.uint16), np.diff(np.append(first, len(at)))
+    key = np.sort((((at.astype(np.uint64) << np.uint64(bits)) | k.astype(np.uint64)) << np.uint64(16)) | doc.astype(np.uint64))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n, key = np.diff(np.append(first, len(key))), key[first]
+    pair = key >> np.uint64(16)
+    return (pair >> np.uint64(bits)).astype(np.int64), (pair & np.uint64((1 << bits) - 1)).astype(np.int64), key.astype(np.uint16), n
+
+
 def _packed(x: np.ndarray) -> bytes:
     """The differences of an array, first bytes first, compressed: most arrays here rise in long runs."""
     d = np.ascontiguousarray(x).reshape(-1).view(f"u{x.itemsize}").copy()
     d[1:] -= d[:-1].copy()
-    raw = d.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    raw, each = np.empty((x.itemsize, len(d)), np.uint8), d.view(np.uint8).reshape(-1, x.itemsize)
+    for i in range(x.itemsize):
+        raw[i] = each[:, i]
+    return raw.nbytes.to_bytes(8, "little") + pa.compress(raw.reshape(-1).data, "zstd", asbytes=True)
 
 
 def _unpacked(x: bytes, kind: type) -> np.ndarray:
     n, size = int.from_bytes(x[:8], "little"), np.dtype(kind).itemsize
     if not n:
         return np.empty(0, kind)
-    d = np.ascontiguousarray(np.frombuffer(pa.decompress(x[8:], n, "zstd", asbytes=True), np.uint8).reshape(size, -1).T).reshape(-1).view(f"u{size}")
+    raw, each = np.frombuffer(pa.decompress(x[8:], n, "zstd", asbytes=True), np.uint8).reshape(size, -1), np.empty((n // size, size), np.uint8)
+    for i in range(size):
+        each[:, i] = raw[i]
+    d = each.reshape(-1).view(f"u{size}")
     return np.cumsum(d, dtype=d.dtype).view(kind)
 
 
@@ -110,7 +158,8 @@ def _frequent(rows: DataFrame, hot: int) -> DataFrame:
                 some = np.ones(len(w), bool)
                 for kind, of in ((1, lambda w, k: w), (2, _pair)):
                     # a frequent pair has a frequent word
-                    key, at, n = np.unique(of(w[some], k[some]), return_inverse=True, return_counts=True)
+                    at, key = pd.factorize(of(w[some], k[some]))
+                    n = np.bincount(at, minlength=len(key))
                     often = n * 4 * hot >= len(w)
                     some[some] = often[at]
                     kinds.append(np.full(often.sum(), kind, np.int32))
@@ -131,30 +180,28 @@ def _sent(rows: DataFrame, buckets: int, hot_words: np.ndarray, hot_pairs: np.nd
         for whole in batches:
             for batch, texts in _slices(whole):
                 w, k, doc = _tokens(texts)
-                names, at = np.unique(w, return_inverse=True)
-                before, k = np.unique(k, return_inverse=True)
-                pairs, pair = np.unique((at.astype(np.uint64) << np.uint64(32)) | k.astype(np.uint64), return_inverse=True)
-                key, n = np.unique((pair.astype(np.uint64) << np.uint64(16)) | doc.astype(np.uint64), return_counts=True)
-                pair, doc = pairs[(key >> np.uint64(16)).astype(np.int64)], (key & np.uint64(0xFFFF)).astype(np.uint16)
-                at, k = (pair >> np.uint64(32)).astype(np.int64), before[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-                w = names[at]
-                to = mix(w + _SALT)
-                hot = np.isin(names, hot_words)[at]
+                names, at = distinct(np.append(w, _START))
+                # a context is the word before or the start
+                at, k = at[:-1], np.where(k == _START, at[-1], np.concatenate([at[:1], at[:-2]]))
+                at, k, doc, n = counted(at, k, doc, len(names))
+                to = (mix(names + _SALT) % np.uint64(buckets))[at]
+                hot = among(names, hot_words)[at]
                 if hot.any():
-                    pair = _pair(w[hot], k[hot])
+                    pair = _pair(names[at[hot]], names[k[hot]])
                     rid0 = np.uint64(batch.column(0)[0].as_py())
-                    to[hot] = np.where(np.isin(pair, hot_pairs), mix(pair ^ mix(doc[hot].astype(np.uint64) + rid0)), pair)
-                to = (to % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(to, kind="stable")
-                to, at, k, doc, n = to[order], at[order], k[order], doc[order], n[order].astype(np.uint32)
+                    to[hot] = np.where(among(pair, hot_pairs), mix(pair ^ mix(doc[hot].astype(np.uint64) + rid0)), pair) % np.uint64(buckets)
+                order = stable_order(to, buckets - 1)
+                to, at, k, doc, n = to[order].astype(np.int32), at[order], k[order].astype(np.int32), doc[order], n[order].astype(np.uint32)
+                place = np.empty(len(names), np.uint32)
                 cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
                 held = np.packbits(batch.column(2).to_numpy(zero_copy_only=False).astype(bool)).tobytes()
                 out = []
                 for a, b in zip(cuts, [*cuts[1:], len(to)], strict=True):
                     first = np.flatnonzero(np.concatenate([[True], at[a + 1 : b] != at[a : b - 1]]))
                     runs = np.diff(np.concatenate([first, [b - a]])).astype(np.uint32)
-                    own, which = np.unique(k[a:b], return_inverse=True)
-                    arrays = (names[at[a:b][first]], runs, own, which.astype(np.uint32), doc[a:b], n[a:b])
+                    own = np.unique(k[a:b])
+                    place[own] = np.arange(len(own))
+                    arrays = (names[at[a:b][first]], runs, names[own], place[k[a:b]], doc[a:b], n[a:b])
                     out.append((int(to[a]), batch.column(0)[0].as_py(), held, *map(_packed, arrays)))
                 kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 7)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _SENT.split(", ")])
@@ -174,35 +221,39 @@ def _row(part: pd.DataFrame) -> SimpleNamespace:
 def _merged(part: pd.DataFrame, parts: int) -> pd.DataFrame:
     """A bucket's arrays: distinct words; distinct contexts by part, and how many each part has; (word, context) pairs with training counts; postings in the
     order of pairs; the row numbers of the documents in them."""
-    w, k, doc, n, train, rids, at = [], [], [], [], [], [], 0
+    w, wn, names, k, doc, n, train, rids, at, before = [], [], [], [], [], [], [], [], 0, 0
     for r in part.sort_values("rid0").itertuples(index=False):
         d = _unpacked(r.doc, np.uint16)
         held = np.unpackbits(np.frombuffer(r.held, np.uint8)).astype(bool)
         here = np.zeros(len(held), bool)
         here[d] = True
-        w.append(np.repeat(_unpacked(r.w, np.uint64), _unpacked(r.wn, np.uint32)))
-        k.append(_unpacked(r.names, np.uint64)[_unpacked(r.k, np.uint32)])
+        w.append(_unpacked(r.w, np.uint64))
+        wn.append(_unpacked(r.wn, np.uint32))
+        names.append(_unpacked(r.names, np.uint64))
+        k.append(_unpacked(r.k, np.uint32).astype(np.int64) + before)
+        before += len(names[-1])
         doc.append((np.cumsum(here) - 1 + at)[d].astype(np.int32))
         n.append(_unpacked(r.n, np.uint32))
         train.append(~held[d])
         rids.append(r.rid0 + np.flatnonzero(here))
         at += len(rids[-1])
-    w, k, doc, n, train, rids = (np.concatenate(x) for x in (w, k, doc, n, train, rids))
-    words, word = np.unique(w, return_inverse=True)
-    contexts, context = np.unique(k, return_inverse=True)
-    del w, k
+    w, wn, names, k, doc, n, train, rids = (np.concatenate(x) for x in (w, wn, names, k, doc, n, train, rids))
+    words, word = distinct(w)
+    contexts, context = distinct(names)
     to = mix(contexts + _SALT) % np.uint64(parts)
-    order = np.argsort(to, kind="stable")
+    order = stable_order(to, parts - 1)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    key = (word.astype(np.int64) << 32) | rank[context]
-    order_of_pairs = np.argsort(key, kind="stable")
+    bits = len(contexts).bit_length()
+    key = (np.repeat(word, wn) << bits) | rank[context][k]
+    del w, names, k, word, context
+    order_of_pairs = stable_order(key, len(words) << bits)
     key, doc, n, train = key[order_of_pairs], doc[order_of_pairs], n[order_of_pairs], train[order_of_pairs]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     runs = np.diff(np.concatenate([start, [len(key)]]))
     count = np.add.reduceat(np.where(train, n, 0).astype(np.int64), start)
     pair = key[start]
-    arrays = {"words": words, "contexts": contexts[order], "sizes": np.bincount(to.astype(np.int64), minlength=parts), "pair_word": pair >> 32, "pair_context": pair & 0xFFFFFFFF, "count": count, "runs": runs, "rids": rids, "doc": doc, "n": n}
+    arrays = {"words": words, "contexts": contexts[order], "sizes": np.bincount(to.astype(np.int64), minlength=parts), "pair_word": pair >> bits, "pair_context": pair & ((1 << bits) - 1), "count": count, "runs": runs, "rids": rids, "doc": doc, "n": n}
     return pd.DataFrame([{"bucket": int(part.bucket.iloc[0])} | {c: _packed(x.astype(_KINDS[c])) for c, x in arrays.items()}])
 
 
@@ -223,7 +274,7 @@ def _orders(merged: DataFrame) -> DataFrame:
 
     def order(part: pd.DataFrame) -> pd.DataFrame:
         own = [_unpacked(x, np.uint64) for x in part.sort_values("bucket").contexts]
-        contexts, at = np.unique(np.concatenate(own), return_inverse=True)
+        contexts, at = distinct(np.concatenate(own))
         return pd.DataFrame([(part.part.iloc[0], _packed(contexts), _packed(np.array([len(x) for x in own], np.uint32)), _packed(at.astype(np.uint32)))], columns=["part", "contexts", "sizes", "at"])
 
     rows = merged.select("bucket", "contexts", "sizes").mapInPandas(sent, "part int, bucket int, contexts binary")
@@ -244,7 +295,7 @@ def _totals(orders: DataFrame, own: DataFrame, sweep: int, wanted: np.ndarray) -
         cuts = np.cumsum(_unpacked(order.sizes.iloc[0], np.uint32).astype(np.int64))[:-1]
         sums = [np.bincount(at, weights=np.concatenate([_unpacked(x, np.uint32) for x in own[c]]), minlength=len(contexts)).astype(np.uint64) for c in ("customers", "tables")[sweep > 0 :]]
         back = [[_packed(x) for x in np.split(s[at], cuts)] for s in sums]
-        here = np.flatnonzero(np.isin(contexts, wanted))
+        here = np.flatnonzero(among(contexts, wanted))
         rows = list(zip(own.bucket, [part] * len(own), [sweep] * len(own), back[0] if sweep == 0 else [None] * len(own), back[-1], strict=True))
         if len(here):
             rows.append((-1, part, sweep, _packed(contexts[here]), _packed(np.stack([sums[0][here], sums[-1][here]]))))
@@ -288,6 +339,10 @@ def _nth(a: np.ndarray) -> np.ndarray:
     return np.arange(len(a)) - np.repeat(first, np.diff(np.concatenate([first, [len(a)]])))
 
 
+#: Of the type of a table's size: numpy takes a plain 1 for a wider one, and converts at every index.
+_ONE = np.int32(1)
+
+
 class Seating:
     """The tables of many dishes, and which customer sits where, as flat arrays: a dish has ``room`` places from ``at`` on in each."""
 
@@ -336,7 +391,7 @@ class Seating:
         a = np.repeat(some, times[some])
         k = self.table[self.at[a] + self.n[a] - 1 - _nth(a)]
         self.n -= times
-        np.subtract.at(self.size, self.at[a] + k, 1)
+        np.subtract.at(self.size, self.at[a] + k, _ONE)
         self._clear(a, k)
 
     def come(self, times: np.ndarray, weight: Callable[[np.ndarray], np.ndarray]) -> None:
@@ -375,8 +430,8 @@ class Seating:
             holds = self.rng.random(len(todo)) * size >= self.d
             to[todo[holds]] = x[holds]
             todo = todo[~holds]
-        np.subtract.at(self.size, at + k, 1)
-        np.add.at(self.size, (at + to)[~alone], 1)
+        np.subtract.at(self.size, at + k, _ONE)
+        np.add.at(self.size, (at + to)[~alone], _ONE)
         self._clear(a, k)
         to[alone] = self._open(a[alone])
         self.size[(at + to)[alone]] = 1
@@ -394,7 +449,7 @@ class Seating:
             k[todo[holds]] = x[holds]
             todo = todo[~holds]
         k[alone] = self._open(a[alone])
-        np.add.at(self.size, self.at[a] + k, 1)
+        np.add.at(self.size, self.at[a] + k, _ONE)
         self.table[self.at[a] + self.n[a] + _nth(a)] = k
         np.add.at(self.n, a, 1)
 
@@ -485,10 +540,12 @@ class Bucket:
         self.id = int(row.bucket)
         self.words, self.word, self.k, self.own = row.words, row.pair_word, row.pair_context, row.count.astype(np.int64)
         self.contexts, self.sizes = row.contexts, row.sizes
-        self.hot_word = np.isin(self.words, hot_words)
-        pair = _pair(self.words[self.word], self.contexts[self.k]) if self.hot_word.any() else np.zeros(len(self.k), np.uint64)
-        self.hot_pair = np.isin(pair, hot_pairs) & self.hot_word[self.word]
-        self.hot_at, self.hot_keys = np.flatnonzero(self.hot_pair), pair[self.hot_pair]
+        self.hot_word = among(self.words, hot_words)
+        at = np.flatnonzero(self.hot_word[self.word])
+        pair = _pair(self.words[self.word[at]], self.contexts[self.k[at]])
+        some = among(pair, hot_pairs)
+        self.hot_at, self.hot_keys, self.hot_pair = at[some], pair[some], np.zeros(len(self.k), bool)
+        self.hot_pair[self.hot_at] = True
         self.hot_words_at = np.flatnonzero(self.hot_word)
         self.many = np.flatnonzero((self.own > 1) & ~self.hot_pair)
 
@@ -496,10 +553,10 @@ class Bucket:
         """The contexts' totals of customers or tables after a sweep, with what the hot pairs add (``sums``, of that sweep)."""
         rows = known[(known.sweep == sweep) & (known.part >= 0)].sort_values("part")
         x = np.concatenate([_unpacked(v, np.uint64) for v in rows[column]]).astype(np.float64)
-        order, added = np.argsort(self.contexts), np.array(list(sums.added), np.uint64)
-        at = order[np.minimum(np.searchsorted(self.contexts, added, sorter=order), len(order) - 1)]
-        here = self.contexts[at] == added
-        x[at[here]] += np.array([v[column == "tables"] for v in sums.added.values()])[here]
+        added = np.array(list(sums.added), np.uint64)
+        order, at = np.argsort(added), np.flatnonzero(among(self.contexts, added))
+        if len(at):
+            x[at] += np.array([v[column == "tables"] for v in sums.added.values()])[order][np.searchsorted(added[order], self.contexts[at])]
         return x
 
     @staticmethod
@@ -688,7 +745,9 @@ def _scored(rows: DataFrame, sweeps: int) -> DataFrame:
                 one = lambda c, i=i, batch=batch: batch.column(batch.schema.get_field_index(c))[i].as_py()
                 row = SimpleNamespace(bucket=one("bucket"), **{c: _unpacked(one(c), kind) for c, kind in _KINDS.items()})
                 new, sums_of = document_sums(row, pd.DataFrame(one("known")))
-                rid, at = np.unique(np.concatenate([rid, new]), return_inverse=True)
+                both = np.concatenate([rid, new])
+                rid = np.unique(both)
+                at = np.searchsorted(rid, both)
                 both = np.concatenate([held, sums_of])
                 held = np.stack([np.bincount(at, weights=both[:, j], minlength=len(rid)) for j in range(4)], axis=1)
                 if len(rid) > HELD_ROWS:
@@ -697,12 +756,12 @@ def _scored(rows: DataFrame, sweeps: int) -> DataFrame:
         if len(rid):
             yield packed(rid, held)
 
-    def total(part: pd.DataFrame) -> pd.DataFrame:
+    def total(part: pa.Table) -> pa.Table:
         sums = np.zeros((DOCS, 4))
-        for x in part.sums:
+        for x in part["sums"].to_pylist():
             sums += np.frombuffer(x).reshape(DOCS, 4)
         some = np.flatnonzero(sums[:, 0])
-        return pd.DataFrame(sums[some], columns=["n", "known", "base", "score"]).assign(rid=part.block.iloc[0] * DOCS + some)[["rid", "n", "known", "base", "score"]]
+        return pa.table({"rid": part["block"][0].as_py() * DOCS + some} | {c: sums[some, i] for i, c in enumerate(("n", "known", "base", "score"))})
 
     def document_sums(row: SimpleNamespace, known: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         b = Bucket(row, *hot)
@@ -726,7 +785,7 @@ def _scored(rows: DataFrame, sweeps: int) -> DataFrame:
 
     listed = customers.groupBy("bucket").agg(F.collect_list(F.struct(*[c for c in customers.columns if c != "bucket"])).alias("known"))
     parts = merged.join(listed, "bucket").mapInArrow(sums_by_document, "block long, sums binary")
-    by_doc = parts.groupBy("block").applyInPandas(total, "rid long, n double, known double, base double, score double")
+    by_doc = parts.groupBy("block").applyInArrow(total, "rid long, n double, known double, base double, score double")
     return rows.select("rid", "doc_id", "held_out").join(by_doc, "rid").select(
         "doc_id", "held_out", F.col("n").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.lit(int(n_train)).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n")).alias("perplexity"),
