@@ -177,11 +177,29 @@ def _scan_object(texts: pd.Series) -> pd.Series:
 FENCE = r"(?is)```(?:json)?\s*(.*?)\s*```"
 
 
+def _fenced(text: Column) -> Column:
+    return F.when(text.rlike(FENCE), F.regexp_extract(text, FENCE, 1)).otherwise(utrim(text))
+
+
+def _readable(inner: Column) -> Column:
+    return F.when(inner.startswith("{") & F.try_parse_json(inner).isNotNull(), inner)
+
+
+def _object(inner: Column, plain: Column) -> Column:
+    return F.coalesce(plain, _scan_object(F.when(plain.isNull(), inner)))
+
+
 def model_object(text: Column) -> Column:
     """The first JSON object in a model's answer, as JSON text; null if there is none. Python sees only what plain parsing cannot read."""
-    inner = F.when(text.rlike(FENCE), F.regexp_extract(text, FENCE, 1)).otherwise(utrim(text))
-    plain = F.when(inner.startswith("{") & F.try_parse_json(inner).isNotNull(), inner)
-    return F.coalesce(plain, _scan_object(F.when(plain.isNull(), inner)))
+    inner = _fenced(text)
+    return _object(inner, _readable(inner))
+
+
+def with_model_object(rows: DataFrame, text: Column, name: str) -> DataFrame:
+    """Adds :func:`model_object` in steps, so that an answer is searched for its fence and read once, not at each place that uses it."""
+    rows = rows.withColumn("__inner", _fenced(text))
+    rows = rows.withColumn("__plain", _readable(F.col("__inner")))
+    return rows.withColumn(name, _object(F.col("__inner"), F.col("__plain"))).drop("__inner", "__plain")
 
 
 # S8
